@@ -32,3 +32,15 @@ def slide_embeddings(
 
 def patient_embeddings(slides: DataFrame, patient: str = "patient", pool: str = "mean", emb: str = "emb") -> DataFrame:
     return (mean_pool if pool == "mean" else max_pool)(slides, [patient], emb)
+
+
+def embedding_outcomes(features: DataFrame, dim: int, bag: str = "bag", **options) -> DataFrame:
+    """Every bag with its vector, or with the reason why it has none."""
+    made = slide_embeddings(features, dim, bag, **options).withColumn("ok", F.lit(True))
+    out = features.select(bag).distinct().join(made, bag, "left")
+    return out.withColumns(
+        {
+            "ok": F.coalesce("ok", F.lit(False)),
+            "reason": F.when(F.col("ok").isNull(), F.lit("missing_feature_file")),
+        }
+    )
