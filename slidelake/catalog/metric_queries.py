@@ -104,7 +104,7 @@ def _kappa_sql(source: str, keys: str) -> str:
     return f"""SELECT {k}1 - obs / nullif(expd, 0) AS kappa FROM (
   SELECT {k}sum((i - j) * (i - j))::DOUBLE AS obs, count(*) AS n FROM coded GROUP BY ALL) o
 JOIN (SELECT {", ".join([f"a.{x.strip()}" for x in keys.split(",")]) + ", " if keys else ""}sum((a.i - b.j) * (a.i - b.j) * a.c * b.c / a.n::DOUBLE) AS expd
-  FROM (SELECT {k}i, count(*) AS c, sum(count(*)) OVER ({part}) AS n FROM coded GROUP BY ALL) a
+  FROM (SELECT {k}i, c, sum(c) OVER ({part}) AS n FROM (SELECT {k}i, count(*) AS c FROM coded GROUP BY ALL)) a
   JOIN (SELECT {k}j, count(*) AS c FROM coded GROUP BY ALL) b {using} GROUP BY ALL) e {using}"""
 
 
@@ -185,12 +185,12 @@ FROM ({values})"""
 
 
 def _draw_sql(n: str, seed: int) -> str:
-    return f"""SELECT rep, floor({sql_u(f"'{seed}|' || rep || '|' || pos")} * {n})::BIGINT AS at
+    return f"""SELECT rep, floor({sql_u(f"'{seed}|' || rep || '|' || pos")} * {n})::BIGINT AS drawn
 FROM range({BOOT}) a(rep), range({n}) b(pos)"""
 
 
 _BOOT_ACC = with_views(
-    _interval_sql("SELECT rep, avg((y = pred)::INTEGER) AS m FROM draws JOIN numbered ON pos = at GROUP BY rep", "m"),
+    _interval_sql("SELECT rep, avg((y = pred)::INTEGER) AS m FROM draws JOIN numbered ON pos = drawn GROUP BY rep", "m"),
     "predictions",
     extra={
         "rows": _LAST,
@@ -202,7 +202,7 @@ _BOOT_AUC = with_views(
     _interval_sql(
         """SELECT rep, sum(p * (run - q + q / 2)) / nullif(sum(p) * sum(q), 0) AS m FROM (
   SELECT *, sum(q) OVER (PARTITION BY rep ORDER BY score) AS run FROM (
-    SELECT rep, score, sum(hit)::DOUBLE AS p, sum(1 - hit)::DOUBLE AS q FROM draws JOIN numbered ON pos = at GROUP BY ALL)) GROUP BY rep""", "m"
+    SELECT rep, score, sum(hit)::DOUBLE AS p, sum(1 - hit)::DOUBLE AS q FROM draws JOIN numbered ON pos = drawn GROUP BY ALL)) GROUP BY rep""", "m"
     ),
     "predictions",
     extra={
@@ -218,7 +218,7 @@ _BOOT_KAPPA = with_views(
         "rows": _LAST,
         "sites": f"""SELECT site, row_number() OVER (ORDER BY {sql_u32("'123|' || site")}, site) - 1 AS pos FROM (SELECT DISTINCT site FROM rows)""",
         "draws": _draw_sql("(SELECT count(*) FROM sites)", 123),
-        "picked": "SELECT rep, y, pred FROM draws JOIN sites ON pos = at JOIN rows USING (site)",
+        "picked": "SELECT rep, y, pred FROM draws JOIN sites ON pos = drawn JOIN rows USING (site)",
         "coded": _coded("SELECT * FROM picked", "rep"),
     },
 )

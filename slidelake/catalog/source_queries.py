@@ -1 +1,276 @@
-QUERIES = {}
+"""File, image, log and inference queries over data derived from the driver tables.
+
+Files are written by Spark from the tables into a fresh folder of the shared
+scratch space and then read through the sources.
+"""
+
+from __future__ import annotations
+
+import io
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from slidelake.catalog import fixtures as fx
+from slidelake.catalog.fixtures import Query, with_views
+from slidelake.catalog.token_queries import rz
+from slidelake.functions import raster
+from slidelake.functions import vectors as v
+from slidelake.operators import diagnostics, inference, manifest
+from slidelake.plans.embedding import patient_embeddings
+from slidelake.session import scratch_path
+from slidelake.sources import files, tables
+
+DIM = 64
+
+_HSV = """SELECT *, CASE WHEN mx = 0 THEN 0 ELSE (255 * (mx - mn)) // mx END::INTEGER AS s, mx::INTEGER AS v,
+  floor(255 * CASE WHEN turn < 0 THEN turn + 1 ELSE turn END)::INTEGER AS h, ((299 * r + 587 * g + 114 * b + 500) // 1000)::DOUBLE AS gray FROM (
+  SELECT *, CASE WHEN mx = mn THEN 0 WHEN r = mx THEN (g - b) / (mx - mn)::DOUBLE WHEN g = mx THEN 2 + (b - r) / (mx - mn)::DOUBLE
+      ELSE 4 + (r - g) / (mx - mn)::DOUBLE END::DOUBLE / 6 AS turn
+  FROM (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM pixels))"""
+_MASKED = """SELECT *, s >= 20 AND v < 230 AS tissue, v >= 230 AND s <= 30 AS white, h BETWEEN 170 AND 255 AND s >= 60 AS pen FROM hsv"""
+# The Laplacian by self-joins on the mirrored neighbour positions.
+_LAP = """SELECT p.*, l.gray + r.gray + u.gray + w.gray - 4 * p.gray AS lap FROM masked p
+JOIN masked l ON l.image = p.image AND l.y = p.y AND l.x = CASE WHEN p.x = 0 THEN 1 ELSE p.x - 1 END
+JOIN masked r ON r.image = p.image AND r.y = p.y AND r.x = CASE WHEN p.x = 15 THEN 14 ELSE p.x + 1 END
+JOIN masked u ON u.image = p.image AND u.x = p.x AND u.y = CASE WHEN p.y = 0 THEN 1 ELSE p.y - 1 END
+JOIN masked w ON w.image = p.image AND w.x = p.x AND w.y = CASE WHEN p.y = 15 THEN 14 ELSE p.y + 1 END"""
+_PIX = {"hsv": _HSV, "masked": _MASKED}
+_QC_SQL = """SELECT image, round(avg(tissue::INTEGER), 6) AS tissue_pct, round(avg(white::INTEGER), 6) AS white_pct, round(avg(pen::INTEGER), 6) AS pen_pct,
+  round(coalesce(var_pop(lap) FILTER (tissue), 0), 6) AS blur_var, round(coalesce(avg(v) FILTER (tissue), avg(v)), 6) AS brightness_mean,
+  round(coalesce(avg(s) FILTER (tissue), avg(s)), 6) AS saturation_mean FROM lap GROUP BY image"""
+
+
+def _r6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _hsv(s, d):
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    return fx.pixels(s, d).withColumns({**raster.hsv_columns(r, g, b), "gray": raster.luma(r, g, b)})
+
+
+def _npy_bytes(s, d) -> DataFrame:
+    """Contents of ``.npy`` files, one per 32 consecutive vectors."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        buf = io.BytesIO()
+        np.save(buf, np.stack([np.asarray(x, dtype=np.float32) for x in pdf["embedding"]]), allow_pickle=False)
+        return pd.DataFrame({"path": [f"block-{int(pdf['block'].iloc[0])}.npy"], "content": [buf.getvalue()]})
+
+    e = fx.table(s, d, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 32))
+    return e.select("block", "vec_id", "embedding").groupBy("block").applyInPandas(pack, "path string, content binary")
+
+
+def _npy(s, d):
+    rows = files.npy_ingest(_npy_bytes(s, d), DIM)
+    block = F.regexp_extract("path", r"block-(\d+)", 1).cast("bigint")
+    return rows.where(F.col("error").isNull()).select(
+        (block * 32 + F.col("tile_idx")).alias("vec_id"), F.round(v.l2_norm("feat"), 6).alias("norm"), F.round(v.total("feat"), 6).alias("total")
+    )
+
+
+def _csv(s, d):
+    path = scratch_path(s, "csv")
+    src = fx.slides(s, d).select("slide_id", "path", "size_bytes", "mpp_a")
+    tables.write_csv(src, path)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in src.schema.fields])
+    return tables.read_csv(s, path, schema)
+
+
+def _json(s, d):
+    path = scratch_path(s, "log")
+    log = fx.train_log(s, d).select("step", "loss")
+    tables.append_json(log.where(F.col("loss").isNull()), path)
+    tables.append_json(log.where(F.col("loss").isNotNull()), path)
+    typed = diagnostics.normalize_log(tables.read_log(s, path))
+    return typed.select(F.col("step").cast("bigint").alias("step"), F.round("loss", 9).alias("loss"), "tps")
+
+
+def _partitioned(s, d):
+    path = scratch_path(s, "embeddings")
+    i = F.col("vec_id")
+    src = fx.table(s, d, "embeddings").select(
+        "vec_id", F.concat(F.lit("set_"), (i % 3).cast("string")).alias("dataset"), F.col("embedding").alias("emb")
+    )
+    tables.write_embeddings(src, path)
+    index = tables.embedding_index(s.read.parquet(path))
+    return index.select("vec_id", "dataset", F.round("norm", 6).alias("norm"))
+
+
+def _stage_log(s, d):
+    path = scratch_path(s, "stages")
+    sl = fx.slides(s, d)
+    stats = {"n_records": F.count(F.lit(1)), "n_failures": F.count_if(F.col("path").isNull()), "total_bytes": F.sum("size_bytes")}
+    for stage in ("manifest", "qc"):
+        tables.append_stage(tables.stage_entry(sl, stage, {"root": "/wsi"}, {"table": "slides"}, stats), path)
+    log = tables.read_stages(s, path)
+    return log.select("stage", *[F.col("stats")[k].cast("bigint").alias(k) for k in stats])
+
+
+def _inventory(s, d):
+    """The table files themselves: a listing whose size grows with the lake."""
+    return files.file_inventory(s, d, ("parquet",)).drop("modified_time")
+
+
+def _fingerprints(s, d):
+    """Ranged fingerprints of the table files."""
+    listed = files.file_inventory(s, d, ("parquet",)).select("path", "filename", "size_bytes")
+    return files.fingerprint_files(listed, chunk=4096).select("filename", "size_bytes", "fingerprint", "fingerprint_error")
+
+
+def _labels(s, d):
+    """Label tables under several headers; only some are staging labels."""
+    root = scratch_path(s, "labels")
+    src = fx.patient_labels(s, d)
+    tables.write_csv(src.select(F.col("patient").alias("Case"), "pn", "center"), f"{root}/a")
+    tables.write_csv(src.select("patient", "center"), f"{root}/b")
+    return files.discover_label_files(s, root).select("columns")
+
+
+def _label_table(s, d):
+    src = fx.patient_labels(s, d)
+    raw = src.select("row_no", F.col("patient").alias("Case"), F.col("pn").alias("Stage"), F.col("center").alias("CenterID"))
+    return manifest.normalize_labels(raw).select("row_no", "patient", "pn", "center")
+
+
+def _aliases(s, d):
+    t = fx.tile_features(s, d).select(F.col("x").alias("PX_X"), F.col("y").alias("y_level"), F.lit(1).alias("lvl"), "vec_id")
+    wanted = {"vec_id": ["vec_id"], "x": ["x", "px_x", "x_level"], "y": ["y", "px_y", "y_level"], "level": ["level", "lvl"], "tile_size": ["tile_size", "tile_px", "size"]}
+    return manifest.resolve_columns(t, wanted, {"tile_size": 256})
+
+
+def _write_png(images: DataFrame, root: str) -> None:
+    """Write each image row as a PNG file; runs in the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for k, w, h, data in zip(batch["image"], batch["width"], batch["height"], batch["data"]):
+                rgb = np.frombuffer(data, dtype=np.uint8).reshape(h, w, 3)[..., ::-1]
+                lines = b"".join(b"\x00" + row.tobytes() for row in rgb)
+                out = b"\x89PNG\r\n\x1a\n"
+                for tag, body in (
+                    (b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)), (b"IDAT", zlib.compress(lines)), (b"IEND", b""),
+                ):
+                    out += struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+                system, base = fs.FileSystem.from_uri(root)
+                system.create_dir(base, recursive=True)
+                with system.open_output_stream(f"{base}/{k}.png") as f:
+                    f.write(out)
+            yield batch[["image"]]
+
+    images.select("image", "width", "height", "data").mapInPandas(run, "image bigint").count()
+
+
+def _image_scan(s, d):
+    root = scratch_path(s, "png")
+    _write_png(raster.pack_pixels(fx.pixels(s, d)), root)
+    img = files.image_scan(s, root)
+    image = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint")
+    qc = raster.raster_qc(img.withColumn("image", image), "image")
+    return _r6(qc.drop("error"), *raster.METRICS)
+
+
+def _make_projection():
+    w = np.cos(np.arange(DIM * 8).reshape(DIM, 8))
+    return lambda x: x.astype(np.float64) @ w
+
+
+def _infer(s, d):
+    e = fx.table(s, d, "embeddings").select("vec_id", "embedding")
+    out = inference.batch_infer(e, _make_projection, "embedding", (DIM,), batch_size=256, element=T.DoubleType())
+    return out.select("vec_id", F.posexplode("feat").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+def _patient_vectors(s, d):
+    e = fx.table(s, d, "embeddings").select((F.col("vec_id") % 23).alias("patient"), F.col("embedding").alias("emb"))
+    return patient_embeddings(e, pool="max").select("patient", "n_rows", F.round(v.l2_norm("emb"), 6).alias("norm"))
+
+
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "rgb_to_hsv_l": (
+        lambda s, d: _hsv(s, d).select("image", "x", "y", "h", "s", "v", "gray"),
+        with_views("SELECT image, x, y, h, s, v, gray FROM hsv", "pixels", extra=_PIX),
+    ),
+    "hsv_masks": (
+        lambda s, d: _hsv(s, d).select("image", "x", "y", *[c.alias(n) for n, c in raster.mask_columns(F.col("h"), F.col("s"), F.col("v")).items()]),
+        with_views("SELECT image, x, y, tissue, white, pen FROM masked", "pixels", extra=_PIX),
+    ),
+    "raster_qc": (
+        lambda s, d: _r6(raster.raster_qc(raster.pack_pixels(fx.pixels(s, d)), "image").drop("error"), *raster.METRICS),
+        with_views(_QC_SQL, "pixels", extra=_PIX | {"lap": _LAP}),
+    ),
+    "pixel_metrics": (
+        lambda s, d: _r6(raster.pixel_metrics(fx.pixels(s, d)), *raster.METRICS),
+        with_views(_QC_SQL, "pixels", extra=_PIX | {"lap": _LAP}),
+    ),
+    "laplacian_var": (
+        lambda s, d: _r6(raster.pixel_metrics(fx.pixels(s, d)).select("image", "blur_var"), "blur_var"),
+        with_views("SELECT image, round(coalesce(var_pop(lap) FILTER (tissue), 0), 6) AS blur_var FROM lap GROUP BY image", "pixels", extra=_PIX | {"lap": _LAP}),
+    ),
+    "tile_brightness_filter": (
+        lambda s, d: _r6(raster.tile_brightness(fx.pixels(s, d)), "mean", "std"),
+        with_views(
+            """SELECT image, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std, avg(c) < 235 AND stddev_pop(c) > 15 AS keep
+FROM (SELECT image, unnest([r, g, b]) AS c FROM pixels) GROUP BY image""", "pixels"
+        ),
+    ),
+    "pixel_normalisation": (
+        lambda s, d: fx.pixels(s, d).select(
+            "image", "x", "y",
+            *[F.round(c, 6).alias(n) for n, c in zip(("r_n", "g_n", "b_n"), raster.normalized_channels(F.col("r"), F.col("g"), F.col("b")))],
+        ),
+        with_views(
+            f"""SELECT image, x, y, {rz("(r / 255::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE")} AS r_n,
+  {rz("(g / 255::DOUBLE - 0.456::DOUBLE) / 0.224::DOUBLE")} AS g_n, {rz("(b / 255::DOUBLE - 0.406::DOUBLE) / 0.225::DOUBLE")} AS b_n FROM pixels""", "pixels"
+        ),
+    ),
+    "npy_ingest": (
+        _npy,
+        f"""SELECT vec_id, {rz("sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))")} AS norm,
+  {rz("list_sum(list_transform(embedding, lambda x: x::DOUBLE))")} AS total FROM embeddings""",
+    ),
+    "csv_scan_sink": (_csv, with_views("SELECT slide_id, path, size_bytes, nullif(mpp_a, '') AS mpp_a FROM slides", "slides")),
+    "json_scan_sink": (_json, with_views("SELECT step, round(loss, 9) AS loss, NULL::DOUBLE AS tps FROM train_log", "train_log")),
+    "partitioned_embedding_sink": (
+        _partitioned,
+        f"""SELECT vec_id, 'set_' || (vec_id % 3) AS dataset, {rz("sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))")} AS norm FROM embeddings""",
+    ),
+    "stage_log": (
+        _stage_log,
+        with_views(
+            """SELECT stage, count(*) AS n_records, count(*) FILTER (path IS NULL) AS n_failures, sum(size_bytes)::BIGINT AS total_bytes
+FROM slides, (SELECT unnest(['manifest', 'qc']) AS stage) GROUP BY stage""", "slides"
+        ),
+    ),
+    "file_inventory": (_inventory, None),
+    "fingerprint_files": (_fingerprints, None),
+    "discover_label_files": (_labels, None),
+    "label_normalisation": (_label_table, with_views("SELECT row_no, patient, pn, center FROM patient_labels", "patient_labels")),
+    "resolve_columns": (
+        _aliases,
+        with_views("SELECT vec_id, x, y, 1 AS level, 256 AS tile_size FROM tiles", "tiles"),
+    ),
+    "image_scan": (_image_scan, with_views(_QC_SQL, "pixels", extra=_PIX | {"lap": _LAP})),
+    "batch_infer": (
+        _infer,
+        f"""SELECT vec_id, k::INTEGER AS dim, {rz("sum(e * cos(i * 8 + k))")} AS value FROM (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), range(8) t(k) GROUP BY ALL""",
+    ),
+    "patient_embeddings": (
+        _patient_vectors,
+        f"""SELECT patient, n AS n_rows, {rz("sqrt(sum(m * m))")} AS norm FROM (
+  SELECT vec_id % 23 AS patient, dim, max(x) AS m, count(*) AS n FROM (
+    SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY ALL)
+GROUP BY patient, n""",
+    ),
+}

@@ -20,15 +20,27 @@ def key(*parts) -> Column:
     return F.concat_ws("|", *[c.cast("string") for c in cols])
 
 
-def u32(*parts, word: int = 0) -> Column:
-    """32-bit integer from the md5 of the key; ``word`` 0..3 picks the digits."""
-    digits = F.substring(F.md5(key(*parts)), 1 + 8 * word, 8)
-    return F.conv(digits, 16, 10).cast("bigint")
+def digest(*parts) -> Column:
+    return F.md5(key(*parts))
 
 
-def uniform(*parts, word: int = 0) -> Column:
+def digest_u32(hex_digest: Column, word: int = 0) -> Column:
+    """One of the four 32-bit integers in an md5 digest."""
+    return F.conv(F.substring(hex_digest, 1 + 8 * word, 8), 16, 10).cast("bigint")
+
+
+def digest_uniform(hex_digest: Column, word: int = 0) -> Column:
+    return digest_u32(hex_digest, word) / F.lit(U32)
+
+
+def u32(*parts) -> Column:
+    """32-bit integer from the md5 of the key."""
+    return digest_u32(digest(*parts))
+
+
+def uniform(*parts) -> Column:
     """Uniform double in [0, 1)."""
-    return u32(*parts, word=word) / F.lit(U32)
+    return u32(*parts) / F.lit(U32)
 
 
 def draw_index(n: Column, *parts) -> Column:

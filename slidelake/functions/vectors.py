@@ -10,6 +10,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    An expression used inside a lambda is evaluated for every element; binding
+    it as a lambda variable keeps a row-level value at one evaluation per row.
+    """
+    return F.get(F.transform(F.array(_col(value)), body), F.lit(0))
+
+
 def as_double(v) -> Column:
     return _col(v).cast("array<double>")
 
@@ -35,22 +44,26 @@ def cosine(a, b, eps: float = 1e-12) -> Column:
 
 def softmax(z) -> Column:
     """Softmax with the row maximum subtracted first."""
-    z = as_double(z)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return scale_to_sum(e)
+    return let(
+        as_double(z),
+        lambda v: let(F.array_max(v), lambda top: scale_to_sum(F.transform(v, lambda x: F.exp(x - top)))),
+    )
 
 
 def scale_to_sum(p) -> Column:
     """Divide by the row sum; a zero sum leaves the row as it is."""
-    s = total(p)
-    s = F.when(s == 0, F.lit(1.0)).otherwise(s)
-    return F.transform(as_double(p), lambda x: x / s)
+    return let(
+        as_double(p),
+        lambda v: let(
+            total(v),
+            lambda s: F.transform(v, lambda x: x / F.when(s == 0, F.lit(1.0)).otherwise(s)),
+        ),
+    )
 
 
 def argmax(p) -> Column:
     """Zero-based position of the maximum, the lowest on ties."""
-    p = _col(p)
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(p, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def expected_index(p) -> Column:

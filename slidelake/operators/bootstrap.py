@@ -30,16 +30,18 @@ def _draws(spark: SparkSession, n: Column, n_boot: int, seed: int) -> DataFrame:
     The draws depend on nothing but n, so they are generated in pieces of
     ``DRAWS_PER_ROW`` from a spread-out range instead of from the rows.
     """
-    last = F.ceil(n / F.lit(DRAWS_PER_ROW)).cast("bigint") - 1
-    pieces = spark.range(n_boot).select(
-        F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece")
-    )
-    start = F.col("piece") * DRAWS_PER_ROW
-    stop = F.least(start + DRAWS_PER_ROW, n.cast("bigint")) - 1
+    sized = spark.range(n_boot).select(F.col("id").cast("int").alias("replicate"), n.cast("bigint").alias("__n"))
+    last = F.ceil(F.col("__n") / F.lit(DRAWS_PER_ROW)).cast("bigint") - 1
+    pieces = sized.select("replicate", "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
     spread = pieces.repartition("replicate", "piece")
-    return spread.select("replicate", F.explode(F.sequence(start, stop)).alias("__pos")).select(
-        "replicate", draw_index(n, F.lit(seed), F.col("replicate"), F.col("__pos")).alias("__at")
+    start = F.col("piece") * DRAWS_PER_ROW
+    stop = F.least(start + DRAWS_PER_ROW, F.col("__n")) - 1
+    # Drawn inside the generator, so that each draw is hashed once and not again
+    # wherever its value is used.
+    drawn = F.transform(
+        F.sequence(start, stop), lambda pos: draw_index(F.col("__n"), F.lit(seed), F.col("replicate"), pos)
     )
+    return spread.select("replicate", F.explode(drawn).alias("__at"))
 
 
 def interval(values: DataFrame, metric: str, level: float = 0.95) -> DataFrame:
@@ -69,10 +71,11 @@ def resampled_cells(df: DataFrame, n_boot: int, seed: int, y: str = "y", pred: s
     bounds = _cell_bounds(df, y, pred)
     table = bounds.agg(F.array_sort(F.collect_list(F.struct("upto", "y", "pred"))).alias("cells")).scalar()
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hit = F.get(F.filter(table, lambda e: e["upto"] > F.col("__at")), F.lit(0))
+    below = F.size(F.filter("__upto", lambda u: u <= F.col("__at")))
     return (
         _draws(df.sparkSession, n, n_boot, seed)
-        .select("replicate", hit.alias("c"))
+        .withColumns({"__cells": table, "__upto": table["upto"]})
+        .select("replicate", F.get("__cells", below).alias("c"))
         .groupBy("replicate", F.col("c.y").alias("y"), F.col("c.pred").alias("pred"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -14,7 +14,13 @@ Predict = Callable[[np.ndarray], np.ndarray]
 
 
 def batch_infer(
-    tiles: DataFrame, make_predict: Callable[[], Predict], inputs: str, shape: tuple[int, ...], out: str = "feat", batch_size: int = 4096
+    tiles: DataFrame,
+    make_predict: Callable[[], Predict],
+    inputs: str,
+    shape: tuple[int, ...],
+    out: str = "feat",
+    batch_size: int = 4096,
+    element: T.DataType | None = None,
 ) -> DataFrame:
     """Add the model's vector per row.
 
@@ -22,6 +28,6 @@ def batch_infer(
     stream through it in Arrow batches of ``batch_size``.
     """
     model = predict_batch_udf(
-        make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[list(shape)]
+        make_predict, return_type=T.ArrayType(element or T.FloatType()), batch_size=batch_size, input_tensor_shapes=[list(shape)]
     )
     return tiles.withColumn(out, model(F.col(inputs)))

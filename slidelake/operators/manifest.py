@@ -179,3 +179,12 @@ def resolve_columns(df: DataFrame, wanted: dict[str, Sequence[str]], defaults: d
         else:
             raise KeyError(f"none of the columns {tuple(aliases)} exists")
     return df.select(*out)
+
+
+def normalize_labels(df: DataFrame) -> DataFrame:
+    """Lower-case headers; case, stage and centerid become patient, pn and center."""
+    out = df.toDF(*[c.lower() for c in df.columns])
+    for old, new in (("case", "patient"), ("stage", "pn"), ("centerid", "center")):
+        if old in out.columns and new not in out.columns:
+            out = out.withColumnRenamed(old, new)
+    return out

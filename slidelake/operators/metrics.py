@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slidelake.functions.vectors import argmax, expected_index, scale_to_sum, softmax, tail_mass
+from slidelake.functions.vectors import argmax, expected_index, let, scale_to_sum, softmax, tail_mass, total
 from slidelake.operators.ranking import running_sums
 
 
@@ -141,27 +141,28 @@ def qw_kappa(c: DataFrame, keys: Sequence[str] = (), name: str = "kappa") -> Dat
     labels = F.array_sort(
         F.array_union(F.transform("__c", lambda e: e["y"]), F.transform("__c", lambda e: e["pred"]))
     )
-    packed = packed.withColumn("__l", labels)
-    ranked = packed.withColumn(
-        "__r",
-        F.transform(
-            "__c",
+    coded = let(
+        labels,
+        lambda ls: F.transform(
+            F.col("__c"),
             lambda e: F.struct(
-                F.array_position(F.col("__l"), e["y"]).cast("double").alias("i"),
-                F.array_position(F.col("__l"), e["pred"]).cast("double").alias("j"),
+                F.array_position(ls, e["y"]).cast("double").alias("i"),
+                F.array_position(ls, e["pred"]).cast("double").alias("j"),
                 e["n"].cast("double").alias("n"),
             ),
         ),
     )
 
-    def total(f) -> Column:
-        return F.aggregate("__r", F.lit(0.0), lambda a, e: a + e["n"] * f(e["i"], e["j"]))
+    def kappa(r: Column) -> Column:
+        def moment(f) -> Column:
+            return F.aggregate(r, F.lit(0.0), lambda a, e: a + e["n"] * f(e["i"], e["j"]))
 
-    observed = total(lambda i, j: (i - j) * (i - j))
-    n = total(lambda i, j: F.lit(1.0))
-    expected = total(lambda i, j: i * i + j * j) - 2.0 * total(lambda i, j: i) * total(lambda i, j: j) / n
-    expected = F.when(F.abs(expected) > 1e-9, expected)
-    return ranked.select(*keys, (1.0 - observed / expected).alias(name))
+        observed = moment(lambda i, j: (i - j) * (i - j))
+        n = moment(lambda i, j: F.lit(1.0))
+        expected = moment(lambda i, j: i * i + j * j) - 2.0 * moment(lambda i, j: i) * moment(lambda i, j: j) / n
+        return 1.0 - observed / F.when(F.abs(expected) > 1e-9, expected)
+
+    return packed.select(*keys, let(coded, kappa).alias(name))
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -267,19 +268,25 @@ def focal_ce(
 ) -> DataFrame:
     """Mean smoothed focal cross-entropy of a logits table."""
     z = F.col(logits)
-    top = F.array_max(z)
-    log_sum = F.log(F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - top))) + top
-    k = F.size(z)
+
+    def log_probs(v: Column) -> Column:
+        return let(
+            F.array_max(v),
+            lambda top: let(
+                F.log(total(F.transform(v, lambda x: F.exp(x - top)))) + top,
+                lambda norm: F.transform(v, lambda x: x - norm),
+            ),
+        )
 
     def target(i: Column) -> Column:
-        return F.lit(smooth) / k + F.when(i == F.col(y), F.lit(1.0 - smooth)).otherwise(F.lit(0.0))
+        return F.lit(smooth) / F.size(z) + F.when(i == F.col(y), F.lit(1.0 - smooth)).otherwise(F.lit(0.0))
 
-    def total(f) -> Column:
-        return F.aggregate(F.transform(z, lambda v, i: f(v - log_sum, i)), F.lit(0.0), lambda a, v: a + v)
+    def row_loss(lp: Column) -> Column:
+        pt = F.greatest(total(F.transform(lp, lambda v, i: F.exp(v) * target(i))), F.lit(1e-8))
+        ce = -total(F.transform(lp, lambda v, i: target(i) * v))
+        return F.lit(alpha) * F.pow(1.0 - pt, F.lit(gamma)) * ce
 
-    pt = F.greatest(total(lambda lp, i: F.exp(lp) * target(i)), F.lit(1e-8))
-    ce = -total(lambda lp, i: target(i) * lp)
-    loss = F.lit(alpha) * F.pow(1.0 - pt, F.lit(gamma)) * ce
+    loss = let(log_probs(z), row_loss)
     if weight is not None:
         loss = loss * F.col(weight)
     return _agg(df, keys, F.avg(loss).alias("focal_ce"))

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.functions.detrand import gaussian, u32, uniform
-from slidelake.functions.vectors import cosine, zeros_like
+from slidelake.functions.detrand import digest, digest_uniform, gaussian, u32, uniform
+from slidelake.functions.vectors import cosine, let, zeros_like
 from slidelake.operators.ranking import hash_rank
 
 
@@ -35,12 +35,17 @@ def mask_positions(
 
 
 def augment_view(feat: str, keys: Sequence, drop_p: float = 0.1, sigma: float = 0.02) -> Column:
-    """Element dropout (not rescaled) plus Gaussian noise, seeded by ``keys``."""
+    """Element dropout (not rescaled) plus Gaussian noise, seeded by ``keys``.
+
+    One digest per element gives its dropout draw and both normal draws.
+    """
 
     def one(v: Column, i: Column) -> Column:
-        kept = F.when(uniform(*keys, i) > drop_p, v).otherwise(F.lit(0.0))
-        noise = gaussian(uniform(*keys, i, word=1), uniform(*keys, i, word=2))
-        return kept + F.lit(sigma) * noise
+        def mix(h: Column) -> Column:
+            kept = F.when(digest_uniform(h) > drop_p, v).otherwise(F.lit(0.0))
+            return kept + F.lit(sigma) * gaussian(digest_uniform(h, 1), digest_uniform(h, 2))
+
+        return let(digest(*keys, i), mix)
 
     return F.transform(F.col(feat).cast("array<double>"), one)
 
@@ -55,15 +60,22 @@ def augment_bag(
     sigma: float = 0.01,
 ) -> Column:
     """Training-bag variant: noise for some bags, then dropout for some bags."""
-    noisy = uniform(*bag_keys, "noise") < noise_prob
-    dropped = uniform(*bag_keys, "drop") < drop_prob
+    flags = F.struct(
+        (uniform(*bag_keys, "noise") < noise_prob).alias("noisy"), (uniform(*bag_keys, "drop") < drop_prob).alias("dropped")
+    )
 
-    def one(v: Column, i: Column) -> Column:
-        noise = gaussian(uniform(*row_keys, i, word=1), uniform(*row_keys, i, word=2))
-        with_noise = v + F.when(noisy, F.lit(sigma) * noise).otherwise(F.lit(0.0))
-        return F.when(dropped & (uniform(*row_keys, i) <= drop_p), F.lit(0.0)).otherwise(with_noise)
+    def vector(f: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            def mix(h: Column) -> Column:
+                noise = F.lit(sigma) * gaussian(digest_uniform(h, 1), digest_uniform(h, 2))
+                noisy = v + F.when(f["noisy"], noise).otherwise(F.lit(0.0))
+                return F.when(f["dropped"] & (digest_uniform(h) <= drop_p), F.lit(0.0)).otherwise(noisy)
 
-    return F.transform(F.col(feat).cast("array<double>"), one)
+            return let(digest(*row_keys, i), mix)
+
+        return F.transform(F.col(feat).cast("array<double>"), one)
+
+    return let(flags, vector)
 
 
 def pad_bags(
