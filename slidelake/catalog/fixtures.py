@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slidelake.functions.detrand import u32, uniform
 from slidelake.operators.metrics import with_probabilities
+from slidelake.operators.skew import spread
 
 SEEDS = (42, 777, 1337)
 
@@ -163,7 +164,7 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, mx, my = F.col("slide"), F.col("mx"), F.col("my")
     base = 0.1 + 0.6 * ((F.floor(mx / 8) + F.floor(my / 8) + s) % 2).cast("double")
     return (
-        table(spark, sf_dir, "supplier")
+        spread(table(spark, sf_dir, "supplier"), "s_suppkey")
         .select(F.col("s_suppkey").alias("slide"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("my"))
         .select("slide", "my", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("mx"))
         .select("slide", "mx", "my", (uniform(s, mx, my) < base).cast("int").alias("tissue"))
@@ -185,7 +186,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(s % 10 == 0, F.lit(250)).otherwise(F.floor(256 * uniform(name, s, x, y)).cast("int"))
 
     return (
-        table(spark, sf_dir, "supplier")
+        spread(table(spark, sf_dir, "supplier"), "s_suppkey")
         .select(F.col("s_suppkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"))
         .select("image", "y", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"))
         .select("image", "x", "y", *[channel(c).alias(c) for c in "rgb"])

@@ -107,7 +107,7 @@ def _resolve(s, d):
         F.when(F.col("doc_id") % 2 == 0, F.col("stem")).otherwise(F.concat("stem", F.lit("."), F.col("doc_id").cast("string"))).alias("slide_id"),
         "path",
     )
-    return manifest.resolve_path(asked, manifest.path_index(sl)).select("doc_id", "resolved_path")
+    return manifest.resolve_path(asked, manifest.path_index(sl), ["doc_id"]).select("doc_id", "resolved_path")
 
 
 def _dataset(s, d):
@@ -124,7 +124,7 @@ def _label_vectors(s, d):
     vec = fx.table(s, d, "embeddings").select(
         "vec_id", F.concat(F.lit("patient_"), F.lpad((F.col("vec_id") % 100).cast("string"), 3, "0")).alias("patient")
     )
-    return joins.label_vectors(vec, _labels(s, d), "pn_int", "row_no").select("vec_id", "patient", "pn_int")
+    return joins.label_vectors(vec, _labels(s, d), "pn_int", "row_no", ["vec_id"]).select("vec_id", "patient", "pn_int")
 
 
 def _property_fallback(s, d):
@@ -336,7 +336,7 @@ JOIN (SELECT patient, arg_max(pn_int, row_no) AS pn_int FROM labelled GROUP BY p
         ),
     ),
     "fill_center": (
-        lambda s, d: joins.fill_center(_labels(s, d), fx.slides(s, d).select("path")).select("row_no", "patient", "pn_int", "center"),
+        lambda s, d: joins.fill_center(_labels(s, d), fx.slides(s, d).select("path"), ["row_no"]).select("row_no", "patient", "pn_int", "center"),
         with_views(
             """SELECT row_no, l.patient, pn_int, coalesce(l.center, CASE WHEN share > 0.1::DOUBLE THEN m.center END, -1)::INTEGER AS center
 FROM labelled l LEFT JOIN (

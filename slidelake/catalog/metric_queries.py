@@ -253,7 +253,7 @@ _TREND = """SELECT n_rows, last_step, round(a, 9) AS start_median, round(b, 9) A
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "label_encode": (
-        lambda s, d: folds.label_encode(fx.table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment"),
+        lambda s, d: folds.label_encode(fx.table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"]),
         "SELECT c_custkey, c_mktsegment, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INTEGER AS code FROM customer",
     ),
     "kfold_stratified": (
@@ -262,7 +262,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
   ((row_number() OVER (PARTITION BY label % 6 ORDER BY {sql_u32("'42|' || vec_id")}, vec_id) - 1) % 5)::INTEGER AS fold FROM embeddings""",
     ),
     "kfold_stratified_group": (
-        lambda s, d: folds.kfold_stratified_group(_vectors(s, d).select("vec_id", "y", "site"), "y", "site"),
+        lambda s, d: folds.kfold_stratified_group(_vectors(s, d).select("vec_id", "y", "site"), "y", "site", ["vec_id"]),
         None,
     ),
     "leave_one_group_out": (
@@ -293,7 +293,7 @@ FROM c, (SELECT DISTINCT center AS eval_fold FROM c WHERE center <> -1)""",
 WHERE own <> f GROUP BY ALL""",
     ),
     "standardize_rows": (
-        lambda s, d: folds.standardize(_vectors(s, d), folds.fold_stats(_vectors(s, d), "fold", [], "feat"), "fold").select(
+        lambda s, d: folds.standardize(_vectors(s, d), folds.fold_stats(_vectors(s, d), "fold", [], "feat"), "fold", ["vec_id"]).select(
             "vec_id", "fold", F.posexplode("feat").alias("dim", "value")
         ).withColumn("value", F.round("value", 6)),
         """SELECT vec_id, own::INTEGER AS fold, dim, round((v - m) / sd, 6) + 0::DOUBLE AS value FROM vals JOIN (

@@ -245,7 +245,7 @@ WHERE scan_no <= CASE WHEN scale = 0.5 THEN 21 ELSE 9 END""", "tiles"
     "existence_semi_join": (
         lambda s, d: joins.keep_existing(
             fx.table(s, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("bag")),
-            [fx.tile_groups(s, d).where(F.col("scale") == x) for x in (0.5, 2.0)], "bag",
+            [fx.tile_groups(s, d).where(F.col("scale") == x) for x in (0.5, 2.0)], "bag", ["vec_id"],
         ),
         with_views(
             """SELECT vec_id, label::INTEGER AS bag FROM embeddings e WHERE EXISTS (SELECT 1 FROM tiles t WHERE t.bag = e.label AND scale = 0.5)

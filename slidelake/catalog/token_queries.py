@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slidelake.catalog import fixtures as fx
 from slidelake.catalog.fixtures import Query, sql_u32, with_views
 from slidelake.functions import vectors as v
-from slidelake.operators import budget, metrics, pooling, tokens
+from slidelake.operators import metrics, pooling, tokens
 from slidelake.plans import embedding
 
 BUDGETS = {0.5: 20, 2.0: 8}
@@ -107,13 +107,13 @@ _AUG_BAGS = f"""SELECT vec_id, dim, {rz(f'''CASE WHEN {word("'13|' || label || '
 
 
 def _padded(s, d):
-    t = budget.head_budget(fx.tile_features(s, d), ["bag", "scale"], BUDGETS, "tile_idx")
+    t = fx.tile_features(s, d)
     labels = fx.table(s, d, "embeddings").select(F.col("label").cast("int").alias("bag")).distinct()
     # One bag more per batch that has no tokens at all.
     bags = labels.unionByName(labels.where(F.col("bag") < 3).select((F.col("bag") + 100).alias("bag"))).withColumn(
         "batch", F.col("bag") % 4
     )
-    out = tokens.pad_bags(t, bags, "bag", "batch", ["scale", "tile_idx"], DIM)
+    out = tokens.pad_bags(t, bags, "bag", "batch", "tile_idx", DIM, BUDGETS)
     z = out.select("bag", "batch", "t", "t_max", F.posexplode(F.arrays_zip("tokens", "pad_mask")).alias("pos", "z"))
     return z.select("bag", "batch", "t", "t_max", "pos", F.col("z.pad_mask").alias("pad"), F.round(v.l2_norm("z.tokens"), 6).alias("norm"))
 

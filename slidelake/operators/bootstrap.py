@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from slidelake.functions.detrand import draw_index, u32
 from slidelake.operators.metrics import cells, qw_kappa
 from slidelake.operators.ranking import hash_rank, running_sums
+from slidelake.operators.skew import partitions, spread
+from slidelake.session import materialize
 
 
 DRAWS_PER_ROW = 10_000
@@ -33,7 +35,7 @@ def _draws(spark: SparkSession, n: Column, n_boot: int, seed: int) -> DataFrame:
     sized = spark.range(n_boot).select(F.col("id").cast("int").alias("replicate"), n.cast("bigint").alias("__n"))
     last = F.ceil(F.col("__n") / F.lit(DRAWS_PER_ROW)).cast("bigint") - 1
     pieces = sized.select("replicate", "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
-    spread = pieces.repartition("replicate", "piece")
+    even = spread(pieces, "replicate", "piece")
     start = F.col("piece") * DRAWS_PER_ROW
     stop = F.least(start + DRAWS_PER_ROW, F.col("__n")) - 1
     # Drawn inside the generator, so that each draw is hashed once and not again
@@ -41,7 +43,7 @@ def _draws(spark: SparkSession, n: Column, n_boot: int, seed: int) -> DataFrame:
     drawn = F.transform(
         F.sequence(start, stop), lambda pos: draw_index(F.col("__n"), F.lit(seed), F.col("replicate"), pos)
     )
-    return spread.select("replicate", F.explode(drawn).alias("__at"))
+    return even.select("replicate", F.explode(drawn).alias("__at"))
 
 
 def interval(values: DataFrame, metric: str, level: float = 0.95) -> DataFrame:
@@ -89,7 +91,7 @@ def multinomial_cells(df: DataFrame, n_boot: int, seed: int, y: str = "y", pred:
     """
     packed = cells(df, y=y, pred=pred).agg(F.array_sort(F.collect_list(F.struct("y", "pred", "n"))).alias("c"))
     reps = packed.select(_replicates(n_boot).alias("replicate"), "c")
-    reps = reps.select("replicate", F.transform("c", lambda e: e["n"]).alias("n"), "c").repartition("replicate")
+    reps = spread(reps.select("replicate", F.transform("c", lambda e: e["n"]).alias("n"), "c"), "replicate")
 
     @F.pandas_udf("array<bigint>")
     def draw(replicate: pd.Series, n: pd.Series) -> pd.Series:
@@ -159,9 +161,7 @@ def replicate_auroc_blocks(
     a block; so a block resamples itself and returns per replicate its positives,
     negatives and ordered pairs.  Only replicates * blocks rows are shuffled.
     """
-    from slidelake.session import materialize
-
-    nb = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    nb = blocks or partitions(df)
     counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
@@ -180,7 +180,7 @@ def replicate_auroc_blocks(
             out.append(np.random.default_rng([seed, int(r)]).multinomial(k.sum(), k / k.sum()))
         return pd.Series(out)
 
-    reps = packed.select(_replicates(n_boot).alias("replicate"), "t").repartition("replicate")
+    reps = spread(packed.select(_replicates(n_boot).alias("replicate"), "t"), "replicate")
     shares = reps.select("replicate", "t", split("replicate", F.transform("t", lambda e: e["n"])).alias("k"))
     shares = shares.select("replicate", F.explode(F.arrays_zip("t", "k")).alias("z")).select(
         "replicate", F.col("z.t.block").alias("block"), F.col("z.k").alias("k")

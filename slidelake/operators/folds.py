@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slidelake.functions.detrand import u32
 from slidelake.operators.ranking import exact_rank, hash_rank
+from slidelake.operators.skew import group_join
 
 
 def kfold_stratified(df: DataFrame, stratum: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -25,7 +26,7 @@ def kfold_stratified(df: DataFrame, stratum: str, id_col: str, k: int = 5, seed:
 
 
 def kfold_stratified_group(
-    df: DataFrame, stratum: str, group: str, k: int = 5, seed: int = 42, chunk: int = 10_000
+    df: DataFrame, stratum: str, group: str, row_id: Sequence[str], k: int = 5, seed: int = 42, chunk: int = 10_000
 ) -> DataFrame:
     """Folds that keep groups whole and class shares even.
 
@@ -64,7 +65,7 @@ def kfold_stratified_group(
 
     kind = df.schema[group].dataType.simpleString()
     fold_of = placed.groupBy("__chunk").applyInPandas(place, f"{group} {kind}, fold int")
-    return df.join(fold_of, group)
+    return group_join(df, fold_of, [group], row_id)
 
 
 def leave_one_group_out(df: DataFrame, center: str, unknown: int = -1) -> DataFrame:
@@ -72,13 +73,13 @@ def leave_one_group_out(df: DataFrame, center: str, unknown: int = -1) -> DataFr
     return df.withColumn("fold", F.when(F.col(center) != unknown, F.col(center)))
 
 
-def label_encode(df: DataFrame, label: str) -> DataFrame:
+def label_encode(df: DataFrame, label: str, row_id: Sequence[str]) -> DataFrame:
     """Classes numbered from 0 in sorted order, joined back to the rows."""
     classes = df.select(label).where(F.col(label).isNotNull()).distinct()
     codes = exact_rank(classes, [], [F.col(label).asc()], rank="__r").select(
         label, (F.col("__r") - 1).cast("int").alias("code")
     )
-    return df.join(codes, label)
+    return group_join(df, codes, [label], row_id)
 
 
 def fold_stats(df: DataFrame, fold: str, keys: Sequence[str], feat: str) -> DataFrame:
@@ -105,7 +106,9 @@ def fold_stats(df: DataFrame, fold: str, keys: Sequence[str], feat: str) -> Data
     )
 
 
-def standardize(df: DataFrame, stats: DataFrame, fold: str, feat: str = "feat") -> DataFrame:
+def standardize(
+    df: DataFrame, stats: DataFrame, fold: str, row_id: Sequence[str], feat: str = "feat"
+) -> DataFrame:
     """Scale the rows of each (evaluation fold) with that fold's training statistics.
 
     ``stats`` has one row per (fold, dimension): a vector's length times the
@@ -114,6 +117,6 @@ def standardize(df: DataFrame, stats: DataFrame, fold: str, feat: str = "feat")
     packed = stats.groupBy("fold").agg(
         F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("__st")
     )
-    joined = df.join(packed.withColumnRenamed("fold", fold), fold)
+    joined = group_join(df, packed.withColumnRenamed("fold", fold), [fold], row_id)
     scaled = F.zip_with(F.col(feat).cast("array<double>"), F.col("__st"), lambda v, s: (v - s["mean"]) / s["std"])
     return joined.withColumn(feat, scaled).drop("__st")

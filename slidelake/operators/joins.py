@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.functions.parsing import parse_center, patient_from_slide, stem
+from slidelake.operators.skew import group_join
 
 
 def two_scale_ids(df: DataFrame, id_col: str, scale: str = "scale", scales: Sequence[float] = (0.5, 2.0)) -> DataFrame:
@@ -29,10 +30,10 @@ def two_scale_counts(df: DataFrame, id_col: str, scale: str = "scale") -> DataFr
     )
 
 
-def keep_existing(df: DataFrame, existing: Sequence[DataFrame], on: str) -> DataFrame:
+def keep_existing(df: DataFrame, existing: Sequence[DataFrame], on: str, row_id: Sequence[str]) -> DataFrame:
     """Rows whose id occurs in every one of the id tables."""
     for ids in existing:
-        df = df.join(ids.select(on), on, "left_semi")
+        df = group_join(df, ids.select(on).distinct(), [on], row_id, "left_semi")
     return df
 
 
@@ -68,13 +69,17 @@ def label_patients(patients: DataFrame, manifest: DataFrame, values: Sequence[st
     return patients.join(firsts.dropna(subset=list(values)), key)
 
 
-def label_vectors(vectors: DataFrame, labels: DataFrame, label: str, order: str, key: str = "patient") -> DataFrame:
+def label_vectors(
+    vectors: DataFrame, labels: DataFrame, label: str, order: str, row_id: Sequence[str], key: str = "patient"
+) -> DataFrame:
     """Vectors with a non-negative label; a later label row replaces an earlier one."""
     last = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max_by(label, order).alias(label))
-    return vectors.join(last.where(F.col(label) >= 0), key)
+    return group_join(vectors, last.where(F.col(label) >= 0), [key], row_id)
 
 
-def fill_center(labels: DataFrame, paths: DataFrame, path: str = "path", share: float = 0.1) -> DataFrame:
+def fill_center(
+    labels: DataFrame, paths: DataFrame, row_id: Sequence[str], path: str = "path", share: float = 0.1
+) -> DataFrame:
     """Fill missing centers from slide paths when more than ``share`` are missing.
 
     The center of a patient is the most frequent one among its paths, the
@@ -87,7 +92,7 @@ def fill_center(labels: DataFrame, paths: DataFrame, path: str = "path", share:
     votes = found.groupBy("patient", "__c").agg(F.count(F.lit(1)).alias("__n"))
     mode = votes.groupBy("patient").agg(F.min_by("__c", F.struct(-F.col("__n"), F.col("__c"))).alias("__c"))
     return (
-        labels.join(mode, "patient", "left")
+        group_join(labels, mode, ["patient"], row_id, "left")
         .withColumn("center", F.coalesce("center", F.when(missing > share, F.col("__c")), F.lit(-1)))
         .drop("__c")
     )

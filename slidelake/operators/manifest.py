@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.functions.parsing import first_non_empty, power_number, to_number
+from slidelake.operators.skew import group_join
 
 GB = 1024.0**3
 
@@ -127,17 +128,17 @@ def path_index(df: DataFrame, stem: str = "stem", path: str = "path") -> DataFra
     return df.where(F.col(path).isNotNull()).groupBy(stem).agg(F.max(path).alias(path))
 
 
-def resolve_path(slides: DataFrame, index: DataFrame, slide_id: str = "slide_id", path: str = "path") -> DataFrame:
+def resolve_path(
+    slides: DataFrame, index: DataFrame, row_id: Sequence[str], slide_id: str = "slide_id", path: str = "path"
+) -> DataFrame:
     """Path from the manifest, else by id, else by the id up to its first dot."""
     by_id = index.select(F.col("stem").alias("__s1"), F.col("path").alias("__p1"))
     by_base = index.select(F.col("stem").alias("__s2"), F.col("path").alias("__p2"))
-    base = F.substring_index(F.col(slide_id), ".", 1)
-    return (
-        slides.join(by_id, F.col(slide_id) == F.col("__s1"), "left")
-        .join(by_base, base == F.col("__s2"), "left")
-        .withColumn("resolved_path", F.coalesce(F.nullif(F.col(path), F.lit("")), "__p1", "__p2"))
-        .drop("__s1", "__p1", "__s2", "__p2")
-    )
+    keyed = slides.withColumns({"__s1": F.col(slide_id), "__s2": F.substring_index(F.col(slide_id), ".", 1)})
+    found = group_join(group_join(keyed, by_id, ["__s1"], row_id, "left"), by_base, ["__s2"], row_id, "left")
+    return found.withColumn(
+        "resolved_path", F.coalesce(F.nullif(F.col(path), F.lit("")), "__p1", "__p2")
+    ).drop("__s1", "__p1", "__s2", "__p2")
 
 
 def dataset_of(

@@ -20,13 +20,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slidelake.functions.detrand import U32
+from slidelake.operators.skew import partitions
 from slidelake.session import materialize
 
 
-def _slab_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def _with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pack the group keys into one struct: NULL keys then compare as equal."""
     return df.withColumn("__key", F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0)))
@@ -108,7 +105,7 @@ def hash_rank(
     ``hash_col`` must be a uniform 32-bit integer, so that equal slices of its
     range split even a single huge group evenly.
     """
-    n = slices or _slab_count(df)
+    n = slices or partitions(df)
     cut = _with_key(df, list(keys)).withColumn(
         "__slab", F.floor(F.col(hash_col) * F.lit(n / U32)).cast("int")
     )
@@ -116,7 +113,7 @@ def hash_rank(
 
 
 def _slabbed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str) -> DataFrame:
-    ranged = df.repartitionByRange(_slab_count(df), *[F.col(k) for k in keys], *order)
+    ranged = df.repartitionByRange(partitions(df), *[F.col(k) for k in keys], *order)
     return _with_key(materialize(ranged.withColumn("__slab", F.spark_partition_id()), label), list(keys))
 
 

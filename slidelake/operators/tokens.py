@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slidelake.functions.detrand import digest, digest_uniform, gaussian, u32, uniform
 from slidelake.functions.vectors import cosine, let, zeros_like
+from slidelake.operators.budget import head_budget
 from slidelake.operators.ranking import hash_rank
 
 
@@ -79,16 +80,27 @@ def augment_bag(
 
 
 def pad_bags(
-    tokens: DataFrame, bags: DataFrame, bag: str, batch: str, order: Sequence[str], dim: int, feat: str = "feat"
+    tokens: DataFrame,
+    bags: DataFrame,
+    bag: str,
+    batch: str,
+    order: str,
+    dim: int,
+    budgets: dict[float, int],
+    scale: str = "scale",
+    feat: str = "feat",
 ) -> DataFrame:
     """Per bag: token vectors padded with zeros to the longest bag of its batch.
 
-    ``tokens`` must already be cut to a budget, which bounds the arrays.  The
-    mask is true on padding.  A bag without tokens gets one zero vector.
+    The tokens are cut to the head of their budget first, which bounds the
+    arrays whatever the size of a bag.  The mask is true on padding.  A bag
+    without tokens gets one zero vector.
     """
     zero = F.array_repeat(F.lit(0.0), dim)
-    packed = tokens.groupBy(bag).agg(
-        F.array_sort(F.collect_list(F.struct(*order, F.col(feat).cast("array<double>").alias("__v")))).alias("__t")
+    ids = head_budget(tokens.select(bag, scale, order), [bag, scale], budgets, order, scale)
+    kept = tokens.join(ids, [bag, scale, order], "left_semi")
+    packed = kept.groupBy(bag).agg(
+        F.array_sort(F.collect_list(F.struct(scale, order, F.col(feat).cast("array<double>").alias("__v")))).alias("__t")
     )
     filled = bags.join(packed, bag, "left").withColumn(
         "tokens", F.coalesce(F.transform("__t", lambda t: t["__v"]), F.array(zero))

@@ -9,6 +9,7 @@ from slidelake.functions.vectors import l2_norm
 from slidelake.operators.budget import BUDGETS, sample_uniform
 from slidelake.operators.joins import two_scale_ids
 from slidelake.operators.pooling import max_pool, mean_pool, validate_vectors
+from slidelake.operators.skew import group_join
 
 
 def slide_embeddings(
@@ -20,7 +21,8 @@ def slide_embeddings(
     """
     good = validate_vectors(features, dim).where(F.col("ok")).drop("ok", "reason")
     both = two_scale_ids(good, bag)
-    ids = good.select(bag, "scale", id_col, F.col("tile_idx").alias("__order")).join(both, bag, "left_semi")
+    ids = good.select(bag, "scale", id_col, F.col("tile_idx").alias("__order"))
+    ids = group_join(ids, both, [bag], [id_col], "left_semi")
     kept = sample_uniform(ids, [bag, "scale"], budgets or BUDGETS, id_col, "__order", seed)
     tokens = good.join(kept.select(bag, "scale", id_col), [bag, "scale", id_col], "left_semi")
     counts = kept.groupBy(bag).agg(

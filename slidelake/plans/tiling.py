@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slidelake.operators.budget import BUDGETS, sample_uniform
 from slidelake.operators.qc import qc_gate
+from slidelake.operators.skew import spread
 from slidelake.operators.tiling import (
     MIN_COVERAGE,
     OVERLAP,
@@ -36,7 +37,8 @@ def level_tiles(slides: DataFrame, scales: tuple[float, ...] = (0.5, 2.0)) -> Da
         mask_scale(F.col("mask_w"), F.col("width"), ds).alias("sx"),
         mask_scale(F.col("mask_h"), F.col("height"), ds).alias("sy"),
     ).drop("__l", "downsamples")
-    return tile_grid(at)
+    # A slide is one small row but thousands of tiles.
+    return tile_grid(spread(at, "slide", "scale"))
 
 
 def covered_tiles(slides: DataFrame, cells: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slidelake.functions.hashing import CHUNK, MODES, short_digest
 from slidelake.functions.parsing import class_from_path, file_name, stem
+from slidelake.operators.skew import spread
 
 # Fixed set of slide file suffixes.
 SLIDE_SUFFIXES = ("svs", "tif", "tiff", "ndpi", "mrxs", "scn")
@@ -85,7 +86,7 @@ def fingerprint_files(files: DataFrame, mode: str = "sha1_quick", chunk: int = C
             yield batch.assign(fingerprint=prints, fingerprint_error=errors)
 
     schema = files.schema.add("fingerprint", "string").add("fingerprint_error", "string")
-    return files.repartition("path").mapInPandas(run, schema)
+    return spread(files, "path").mapInPandas(run, schema)
 
 
 def npy_ingest(files: DataFrame, dim: int | None = None) -> DataFrame:
@@ -158,7 +159,7 @@ def discover_label_files(spark: SparkSession, root: str) -> DataFrame:
                     headers.append(None)
             yield batch.assign(header=headers)
 
-    files = _listing(spark, root, ["csv"]).select("path").repartition("path")
+    files = spread(_listing(spark, root, ["csv"]).select("path"), "path")
     first = files.mapInPandas(run, "path string, header string")
     clean = F.regexp_replace(F.lower("header"), r'["\s]', "")
     cols = F.split(clean, ",")
