@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slidelake.functions.hashing import CHUNK, MODES, short_digest
 from slidelake.functions.parsing import class_from_path, file_name, stem
@@ -29,10 +31,41 @@ def _listing(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFra
     )
 
 
-def file_inventory(spark: SparkSession, root: str, suffixes: Sequence[str] = SLIDE_SUFFIXES) -> DataFrame:
-    """One row per file below the root; file contents are not read."""
+def _empty_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
+    """Files of length zero, which Spark's file listing leaves out.
+
+    Each folder right below the root is searched by a task of its own.
+    """
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    top = system.get_file_info(fs.FileSelector(base))
+    folders = [(base, False)] + [(i.path, True) for i in top if i.type == fs.FileType.Directory]
+    head = root.split("://")[0] + "://" if "://" in root else ""
+    wanted = tuple(f".{x}" for s in suffixes for x in (s, s.upper()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder, deep in zip(batch["folder"], batch["deep"]):
+                found = fs.FileSystem.from_uri(head + folder)[0].get_file_info(fs.FileSelector(folder, recursive=bool(deep)))
+                hits = [(head + i.path, 0, i.mtime) for i in found if i.is_file and i.size == 0 and i.path.endswith(wanted)]
+                out = pd.DataFrame(hits, columns=["path", "length", "modificationTime"])
+                yield out.astype({"length": "int64", "modificationTime": "datetime64[ns, UTC]"})
+
+    work = spread(spark.createDataFrame(folders, "folder string, deep boolean"), "folder")
+    return work.mapInPandas(run, "path string, length bigint, modificationTime timestamp")
+
+
+def _all_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
     path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    listed = _listing(spark, root, suffixes).select(path.alias("path"), "length", "modificationTime").distinct()
+    filled = _listing(spark, root, suffixes).select("path", "length", "modificationTime")
+    listed = filled.unionByName(_empty_files(spark, root, suffixes))
+    return listed.select(path.alias("path"), "length", "modificationTime").distinct()
+
+
+def file_inventory(spark: SparkSession, root: str, suffixes: Sequence[str] = SLIDE_SUFFIXES) -> DataFrame:
+    """One row per file below the root, empty files included; contents are not read."""
+    listed = _all_files(spark, root, suffixes)
     return listed.select(
         "path",
         file_name("path").alias("filename"),
@@ -85,7 +118,8 @@ def fingerprint_files(files: DataFrame, mode: str = "sha1_quick", chunk: int = C
                     errors.append(f"{type(e).__name__}: {e}")
             yield batch.assign(fingerprint=prints, fingerprint_error=errors)
 
-    schema = files.schema.add("fingerprint", "string").add("fingerprint_error", "string")
+    added = [T.StructField(c, T.StringType()) for c in ("fingerprint", "fingerprint_error")]
+    schema = T.StructType([*files.schema.fields, *added])
     return spread(files, "path").mapInPandas(run, schema)
 
 
@@ -179,8 +213,7 @@ def discover_label_files(spark: SparkSession, root: str) -> DataFrame:
 def artefact_table(spark: SparkSession, root: str, suffixes: Sequence[str] = ("pt", "pth", "safetensors"), recent: int = 6) -> DataFrame:
     """The latest model files: size in MB, short digest, whether they can be read."""
     latest = (
-        _listing(spark, root, suffixes)
-        .select("path", "length", "modificationTime")
+        _all_files(spark, root, suffixes)
         .orderBy(F.col("modificationTime").desc(), F.col("path").desc())
         .limit(recent)
     )
@@ -202,7 +235,7 @@ def artefact_table(spark: SparkSession, root: str, suffixes: Sequence[str] = ("p
                     digests.append(None)
             yield batch.assign(sha256_12=digests)
 
-    schema = latest.schema.add("sha256_12", "string")
+    schema = T.StructType([*latest.schema.fields, T.StructField("sha256_12", T.StringType())])
     hashed = latest.mapInPandas(run, schema)
     return hashed.select(
         "path",
