@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slidelake.functions.detrand import u32, uniform
 from slidelake.operators.metrics import with_probabilities
+from slidelake.operators.ranking import slab_rank
 from slidelake.operators.skew import spread
 
 SEEDS = (42, 777, 1337)
@@ -120,8 +121,6 @@ FROM labels l JOIN slides s USING (doc_id)
 
 def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bags of 8 tiles per row, at most a few dozen tiles per (bag, scale)."""
-    from slidelake.operators.ranking import exact_rank
-
     i = F.col("vec_id")
     e = (
         table(spark, sf_dir, "embeddings")
@@ -136,9 +135,9 @@ def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .where((F.col("bag") != 9) | (F.col("scale") != 2.0))
     )
-    ids = exact_rank(e.select("bag", "scale", "vec_id"), ["bag", "scale"], [F.col("vec_id").asc()], "r")
-    ids = ids.select("vec_id", (F.col("r") - 1).alias("tile_idx"))
-    return e.join(ids, "vec_id").select(
+    # Ids are dense, so a thousand of them make an even slab.
+    ranked = slab_rank(e, ["bag", "scale"], F.floor(i / 1000), ["vec_id"], "r")
+    return ranked.withColumn("tile_idx", (F.col("r") - 1).cast("bigint")).select(
         "vec_id",
         "bag",
         "scale",

@@ -68,6 +68,14 @@ def _coverage(s, d):
     return tiling.tile_coverage(_base_tiles(s, d), fx.masks(s, d)).select("slide", "x", "y", F.round("coverage", 9).alias("coverage"))
 
 
+def _grid_coverage(s, d):
+    geo = _mask_slides(s, d).select(
+        "slide", F.lit(0.25).alias("scale"), F.col("width").alias("level_w"), F.col("height").alias("level_h"), "mask_w", "mask_h",
+        *[F.lit(1 / 32).alias(c) for c in ("sx", "sy")],
+    )
+    return tiling.grid_coverage(geo, fx.masks(s, d)).select("slide", "x", "y", F.round("coverage", 9).alias("coverage"))
+
+
 def _dense(s, d):
     cells = fx.masks(s, d).groupBy("slide").agg(
         F.array_sort(F.collect_list(F.struct("my", "mx", "tissue"))).alias("c")
@@ -191,6 +199,7 @@ FROM (SELECT slide_id, width, height, floor(width / shrink)::BIGINT AS mask_w, f
     ),
     "tile_coverage": (_coverage, with_views("SELECT slide, x, y, round(coverage, 9) AS coverage FROM coverage", "masks", extra={"coverage": _COVERAGE_CTE})),
     "tile_coverage_dense": (_dense, with_views("SELECT slide, x, y, round(coverage, 9) AS coverage FROM coverage", "masks", extra={"coverage": _COVERAGE_CTE})),
+    "grid_coverage": (_grid_coverage, with_views("SELECT slide, x, y, round(coverage, 9) AS coverage FROM coverage", "masks", extra={"coverage": _COVERAGE_CTE})),
     "coverage_filter": (
         lambda s, d: tiling.tile_coverage(_base_tiles(s, d), fx.masks(s, d)).where(F.col("coverage") >= tiling.MIN_COVERAGE).select("slide", "x", "y"),
         with_views("SELECT slide, x, y FROM coverage WHERE coverage >= 0.30::DOUBLE", "masks", extra={"coverage": _COVERAGE_CTE}),

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from slidelake.functions.detrand import draw_index, u32
 from slidelake.operators.metrics import cells, qw_kappa
-from slidelake.operators.ranking import hash_rank, running_sums
-from slidelake.operators.skew import partitions, spread
+from slidelake.operators.ranking import exact_rank, hash_rank, running_sums
+from slidelake.operators.skew import group_join, partitions, spread
 from slidelake.session import materialize
 
 
 DRAWS_PER_ROW = 10_000
+SCORES_PER_SLAB = 50_000
 
 
 def _replicates(b: int) -> Column:
@@ -136,15 +137,20 @@ def replicate_auroc(df: DataFrame, id_col: str, score: str, label: str, n_boot:
     summed in (replicate, slab) parts that all replicates share, so no task ever
     holds a whole replicate.
     """
-    rows = _indexed(df.select(id_col, F.col(score).alias("__score"), F.col(label).alias("__y")), id_col, seed)
+    scores = exact_rank(df.select(F.col(score).alias("__score")).distinct(), [], [F.col("__score").asc()], rank="__nth")
+    scores = scores.select("__score", F.floor(F.col("__nth") / SCORES_PER_SLAB).cast("int").alias("__part"))
+    placed = df.select(id_col, F.col(score).alias("__score"), F.col(label).alias("__y"))
+    rows = _indexed(group_join(placed, scores, ["__score"], [id_col]), id_col, seed)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     draws = _draws(df.sparkSession, n, n_boot, seed)
-    drawn = draws.join(rows.select(F.col("__pos").alias("__at"), "__score", "__y"), "__at").withColumn("m", F.lit(1))
-    counts = drawn.groupBy("replicate", "__score").agg(
-        F.sum(F.when(F.col("__y") == 1, F.col("m")).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("__y") == 1, 0).otherwise(F.col("m"))).alias("neg"),
+    drawn = draws.join(rows.select(F.col("__pos").alias("__at"), "__score", "__part", "__y"), "__at")
+    counts = drawn.groupBy("replicate", "__part", "__score").agg(
+        F.sum(F.when(F.col("__y") == 1, 1).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col("__y") == 1, 0).otherwise(1)).alias("neg"),
+    )
+    run = running_sums(
+        counts, ["replicate"], [F.col("__score").asc()], {"pos": "p", "neg": "q"}, slab=F.col("__part")
     )
-    run = running_sums(counts, ["replicate"], [F.col("__score").asc()], {"pos": "p", "neg": "q"})
     u = F.sum(F.col("pos") * (F.col("q_run") - F.col("neg") / 2.0))
     p, q = F.max("p_all"), F.max("q_all")
     value = F.when((p > 0) & (q > 0), u / (p.cast("double") * q))

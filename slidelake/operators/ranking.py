@@ -6,6 +6,7 @@ A plain window puts a whole group into one task.  The operators here never do:
   the last step sees at most salts * k rows of a group.
 * ``hash_rank`` ranks by a uniform 32-bit hash.  Equal slices of the hash range
   hold equal shares of a group, so rank = rank in slice + rows in lower slices.
+* ``slab_rank`` does the same with slices the caller knows.
 * ``exact_rank`` and ``running_sums`` order by arbitrary columns.  The rows are
   range-partitioned on (group, order), the partition number is pinned by
   writing the rows out, and per-partition totals give the offsets.
@@ -112,7 +113,22 @@ def hash_rank(
     return _rank_in_slabs(cut, [hash_col, *tiebreak], rank)
 
 
-def _slabbed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str) -> DataFrame:
+def slab_rank(
+    df: DataFrame, keys: Sequence[str], slab: Column, order: Sequence[Column | str], rank: str = "rank_no"
+) -> DataFrame:
+    """Rank from 1 within each group where the caller knows an even split.
+
+    ``slab`` must not decrease along ``order`` and must hold few rows per group
+    and value, such as a dense id divided by a constant.
+    """
+    return _rank_in_slabs(_with_key(df, list(keys)).withColumn("__slab", slab), order, rank)
+
+
+def _slabbed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str, slab: Column | None = None
+) -> DataFrame:
+    if slab is not None:
+        return _with_key(df, list(keys)).withColumn("__slab", slab)
     ranged = df.repartitionByRange(partitions(df), *[F.col(k) for k in keys], *order)
     return _with_key(materialize(ranged.withColumn("__slab", F.spark_partition_id()), label), list(keys))
 
@@ -137,14 +153,16 @@ def running_sums(
     keys: Sequence[str],
     order: Sequence[Column],
     values: dict[str, str],
+    slab: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sums and group totals of ``values`` (column -> prefix).
 
     For a value column ``pos`` mapped to ``p`` this adds ``p_run`` and ``p_all``.
-    ``order`` must be unique per group, so aggregate ties away first.
+    ``order`` must be unique per group, so aggregate ties away first.  Where the
+    caller has a ``slab`` as in ``slab_rank``, nothing is written out.
     """
     names = list(values.values())
-    slabs = _slabbed(df, keys, order, "running")
+    slabs = _slabbed(df, keys, order, "running", slab)
     parts = slabs.groupBy("__key", "__slab").agg(*[F.sum(c).alias(p) for c, p in values.items()])
     local = (
         W.partitionBy("__key", "__slab")

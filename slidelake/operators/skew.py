@@ -23,6 +23,17 @@ def spread(df: DataFrame, *cols: str | Column) -> DataFrame:
     return df.repartition(partitions(df), *cols)
 
 
+def side_join(rows: DataFrame, side: DataFrame, on: str, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
+    """Join rows to a side table whose size is checked first.
+
+    Up to ``max_rows`` rows it is broadcast; beyond that both sides are hashed by
+    the key.  The check keeps the planner from broadcasting the large side where
+    its estimate is off, as after an explode.
+    """
+    small = side.select(on).limit(max_rows + 1).count() <= max_rows
+    return rows.join(side.hint("broadcast" if small else "shuffle_hash"), on, how)
+
+
 def group_join(
     rows: DataFrame,
     groups: DataFrame,

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slidelake.operators.skew import side_join
+
 TILE = 256
 OVERLAP = 32
 STRIDE = TILE - OVERLAP
@@ -129,6 +131,53 @@ def tile_coverage(tiles: DataFrame, cells: DataFrame, slide: str = "slide", valu
     ).drop("__tissue")
 
 
+def grid_coverage(
+    geometry: DataFrame,
+    cells: DataFrame,
+    keys: tuple[str, ...] = ("slide", "scale"),
+    slide: str = "slide",
+    value: str = "tissue",
+    tile: int = TILE,
+    stride: int = STRIDE,
+) -> DataFrame:
+    """Coverage of all grid tiles of ``geometry`` (keys, level_w, level_h, mask_w, mask_h, sx, sy).
+
+    A mask cell lies under the few tiles around it, whose grid numbers follow
+    from its position.  So each tissue cell is sent straight to those tiles and
+    counted map-side: cells are neither sorted nor shuffled one by one.
+    """
+    keys = list(keys)
+    geo = geometry.select(*keys, "level_w", "level_h", "mask_w", "mask_h", "sx", "sy")
+    inside = cells.where(F.col(value) != 0).select(slide, "mx", "my", F.col(value).alias("__v"))
+    inside = side_join(inside, geo, slide)
+    inside = inside.where((F.col("mx") < F.col("mask_w") - 1) & (F.col("my") < F.col("mask_h") - 1))
+
+    def along(df: DataFrame, name: str, pos: str, extent: str, s: str) -> DataFrame:
+        after = F.col(pos) + 1
+        last = F.floor(F.greatest(F.col(extent) - tile, F.lit(0)) / stride)
+        lo = F.greatest(F.floor((after / F.col(s) - tile) / stride) - 1, F.lit(0)).cast("int")
+        hi = F.least(F.floor(after / (F.col(s) * stride)) + 1, last).cast("int")
+        near = df.withColumn(name, F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+        i = F.col(name)
+        return near.where(
+            (F.floor(i * stride * F.col(s)) <= F.col(pos)) & (F.floor((i * stride + tile) * F.col(s)) > F.col(pos))
+        )
+
+    rows = along(along(inside, "__i", "mx", "level_w", "sx"), "__j", "my", "level_h", "sy")
+    sums = rows.groupBy(*keys, (F.col("__i") * stride).cast("bigint").alias("x"), (F.col("__j") * stride).cast("bigint").alias("y")).agg(
+        F.sum("__v").alias("__tissue")
+    )
+    box = roi(F.col("mask_w"), F.col("mask_h"), F.col("sx"), F.col("sy"), tile)
+    tiles = tile_grid(geometry, tile=tile, stride=stride).withColumns(box)
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    empty = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
+    return (
+        tiles.join(sums, [*keys, "x", "y"], "left")
+        .withColumn("coverage", F.when(empty, F.lit(0.0)).otherwise(F.coalesce("__tissue", F.lit(0)) / area))
+        .drop("__tissue", "x0", "y0", "x1", "y1")
+    )
+
+
 def tile_coverage_dense(
     slides: DataFrame, slide: str = "slide", tile: int = TILE, stride: int = STRIDE
 ) -> DataFrame:

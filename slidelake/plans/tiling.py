@@ -13,15 +13,13 @@ from slidelake.operators.tiling import (
     OVERLAP,
     TILE,
     choose_level,
+    grid_coverage,
     mask_scale,
-    roi,
-    tile_coverage,
-    tile_grid,
 )
 
 
-def level_tiles(slides: DataFrame, scales: tuple[float, ...] = (0.5, 2.0)) -> DataFrame:
-    """Grid tiles of every slide at every scale.
+def level_geometry(slides: DataFrame, scales: tuple[float, ...] = (0.5, 2.0)) -> DataFrame:
+    """Level, its size and the mask scale of every slide at every scale.
 
     ``slides`` has slide, width, height, mask_w, mask_h, base_mpp, downsamples.
     """
@@ -38,17 +36,12 @@ def level_tiles(slides: DataFrame, scales: tuple[float, ...] = (0.5, 2.0)) -> Da
         mask_scale(F.col("mask_h"), F.col("height"), ds).alias("sy"),
     ).drop("__l", "downsamples")
     # A slide is one small row but thousands of tiles.
-    return tile_grid(spread(at, "slide", "scale"))
+    return spread(at, "slide", "scale")
 
 
 def covered_tiles(slides: DataFrame, cells: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Tiles with enough mask under them."""
-    tiles = level_tiles(slides)
-    box = roi(F.col("mask_w"), F.col("mask_h"), F.col("sx"), F.col("sy"))
-    narrow = tiles.select(
-        "slide", "cancer_code", "scale", "level", "approx_mpp", "x", "y", "grid_idx", *[c.alias(n) for n, c in box.items()]
-    )
-    return tile_coverage(narrow, cells).where(F.col("coverage") >= min_coverage)
+    return grid_coverage(level_geometry(slides), cells).where(F.col("coverage") >= min_coverage)
 
 
 def tile_table(

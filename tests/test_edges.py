@@ -93,11 +93,11 @@ def test_grid_and_coverage_edges(spark):
     assert g == [("s", 0, 0, 0), ("s", 0, 224, 1), ("t", 0, 0, 0), ("t", 224, 0, 1)]
 
 
-def test_coverage_forms_agree_with_brute_force(spark):
-    rng = np.random.default_rng(3)
-    h, w = 23, 31
+@pytest.mark.parametrize("h, w, lw, lh", [(23, 31, 900, 700), (4, 5, 2000, 1500), (60, 80, 300, 1000), (9, 7, 700, 480)])
+def test_coverage_forms_agree_with_brute_force(spark, h, w, lw, lh):
+    rng = np.random.default_rng(h)
     mask = (rng.random((h, w)) < 0.4).astype(np.uint8)
-    sx, sy, lw, lh = w / 900, h / 700, 900, 700
+    sx, sy = w / lw, h / lh
     cells = spark.createDataFrame([(1, x, y, int(mask[y, x])) for y in range(h) for x in range(w)], "slide int, mx int, my int, tissue int")
     box = tiling.roi(F.lit(w), F.lit(h), F.lit(sx), F.lit(sy))
     tiles = tiling.tile_grid(spark.createDataFrame([(1, lw, lh)], "slide int, level_w int, level_h int")).select(
@@ -106,14 +106,17 @@ def test_coverage_forms_agree_with_brute_force(spark):
     rel = {(r["x"], r["y"]): r["coverage"] for r in tiling.tile_coverage(tiles, cells).collect()}
     dense_in = spark.createDataFrame([(1, bytearray(mask.tobytes()), w, h, sx, sy, lw, lh)], "slide int, mask binary, mask_w int, mask_h int, sx double, sy double, level_w int, level_h int")
     dense = {(r["x"], r["y"]): r["coverage"] for r in tiling.tile_coverage_dense(dense_in).collect()}
+    geo = spark.createDataFrame([(1, 0.5, lw, lh, w, h, sx, sy)], "slide int, scale double, level_w int, level_h int, mask_w int, mask_h int, sx double, sy double")
+    grid = {(r["x"], r["y"]): r["coverage"] for r in tiling.grid_coverage(geo, cells).collect()}
     want = {}
     for y in range(0, lh - 256 + 1, 224):
         for x in range(0, lw - 256 + 1, 224):
             part = mask[int(y * sy):min(int((y + 256) * sy), h - 1), int(x * sx):min(int((x + 256) * sx), w - 1)]
             want[(x, y)] = part.mean() if part.size else 0.0
-    assert rel.keys() == want.keys() == dense.keys()
+    assert rel.keys() == want.keys() == dense.keys() == grid.keys()
     for k in want:
         assert math.isclose(rel[k], want[k], abs_tol=1e-12) and math.isclose(dense[k], want[k], abs_tol=1e-12)
+        assert math.isclose(grid[k], want[k], abs_tol=1e-12)
 
 
 def test_budget_within_and_beyond(spark):
