@@ -232,6 +232,34 @@ def _probe(model: str) -> Query:
     return run
 
 
+def _group_fold_checks(s, d):
+    """Rows, sites, sites found in more than one fold, folds in use."""
+    f = folds.kfold_stratified_group(_vectors(s, d).select("vec_id", "y", "site"), "y", "site", ["vec_id"])
+    per = f.groupBy("site").agg(F.count_distinct("fold").alias("k"), F.count(F.lit(1)).alias("n"), F.min("fold").alias("f"))
+    return per.agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_sites"), F.count_if(F.col("k") > 1).alias("n_split"), F.count_distinct("f").alias("n_folds")
+    )
+
+
+def _evaluation(s, d):
+    """Slides to patient vectors, site-grouped folds, probe, fold summary."""
+    i = F.col("vec_id")
+    e = fx.table(s, d, "embeddings")
+    slides = e.select(F.floor(i / 2).alias("patient"), F.col("embedding").alias("emb"))
+    manifest = e.select(
+        F.floor(i / 2).alias("patient"), F.concat(F.lit("class_"), (F.floor(i / 2) % 4).cast("string")).alias("cancer_code"),
+        F.concat(F.lit("site_"), (F.floor(i / 2) % 23).cast("string")).alias("site"), i.alias("ord"),
+    )
+    patients = evaluation.patient_table(slides, manifest, "cancer_code", "site", "ord")
+    oof = evaluation.out_of_fold(patients, "site", (42,), model="ridge")
+    return evaluation.report(oof)["summary"]
+
+
+def _center_folds(s, d):
+    f = folds.center_folds(_centers(s, d).withColumn("y", F.col("row_no") % 4), "center", "y", "row_no")
+    return f.select("row_no", "center", "fold")
+
+
 def _grid(s, d):
     v = materialize(_vectors(s, d), "grid")
     return probes.grid_search(v, ("logreg_l2", "ridge"), (0.1, 1.0), max_iter=50)
@@ -265,6 +293,18 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: folds.kfold_stratified_group(_vectors(s, d).select("vec_id", "y", "site"), "y", "site", ["vec_id"]),
         None,
     ),
+    "kfold_stratified_group_checks": (
+        _group_fold_checks,
+        "SELECT count(*) AS n_rows, count(DISTINCT vec_id % 23) AS n_sites, 0::BIGINT AS n_split, 5::BIGINT AS n_folds FROM embeddings",
+    ),
+    "center_folds": (
+        _center_folds,
+        with_views(
+            "SELECT row_no, center, nullif(center, -1) AS fold FROM c", "patient_labels",
+            extra={"c": "SELECT row_no, coalesce(TRY_CAST(replace(center, 'center_', '') AS INTEGER), -1)::INTEGER AS center FROM patient_labels"},
+        ),
+    ),
+    "patient_evaluation": (_evaluation, None),
     "leave_one_group_out": (
         _loco,
         with_views(

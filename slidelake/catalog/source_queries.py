@@ -254,6 +254,7 @@ FROM slides, (SELECT unnest(['manifest', 'qc']) AS stage) GROUP BY stage""", "sl
     ),
     "file_inventory": (_inventory, None),
     "fingerprint_files": (_fingerprints, None),
+    "artefact_table": (lambda s, d: files.artefact_table(s, d, ("parquet",)).drop("modified_time"), None),
     "discover_label_files": (_labels, None),
     "label_normalisation": (_label_table, with_views("SELECT row_no, patient, pn, center FROM patient_labels", "patient_labels")),
     "resolve_columns": (

@@ -199,6 +199,14 @@ def _outcomes(s, d):
     return out.select("bag", "ok", "reason", "t05", "t20", F.round("norm", 6).alias("norm"))
 
 
+def _dedupe(s, d):
+    """Vectors found in two folders, the second holding a changed copy of some."""
+    e = fx.table(s, d, "embeddings").select("vec_id", F.lit("final").alias("variant"), F.lit("a").alias("folder"), F.col("embedding").alias("emb"))
+    again = e.where(F.col("vec_id") % 2 == 0).withColumns({"folder": F.lit("b"), "emb": F.reverse("emb")})
+    out = pooling.dedupe_vectors(e.unionByName(again), ["vec_id", "variant"], "folder")
+    return out.select("vec_id", "variant", "folder", F.round(F.element_at("emb", 1).cast("double"), 6).alias("first_value"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "attach_meta": (
         lambda s, d: (lambda t: t.select("bag", "scale", "tile_idx", F.round(v.l2_norm("feat"), 6).alias("norm")).join(
@@ -213,6 +221,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: pooling.validate_vectors(_cut(s, d), DIM).select("vec_id", "ok", "reason"),
         "SELECT vec_id, vec_id % 41 <> 0 AS ok, CASE WHEN vec_id % 41 = 0 THEN 'bad_shape(63)' END AS reason FROM embeddings",
     ),
+    "dedupe_embeddings": (
+        _dedupe,
+        f"""SELECT vec_id, 'final' AS variant, CASE WHEN vec_id % 2 = 0 THEN 'b' ELSE 'a' END AS folder,
+  {rz(f"(CASE WHEN vec_id % 2 = 0 THEN embedding[{DIM}] ELSE embedding[1] END)::DOUBLE")} AS first_value FROM embeddings""",
+    ),
     "outcome_counts": (
         lambda s, d: pooling.outcome_counts(pooling.validate_vectors(_cut(s, d), DIM).withColumn("status", F.when(F.col("ok"), "ok").otherwise("bad"))),
         "SELECT CASE WHEN vec_id % 41 = 0 THEN 'bad' ELSE 'ok' END AS status, count(*) AS n FROM embeddings GROUP BY 1",

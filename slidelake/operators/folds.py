@@ -73,6 +73,16 @@ def leave_one_group_out(df: DataFrame, center: str, unknown: int = -1) -> DataFr
     return df.withColumn("fold", F.when(F.col(center) != unknown, F.col(center)))
 
 
+def center_folds(
+    df: DataFrame, center: str, stratum: str, id_col: str, k: int = 5, seed: int = 17, unknown: int = -1
+) -> DataFrame:
+    """Leave-one-center-out folds, or k stratified folds if fewer than two centers are known."""
+    known = df.where(F.col(center) != unknown).select(center).distinct().limit(2).count()
+    if known >= 2:
+        return leave_one_group_out(df, center, unknown)
+    return kfold_stratified(df, stratum, id_col, k, seed)
+
+
 def label_encode(df: DataFrame, label: str, row_id: Sequence[str]) -> DataFrame:
     """Classes numbered from 0 in sorted order, joined back to the rows."""
     classes = df.select(label).where(F.col(label).isNotNull()).distinct()

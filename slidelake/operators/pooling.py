@@ -9,7 +9,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.functions.vectors import softmax  # noqa: F401  (re-exported for callers)
 from slidelake.operators.ranking import exact_rank
 
 
@@ -26,6 +25,13 @@ def validate_vectors(df: DataFrame, dim: int, feat: str = "feat") -> DataFrame:
     return df.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 
+def dedupe_vectors(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row per key where the same vectors were loaded from several folders: the last by ``order``."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__b"))
+    return best.select(*keys, *[F.col("__b")[c].alias(c) for c in rest])
+
+
 def outcome_counts(df: DataFrame, status: str = "status") -> DataFrame:
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidelake.operators.bootstrap import bootstrap_accuracy
+from slidelake.operators.folds import kfold_stratified_group, label_encode
+from slidelake.operators.joins import label_patients
 from slidelake.operators.metrics import (
-    accuracy,
     auroc_ovr_macro,
     balanced_accuracy,
     cells,
+    classification_report,
+    confusion_matrix,
+    fold_summary,
     macro_f1,
+    oof_last_seed,
 )
+from slidelake.operators.pooling import mean_pool
+from slidelake.operators.probes import cross_validate
+from slidelake.session import materialize
+
+METRICS = ("accuracy", "balanced_accuracy", "macro_f1", "macro_auc")
 
 
 def fold_results(oof: DataFrame, keys: tuple[str, ...] = ("seed", "fold"), probs: str | None = "probs") -> DataFrame:
@@ -26,4 +37,42 @@ def fold_results(oof: DataFrame, keys: tuple[str, ...] = ("seed", "fold"), probs
     return out
 
 
-__all__ = ["accuracy", "fold_results"]
+def patient_table(slides: DataFrame, manifest: DataFrame, label: str, site: str, order: str) -> DataFrame:
+    """Mean vector, class number and site per patient.
+
+    ``slides`` has patient and emb; ``manifest`` has patient, label, site and order.
+    Patients lacking a label or a site are left out.
+    """
+    pooled = mean_pool(slides, ["patient"], "emb").withColumnRenamed("emb", "feat").drop("n_rows")
+    labelled = label_patients(pooled, manifest, [label, site], order)
+    return label_encode(labelled, label, ["patient"]).withColumnRenamed("code", "y")
+
+
+def out_of_fold(
+    patients: DataFrame, site: str, seeds: tuple[int, ...] = (42, 123, 456), k: int = 5, model: str = "logreg_l2", c: float = 1.0,
+    max_iter: int = 200,
+) -> DataFrame:
+    """Out-of-fold predictions under site-grouped folds, once per seed."""
+    table = materialize(patients.select("patient", F.col(site).alias("site"), "y", "feat"), "patients")
+    out = None
+    for n, seed in enumerate(seeds):
+        folded = materialize(kfold_stratified_group(table, "y", "site", ["patient"], k, seed), "folds")
+        part = cross_validate(folded, model, c, balanced=False, max_iter=max_iter).withColumns(
+            {"seed": F.lit(seed), "seed_no": F.lit(n)}
+        )
+        out = part if out is None else out.unionByName(part)
+    return materialize(out, "oof")
+
+
+def report(oof: DataFrame, n_boot: int = 1000, seed: int = 42, boot: str = "multinomial") -> dict[str, DataFrame]:
+    """Fold table, its summary, the interval, the class report and the confusion matrix."""
+    folds = fold_results(oof, probs="probs" if "probs" in oof.columns else None)
+    last = oof_last_seed(oof, "patient", "seed_no")
+    c = cells(last)
+    return {
+        "folds": folds,
+        "summary": fold_summary(folds, [m for m in METRICS if m in folds.columns]),
+        "interval": bootstrap_accuracy(last, n_boot, seed, method=boot),
+        "classes": classification_report(c),
+        "confusion": confusion_matrix(c),
+    }
