@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.operators.ranking import exact_rank
+from slidelake.operators.skew import checked_join
 
 
 def _vec(feat: str) -> Column:
@@ -78,17 +79,21 @@ def topk_softmax_pool(
 ) -> DataFrame:
     """Softmax-weighted mean of each bag's best-scored rows.
 
-    k = min(max(floor(ratio * n), min_k), n).  As k grows with the bag, rows are
-    ranked by slabs and summed map-side; no bag is gathered in one place.
+    k = min(max(floor(ratio * n), min_k), n).  As k grows with the bag, ids are
+    ranked by slabs.  Each bag's k-th score then tells every row whether it
+    counts, and the vectors are summed map-side: they are never shuffled.
     """
     ids = df.select(*keys, id_col, F.col(score).alias("__s"))
     ranked = exact_rank(ids, keys, [F.col("__s").desc(), F.col(id_col).asc()], maxima={"__s": "__top"})
     n = F.col("group_rows")
     k = F.greatest(F.least(F.greatest(F.floor(F.lit(ratio) * n), F.lit(min_k)), n), F.lit(1))
-    best = ranked.where(F.col("rank_no") <= k).select(
-        *keys, id_col, F.exp(F.col("__s") - F.col("__top")).alias("__w")
+    last = ranked.where(F.col("rank_no") == k).select(
+        *keys, F.col("__s").alias("__s_k"), F.col(id_col).alias("__id_k"), "__top"
     )
-    weighted = df.join(best, [*keys, id_col])
+    joined = checked_join(df, last, keys, [id_col])
+    s = F.col(score)
+    chosen = (s > F.col("__s_k")) | ((s == F.col("__s_k")) & (F.col(id_col) <= F.col("__id_k")))
+    weighted = joined.where(chosen).withColumn("__w", F.exp(s - F.col("__top")))
     summary = Summarizer.metrics("mean").summary(_vec(feat), F.col("__w"))
     return (
         weighted.groupBy(*keys)

@@ -30,13 +30,16 @@ def _with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("__key", F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0)))
 
 
-def _offsets(parts: DataFrame, slab: str, sums: Sequence[str], maxima: Sequence[str] = ()) -> DataFrame:
+def _offsets(
+    parts: DataFrame, slab: str, sums: Sequence[str], maxima: Sequence[str] = (), keep: Sequence[str] = ()
+) -> DataFrame:
     """Per (group, slab): the sum over lower slabs and over the whole group."""
     group = W.partitionBy("__key")
     before = group.orderBy(slab).rowsBetween(W.unboundedPreceding, -1)
     return parts.select(
         "__key",
         slab,
+        *keep,
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in sums],
         *[F.sum(c).over(group).alias(f"__all_{c}") for c in sums],
         *[F.max(c).over(group).alias(c) for c in maxima],
@@ -76,16 +79,11 @@ def top_k_per_group(
     return out
 
 
-def _rank_in_slabs(
-    slabs: DataFrame, order: Sequence[Column | str], rank: str, maxima: dict[str, str] | None = None
-) -> DataFrame:
-    maxima = maxima or {}
-    sizes = slabs.groupBy("__key", "__slab").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.max(c).alias(name) for c, name in maxima.items()]
-    )
+def _rank_in_slabs(slabs: DataFrame, order: Sequence[Column | str], rank: str) -> DataFrame:
+    sizes = slabs.groupBy("__key", "__slab").agg(F.count(F.lit(1)).alias("rows"))
     local = W.partitionBy("__key", "__slab").orderBy(*order)
     ranked = slabs.withColumn("__local", F.row_number().over(local))
-    joined = ranked.join(_offsets(sizes, "__slab", ["rows"], list(maxima.values())), ["__key", "__slab"])
+    joined = ranked.join(_offsets(sizes, "__slab", ["rows"]), ["__key", "__slab"])
     return (
         joined.withColumn(rank, F.col("__local") + F.col("__before_rows"))
         .withColumnRenamed("__all_rows", "group_rows")
@@ -145,7 +143,23 @@ def exact_rank(
     Also adds ``group_rows``, the size of the group, and for each entry of
     ``maxima`` (column -> new name) the maximum over the group.
     """
-    return _rank_in_slabs(_slabbed(df, keys, order, "rank"), order, rank, maxima)
+    maxima = maxima or {}
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(partitions(df), *by).sortWithinPartitions(*by)
+    # The id of a sorted row is its partition number and its place in it, so the
+    # rank within a slab needs no further sort or shuffle.
+    placed = _with_key(materialize(ranged.withColumn("__at", F.monotonically_increasing_id()), "rank"), list(keys))
+    placed = placed.withColumns({"__slab": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(2**33 - 1)})
+    sizes = placed.groupBy("__key", "__slab").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("__at").alias("first"), *[F.max(c).alias(n) for c, n in maxima.items()]
+    )
+    offsets = _offsets(sizes, "__slab", ["rows"], list(maxima.values()), ["first"])
+    joined = placed.join(offsets, ["__key", "__slab"])
+    return (
+        joined.withColumn(rank, F.col("__at") - F.col("first") + 1 + F.col("__before_rows"))
+        .withColumnRenamed("__all_rows", "group_rows")
+        .drop("__key", "__slab", "__at", "first", "__before_rows")
+    )
 
 
 def running_sums(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidelake.session import materialize
+
 SALTS = 16
 
 
@@ -51,3 +53,21 @@ def group_join(
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int"))
     repeated = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
+
+
+def checked_join(
+    rows: DataFrame,
+    groups: DataFrame,
+    on: Sequence[str],
+    row_id: Sequence[str],
+    how: str = "inner",
+    max_rows: int = 200_000,
+) -> DataFrame:
+    """``group_join`` for wide rows: the group table is written, counted, and broadcast if small.
+
+    Then the rows, such as feature vectors, are not shuffled at all.
+    """
+    table = materialize(groups, "side")
+    if table.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(table.hint("broadcast"), list(on), how)
+    return group_join(rows, table, on, row_id, how)

@@ -11,6 +11,7 @@ from slidelake.functions.detrand import digest, digest_uniform, gaussian, u32, u
 from slidelake.functions.vectors import cosine, let, zeros_like
 from slidelake.operators.budget import head_budget
 from slidelake.operators.ranking import hash_rank
+from slidelake.operators.skew import checked_join
 
 
 def token_mm_xy(df: DataFrame, scale: str = "scale", tile: Column | int = 256) -> DataFrame:
@@ -25,13 +26,15 @@ def mask_positions(
 ) -> DataFrame:
     """Mark max(1, round(fraction * T)) tokens per bag and zero their vectors.
 
-    The ids are ranked without the vectors, which are joined back afterwards.
+    Ids alone are ranked.  What comes back to the vectors is one row per bag: the
+    last masked position, with which every row decides for itself.
     """
-    ids = df.select(*keys, id_col).withColumn("__h", u32(seed, F.col(id_col)))
+    place = F.struct(u32(seed, F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
+    ids = df.select(*keys, id_col, place.alias("__place")).withColumn("__h", F.col("__place.h"))
     ranked = hash_rank(ids, keys, "__h", [id_col])
     m = F.greatest(F.lit(1), F.bround(F.lit(fraction) * F.col("group_rows")))
-    marks = ranked.select(*keys, id_col, (F.col("rank_no") <= m).alias("masked"))
-    out = df.join(marks, [*keys, id_col])
+    last = ranked.where(F.col("rank_no") == m).select(*keys, F.col("__place").alias("__last"))
+    out = checked_join(df, last, keys, [id_col]).withColumn("masked", place <= F.col("__last")).drop("__last")
     return out.withColumn(feat, F.when(F.col("masked"), zeros_like(feat)).otherwise(F.col(feat)))
 
 

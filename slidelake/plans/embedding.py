@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidelake.functions.detrand import u32
 from slidelake.functions.vectors import l2_norm
 from slidelake.operators.budget import BUDGETS, sample_uniform
 from slidelake.operators.joins import two_scale_ids
 from slidelake.operators.pooling import max_pool, mean_pool, validate_vectors
-from slidelake.operators.skew import group_join
+from slidelake.operators.skew import checked_join, group_join
+from slidelake.session import materialize
 
 
 def slide_embeddings(
@@ -17,14 +19,19 @@ def slide_embeddings(
 ) -> DataFrame:
     """Budgeted tokens of the bags with both scales, pooled to one vector per bag.
 
-    Ids are cut to the budget before any vector is touched.
+    Ids are cut to the budget before any vector is touched.  The last kept place
+    per (bag, scale) then tells every row whether it counts, so the vectors are
+    pooled where they lie.
     """
     good = validate_vectors(features, dim).where(F.col("ok")).drop("ok", "reason")
     both = two_scale_ids(good, bag)
     ids = good.select(bag, "scale", id_col, F.col("tile_idx").alias("__order"))
     ids = group_join(ids, both, [bag], [id_col], "left_semi")
     kept = sample_uniform(ids, [bag, "scale"], budgets or BUDGETS, id_col, "__order", seed)
-    tokens = good.join(kept.select(bag, "scale", id_col), [bag, "scale", id_col], "left_semi")
+    kept = materialize(kept.select(bag, "scale", id_col), "kept")
+    place = F.struct(u32(seed, F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
+    last = kept.groupBy(bag, "scale").agg(F.max(place).alias("__last"))
+    tokens = checked_join(good, last, [bag, "scale"], [id_col]).where(place <= F.col("__last")).drop("__last")
     counts = kept.groupBy(bag).agg(
         F.count_if(F.col("scale") == 0.5).alias("t05"), F.count_if(F.col("scale") == 2.0).alias("t20")
     )
