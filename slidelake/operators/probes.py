@@ -20,9 +20,15 @@ MODELS = ("ordinal", "logreg_l2", "logreg_l1", "ridge")
 THRESHOLD_SCALE = 1000.0
 
 
+MAX_CLASSES = 10_000
+
+
 def _class_table(train: DataFrame, y: str) -> list[tuple[int, int]]:
     """(class, rows) of the training set; as many rows as there are classes."""
-    return sorted((r["y"], r["n"]) for r in train.groupBy(F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = train.groupBy(F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return sorted((r["y"], r["n"]) for r in counts)
 
 
 def _balanced(y: str, table: list[tuple[int, int]]) -> Column:
@@ -61,14 +67,16 @@ def _fit_ridge(train, test, y, feat, c, balanced):
     base = train.select(_vec(feat).alias("__x"), F.col(y).alias("__y"), weight.alias("__w"))
     # With two classes one regression decides; its mirror image is implied.
     targets = table if len(table) > 2 else table[1:]
-    scores = []
-    for label, _ in targets:
+
+    def score(label: int) -> Column:
         m = LinearRegression(
             featuresCol="__x", labelCol="__t", weightCol="__w", regParam=alpha / n, elasticNetParam=0.0,
             standardization=False, solver="normal",
         ).fit(base.withColumn("__t", F.when(F.col("__y") == label, 1.0).otherwise(-1.0)))
         coef = F.array(*[F.lit(float(v)) for v in m.coefficients])
-        scores.append(dot(feat, coef) + F.lit(float(m.intercept)))
+        return dot(feat, coef) + F.lit(float(m.intercept))
+
+    scores = [score(label) for label, _ in targets]
     if len(table) == 2:
         scores = [-scores[0], scores[0]]
     labels = F.array(*[F.lit(label) for label, _ in table])
@@ -134,7 +142,7 @@ def _fold_table(df: DataFrame, fold: str, feat: str) -> dict[int, list[tuple[flo
 
 def cross_validate(
     df: DataFrame, model: str, c: float, fold: str = "fold", y: str = "y", feat: str = "feat",
-    max_iter: int = 200, balanced: bool = True, parallelism: int = 4, scaling: dict | None = None,
+    max_iter: int = 200, balanced: bool = True, parallelism: int = 8, scaling: dict | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions of every row that has a fold.
 
@@ -159,7 +167,7 @@ def cross_validate(
 
 def grid_search(
     df: DataFrame, models: Sequence[str] = MODELS, cs: Sequence[float] = (0.1, 0.3, 1.0, 3.0, 10.0), fold: str = "fold",
-    y: str = "y", feat: str = "feat", prefix: str = "FOLD", max_iter: int = 200, parallelism: int = 4,
+    y: str = "y", feat: str = "feat", prefix: str = "FOLD", max_iter: int = 200, parallelism: int = 8,
 ) -> DataFrame:
     """Mean fold kappa per (model, C), with the folds spelled out, best first."""
     scaling = _fold_table(df, fold, feat)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -38,10 +39,10 @@ def _empty_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> Dat
     """
     from pyarrow import fs
 
-    system, base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    system, base = fs.FileSystem.from_uri(root if ":/" in root else os.path.abspath(root))
     top = system.get_file_info(fs.FileSelector(base))
     folders = [(base, False)] + [(i.path, True) for i in top if i.type == fs.FileType.Directory]
-    head = root.split("://")[0] + "://" if "://" in root else ""
+    head = root.split("://")[0] + "://" if "://" in root and not root.startswith("file:") else ""
     wanted = tuple(f".{x}" for s in suffixes for x in (s, s.upper()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,11 +67,12 @@ def _all_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataF
 def file_inventory(spark: SparkSession, root: str, suffixes: Sequence[str] = SLIDE_SUFFIXES) -> DataFrame:
     """One row per file below the root, empty files included; contents are not read."""
     listed = _all_files(spark, root, suffixes)
+    base = re.sub("^file:/*", "/", root)
     return listed.select(
         "path",
         file_name("path").alias("filename"),
         stem("path").alias("slide_id"),
-        class_from_path("path", root).alias("cancer_code"),
+        class_from_path("path", base).alias("cancer_code"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("modified_time"),
     )

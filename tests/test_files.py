@@ -29,6 +29,7 @@ def test_inventory_and_ranged_fingerprint(spark, tmp_path):
     assert [(r["filename"], r["slide_id"], r["cancer_code"], r["size_bytes"]) for r in inv.orderBy("path").collect()] == [
         ("y.TIFF", "y", "a", 40), ("x.svs", "x", "a", 10), ("z.ndpi", "z", "UNKNOWN", 0),
     ]
+    assert files.file_inventory(spark, f"file:{root}").select("cancer_code").distinct().count() == 2
     ghost = inv.limit(1).withColumn("path", F.lit(f"{root}/gone.svs"))
     got = {r["path"]: r for r in files.fingerprint_files(inv.unionByName(ghost), chunk=16).collect()}
     body = data["a/b/y.TIFF"]

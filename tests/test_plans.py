@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tests.compare import _norm
 
 QUERIES = entry.queries()
-SLOW = {"grid_search", "probe_logreg", "probe_logreg_l1", "probe_ridge", "probe_ordinal"}
+SLOW = {"grid_search", "patient_evaluation", "probe_logreg", "probe_logreg_l1", "probe_ridge", "probe_ordinal"}
 
 
 def plan(df):
