@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slidelake.functions.detrand import u32
 from slidelake.operators.ranking import exact_rank, hash_rank
-from slidelake.operators.skew import group_join
+from slidelake.operators.skew import checked_join, group_join
 
 
 def kfold_stratified(df: DataFrame, stratum: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -127,6 +127,6 @@ def standardize(
     packed = stats.groupBy("fold").agg(
         F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("__st")
     )
-    joined = group_join(df, packed.withColumnRenamed("fold", fold), [fold], row_id)
+    joined = checked_join(df, packed.withColumnRenamed("fold", fold), [fold], row_id, max_rows=2_000)
     scaled = F.zip_with(F.col(feat).cast("array<double>"), F.col("__st"), lambda v, s: (v - s["mean"]) / s["std"])
     return joined.withColumn(feat, scaled).drop("__st")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.functions.parsing import parse_center, patient_from_slide, stem
-from slidelake.operators.skew import group_join
+from slidelake.operators.skew import checked_join, group_join
 
 
 def two_scale_ids(df: DataFrame, id_col: str, scale: str = "scale", scales: Sequence[float] = (0.5, 2.0)) -> DataFrame:
@@ -74,7 +74,7 @@ def label_vectors(
 ) -> DataFrame:
     """Vectors with a non-negative label; a later label row replaces an earlier one."""
     last = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max_by(label, order).alias(label))
-    return group_join(vectors, last.where(F.col(label) >= 0), [key], row_id)
+    return checked_join(vectors, last.where(F.col(label) >= 0), [key], row_id)
 
 
 def fill_center(
