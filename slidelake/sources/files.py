@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slidelake.functions.hashing import CHUNK, MODES, short_digest
+from slidelake.functions.hashing import CHUNK, MODES
 from slidelake.functions.parsing import class_from_path, file_name, stem
 from slidelake.operators.skew import spread
 
@@ -257,5 +257,4 @@ __all__ = [
     "image_scan",
     "npy_ingest",
     "read_npy",
-    "short_digest",
 ]
