@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slidelake.llm.decontaminate import decontaminate
+from slidelake.llm.language import held_out, predict, train
 from slidelake.llm.mixing import mixed_documents
+from slidelake.llm.token_files import read_token_files, write_token_files
 from slidelake.llm.urls import filter_urls, rules_table
+from slidelake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,7 +93,64 @@ SELECT p.page_id, p.host, p.path, b.best.rule AS rule, coalesce(b.best.verdict,
 FROM parts p LEFT JOIN best b USING (n)
 """
 
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return predict(documents, train(documents)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP6_SQL = r"""
+WITH item_words AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+doc_words AS (
+  SELECT row_number() OVER () AS n, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT n, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc_words, sizes WHERE len(w) >= size)),
+found AS (SELECT g.n, g.i, g.size, x.item FROM grams g JOIN windows x USING (size, gram)),
+hit AS (
+  SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT n, i, size FROM found)) GROUP BY n),
+named AS (SELECT n, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY n)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(m.items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(m.items, ','), '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc_words d LEFT JOIN hit h USING (n) LEFT JOIN named m USING (n)
+"""
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    read = read_token_files(spark, folder)
+    n_tokens = F.expr("octet_length(ids) div 4").cast("long")
+    return read.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
+    "op2_language": (op2_language, None),
+    "op6_decontaminate": (op6_decontaminate, OP6_SQL),
     "op8_url_rules": (op8_url_rules, OP8_SQL),
+    "op10_token_files": (op10_token_files, None),
 }
