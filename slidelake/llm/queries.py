@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidelake.llm.decontaminate import decontaminate
+from slidelake.llm.jaccard import linked_documents
 from slidelake.llm.language import held_out, predict, train
 from slidelake.llm.mixing import mixed_documents
 from slidelake.llm.token_files import read_token_files, write_token_files
@@ -139,6 +140,10 @@ FROM doc_words d LEFT JOIN hit h USING (n) LEFT JOIN named m USING (n)
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -151,6 +156,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_language": (op2_language, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
+    "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_url_rules": (op8_url_rules, OP8_SQL),
     "op10_token_files": (op10_token_files, None),
 }
