@@ -13,6 +13,7 @@ from slidelake.llm.decontaminate import decontaminate
 from slidelake.llm.jaccard import linked_documents
 from slidelake.llm.language import held_out, predict, train
 from slidelake.llm.mixing import mixed_documents
+from slidelake.llm.neighbours import nearest
 from slidelake.llm.token_files import read_token_files, write_token_files
 from slidelake.llm.urls import filter_urls, rules_table
 from slidelake.session import scratch_path
@@ -100,6 +101,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(documents, train(documents)).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -155,6 +160,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_language": (op2_language, None),
+    "op5_nearest": (op5_nearest, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
     "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_url_rules": (op8_url_rules, OP8_SQL),
