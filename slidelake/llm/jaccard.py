@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slidelake.llm.graph import components
 from slidelake.operators.ranking import running_sums
@@ -93,14 +94,15 @@ def _sets(width: int):
         for batch in batches:
             found = [shingles(t.as_py() or b"", width, memo) for t in batch.column("text").cast(pa.binary())]
             nodes = [digest(s) for s in found]
+            others = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *[batch.column(n) for n in others],
                     pa.array(nodes, pa.binary()),
                     pa.array([int.from_bytes(d[8:], "big", signed=True) for d in nodes], pa.int64()),
                     pa.array([len(s) for s in found], pa.int64()),
                 ],
-                ["doc_id", "node", "low", "n"],
+                [*others, "node", "low", "n"],
             )
 
     return run
@@ -352,13 +354,19 @@ def _banded(nodes: DataFrame, band_elements: int) -> DataFrame:
 
 
 def linked_documents(
-    documents: DataFrame, width: int = 5, percent: int = 80, text: str = "text", band_elements: int = 1 << 20
+    documents: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    keep: tuple[str, ...] = (),
+    band_elements: int = 1 << 20,
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of ``documents``."""
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", F.col(text).alias("text"))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    members = materialize(docs.mapInArrow(_sets(width), f"doc_id {kind}, node binary, low long, n long"), "members")
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of ``documents``.
+
+    The columns in ``keep`` come too.
+    """
+    docs = documents.select("doc_id", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
+    schema = T.StructType([f for f in docs.schema if f.name != "text"]).add("node", "binary").add("low", "long").add("n", "long")
+    members = materialize(docs.mapInArrow(_sets(width), schema), "members")
 
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + int(0.3 * total) // BUCKET
@@ -412,4 +420,6 @@ def linked_documents(
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = materialize(rooted.join(lowest, "root").select(F.col("node").alias("of"), "component_id"), "classes")
     joined = members.join(ids, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    return joined.select("doc_id", *kept, F.col("n").alias("n_shingles"), component.alias("component_id"))

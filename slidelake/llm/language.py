@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 18
 #: Long texts are read in pieces of so many characters.
@@ -172,15 +173,15 @@ def train(
     return fit([(r["lang"], np.frombuffer(r.bits, np.uint8)) for r in got], landmarks, ridge, grams)
 
 
-def _scorer(model):
+def _scorer(model, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         presence = Presence(own.grams)
         for batch in batches:
             names, scores = own.predict(batch.column("text").to_pylist(), presence)
             i = batch.schema.get_field_index("text")
-            cols = [c for k, c in enumerate(batch.columns) if k != i]
-            fields = [n for k, n in enumerate(batch.schema.names) if k != i]
+            cols = [c for k, c in enumerate(batch.columns) if k != i or with_text]
+            fields = [n for k, n in enumerate(batch.schema.names) if k != i or with_text]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*fields, "lang_pred", "score"])
 
     return run
@@ -189,7 +190,11 @@ def _scorer(model):
 def predict(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of each row with ``lang_pred`` and ``score`` (0 to 1) of its whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
-    schema = ", ".join(f"k{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.mapInArrow(_scorer(shared), f"{schema}, lang_pred string, score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    # Under names of their own, kept columns cannot clash with the results.
+    own = {c: "text" if c == "text" else f"k{i}" for i, c in enumerate(keep)}
+    others = {c: k for c, k in own.items() if k != "text"}
+    rows = documents.select(*[F.col(c).alias(k) for c, k in others.items()], "text")
+    schema = T.StructType([f for f in rows.schema if f.name != "text" or "text" in keep])
+    schema = schema.add("lang_pred", "string").add("score", "double")
+    out = rows.mapInArrow(_scorer(shared, "text" in keep), schema)
+    return out.select(*[F.col(k).alias(c) for c, k in own.items()], "lang_pred", "score")

@@ -114,11 +114,11 @@ def source_streams(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame
     slabs = max(1, rows // SLAB_DOCS)
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = sizes.join(sources.select("source", "sid"), sizes["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", sizes["source"], "size", "sid", key.alias("key")
+        sizes["*"], "sid", key.alias("key")
     )
     slab = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * slabs / POINTS)
     placed = running_sums(keyed, ["sid"], [F.col("key"), F.col("doc_id"), F.col("size")], {"size": "pos"}, slab)
-    return placed.select("doc_id", "source", "size", "sid", (F.col("pos_run") - F.col("size")).alias("start"))
+    return placed.select(*sizes.columns, "sid", (F.col("pos_run") - F.col("size")).alias("start"))
 
 
 def mix(streams: DataFrame, needs: DataFrame, block_words: int) -> DataFrame:
@@ -154,9 +154,14 @@ def mixed_documents(
     most: int = 3,
     block_words: int = 4096,
     seed: int = 42,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``documents``: its size, its source's size and target, and the words the mix takes of it."""
-    sizes = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    """One row per row of ``documents``: its size, its source's size and target, and the words the mix takes of it.
+
+    The columns in ``keep`` come too.
+    """
+    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    sizes = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *kept), "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     needs = materialize(_needs(mix_targets(cycled_weights(sources, weights), most), block_words, most), "needs")
     streams = materialize(source_streams(sizes, needs, seed), "streams")
@@ -167,5 +172,13 @@ def mixed_documents(
     return (
         rows.select("*", place)
         .join(taken.select(F.col("sid").alias("t_sid"), F.col("start").alias("t_start"), "taken"), (F.col("sid") == F.col("t_sid")) & (F.col("place") == F.col("t_start")), "left")
-        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select(
+            "doc_id",
+            "source",
+            *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+            "size",
+            "source_size",
+            "target",
+            F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        )
     )
