@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidelake.llm.decontaminate import decontaminate
+from slidelake.llm.html_text import main_texts
+from slidelake.llm.html_text import train as train_blocks
 from slidelake.llm.jaccard import linked_documents
 from slidelake.llm.language import held_out, predict, train
 from slidelake.llm.mixing import mixed_documents
@@ -101,6 +103,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(documents, train(documents)).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"), train_blocks())
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -160,6 +166,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_language": (op2_language, None),
+    "op3_main_text": (op3_main_text, None),
     "op5_nearest": (op5_nearest, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
     "op7_jaccard_join": (op7_jaccard_join, None),
