@@ -8,8 +8,11 @@ The set of a document is the set of hashes of its distinct ``width``-word shingl
    among the first ``a - ceil(percent * a) + k`` elements of the one and of the other at least k are common.  With k a
    tenth of the set, only documents go on that share so many of these prefix elements with others.  A text that merely
    quotes a common passage does not get this far.
-3. What is left is grouped into components of documents with a common prefix element, and each component is cut, in
-   order of size, into bands of about ``band_elements`` elements.  Two bands are joined only if their sizes allow a link.
+3. Among what is left, elements are counted, and the sets ordered anew with the commonest elements last (any one order
+   of all sets will do; it knows the ``MOST_COMMON`` commonest).  Linked sets have an element in common among the first
+   ``a - ceil(percent * a) + 1`` in this order, too.  These join documents to components, which a passage that many
+   documents quote does not hold together.  Each component is cut, in order of size, into bands of about
+   ``band_elements`` elements, and two bands are joined only if their sizes allow a link.
 4. In a tile, hashed bitmap signatures bound the overlap from above: each bit in which two signatures differ is an
    element that only one set has.  Pairs that pass are intersected as sorted arrays.  Pairs that are already connected
    within the tile are not looked at again, so a tile returns a spanning forest of its links.
@@ -41,8 +44,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MEMO_WORDS = 500_000
 #: Prefix elements that a task gathers before it sends them on.
 CHUNK = 1_000_000
-#: Prefix elements in a bucket, about.
-BUCKET = 500_000
+#: Elements in a bucket, about.
+BUCKET = 65_536
+#: Elements that so many sets have count as common, and so many of them are ordered by how common they are.
+COMMON = 8
+MOST_COMMON = 1 << 20
 #: Nodes up to which their ids are sent to all executors (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 ODD = 0x9E3779B97F4A7C15
@@ -206,6 +212,59 @@ def _credits(group: pa.Table) -> pa.Table:
     return pa.table({"low": pa.array(low, pa.int64()), "n_shared": pa.array(n.astype(np.int64))})
 
 
+def _count_blocks(buckets: int):
+    """How many sets of a chunk have each element, by bucket."""
+
+    def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        yield from _split(h, n.astype(np.int64), np.zeros(len(h), np.int64), buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for elements in batch.column("elements"):
+                parts.append(elements.values.to_numpy())
+                size += len(parts[-1])
+                if size >= CHUNK:
+                    yield from flush(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from flush(parts)
+
+    return run
+
+
+def _common(group: pa.Table) -> pa.Table:
+    h, n = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("h", "held"))
+    order, run, size = _runs(h)
+    total = np.bincount(run, weights=n[order]).astype(np.int64)
+    first = np.cumsum(size) - size
+    kept = total >= COMMON
+    return pa.table({"h": pa.array(h[order][first[kept]]), "n": pa.array(total[kept])})
+
+
+def common_elements(sets: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest elements, sorted, and the class of each: the bits of its count."""
+    blocks = sets.select("elements").mapInArrow(_count_blocks(buckets), "bucket int, h array<long>, held array<long>, low array<long>")
+    counts = blocks.groupBy("bucket").applyInArrow(_common, "h long, n long")
+    got = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h, n = got.column("h").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], np.frexp(n[order].astype(float))[1].astype(np.int8)
+
+
+def rare_prefix(elements: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first elements in the order by class, then hash: one more than a linked set may lack."""
+    k = len(elements) + percent * len(elements) // -100 + 1
+    h, kinds = common
+    if len(h):
+        at = np.searchsorted(h, elements)
+        at[at == len(h)] = 0
+        kind = np.where(h[at] == elements, kinds[at], 0)
+        elements = elements[np.argsort(kind, kind="stable")]
+    return elements[:k]
+
+
 EDGES = "a binary, b binary"
 
 
@@ -216,7 +275,7 @@ def _chains(nodes: np.ndarray, run: np.ndarray) -> tuple[list, list]:
     return [a for a, _ in pairs], [b for _, b in pairs]
 
 
-def _edge_blocks(percent: int, buckets: int):
+def _edge_blocks(percent: int, buckets: int, common):
     """As ``_prefix_blocks``, but with nodes: chains among the holders of a chunk, and one holder of each element."""
 
     def flush(parts: list[np.ndarray], names: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +309,7 @@ def _edge_blocks(percent: int, buckets: int):
         parts, names, size = [], [], 0
         for batch in batches:
             for node, elements in zip(batch.column("node"), batch.column("elements"), strict=True):
-                s = elements.values.to_numpy()
-                parts.append(s[: prefix_length(len(s), percent)])
+                parts.append(rare_prefix(elements.values.to_numpy(), common.value, percent))
                 names.append(node.as_py())
                 size += len(parts[-1])
                 if size >= CHUNK:
@@ -391,8 +449,9 @@ def linked_documents(
     sets = materialize(sets, "sets")
 
     size = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = 1 + int(0.3 * size) // BUCKET
-    blocks = sets.select("node", "elements").mapInArrow(_edge_blocks(percent, buckets), "bucket int, h array<long>, a array<binary>, b array<binary>")
+    common = documents.sparkSession.sparkContext.broadcast(common_elements(sets, 1 + size // BUCKET))
+    buckets = 1 + int(0.2 * size) // BUCKET
+    blocks = sets.select("node", "elements").mapInArrow(_edge_blocks(percent, buckets, common), "bucket int, h array<long>, a array<binary>, b array<binary>")
     near = components(blocks.groupBy("bucket").applyInArrow(_edges, EDGES))
 
     located = sets.join(near.withColumnRenamed("root", "component"), "node")
