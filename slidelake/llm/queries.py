@@ -14,6 +14,8 @@ from slidelake.llm.html_text import main_texts
 from slidelake.llm.html_text import train as train_blocks
 from slidelake.llm.jaccard import linked_documents
 from slidelake.llm.language import held_out, predict, train
+from slidelake.llm.licences import scan_licences
+from slidelake.llm.line_templates import without_recurring_lines
 from slidelake.llm.mixing import mixed_documents
 from slidelake.llm.neighbours import nearest
 from slidelake.llm.token_files import read_token_files, write_token_files
@@ -107,6 +109,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"), train_blocks())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_recurring_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -155,6 +161,17 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"])))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licences"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["dice"])), F.lit(0.0)).alias("best"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -167,9 +184,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_language": (op2_language, None),
     "op3_main_text": (op3_main_text, None),
+    "op4_line_dedup": (op4_line_dedup, None),
     "op5_nearest": (op5_nearest, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
     "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_url_rules": (op8_url_rules, OP8_SQL),
+    "op9_licences": (op9_licences, None),
     "op10_token_files": (op10_token_files, None),
 }
