@@ -43,24 +43,57 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX_ENTRY, TABLE_ENTRY, FOOTER = struct.Struct("<qqIQ"), struct.Struct("<III"), struct.Struct("<IBI")
 FRAME_BYTES = 1 << 18
 #: Words whose ids a task remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 
 
 class CorruptFrame(ValueError):
     """A frame does not have the bytes its checksum was taken of."""
 
 
+#: Words of Latin letters, marks and single line breaks: byte-level pre-tokens part exactly between these pieces.
+LETTERS, MARKS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+", "[.,;:!?|]+"
+PLAIN = re.compile(rf"(?:{LETTERS}|{MARKS}|\n(?=\S))+")
+PIECE = re.compile(rf"{LETTERS}|{MARKS}|\n")
+
+
+def byte_characters() -> dict[int, int]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else the next from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class PieceMemo(dict):
+    """Ids of single pre-tokens, as bytes, by the tokenizer's model; found when first asked for."""
+
+    def __init__(self, model, kind: np.dtype, most: int) -> None:
+        super().__init__()
+        self.model, self.kind, self.most, self.written = model, kind, most, byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        written = piece.encode().decode("latin-1").translate(self.written)
+        ids = self[piece] = np.array([t.id for t in self.model.tokenize(written)], self.kind).tobytes()
+        return ids
+
+
 class WordMemo(dict):
-    """Ids of " " + word by word, as bytes; encoded when first asked for."""
+    """Ids of " " + word by word, as bytes; encoded when first asked for, by pieces where the word has plain ones."""
 
     def __init__(self, tokenizer, kind: np.dtype, most: int) -> None:
         super().__init__()
         self.tokenizer, self.kind, self.most = tokenizer, kind, most
+        self.pieces = PieceMemo(tokenizer.model, kind, most)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.tokenizer.encode(" " + word, add_special_tokens=False).ids, self.kind).tobytes()
+        if PLAIN.fullmatch(word):
+            first, *rest = PIECE.findall(word)
+            ids = self.pieces[" " + first] + b"".join(map(self.pieces.__getitem__, rest))
+        else:
+            ids = np.array(self.tokenizer.encode(" " + word, add_special_tokens=False).ids, self.kind).tobytes()
         self[word] = ids
         return ids
 
