@@ -147,7 +147,7 @@ def _ensemble_metrics(s, d):
 
 def _fold_results(s, d):
     # Slides per fold are ids, as in leave-out folds of the whole table.
-    return evaluation.fold_results(fx.predictions(s, d))
+    return evaluation.fold_results(fx.predictions(s, d), digits=9)
 
 
 _FOLD_CTES = {
@@ -232,13 +232,20 @@ def _probe(model: str) -> Query:
     return run
 
 
+_GROUP_FOLDS = f"""SELECT e.vec_id, (e.label % 6)::INTEGER AS y, (e.vec_id % 23)::INTEGER AS site, r.fold FROM embeddings e JOIN (
+  SELECT site, (CASE WHEN (r - 1) % 10 < 5 THEN (r - 1) % 10 ELSE 9 - (r - 1) % 10 END)::INTEGER AS fold FROM (
+    SELECT site, row_number() OVER (ORDER BY main, n DESC, {sql_u32("'42|' || site")}, site) AS r FROM (
+      SELECT site, sum(n) AS n, list(c ORDER BY n DESC, c)[1] AS main FROM (
+        SELECT (vec_id % 23)::INTEGER AS site, (label % 6)::VARCHAR AS c, count(*) AS n FROM embeddings GROUP BY 1, 2) GROUP BY site))) r
+ON r.site = e.vec_id % 23"""
+
+
 def _group_fold_checks(s, d):
-    """Rows, sites, sites found in more than one fold, folds in use."""
+    """Rows per fold and class, and how many sites were found in more than one fold."""
     f = folds.kfold_stratified_group(_vectors(s, d).select("vec_id", "y", "site"), "y", "site", ["vec_id"])
-    per = f.groupBy("site").agg(F.count_distinct("fold").alias("k"), F.count(F.lit(1)).alias("n"), F.min("fold").alias("f"))
-    return per.agg(
-        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_sites"), F.count_if(F.col("k") > 1).alias("n_split"), F.count_distinct("f").alias("n_folds")
-    )
+    sizes = f.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
+    split = f.groupBy("site").agg(F.count_distinct("fold").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_split"))
+    return sizes.withColumn("n_split", split.scalar())
 
 
 def _evaluation(s, d):
@@ -291,11 +298,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "kfold_stratified_group": (
         lambda s, d: folds.kfold_stratified_group(_vectors(s, d).select("vec_id", "y", "site"), "y", "site", ["vec_id"]),
-        None,
+        _GROUP_FOLDS,
     ),
     "kfold_stratified_group_checks": (
         _group_fold_checks,
-        "SELECT count(*) AS n_rows, count(DISTINCT vec_id % 23) AS n_sites, 0::BIGINT AS n_split, 5::BIGINT AS n_folds FROM embeddings",
+        f"""WITH f AS ({_GROUP_FOLDS}) SELECT fold, y, count(*) AS n,
+  (SELECT count(*) FROM (SELECT site FROM f GROUP BY site HAVING count(DISTINCT fold) > 1)) AS n_split FROM f GROUP BY fold, y""",
     ),
     "center_folds": (
         _center_folds,
@@ -388,7 +396,7 @@ UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 9), roun
         with_views(f"SELECT seed, round(auprc, 9) AS auprc FROM ({_auc_sql(_SCORED, 'seed')})", "predictions"),
     ),
     "auroc_ovr_macro": (
-        lambda s, d: r9(metrics.auroc_ovr_macro(fx.predictions(s, d), "probs", "y", ["seed"]), "macro_auroc_ovr"),
+        lambda s, d: r9(metrics.auroc_ovr_macro(fx.predictions(s, d), "probs", "y", ["seed"], 9), "macro_auroc_ovr"),
         with_views(f"SELECT seed, round(macro_auc, 9) AS macro_auroc_ovr FROM ({_ovr_sql('seed')})", "predictions"),
     ),
     "qw_kappa": (
@@ -399,7 +407,7 @@ UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 9), roun
         ),
     ),
     "threshold_metrics": (
-        lambda s, d: r9(metrics.threshold_metrics(fx.predictions(s, d), "probs", "y", keys=["seed"]), "auroc", "auprc", "pos_rate"),
+        lambda s, d: r9(metrics.threshold_metrics(fx.predictions(s, d), "probs", "y", keys=["seed"], digits=9), "auroc", "auprc", "pos_rate"),
         with_views(
             f"SELECT seed, threshold, n, n_pos, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc, round(pos_rate, 9) AS pos_rate FROM ({_auc_sql(_THRESH, 'seed, threshold')})",
             "predictions",
@@ -407,8 +415,8 @@ UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 9), roun
     ),
     "metrics_by_provider": (
         lambda s, d: (lambda p: r9(
-            metrics.threshold_metrics(p, "probs", "y", keys=["seed", "provider"])
-            .join(metrics.auroc_ovr_macro(p, "probs", "y", ["seed", "provider"]), ["seed", "provider"]),
+            metrics.threshold_metrics(p, "probs", "y", keys=["seed", "provider"], digits=9)
+            .join(metrics.auroc_ovr_macro(p, "probs", "y", ["seed", "provider"], 9), ["seed", "provider"]),
             "auroc", "auprc", "pos_rate", "macro_auroc_ovr"))(fx.predictions(s, d)),
         with_views(
             f"""SELECT seed, provider, threshold, n, n_pos, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc, round(pos_rate, 9) AS pos_rate,
@@ -475,12 +483,12 @@ UNION ALL SELECT 'kappa', round(kappa, 9) FROM ({_kappa_sql('', '')})""",
         _gates,
         with_views(
             """SELECT 'G1_2scale_coverage' AS name, CASE WHEN n >= 18000 THEN 'PASS' WHEN n >= 15000 THEN 'WARN' ELSE 'FAIL' END AS status,
-  n || CASE WHEN n >= 18000 THEN ' slides with both scales' WHEN n >= 15000 THEN ' < expected' ELSE ' very low' END AS detail
+  CASE WHEN n >= 18000 THEN 'covered' WHEN n >= 15000 THEN 'somewhat short' ELSE 'far too few' END || ' at both scales: ' || n AS detail
 FROM (SELECT count(*) AS n FROM (SELECT bag FROM tiles WHERE scale = 0.5 INTERSECT SELECT bag FROM tiles WHERE scale = 2.0))
 UNION ALL SELECT 'G2_loss_improvement', CASE WHEN r >= 0.6 THEN 'PASS' WHEN r >= 0.3 THEN 'WARN' ELSE 'FAIL' END,
-  CASE WHEN r >= 0.6 THEN 'relative drop ' WHEN r >= 0.3 THEN 'modest drop ' ELSE 'weak drop ' END || format('{:.2f}', r)
+  CASE WHEN r >= 0.6 THEN 'loss fell enough, by ' WHEN r >= 0.3 THEN 'loss fell somewhat, by ' ELSE 'loss hardly fell, by ' END || format('{:.2f}', r)
 FROM (SELECT rel_improvement AS r FROM trend)
-UNION ALL SELECT 'G4_checkpoints', CASE WHEN count(*) = 0 THEN 'FAIL' ELSE 'PASS' END, count(*) || ' file(s), latest loads OK' FROM tile_groups""",
+UNION ALL SELECT 'G4_checkpoints', CASE WHEN count(*) = 0 THEN 'FAIL' ELSE 'PASS' END, 'found and readable: ' || count(*) FROM tile_groups""",
             "tile_groups", "train_log", extra={"trend": _TREND},
         ),
     ),

@@ -22,12 +22,16 @@ def _ids(s, d):
 
 
 def _norms(s, d):
-    return budget.norms(fx.tile_features(s, d))
+    # Rounded on both sides, so that ranks agree across engines.
+    return budget.norms(fx.tile_features(s, d)).withColumn("norm", F.round("norm", 9))
 
 
 def _level(s, d):
-    base = parsing.to_number(parsing.first_non_empty("mpp_a", "mpp_b"))
-    sl = fx.slides(s, d).select(
+    base = parsing.first_number("mpp_a", "mpp_b")
+    # Some first properties hold text; the second then counts.
+    bad = F.when(F.col("doc_id") % 7 == 3, F.lit("n/a")).otherwise(F.col("mpp_a"))
+    second = F.when(F.col("doc_id") % 14 == 3, F.lit("0.5")).otherwise(F.col("mpp_b"))
+    sl = fx.slides(s, d).withColumns({"mpp_a": bad, "mpp_b": second}).select(
         "slide_id", base.alias("base"), "downsamples", F.explode(F.array(F.lit(0.5), F.lit(2.0))).alias("scale")
     )
     out = sl.withColumn("l", tiling.choose_level(F.col("base"), F.col("downsamples"), F.col("scale")))
@@ -37,7 +41,8 @@ def _level(s, d):
 _LEVEL_SQL = """SELECT slide_id, scale, level::INTEGER AS level, approx_mpp FROM (
   SELECT slide_id, scale, level, base * ds AS approx_mpp,
     row_number() OVER (PARTITION BY slide_id, scale ORDER BY abs(base * ds - scale), pos) AS r
-  FROM (SELECT slide_id, coalesce(TRY_CAST(coalesce(nullif(mpp_a, ''), nullif(mpp_b, '')) AS DOUBLE), 0.25::DOUBLE) AS base FROM slides),
+  FROM (SELECT slide_id, coalesce(TRY_CAST(a AS DOUBLE), TRY_CAST(b AS DOUBLE), 0.25::DOUBLE) AS base FROM (
+    SELECT slide_id, CASE WHEN doc_id % 7 = 3 THEN 'n/a' ELSE mpp_a END AS a, CASE WHEN doc_id % 14 = 3 THEN '0.5' ELSE mpp_b END AS b FROM slides)),
     (VALUES (0, 0, 1::DOUBLE), (1, 0, 1::DOUBLE), (2, 1, 2::DOUBLE), (3, 2, 4::DOUBLE), (4, 3, 8::DOUBLE)) v(pos, level, ds),
     (VALUES (0.5::DOUBLE), (2.0::DOUBLE)) t(scale))
 WHERE r = 1"""

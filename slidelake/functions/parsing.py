@@ -35,7 +35,7 @@ def stem(path) -> Column:
 def class_from_path(path, root: str) -> Column:
     """First folder below the root; ``UNKNOWN`` for a file right in the root."""
     base = root.rstrip("/") + "/"
-    parts = F.split(F.substring(_col(path), len(base) + 1, 1_000_000), "/")
+    parts = F.split(F.substr(_col(path), F.lit(len(base) + 1)), "/")
     return F.when(_col(path).isNull(), None).when(F.size(parts) >= 2, parts[0]).otherwise(F.lit("UNKNOWN"))
 
 
@@ -44,6 +44,11 @@ def first_non_empty(*cols) -> Column:
     return F.coalesce(*[F.nullif(_col(c), F.lit("")) for c in cols])
 
 
+def first_number(*cols) -> Column:
+    """First value that is a number; text before it is passed over."""
+    return F.coalesce(*[to_number(c) for c in cols])
+
+
 def to_number(c) -> Column:
     """Number or NULL; never raises."""
     return _col(c).try_cast("double")

@@ -22,8 +22,9 @@ BUDGETS = {0.5: 1200, 2.0: 400}
 
 
 def budget_of(scale: str, budgets: dict[float, int]) -> Column:
-    """Budget of a row's scale; an unlisted scale has none."""
-    out = F.lit(0)
+    """Budget of a row's scale; a row of an unlisted scale raises, so that no tile is lost unnoticed."""
+    text = F.concat(F.lit("no budget for scale "), F.coalesce(F.col(scale).cast("string"), F.lit("NULL")))
+    out = F.raise_error(text).cast("int")
     for s, k in budgets.items():
         out = F.when(F.col(scale) == s, F.lit(k)).otherwise(out)
     return out
@@ -34,9 +35,10 @@ def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "n_candidates")
 
 
 def _emit(chosen: DataFrame, sizes: DataFrame, keys: Sequence[str], k: Column, order: str, pos: Column) -> DataFrame:
-    """Output position: file order when the group fits its budget, else ``pos``."""
+    """Output position: file order when the group fits its budget, else ``pos``.  A NULL key is a group too."""
     in_order = W.partitionBy(*keys).orderBy(order)
-    return chosen.join(sizes, list(keys)).withColumn(
+    own = F.struct(*[F.col(c) for c in keys]).alias("__key")
+    return chosen.select("*", own).join(sizes.select(own, "n_candidates"), "__key").drop("__key").withColumn(
         "tile_idx",
         F.when(F.col("n_candidates") <= k, F.row_number().over(in_order) - 1).otherwise(pos).cast("bigint"),
     )
@@ -61,9 +63,9 @@ def sample_uniform(
     return out.drop("__h", "__rank", "n_candidates")
 
 
-def norms(features: DataFrame, feat: str = "feat", digits: int = 9) -> DataFrame:
-    """Replace the vector by its norm, rounded so that ranks agree across engines."""
-    return features.withColumn("norm", F.round(l2_norm(feat), digits)).drop(feat)
+def norms(features: DataFrame, feat: str = "feat") -> DataFrame:
+    """Replace the vector by its norm."""
+    return features.withColumn("norm", l2_norm(feat)).drop(feat)
 
 
 def topk_l2norm(
@@ -99,20 +101,30 @@ def topk_or_uniform(
 ) -> DataFrame:
     """Norm selection where every candidate has a feature row, else a uniform sample.
 
-    Both selections run over the whole tables, each cut to its budget; which one
-    counts is settled per group on the few survivors.
+    The two tables are stacked and counted per group once, which settles the mode; the rows of the table that the mode
+    uses are then ranked in one pass, by norm or by hash, and cut to the budget.
     """
-    have = group_sizes(candidates, keys, "__c").join(group_sizes(features, keys, "__f"), list(keys), "left")
-    mode = have.select(
-        *keys,
-        F.when(F.coalesce("__f", F.lit(0)) == F.col("__c"), F.lit("l2_norm")).otherwise(F.lit("uniform")).alias("mode"),
+    cols = [*keys, id_col, order]
+    stacked = candidates.select(*cols, F.lit(None).cast("double").alias("__norm"), F.lit("uniform").alias("mode")).unionByName(
+        features.select(*cols, F.col("norm").cast("double").alias("__norm"), F.lit("l2_norm").alias("mode"))
     )
-    cols = [*keys, id_col, "tile_idx"]
-    by_norm = topk_l2norm(features, keys, budgets, id_col, order, scale).select(*cols, F.lit("l2_norm").alias("mode"))
-    by_hash = sample_uniform(candidates, keys, budgets, id_col, order, seed, scale).select(
-        *cols, F.lit("uniform").alias("mode")
+    own = F.struct(*[F.col(c) for c in keys]).alias("__key")
+    sizes = stacked.groupBy(own).agg(
+        F.count_if(F.col("mode") == "uniform").alias("__c"), F.count_if(F.col("mode") == "l2_norm").alias("__f")
     )
-    return by_norm.unionByName(by_hash).join(mode, [*keys, "mode"], "left_semi")
+    settled = sizes.where("__c > 0").select(
+        "__key", F.when(F.col("__c") == F.col("__f"), "l2_norm").otherwise("uniform").alias("mode"), F.col("__c").alias("n_candidates")
+    )
+    rows = stacked.select("*", own).join(settled, ["__key", "mode"])
+    k = budget_of(scale, budgets)
+    by_norm = F.col("mode") == "l2_norm"
+    # Ascending in both modes: by falling norm and id, or by hash and id.
+    place = [F.when(by_norm, -F.col("__norm")).otherwise(u32(seed, F.col(id_col)).cast("double")), F.when(by_norm, -F.col(id_col)).otherwise(F.col(id_col))]
+    top = top_k_per_group(rows, keys, place, k, max(budgets.values()), F.col(id_col), rank="__rank")
+    in_order = W.partitionBy(*keys).orderBy(order)
+    pos = F.when(by_norm, k - F.col("__rank")).otherwise(F.col("__rank") - 1)
+    at = F.when(F.col("n_candidates") <= k, F.row_number().over(in_order) - 1).otherwise(pos).cast("bigint")
+    return top.withColumn("tile_idx", at).select(*keys, id_col, "tile_idx", "mode")
 
 
 def head_budget(

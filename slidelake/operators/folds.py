@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,46 +24,23 @@ def kfold_stratified(df: DataFrame, stratum: str, id_col: str, k: int = 5, seed:
 
 
 def kfold_stratified_group(
-    df: DataFrame, stratum: str, group: str, row_id: Sequence[str], k: int = 5, seed: int = 42, chunk: int = 10_000
+    df: DataFrame, stratum: str, group: str, row_id: Sequence[str], k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Folds that keep groups whole and class shares even.
+    """Folds that keep groups whole and class shares near even.
 
-    Rows are reduced to (group, class) counts.  The groups are then placed one
-    by one, the most uneven first, each where the spread of class shares over
-    the folds stays smallest.  Placing is sequential by nature, so groups are
-    hashed into chunks of about ``chunk`` groups that are balanced on their own;
-    up to that many groups there is a single chunk.
+    Groups are ordered by their commonest class (the smallest on a tie), by falling size and by hash, and dealt to the
+    folds to and fro, so groups of one class and of like size go to different folds.  The order is a distributed rank:
+    no group, and no number of groups, is special.  Rows with a NULL group are one group.
     """
-    counts = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n"))
-    per_group = counts.groupBy(group).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(stratum).cast("string"), "n")))).alias("c")
-    )
-    n_groups = df.agg(F.approx_count_distinct(group).alias("g")).scalar()
-    n_chunks = F.greatest(F.ceil(n_groups / F.lit(chunk)), F.lit(1))
-    placed = per_group.withColumn("__h", u32(seed, F.col(group))).withColumn("__chunk", F.pmod(F.col("__h"), n_chunks))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        classes = sorted({c for m in pdf["c"] for c in m})
-        table = np.array([[m.get(c, 0) for c in classes] for m in pdf["c"]], dtype=float)
-        total = np.maximum(table.sum(axis=0), 1)
-        order = np.lexsort((pdf["__h"].to_numpy(), -table.std(axis=1)))
-        folds = np.zeros((k, len(classes)))
-        chosen = np.zeros(len(pdf), dtype=np.int32)
-        for g in order:
-            best = None
-            for f in range(k):
-                folds[f] += table[g]
-                score = ((folds / total).std(axis=0).mean(), folds[f].sum())
-                folds[f] -= table[g]
-                if best is None or score < best[0]:
-                    best = (score, f)
-            chosen[g] = best[1]
-            folds[best[1]] += table[g]
-        return pd.DataFrame({group: pdf[group], "fold": chosen})
-
-    kind = df.schema[group].dataType.simpleString()
-    fold_of = placed.groupBy("__chunk").applyInPandas(place, f"{group} {kind}, fold int")
-    return group_join(df, fold_of, [group], row_id)
+    own = F.struct(F.col(group))
+    counts = df.groupBy(own.alias("__g"), F.col(stratum).cast("string").alias("__c")).agg(F.count(F.lit(1)).alias("n"))
+    per_group = counts.groupBy("__g").agg(F.sum("n").alias("n_rows"), F.min(F.struct((-F.col("n")).alias("less"), "__c"))["__c"].alias("main"))
+    hashed = per_group.withColumn("__h", u32(seed, F.coalesce(F.col("__g")[group].cast("string"), F.lit(""))))
+    order = [F.col("main").asc_nulls_first(), F.col("n_rows").desc(), F.col("__h").asc(), F.col("__g").asc()]
+    ranked = exact_rank(hashed, [], order, rank="__r")
+    turn = (F.col("__r") - 1) % (2 * k)
+    fold_of = ranked.select("__g", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return group_join(df.withColumn("__g", own), fold_of, ["__g"], row_id).drop("__g")
 
 
 def leave_one_group_out(df: DataFrame, center: str, unknown: int = -1) -> DataFrame:

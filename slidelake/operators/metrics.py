@@ -203,28 +203,31 @@ def _ranking_from_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def auroc_ovr_macro(df: DataFrame, probs: str, y: str, keys: Sequence[str] = (), digits: int = 9) -> DataFrame:
-    """Mean one-vs-rest AUROC over the probability columns; NULL if a class is absent."""
+def auroc_ovr_macro(df: DataFrame, probs: str, y: str, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    """Mean one-vs-rest AUROC over the probability columns; NULL if a class is absent.
+
+    Scores are ranked as they are; ``digits`` rounds them first, for comparisons across engines.
+    """
     rows = df.select(*keys, F.col(y).alias("__y"), F.posexplode(probs).alias("__k", "__p"))
-    rows = rows.withColumn("__p", F.round("__p", digits)).withColumn(
-        "__hit", (F.col("__y") == F.col("__k")).cast("int")
-    )
+    score = F.col("__p") if digits is None else F.round("__p", digits)
+    rows = rows.withColumns({"__p": score, "__hit": (F.col("__y") == F.col("__k")).cast("int")})
     per = ranking_metrics(rows, "__p", "__hit", [*keys, "__k"])
     mean = F.when(F.count("auroc") == F.count(F.lit(1)), F.avg("auroc"))
     return _agg(per, keys, mean.alias("macro_auroc_ovr"))
 
 
 def threshold_metrics(
-    df: DataFrame, probs: str, y: str, thresholds: Sequence[int] = (1, 2, 3, 4, 5), keys: Sequence[str] = (), digits: int = 9
+    df: DataFrame, probs: str, y: str, thresholds: Sequence[int] = (1, 2, 3, 4, 5), keys: Sequence[str] = (), digits: int | None = None
 ) -> DataFrame:
-    """AUROC, AUPRC and prevalence of y >= t scored by the probability mass from t up."""
+    """AUROC, AUPRC and prevalence of y >= t scored by the probability mass from t up; ``digits`` as above."""
     p = scale_to_sum(probs)
     rows = df.select(*keys, F.col(y).alias("__y"), p.alias("__p"))
     rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    mass = tail_mass("__p", F.col("threshold"))
     rows = rows.select(
         *keys,
         "threshold",
-        F.round(tail_mass("__p", F.col("threshold")), digits).alias("__s"),
+        (mass if digits is None else F.round(mass, digits)).alias("__s"),
         (F.col("__y") >= F.col("threshold")).cast("int").alias("__hit"),
     )
     return ranking_metrics(rows, "__s", "__hit", [*keys, "threshold"])

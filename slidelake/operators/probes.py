@@ -43,14 +43,15 @@ def _vec(feat: str) -> Column:
     return array_to_vector(F.col(feat))
 
 
-def _fit_logreg(train, test, y, feat, c, l1, balanced, max_iter):
+def _fit_logreg(train, test, y, feat, c, l1, balanced, max_iter, family="auto"):
+    """``auto`` fits two classes as a binomial model; ``multinomial`` penalises both classes' weights there."""
     table = _class_table(train, y)
     n = sum(k for _, k in table)
     labels = F.array(*[F.lit(label) for label, _ in table])
     code = (F.array_position(labels, F.col(y)) - 1).cast("double")
     weight = _balanced(y, table) if balanced else F.lit(1.0)
     model = LogisticRegression(
-        family="multinomial", featuresCol="__x", labelCol="__y", weightCol="__w", regParam=1.0 / (c * n),
+        family=family, featuresCol="__x", labelCol="__y", weightCol="__w", regParam=1.0 / (c * n),
         elasticNetParam=1.0 if l1 else 0.0, standardization=False, maxIter=max_iter, tol=1e-8,
         probabilityCol="__p", predictionCol="__c", rawPredictionCol="__raw",
     ).fit(train.select(_vec(feat).alias("__x"), code.alias("__y"), weight.alias("__w")))
@@ -115,11 +116,12 @@ def _fit_ordinal(train, test, y, feat, c, max_iter):
 
 
 def fit_predict(
-    train: DataFrame, test: DataFrame, model: str, c: float, y: str = "y", feat: str = "feat", max_iter: int = 200, balanced: bool = True
+    train: DataFrame, test: DataFrame, model: str, c: float, y: str = "y", feat: str = "feat", max_iter: int = 200, balanced: bool = True,
+    family: str = "auto",
 ) -> DataFrame:
     """Fit one probe on scaled training rows and add ``pred`` to the test rows."""
     if model in ("logreg_l2", "logreg_l1"):
-        return _fit_logreg(train, test, y, feat, c, model == "logreg_l1", balanced, max_iter)
+        return _fit_logreg(train, test, y, feat, c, model == "logreg_l1", balanced, max_iter, family)
     if model == "ridge":
         return _fit_ridge(train, test, y, feat, c, balanced)
     if model == "ordinal":

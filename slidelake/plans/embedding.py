@@ -19,11 +19,14 @@ def slide_embeddings(
 ) -> DataFrame:
     """Budgeted tokens of the bags with both scales, pooled to one vector per bag.
 
+    A bag with any vector that is missing or of another length is left out whole: the rest would not stand for it.
+
     Ids are cut to the budget before any vector is touched.  The last kept place
     per (bag, scale) then tells every row whether it counts, so the vectors are
     pooled where they lie.
     """
-    good = validate_vectors(features, dim).where(F.col("ok")).drop("ok", "reason")
+    refused = bad_bags(features, dim, bag)
+    good = checked_join(features.where(F.col(bag).isNotNull()), refused, [bag], [id_col], "left_anti")
     both = two_scale_ids(good, bag)
     ids = good.select(bag, "scale", id_col, F.col("tile_idx").alias("__order"))
     ids = group_join(ids, both, [bag], [id_col], "left_semi")
@@ -39,17 +42,23 @@ def slide_embeddings(
     return pooled.join(counts, bag).withColumn("norm", l2_norm("emb"))
 
 
+def bad_bags(features: DataFrame, dim: int, bag: str) -> DataFrame:
+    """(bag, why) of the bags with a bad vector; of several reasons the smallest."""
+    bad = validate_vectors(features, dim).where(~F.col("ok"))
+    return bad.where(F.col(bag).isNotNull()).groupBy(bag).agg(F.min("reason").alias("why"))
+
+
 def patient_embeddings(slides: DataFrame, patient: str = "patient", pool: str = "mean", emb: str = "emb") -> DataFrame:
     return (mean_pool if pool == "mean" else max_pool)(slides, [patient], emb)
 
 
 def embedding_outcomes(features: DataFrame, dim: int, bag: str = "bag", **options) -> DataFrame:
-    """Every bag with its vector, or with the reason why it has none."""
+    """Every bag with its vector, or with the reason why it has none: a bad vector, or a scale without rows."""
     made = slide_embeddings(features, dim, bag, **options).withColumn("ok", F.lit(True))
-    out = features.select(bag).distinct().join(made, bag, "left")
+    out = features.select(bag).distinct().join(made, bag, "left").join(bad_bags(features, dim, bag), bag, "left")
     return out.withColumns(
         {
             "ok": F.coalesce("ok", F.lit(False)),
-            "reason": F.when(F.col("ok").isNull(), F.lit("missing_feature_file")),
+            "reason": F.when(F.col("ok").isNull(), F.coalesce("why", F.lit("missing_feature_file"))),
         }
-    )
+    ).drop("why")

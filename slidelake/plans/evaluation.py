@@ -25,15 +25,15 @@ from slidelake.session import materialize
 METRICS = ("accuracy", "balanced_accuracy", "macro_f1", "macro_auc")
 
 
-def fold_results(oof: DataFrame, keys: tuple[str, ...] = ("seed", "fold"), probs: str | None = "probs") -> DataFrame:
-    """Accuracy, balanced accuracy, macro F1 and macro AUROC per (seed, fold)."""
+def fold_results(oof: DataFrame, keys: tuple[str, ...] = ("seed", "fold"), probs: str | None = "probs", digits: int | None = None) -> DataFrame:
+    """Accuracy, balanced accuracy, macro F1 and macro AUROC per (seed, fold); ``digits`` rounds the scores first."""
     k = list(keys)
     c = cells(oof, k)
     hit = F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")
     acc = c.groupBy(*k).agg(hit.alias("accuracy"))
     out = acc.join(balanced_accuracy(c, k), k).join(macro_f1(c, k), k)
     if probs is not None:
-        out = out.join(auroc_ovr_macro(oof, probs, "y", k).withColumnRenamed("macro_auroc_ovr", "macro_auc"), k)
+        out = out.join(auroc_ovr_macro(oof, probs, "y", k, digits).withColumnRenamed("macro_auroc_ovr", "macro_auc"), k)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,17 +32,23 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder all executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
-    where that is unset (tests on one machine) a temporary one is made and kept
-    for the rest of the session.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Where that is unset, a temporary one is made
+    if all tasks run on this machine; on a cluster that is an error, as each executor would write to its own disk.
+    Each application has one folder in it, which is removed when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("slidelake.scratch", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="slidelake-")
-        spark.conf.set("slidelake.scratch", base)
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+    root = spark.conf.get("slidelake.scratch", None)
+    if not root:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = base or tempfile.mkdtemp(prefix="slidelake-")
+        root = os.path.join(base, f"slidelake-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        spark.conf.set("slidelake.scratch", root)
+    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:

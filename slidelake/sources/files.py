@@ -163,15 +163,20 @@ def read_npy(spark: SparkSession, root: str, dim: int | None = None) -> DataFram
 
 
 def image_scan(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images: path, width, height, channels and pixel bytes in BGR order."""
-    df = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
-    i = F.col("image")
+    """Decoded images: path, width, height, channels, pixel bytes in BGR order, and error.
+
+    An image that cannot be read keeps its row: sizes and bytes are NULL, and ``error`` says so.
+    """
+    df = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
+    bad = F.col("image")["width"] <= 0
+    i = F.when(~bad, F.col("image"))
     return df.select(
-        i["origin"].alias("path"),
+        F.col("image")["origin"].alias("path"),
         i["width"].alias("width"),
         i["height"].alias("height"),
         i["nChannels"].alias("channels"),
         i["data"].alias("data"),
+        F.when(bad, F.lit("unreadable image")).alias("error"),
     )
 
 
@@ -213,10 +218,11 @@ def discover_label_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def artefact_table(spark: SparkSession, root: str, suffixes: Sequence[str] = ("pt", "pth", "safetensors"), recent: int = 6) -> DataFrame:
-    """The latest model files: size in MB, short digest, whether they can be read."""
+    """The latest model files: size in MB, short digest, whether they can be read, and how many files there are in all."""
+    listed = _all_files(spark, root, suffixes)
+    n_files = listed.count()
     latest = (
-        _all_files(spark, root, suffixes)
-        .orderBy(F.col("modificationTime").desc(), F.col("path").desc())
+        listed.orderBy(F.col("modificationTime").desc(), F.col("path").desc())
         .limit(recent)
     )
 
@@ -245,6 +251,7 @@ def artefact_table(spark: SparkSession, root: str, suffixes: Sequence[str] = ("p
         F.round(F.col("length") / (1024.0**2), 2).alias("size_mb"),
         "sha256_12",
         (F.col("sha256_12").isNotNull() & (F.col("length") > 0)).alias("load_ok"),
+        F.lit(n_files).cast("bigint").alias("n_files"),
     )
 
 

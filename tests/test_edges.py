@@ -120,11 +120,11 @@ def test_coverage_forms_agree_with_brute_force(spark, h, w, lw, lh):
 
 
 def test_budget_within_and_beyond(spark):
-    rows = [("a", 0.5, i, i, float(i % 4)) for i in range(10)] + [("b", 2.0, 100 + i, i, 1.0) for i in range(2)] + [("c", 1.0, 200, 0, 1.0)]
+    rows = [("a", 0.5, i, i, float(i % 4)) for i in range(10)] + [("b", 2.0, 100 + i, i, 1.0) for i in range(2)]
     df = spark.createDataFrame(rows, "bag string, scale double, id int, ord int, norm double")
     b = {0.5: 4, 2.0: 3}
     top = budget.topk_l2norm(df, ["bag", "scale"], b, "id", "ord").orderBy("bag", "tile_idx").collect()
-    # norm 3: ids 3, 7; norm 2: ids 2, 6; rising norm, ties by id; the unlisted scale has no budget.
+    # norm 3: ids 3, 7; norm 2: ids 2, 6; rising norm, ties by id.
     assert [(r["bag"], r["id"]) for r in top] == [("a", 2), ("a", 6), ("a", 3), ("a", 7), ("b", 100), ("b", 101)]
     for parts in (1, 3):
         u = budget.sample_uniform(df.repartition(parts), ["bag", "scale"], b, "id", "ord", 9)
@@ -133,6 +133,14 @@ def test_budget_within_and_beyond(spark):
         if parts == 1:
             first = got
     assert got == first
+    # A NULL key is a group like any other; an unlisted scale is an error, not a loss.
+    nulls = spark.createDataFrame([(None, 0.5, i, i, 1.0) for i in range(6)], df.schema)
+    assert budget.sample_uniform(nulls, ["bag", "scale"], b, "id", "ord", 9).count() == 4
+    assert budget.topk_or_uniform(nulls, nulls, ["bag", "scale"], b, "id", "ord", 9).count() == 4
+    other = spark.createDataFrame([("c", 1.0, 200, 0, 1.0)], df.schema)
+    for run in (lambda: budget.topk_l2norm(other, ["bag", "scale"], b, "id", "ord"), lambda: budget.head_budget(other, ["bag", "scale"], b, "ord")):
+        with pytest.raises(Exception, match="no budget for scale 1.0"):
+            run().collect()
 
 
 def test_scan_budget_rounds_up_to_batches(spark):
@@ -260,7 +268,7 @@ def test_gate_levels(spark):
     got = [(r["name"][:2], r["status"]) for r in diagnostics.gates(counts, trend, files).collect()]
     assert got == [("G1", "WARN"), ("G2", "WARN"), ("G4", "WARN")]
     none = diagnostics.gates(counts, trend, files.where("false")).collect()[2]
-    assert (none["status"], none["detail"]) == ("FAIL", "no model files")
+    assert (none["status"], none["detail"]) == ("FAIL", "none found")
 
 
 def test_fill_center_needs_enough_gaps(spark):
@@ -287,10 +295,12 @@ def test_fold_invariants(spark):
     for r in k.groupBy("y", "fold").count().collect():
         sizes.setdefault(r["y"], []).append(r["count"])
     assert k.count() == len(rows) and all(len(s) == 5 and max(s) - min(s) <= 1 for s in sizes.values())
-    for chunk in (10_000, 8):
-        g = folds.kfold_stratified_group(df, "y", "site", ["id"], chunk=chunk)
-        assert g.count() == len(rows)
-        assert g.groupBy("site").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+    # Rows without a site are one group.
+    rows += [(2000 + i, None, i % 3) for i in range(7)]
+    df = spark.createDataFrame(rows, "id int, site string, y int")
+    g = folds.kfold_stratified_group(df, "y", "site", ["id"])
+    assert g.count() == len(rows)
+    assert g.groupBy("site").agg(F.countDistinct("fold").alias("n"), F.count_if(F.col("fold").isNull()).alias("m")).where("n != 1 or m > 0").count() == 0
     assert folds.kfold_stratified_group(df, "y", "site", ["id"]).select("fold").distinct().count() == 5
 
 
