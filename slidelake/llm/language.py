@@ -54,7 +54,8 @@ class Presence:
         for at in range(0, len(text), PIECE):
             # A piece starts with the end of the one before, for the n-grams between them.
             piece = text[max(0, at - self.grams + 1) : at + PIECE].lower()
-            points = np.frombuffer(f" {piece} ".encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+            piece = " " * (at == 0) + piece + " " * (at + PIECE >= len(text))
+            points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
             letter = letters()[points]
             any_letter = any_letter or bool(letter.any())
             points[~letter] = 32
