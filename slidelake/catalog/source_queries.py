@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slidelake.catalog import fixtures as fx
+from slidelake.catalog import tiling_queries
 from slidelake.catalog.fixtures import Query, with_views
 from slidelake.catalog.token_queries import rz
 from slidelake.functions import raster
 from slidelake.functions import vectors as v
 from slidelake.operators import diagnostics, inference, manifest
 from slidelake.plans.embedding import patient_embeddings
+from slidelake.plans import tiling as tiling_plan
 from slidelake.session import scratch_path
 from slidelake.sources import files, tables
 
@@ -180,6 +182,30 @@ def _image_scan(s, d):
     return _r6(qc.drop("error"), *raster.METRICS)
 
 
+def _tissue_mask(s, d):
+    m = raster.tissue_mask(raster.pack_pixels(fx.pixels(s, d)), "image")
+    return m.select("image", "mask_w", "mask_h", F.lower(F.hex("mask")).alias("mask"), "error")
+
+
+def _tiles_from_images(s, d):
+    """Thumbnail images to masks to tiles."""
+    images = raster.pack_pixels(fx.pixels(s, d)).withColumnRenamed("image", "slide")
+    masks = raster.tissue_mask(images, "slide")
+    return tiling_plan.tile_table(tiling_queries.mask_slides(s, d), tiling_queries.slide_qc(s, d), masks, "medium", {0.5: 3, 2.0: 1}, tiling_queries.SEED)
+
+
+# As the plan's views, over masks of 16 x 16 pixels: level 1 has 1/32 mask pixels, level 3 has 1/8.
+_IMAGE_CTES = tiling_queries.PLAN_CTES | {
+    "grid": """SELECT slide, cancer_code, 0.5::DOUBLE AS scale, 1 AS level, 0.5::DOUBLE AS approx_mpp, x, y, 2 * (y // 224) + x // 224 AS grid_idx,
+  x // 32 AS x0, y // 32 AS y0, least((x + 256) // 32, 15) AS x1, least((y + 256) // 32, 15) AS y1
+FROM gated, range(0, 257, 224) a(x), range(0, 257, 224) b(y)
+UNION ALL SELECT slide, cancer_code, 2.0::DOUBLE, 3, 2.0::DOUBLE, 0, 0, 0, 0, 0, 15, 15 FROM gated""",
+    "covered": """SELECT g.slide, cancer_code, scale, level, approx_mpp, g.x, g.y, grid_idx, avg(tissue::INTEGER)::DOUBLE AS coverage FROM grid g
+JOIN masked m ON m.image = g.slide AND m.x >= x0 AND m.x < x1 AND m.y >= y0 AND m.y < y1
+GROUP BY ALL HAVING avg(tissue::INTEGER) >= 0.30::DOUBLE""",
+}
+
+
 def _make_projection():
     w = np.cos(np.arange(DIM * 8).reshape(DIM, 8))
     return lambda x: x.astype(np.float64) @ w
@@ -261,6 +287,17 @@ FROM slides, (SELECT unnest(['manifest', 'qc']) AS stage) GROUP BY stage""", "sl
         _aliases,
         with_views("SELECT vec_id, x, y, 1 AS level, 256 AS tile_size FROM tiles", "tiles"),
     ),
+    "tissue_mask": (
+        _tissue_mask,
+        with_views(
+            """SELECT image, 16 AS mask_w, 16 AS mask_h, string_agg(CASE WHEN tissue THEN '01' ELSE '00' END, '' ORDER BY y, x) AS mask,
+  NULL::VARCHAR AS error FROM masked GROUP BY image""", "pixels", extra=_PIX
+        ),
+    ),
+    "tile_table_from_images": (
+        lambda s, d: _tiles_from_images(s, d).withColumn("coverage", F.round("coverage", 9)),
+        with_views("SELECT * REPLACE (round(coverage, 9) AS coverage) FROM tile_table", "pixels", extra=_PIX | _IMAGE_CTES),
+    ),
     "image_scan": (_image_scan, with_views(_QC_SQL, "pixels", extra=_PIX | {"lap": _LAP})),
     "batch_infer": (
         _infer,

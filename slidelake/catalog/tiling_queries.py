@@ -52,7 +52,7 @@ _GRID_SQL = """SELECT slide_id, x, y, row_number() OVER (PARTITION BY slide_id O
     SELECT slide_id, width, unnest(range(0, greatest(height - 256, 0) + 1, 224)) AS y FROM slides))"""
 
 
-def _mask_slides(s, d):
+def mask_slides(s, d):
     return fx.table(s, d, "supplier").select(
         F.col("s_suppkey").alias("slide"),
         F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("cancer_code"),
@@ -64,7 +64,7 @@ def _mask_slides(s, d):
 
 
 def _base_tiles(s, d):
-    sl = _mask_slides(s, d).select("slide", F.col("width").alias("level_w"), F.col("height").alias("level_h"))
+    sl = mask_slides(s, d).select("slide", F.col("width").alias("level_w"), F.col("height").alias("level_h"))
     box = tiling.roi(F.lit(32), F.lit(32), F.lit(1 / 32), F.lit(1 / 32))
     return tiling.tile_grid(sl).select("slide", "x", "y", *[c.alias(n) for n, c in box.items()])
 
@@ -74,23 +74,27 @@ def _coverage(s, d):
 
 
 def _grid_coverage(s, d):
-    geo = _mask_slides(s, d).select(
+    geo = mask_slides(s, d).select(
         "slide", F.lit(0.25).alias("scale"), F.col("width").alias("level_w"), F.col("height").alias("level_h"), "mask_w", "mask_h",
         *[F.lit(1 / 32).alias(c) for c in ("sx", "sy")],
     )
     return tiling.grid_coverage(geo, fx.masks(s, d)).select("slide", "x", "y", F.round("coverage", 9).alias("coverage"))
 
 
-def _dense(s, d):
+def _masks(s, d):
+    """One binary mask per slide."""
     cells = fx.masks(s, d).groupBy("slide").agg(
         F.array_sort(F.collect_list(F.struct("my", "mx", "tissue"))).alias("c")
     )
     byte = F.concat_ws("", F.transform("c", lambda e: F.lpad(e["tissue"].cast("string"), 2, "0")))
-    rows = cells.select(
-        "slide", F.unhex(byte).alias("mask"), F.lit(32).alias("mask_w"), F.lit(32).alias("mask_h"), F.lit(1 / 32).alias("sx"),
-        F.lit(1 / 32).alias("sy"), F.lit(1024).alias("level_w"), F.lit(1024).alias("level_h"),
+    return cells.select("slide", F.unhex(byte).alias("mask"), F.lit(32).alias("mask_w"), F.lit(32).alias("mask_h"))
+
+
+def _dense(s, d):
+    rows = _masks(s, d).select(
+        "*", F.lit(1 / 32).alias("sx"), F.lit(1 / 32).alias("sy"), F.lit(1024).alias("level_w"), F.lit(1024).alias("level_h")
     )
-    return tiling.tile_coverage_dense(rows).withColumn("coverage", F.round("coverage", 9))
+    return tiling.tile_coverage_dense(rows).select("slide", "x", "y", F.round("coverage", 9).alias("coverage"))
 
 
 _COVERAGE_CTE = """SELECT slide, x, y, coalesce(avg(tissue), 0)::DOUBLE AS coverage
@@ -100,7 +104,7 @@ WHERE mx >= x // 32 AND mx < least((x + 256) // 32, 31) AND my >= y // 32 AND my
 GROUP BY slide, x, y"""
 
 
-def _qc(s, d):
+def slide_qc(s, d):
     i = F.col("s_suppkey")
     return fx.table(s, d, "supplier").select(
         i.alias("slide"), uniform("t", i).alias("tissue_pct"), uniform("q", i).alias("white_pct")
@@ -108,7 +112,7 @@ def _qc(s, d):
 
 
 def tile_table(s, d):
-    return tiling_plan.tile_table(_mask_slides(s, d), _qc(s, d), fx.masks(s, d), "medium", {0.5: 3, 2.0: 1}, SEED)
+    return tiling_plan.tile_table(mask_slides(s, d), slide_qc(s, d), _masks(s, d), "medium", {0.5: 3, 2.0: 1}, SEED)
 
 
 def tiling_flagship(s, d):
@@ -116,7 +120,7 @@ def tiling_flagship(s, d):
     return tiling.tiling_summary(tile_table(s, d), ("slide", "cancer_code", "scale"))
 
 
-_PLAN_CTES = {
+PLAN_CTES = {
     "gated": f"""SELECT s_suppkey AS slide, 'nation_' || s_nationkey AS cancer_code FROM supplier
 WHERE {sql_u("'t|' || s_suppkey")} >= 0.05::DOUBLE AND {sql_u("'q|' || s_suppkey")} <= 0.95::DOUBLE""",
     # Level 1 is 512 wide, mask pixels 1/16; level 3 is 128 wide, mask pixels 1/4.
@@ -211,11 +215,11 @@ FROM (SELECT slide_id, width, height, floor(width / shrink)::BIGINT AS mask_w, f
     ),
     "tile_table": (
         lambda s, d: tile_table(s, d).withColumn("coverage", F.round("coverage", 9)),
-        with_views("SELECT * REPLACE (round(coverage, 9) AS coverage) FROM tile_table", "masks", extra=_PLAN_CTES),
+        with_views("SELECT * REPLACE (round(coverage, 9) AS coverage) FROM tile_table", "masks", extra=PLAN_CTES),
     ),
     "tiling_summary": (
         tiling_flagship,
-        with_views("SELECT slide, cancer_code, scale, count(*) AS n_tiles FROM tile_table GROUP BY ALL", "masks", extra=_PLAN_CTES),
+        with_views("SELECT slide, cancer_code, scale, count(*) AS n_tiles FROM tile_table GROUP BY ALL", "masks", extra=PLAN_CTES),
     ),
     "work_size": (
         lambda s, d: tiling.work_size(fx.tile_groups(s, d), "bag"),

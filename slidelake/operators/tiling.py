@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -179,13 +179,15 @@ def grid_coverage(
 
 
 def tile_coverage_dense(
-    slides: DataFrame, slide: str = "slide", tile: int = TILE, stride: int = STRIDE
+    slides: DataFrame, keys: Sequence[str] = ("slide",), tile: int = TILE, stride: int = STRIDE, min_coverage: float | None = None
 ) -> DataFrame:
-    """Coverage from one binary mask per slide row (mask, mask_w, mask_h, sx, sy, level_w, level_h).
+    """Coverage from one binary mask per row (keys, mask, mask_w, mask_h, sx, sy, level_w, level_h).
 
     A mask is a few MB at most, so a slide is a fair unit of work: its tiles are
-    cut and measured where the mask is, and only (slide, x, y, coverage) leave.
+    cut and measured where the mask is, and only (keys, x, y, grid_idx, coverage)
+    leave, of the tiles with at least ``min_coverage`` where it is given.
     """
+    keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,20 +206,17 @@ def tile_coverage_dense(
                 y0, y1 = np.minimum(y0, row.mask_h), np.maximum(y1, 0)
                 inside = cum[np.ix_(y1, x1)] - cum[np.ix_(y0, x1)] - cum[np.ix_(y1, x0)] + cum[np.ix_(y0, x0)]
                 area = (y1 - y0)[:, None] * (x1 - x0)[None, :]
-                cov = np.where(ok, inside / np.where(ok, area, 1), 0.0)
+                cov = np.where(ok, inside / np.where(ok, area, 1), 0.0).ravel()
+                at = np.arange(cov.size) if min_coverage is None else np.flatnonzero(cov >= min_coverage)
+                own = {k: [getattr(row, k)] * len(at) for k in keys}
                 yield pd.DataFrame(
-                    {
-                        slide: np.repeat(getattr(row, slide), cov.size),
-                        "x": np.tile(xs, len(ys)),
-                        "y": np.repeat(ys, len(xs)),
-                        "coverage": cov.ravel(),
-                    }
+                    own | {"x": xs[at % len(xs)], "y": ys[at // len(xs)], "grid_idx": at, "coverage": cov[at]}
                 )
 
-    kind = slides.schema[slide].dataType.simpleString()
-    return slides.select(
-        slide, "mask", "mask_w", "mask_h", "sx", "sy", "level_w", "level_h"
-    ).mapInPandas(run, f"{slide} {kind}, x bigint, y bigint, coverage double")
+    kinds = ", ".join(f"{k} {slides.schema[k].dataType.simpleString()}" for k in keys)
+    return slides.select(*keys, "mask", "mask_w", "mask_h", "sx", "sy", "level_w", "level_h").mapInPandas(
+        run, f"{kinds}, x bigint, y bigint, grid_idx bigint, coverage double"
+    )
 
 
 def tiling_summary(tiles: DataFrame, keys: tuple[str, ...] = ("slide_id", "cancer_code", "scale")) -> DataFrame:

@@ -1,4 +1,7 @@
-"""From slides to budgeted tiles, as one lazy plan."""
+"""From slides to budgeted tiles.
+
+With one mask per slide the plan is lazy; with a table of mask cells, small jobs check the size of its sides first.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +18,7 @@ from slidelake.operators.tiling import (
     choose_level,
     grid_coverage,
     mask_scale,
+    tile_coverage_dense,
 )
 
 
@@ -39,15 +43,29 @@ def level_geometry(slides: DataFrame, scales: tuple[float, ...] = (0.5, 2.0)) ->
     return spread(at, "slide", "scale")
 
 
-def covered_tiles(slides: DataFrame, cells: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """Tiles with enough mask under them."""
-    return grid_coverage(level_geometry(slides), cells).where(F.col("coverage") >= min_coverage)
+def covered_tiles(slides: DataFrame, masks: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """Tiles with enough mask under them.
+
+    ``masks`` is (slide, mask, mask_w, mask_h), one binary mask per slide, as ``tissue_mask`` gives it.  A mask meets
+    its slide's scales in one row and is measured once for each, so no mask cell becomes a row.  A table of cells
+    (slide, mx, my, tissue) also does, for masks with little in them.  Slides without a mask have no tiles.
+    """
+    if "mask" not in masks.columns:
+        return grid_coverage(level_geometry(slides), masks).where(F.col("coverage") >= min_coverage)
+    own = masks.where(F.col("mask").isNotNull()).select("slide", "mask", "mask_w", "mask_h")
+    known = slides.drop("mask_w", "mask_h")
+    geometry = level_geometry(known.join(own.drop("mask"), "slide"))
+    keys = ["slide", "scale"]
+    # The small geometry rows go to the masks, a slide with all its scales.
+    sized = geometry.select(*keys, "sx", "sy", "level_w", "level_h").join(own, "slide")
+    found = tile_coverage_dense(sized, keys, min_coverage=min_coverage)
+    return found.join(geometry.select(*keys, "cancer_code", "level", "approx_mpp"), keys)
 
 
 def tile_table(
     slides: DataFrame,
     qc: DataFrame,
-    cells: DataFrame,
+    masks: DataFrame,
     policy: str = "medium",
     budgets: dict[float, int] | None = None,
     seed: int = 1337,
@@ -55,10 +73,10 @@ def tile_table(
     """QC gate, level choice, grid, coverage and token budget; one row per kept tile.
 
     The gate comes first, so refused slides never grow a grid; the budget ranks
-    narrow rows.
+    narrow rows.  ``masks`` as in ``covered_tiles``.
     """
     kept = qc_gate(slides, qc, policy, on="slide")
-    tiles = covered_tiles(kept, cells).withColumn("tile_id", F.concat_ws("|", "slide", "scale", "y", "x"))
+    tiles = covered_tiles(kept, masks).withColumn("tile_id", F.concat_ws("|", "slide", "scale", "y", "x"))
     chosen = sample_uniform(tiles, ["slide", "scale"], budgets or BUDGETS, "tile_id", "grid_idx", seed)
     return chosen.select(
         "slide", "cancer_code", "scale", "level", "x", "y", F.lit(TILE).alias("tile_size"), F.lit(OVERLAP).alias("overlap"),
