@@ -455,19 +455,19 @@ UNION ALL SELECT 'kappa', round(kappa, 9) FROM ({_kappa_sql('', '')})""",
         ),
     ),
     "bootstrap_accuracy": (
-        lambda s, d: r9(bootstrap.bootstrap_accuracy(_last(s, d), BOOT, 42), "ci_lo", "ci_hi"),
+        lambda s, d: r9(bootstrap.bootstrap_accuracy(_last(s, d), BOOT, 42, method="draws"), "ci_lo", "ci_hi"),
         _BOOT_ACC,
     ),
     "bootstrap_accuracy_multinomial": (
-        lambda s, d: bootstrap.bootstrap_accuracy(_last(s, d), BOOT, 42, method="multinomial"),
+        lambda s, d: bootstrap.bootstrap_accuracy(_last(s, d), BOOT, 42),
         None,
     ),
     "bootstrap_auroc": (
-        lambda s, d: r9(bootstrap.bootstrap_auroc(_scored(s, d).where(F.col("seed") == 42), "vec_id", "score", "hit", BOOT, 42), "ci_lo", "ci_hi"),
+        lambda s, d: r9(bootstrap.bootstrap_auroc(_scored(s, d).where(F.col("seed") == 42), "vec_id", "score", "hit", BOOT, 42, method="draws"), "ci_lo", "ci_hi"),
         _BOOT_AUC,
     ),
     "bootstrap_auroc_blocks": (
-        lambda s, d: bootstrap.bootstrap_auroc(_scored(s, d).where(F.col("seed") == 42), "vec_id", "score", "hit", BOOT, 42, method="blocks"),
+        lambda s, d: bootstrap.bootstrap_auroc(_scored(s, d).where(F.col("seed") == 42), "vec_id", "score", "hit", BOOT, 42),
         None,
     ),
     "bootstrap_cluster_kappa": (

@@ -106,19 +106,25 @@ _AUG_BAGS = f"""SELECT vec_id, dim, {rz(f'''CASE WHEN {word("'13|' || label || '
   ELSE v + CASE WHEN {word("'13|' || label || '|noise'", 0)} < 0.4::DOUBLE THEN {_noise(_BAG_KEY, '0.01')} ELSE 0 END END''')} AS value FROM src"""
 
 
-def _padded(s, d):
+def _padded(s, d, run=tokens.pad_bags, more=("scale",)):
+    more = list(more)
     t = fx.tile_features(s, d)
     labels = fx.table(s, d, "embeddings").select(F.col("label").cast("int").alias("bag")).distinct()
     # One bag more per batch that has no tokens at all.
     bags = labels.unionByName(labels.where(F.col("bag") < 3).select((F.col("bag") + 100).alias("bag"))).withColumn(
         "batch", F.col("bag") % 4
     )
-    out = tokens.pad_bags(t, bags, "bag", "batch", "tile_idx", DIM, BUDGETS)
-    z = out.select("bag", "batch", "t", "t_max", F.posexplode(F.arrays_zip("tokens", "pad_mask")).alias("pos", "z"))
-    return z.select("bag", "batch", "t", "t_max", "pos", F.col("z.pad_mask").alias("pad"), F.round(v.l2_norm("z.tokens"), 6).alias("norm"))
+    out = run(tokens.token_mm_xy(t), bags, "bag", "batch", "tile_idx", DIM, BUDGETS, carry=["mm_x", "mm_y"] + more)
+    keys = ["bag", "batch", *[c for c in out.columns if c == "scale" and not more], "t", "t_max"]
+    z = out.select(*keys, F.posexplode(F.arrays_zip("tokens", "pad_mask", "mm_x", "mm_y", *more)).alias("pos", "z"))
+    return z.select(
+        *keys, "pos", F.col("z.pad_mask").alias("pad"), F.round(v.l2_norm("z.tokens"), 6).alias("norm"),
+        *[F.round(F.col("z")[c], 9).alias(c) for c in ("mm_x", "mm_y")], *[F.col("z")[c].alias(c) for c in more],
+    )
 
 
-_PADDED = f"""SELECT bag, batch, t, t_max, pos, pos >= t AS pad, coalesce({rz("norm")}, 0)::DOUBLE AS norm FROM (
+_PADDED = f"""SELECT bag, batch, t, t_max, pos, pos >= t AS pad, coalesce({rz("norm")}, 0)::DOUBLE AS norm, coalesce(mm_x, 0)::DOUBLE AS mm_x,
+  coalesce(mm_y, 0)::DOUBLE AS mm_y, coalesce(scale, 0)::DOUBLE AS scale FROM (
   SELECT bag, batch, t, t_max, unnest(range(t_max))::INTEGER AS pos FROM (
     SELECT bag, bag % 4 AS batch, greatest(n, 1)::INTEGER AS t, max(greatest(n, 1)) OVER (PARTITION BY bag % 4)::INTEGER AS t_max
     FROM (SELECT b.bag, count(k.bag) AS n FROM bags b LEFT JOIN kept k ON b.bag = k.bag GROUP BY b.bag)))
@@ -126,7 +132,19 @@ LEFT JOIN kept USING (bag, pos)"""
 _PAD_CTES = {
     "bags": "SELECT DISTINCT label::INTEGER AS bag FROM embeddings UNION SELECT DISTINCT (label + 100)::INTEGER FROM embeddings WHERE label < 3",
     "kept": f"""SELECT bag, (row_number() OVER (PARTITION BY bag ORDER BY scale, tile_idx) - 1)::INTEGER AS pos,
-  sqrt(list_sum(list_transform(feat, lambda x: x * x))) AS norm FROM tiles WHERE tile_idx < {CAP}""",
+  sqrt(list_sum(list_transform(feat, lambda x: x * x))) AS norm, scale, round((x + 128::DOUBLE) * (scale / 1000), 9) AS mm_x,
+  round((y + 128::DOUBLE) * (scale / 1000), 9) AS mm_y FROM tiles WHERE tile_idx < {CAP}""",
+}
+_PADDED_BY_SCALE = f"""SELECT bag, batch, scale, t, t_max, pos, pos >= t AS pad, coalesce({rz("norm")}, 0)::DOUBLE AS norm, coalesce(mm_x, 0)::DOUBLE AS mm_x,
+  coalesce(mm_y, 0)::DOUBLE AS mm_y FROM (
+  SELECT bag, batch, scale, t, t_max, unnest(range(t_max))::INTEGER AS pos FROM (
+    SELECT bag, bag % 4 AS batch, scale, greatest(n, 1)::INTEGER AS t, max(greatest(n, 1)) OVER (PARTITION BY bag % 4, scale)::INTEGER AS t_max
+    FROM (SELECT b.bag, c.scale, count(k.bag) AS n FROM bags b CROSS JOIN (VALUES (0.5::DOUBLE), (2.0::DOUBLE)) c(scale)
+      LEFT JOIN tiles_kept k ON b.bag = k.bag AND c.scale = k.scale GROUP BY ALL)))
+LEFT JOIN tiles_kept USING (bag, scale, pos)"""
+_SCALE_CTES = {
+    "bags": _PAD_CTES["bags"],
+    "tiles_kept": _PAD_CTES["kept"].replace("PARTITION BY bag ORDER BY scale, tile_idx", "PARTITION BY bag, scale ORDER BY tile_idx"),
 }
 
 
@@ -259,6 +277,10 @@ FROM (SELECT DISTINCT bag FROM tiles) LEFT JOIN ({_SLIDE_EMB}) USING (bag)""", "
     "augment_view": (_views, with_views(_VIEWS, extra={"src": _EXPLODED})),
     "augment_bag": (_aug_bags, with_views(_AUG_BAGS, extra={"src": _EXPLODED})),
     "pad_bags": (_padded, with_views(_PADDED, "tiles", extra=_PAD_CTES)),
+    "pad_bags_by_scale": (
+        lambda s, d: _padded(s, d, tokens.pad_bags_by_scale, ()),
+        with_views(_PADDED_BY_SCALE, "tiles", extra=_SCALE_CTES),
+    ),
     "token_mm_xy": (
         lambda s, d: tokens.token_mm_xy(fx.tile_features(s, d)).select("vec_id", F.round("mm_x", 9).alias("mm_x"), F.round("mm_y", 9).alias("mm_y")),
         with_views("SELECT vec_id, round((x + 128::DOUBLE) * (scale / 1000), 9) AS mm_x, round((y + 128::DOUBLE) * (scale / 1000), 9) AS mm_y FROM tiles", "tiles"),

@@ -1,7 +1,10 @@
 """Bootstrap intervals.
 
-Draws are pure functions of (seed, replicate, position), so a retried task
-redraws the same rows.  Replicates come from exploding a sequence on each row.
+By default a resample is drawn as counts: of the cells of a confusion matrix, or
+of blocks of scores and then of the scores in a block.  That is the same law as
+drawing rows, without a row per draw.  ``method="draws"`` draws rows, as pure
+functions of (seed, replicate, position): replicates times rows of work, for
+small tables and for other engines to repeat.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from slidelake.functions.detrand import draw_index, u32
 from slidelake.operators.metrics import cells, qw_kappa
 from slidelake.operators.ranking import exact_rank, hash_rank, running_sums
-from slidelake.operators.skew import group_join, partitions, spread
+from slidelake.operators.skew import group_join, spread
 from slidelake.session import materialize
 
 
@@ -115,9 +118,9 @@ def replicate_accuracy(resampled: DataFrame) -> DataFrame:
 
 
 def bootstrap_accuracy(
-    df: DataFrame, n_boot: int = 1000, seed: int = 42, y: str = "y", pred: str = "pred", method: str = "draws"
+    df: DataFrame, n_boot: int = 1000, seed: int = 42, y: str = "y", pred: str = "pred", method: str = "multinomial"
 ) -> DataFrame:
-    """95 % interval of the accuracy; ``method`` is ``draws`` or ``multinomial``."""
+    """95 % interval of the accuracy; ``method`` is ``multinomial`` or ``draws``."""
     sampler = {"draws": resampled_cells, "multinomial": multinomial_cells}[method]
     return interval(replicate_accuracy(sampler(df, n_boot, seed, y, pred)), "accuracy")
 
@@ -162,16 +165,18 @@ def replicate_auroc_blocks(
 ) -> DataFrame:
     """AUROC of each resample without a row per draw.
 
-    Distinct scores are range-partitioned into blocks.  The rows a replicate
+    Distinct scores are range-partitioned into blocks of about
+    ``SCORES_PER_SLAB``, however many there are.  The rows a replicate
     draws from each block are multinomial in the block sizes, and uniform within
     a block; so a block resamples itself and returns per replicate its positives,
     negatives and ordered pairs.  Only replicates * blocks rows are shuffled.
     """
-    nb = blocks or partitions(df)
     counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )
+    counts = materialize(counts, "scores")
+    nb = blocks or max(1, -(-counts.count() // SCORES_PER_SLAB))
     ranged = materialize(
         counts.repartitionByRange(nb, "s").withColumn("block", F.spark_partition_id()), "auroc-blocks"
     )
@@ -217,9 +222,9 @@ def replicate_auroc_blocks(
 
 
 def bootstrap_auroc(
-    df: DataFrame, id_col: str, score: str, label: str, n_boot: int = 1000, seed: int = 42, method: str = "draws"
+    df: DataFrame, id_col: str, score: str, label: str, n_boot: int = 1000, seed: int = 42, method: str = "blocks"
 ) -> DataFrame:
-    """95 % interval of the AUROC; ``method`` is ``draws`` or ``blocks``."""
+    """95 % interval of the AUROC; ``method`` is ``blocks`` or ``draws``."""
     if method == "draws":
         return interval(replicate_auroc(df, id_col, score, label, n_boot, seed), "auroc")
     if method == "blocks":

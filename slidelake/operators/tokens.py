@@ -92,21 +92,28 @@ def pad_bags(
     budgets: dict[float, int],
     scale: str = "scale",
     feat: str = "feat",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per bag: token vectors padded with zeros to the longest bag of its batch.
 
     The tokens are cut to the head of their budget first, which bounds the
-    arrays whatever the size of a bag.  The mask is true on padding.  A bag
-    without tokens gets one zero vector.
+    arrays whatever the size of a bag.  Only narrow ids are ranked: the last kept
+    place of each (bag, scale) tells a row whether it counts, so the vectors are
+    shuffled once, to their bags.  The mask is true on padding.  A bag without
+    tokens gets one zero vector.  ``carry`` names numeric columns, such as scale
+    and coordinates, that are padded with zeros alike.
     """
     zero = F.array_repeat(F.lit(0.0), dim)
     ids = head_budget(tokens.select(bag, scale, order), [bag, scale], budgets, order, scale)
-    kept = tokens.join(ids, [bag, scale, order], "left_semi")
+    last = ids.groupBy(bag, scale).agg(F.max(order).alias("__last"))
+    kept = checked_join(tokens, last, [bag, scale], [order]).where(F.col(order) <= F.col("__last"))
+    own = [F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(carry)]
     packed = kept.groupBy(bag).agg(
-        F.array_sort(F.collect_list(F.struct(scale, order, F.col(feat).cast("array<double>").alias("__v")))).alias("__t")
+        F.array_sort(F.collect_list(F.struct(scale, order, F.col(feat).cast("array<double>").alias("__v"), *own))).alias("__t")
     )
-    filled = bags.join(packed, bag, "left").withColumn(
-        "tokens", F.coalesce(F.transform("__t", lambda t: t["__v"]), F.array(zero))
+    parts = {f"__c{i}": F.coalesce(F.col("__t")[f"__c{i}"], F.array(F.lit(0.0))) for i in range(len(carry))}
+    filled = bags.join(packed, bag, "left").withColumns(
+        {"tokens": F.coalesce(F.transform("__t", lambda t: t["__v"]), F.array(zero)), **parts}
     )
     longest = filled.groupBy(batch).agg(F.max(F.size("tokens")).alias("t_max"))
     joined = filled.drop("__t").join(longest, batch)
@@ -117,10 +124,29 @@ def pad_bags(
         n.alias("t"),
         "t_max",
         F.concat("tokens", F.array_repeat(zero, F.col("t_max") - n)).alias("tokens"),
+        *[F.concat(f"__c{i}", F.array_repeat(F.lit(0.0), F.col("t_max") - n)).alias(c) for i, c in enumerate(carry)],
         F.concat(F.array_repeat(F.lit(False), n), F.array_repeat(F.lit(True), F.col("t_max") - n)).alias("pad_mask"),
     )
 
 
+def pad_bags_by_scale(
+    tokens: DataFrame, bags: DataFrame, bag: str, batch: str, order: str, dim: int, budgets: dict[float, int], scale: str = "scale", **options
+) -> DataFrame:
+    """``pad_bags`` for each scale of ``budgets`` on its own, each with its own length and mask.
+
+    Rows of other scales raise, as in the budget.
+    """
+    listed = F.when(F.col(scale).isin(list(budgets)), F.col(scale)).otherwise(
+        F.raise_error(F.concat(F.lit("no budget for scale "), F.coalesce(F.col(scale).cast("string"), F.lit("NULL")))).cast("double")
+    )
+    checked, out = tokens.withColumn(scale, listed), None
+    for s, k in budgets.items():
+        part = pad_bags(checked.where(F.col(scale) == s), bags, bag, batch, order, dim, {s: k}, scale, **options)
+        part = part.withColumn("scale", F.lit(float(s)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def cosine_loss(pairs: DataFrame, p: str, z: str, keys: Sequence[str] = (), name: str = "loss") -> DataFrame:
     """Mean of 1 - cos(p, z) over the rows of each group."""
     value = F.avg(F.lit(1.0) - cosine(p, z)).alias(name)
