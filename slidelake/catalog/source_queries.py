@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from slidelake.catalog import fixtures as fx
 from slidelake.catalog import tiling_queries
 from slidelake.catalog.fixtures import Query, with_views
+from slidelake.catalog.manifest_queries import _FP as FILE_FINGERPRINT
 from slidelake.catalog.token_queries import rz
 from slidelake.functions import raster
 from slidelake.functions import vectors as v
@@ -117,24 +118,63 @@ def _stage_log(s, d):
     return log.select("stage", *[F.col("stats")[k].cast("bigint").alias(k) for k in stats])
 
 
+def _write_files(rows: DataFrame, root: str) -> None:
+    """Write each (name, content) row as a file below ``root``; runs in the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                at = f"{base}/{name}"
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(at, compression=None) as f:
+                    f.write(content)
+            yield batch[["name"]]
+
+    rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(run, "name string").count()
+
+
+#: Every document as a file in the folder of its source; some are empty, some have the suffix in capitals.
+_FILE_NAME = """concat(coalesce(source, 'none'), '/', CAST(doc_id AS STRING), CASE WHEN doc_id % 10 = 3 THEN '.SVS' ELSE '.svs' END)"""
+_FILES = """SELECT doc_id, coalesce(source, 'none') AS cancer_code, doc_id::VARCHAR AS slide_id,
+  doc_id || CASE WHEN doc_id % 10 = 3 THEN '.SVS' ELSE '.svs' END AS filename, CASE WHEN doc_id % 97 = 0 THEN '' ELSE coalesce(text, '') END AS content,
+  strlen(CASE WHEN doc_id % 97 = 0 THEN '' ELSE coalesce(text, '') END)::BIGINT AS size_bytes FROM documents"""
+
+
+def _document_files(s, d) -> str:
+    root = scratch_path(s, "files")
+    content = F.when(F.col("doc_id") % 97 == 0, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
+    _write_files(fx.table(s, d, "documents").select(F.expr(_FILE_NAME).alias("name"), content.alias("content")), root)
+    return root
+
+
 def _inventory(s, d):
-    """The table files themselves: a listing whose size grows with the lake."""
-    return files.file_inventory(s, d, ("parquet",)).drop("modified_time")
+    return files.file_inventory(s, _document_files(s, d)).select("filename", "slide_id", "cancer_code", "size_bytes")
 
 
 def _fingerprints(s, d):
-    """Ranged fingerprints of the table files."""
-    listed = files.file_inventory(s, d, ("parquet",)).select("path", "filename", "size_bytes")
-    return files.fingerprint_files(listed, chunk=4096).select("filename", "size_bytes", "fingerprint", "fingerprint_error")
+    listed = files.file_inventory(s, _document_files(s, d)).select("path", "filename", "size_bytes")
+    return files.fingerprint_files(listed, chunk=1024).select("filename", "size_bytes", "fingerprint", "fingerprint_error")
+
+
+def _artefacts(s, d):
+    table = files.artefact_table(s, _document_files(s, d), ("svs",), recent=2**31 - 1)
+    return table.select(F.regexp_extract("path", "[^/]*$", 0).alias("filename"), "size_mb", "sha256_12", "load_ok", "n_files")
 
 
 def _labels(s, d):
-    """Label tables under several headers; only some are staging labels."""
+    """Label tables under several names and headers; of the staging tables the one with the shortest name is wanted."""
     root = scratch_path(s, "labels")
-    src = fx.patient_labels(s, d)
-    tables.write_csv(src.select(F.col("patient").alias("Case"), "pn", "center"), f"{root}/a")
-    tables.write_csv(src.select("patient", "center"), f"{root}/b")
-    return files.discover_label_files(s, root).select("columns")
+    k = (F.col("row_no") % 7 + 1).cast("int")
+    line = F.concat_ws(",", "patient", "pn", "center")
+    by = fx.patient_labels(s, d).groupBy(k.alias("k")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    header = F.when(F.col("k") % 2 == 0, F.lit(' Case,"pn", center')).otherwise(F.lit("patient,center"))
+    content = F.concat(header, F.lit("\n"), F.array_join("lines", "\n"))
+    _write_files(by.select(F.concat(F.lit("labels_"), F.expr("repeat('x', k)"), F.lit(".csv")).alias("name"), content.alias("content")), root)
+    found = files.discover_label_files(s, root)
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("filename"), "columns")
 
 
 def _label_table(s, d):
@@ -278,10 +318,23 @@ FROM (SELECT image, unnest([r, g, b]) AS c FROM pixels) GROUP BY image""", "pixe
 FROM slides, (SELECT unnest(['manifest', 'qc']) AS stage) GROUP BY stage""", "slides"
         ),
     ),
-    "file_inventory": (_inventory, None),
-    "fingerprint_files": (_fingerprints, None),
-    "artefact_table": (lambda s, d: files.artefact_table(s, d, ("parquet",)).drop("modified_time"), None),
-    "discover_label_files": (_labels, None),
+    "file_inventory": (_inventory, f"SELECT filename, slide_id, cancer_code, size_bytes FROM ({_FILES})"),
+    "fingerprint_files": (
+        _fingerprints,
+        f"""SELECT filename, size_bytes, {FILE_FINGERPRINT} AS fingerprint, NULL::VARCHAR AS fingerprint_error FROM ({_FILES})""",
+    ),
+    "artefact_table": (
+        _artefacts,
+        f"""SELECT filename, round(size_bytes / 1048576::DOUBLE, 2) AS size_mb, substr(sha256(content), 1, 12) AS sha256_12, size_bytes > 0 AS load_ok,
+  count(*) OVER () AS n_files FROM ({_FILES})""",
+    ),
+    "discover_label_files": (
+        _labels,
+        with_views(
+            """SELECT 'labels_' || repeat('x', min(k)) || '.csv' AS filename, 'case,pn,center' AS columns
+FROM (SELECT DISTINCT (row_no % 7 + 1)::INTEGER AS k FROM patient_labels) WHERE k % 2 = 0 HAVING count(*) > 0""", "patient_labels"
+        ),
+    ),
     "label_normalisation": (_label_table, with_views("SELECT row_no, patient, pn, center FROM patient_labels", "patient_labels")),
     "resolve_columns": (
         _aliases,
