@@ -185,7 +185,7 @@ FROM ({values})"""
 
 
 def _draw_sql(n: str, seed: int) -> str:
-    return f"""SELECT rep, floor({sql_u(f"'{seed}|' || rep || '|' || pos")} * {n})::BIGINT AS drawn
+    return f"""SELECT rep, floor(('0x' || substr(md5('{seed}|' || rep || '|' || pos), 1, 13))::BIGINT / 4503599627370496::DOUBLE * {n})::BIGINT AS drawn
 FROM range({BOOT}) a(rep), range({n}) b(pos)"""
 
 

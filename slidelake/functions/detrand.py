@@ -44,8 +44,9 @@ def uniform(*parts) -> Column:
 
 
 def draw_index(n: Column, *parts) -> Column:
-    """Uniform integer in [0, n)."""
-    return F.floor(uniform(*parts) * n).cast("bigint")
+    """Uniform integer in [0, n), from 52 bits: every one of up to 2**52 rows can be drawn."""
+    bits = F.conv(F.substring(digest(*parts), 1, 13), 16, 10).cast("bigint")
+    return F.floor(bits / F.lit(2.0**52) * n).cast("bigint")
 
 
 def gaussian(u1: Column, u2: Column) -> Column:

@@ -102,6 +102,6 @@ def standardize(
     packed = stats.groupBy("fold").agg(
         F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("__st")
     )
-    joined = checked_join(df, packed.withColumnRenamed("fold", fold), [fold], row_id, max_rows=2_000)
+    joined = checked_join(df, packed.withColumnRenamed("fold", fold), [fold], row_id)
     scaled = F.zip_with(F.col(feat).cast("array<double>"), F.col("__st"), lambda v, s: (v - s["mean"]) / s["std"])
     return joined.withColumn(feat, scaled).drop("__st")

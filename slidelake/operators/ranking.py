@@ -53,16 +53,16 @@ def top_k_per_group(
     k: Column | int,
     max_k: int,
     salt: Column,
-    salts: int = 16,
+    salts: int | None = None,
     rank: str = "rank_no",
 ) -> DataFrame:
     """First k rows of each group by ``order``, with their rank from 1.
 
     ``max_k`` bounds k when k is a column; Spark turns the literal bound into a
     group limit ahead of the shuffle.  ``salt`` is any column that spreads the
-    rows of one group.
+    rows of one group, over as many salts as there are shuffle partitions.
     """
-    keys = list(keys)
+    keys, salts = list(keys), salts or partitions(df)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
     local = W.partitionBy(*keys, "__salt").orderBy(*order)
     first = (

@@ -25,15 +25,31 @@ def spread(df: DataFrame, *cols: str | Column) -> DataFrame:
     return df.repartition(partitions(df), *cols)
 
 
-def side_join(rows: DataFrame, side: DataFrame, on: str, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
-    """Join rows to a side table whose size is checked first.
+#: Plain bytes of a side that is sent to all executors.
+SMALL_BYTES = 64 << 20
 
-    Up to ``max_rows`` rows it is broadcast; beyond that both sides are hashed by
-    the key.  The check keeps the planner from broadcasting the large side where
-    its estimate is off, as after an explode.
+
+def is_small(df: DataFrame, most: int = SMALL_BYTES) -> bool:
+    """Whether the rows of ``df`` take at most ``most`` bytes; counts them."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            # As text, nested values take about their bytes or more.
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= most
+
+
+def side_join(rows: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join rows to a side table whose bytes are summed first.
+
+    A small one is broadcast; beyond that both sides are hashed by the key.  The
+    check keeps the planner from broadcasting the large side where its estimate
+    is off, as after an explode.
     """
-    small = side.select(on).limit(max_rows + 1).count() <= max_rows
-    return rows.join(side.hint("broadcast" if small else "shuffle_hash"), on, how)
+    return rows.join(side.hint("broadcast" if is_small(side) else "shuffle_hash"), on, how)
 
 
 def group_join(
@@ -61,13 +77,12 @@ def checked_join(
     on: Sequence[str],
     row_id: Sequence[str],
     how: str = "inner",
-    max_rows: int = 200_000,
 ) -> DataFrame:
-    """``group_join`` for wide rows: the group table is written, counted, and broadcast if small.
+    """``group_join`` for wide rows: the group table is written, measured in bytes, and broadcast if small.
 
     Then the rows, such as feature vectors, are not shuffled at all.
     """
     table = materialize(groups, "side")
-    if table.limit(max_rows + 1).count() <= max_rows:
+    if is_small(table):
         return rows.join(table.hint("broadcast"), list(on), how)
     return group_join(rows, table, on, row_id, how)

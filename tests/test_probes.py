@@ -112,3 +112,26 @@ def test_grid(data):
 def test_unknown_model(data):
     with pytest.raises(ValueError):
         fit_predict(data[2], data[2], "svm", 1.0)
+
+
+def test_binomial_l2_for_two_classes(data, spark):
+    """Two classes are one binomial model; the multinomial form halves the penalty and is asked for by name."""
+    x, y, df = data
+    two = (y > 1).astype(int)
+    rows = [(i, int(two[i]), [float(v) for v in x[i]]) for i in range(len(y))]
+    table = spark.createDataFrame(rows, "id int, y int, feat array<double>").cache()
+    c, n = 0.1, len(y)
+    sw = (n / (2 * np.bincount(two)))[two]
+
+    def f(w):
+        p = 1 / (1 + np.exp(-(x @ w[:3] + w[3])))
+        val = -(sw * np.log(np.where(two == 1, p, 1 - p))).sum() / n + (w[:3] ** 2).sum() / (2 * c * n)
+        d = sw * (p - two) / n
+        return val, np.append(x.T @ d + w[:3] / (c * n), d.sum())
+
+    w = minimize(f, np.zeros(4))
+    p = 1 / (1 + np.exp(-(x @ w[:3] + w[3])))
+    out = fit_predict(table, table, "logreg_l2", c).orderBy("id").collect()
+    assert np.abs(np.array([r["probs"][1] for r in out]) - p).max() < 1e-3
+    other = fit_predict(table, table, "logreg_l2", c, family="multinomial").orderBy("id").collect()
+    assert np.abs(np.array([r["probs"][1] for r in other]) - p).max() > 1e-3
