@@ -52,6 +52,27 @@ _GRID_SQL = """SELECT slide_id, x, y, row_number() OVER (PARTITION BY slide_id O
     SELECT slide_id, width, unnest(range(0, greatest(height - 256, 0) + 1, 224)) AS y FROM slides))"""
 
 
+def _fine_level(s, d):
+    wanted = F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 3.9, 4.0, 99.0)]))
+    sl = fx.slides(s, d).select("slide_id", "downsamples", wanted.alias("wanted"))
+    out = sl.withColumn("l", tiling.level_for_downsample(F.col("downsamples"), F.col("wanted")))
+    return out.select("slide_id", "wanted", "l.level", "l.downsample")
+
+
+def _strict_grid(s, d):
+    g = tiling.tile_grid(fx.slides(s, d).select("slide_id", "width", "height"), "width", "height", strict=True)
+    at = tiling.base_origin(F.col("x"), F.col("y"), F.lit(1.5))
+    cut = tiling.base_origin(F.col("x"), F.col("y"), F.lit(1.3), rounded=False)["base_x"]
+    return g.select("slide_id", "x", "y", "grid_idx", *[c.alias(n) for n, c in at.items()], cut.alias("cut_x"))
+
+
+def _pending_valid(s, d):
+    """Bags of which both results are there and of the right width; every third bag's coarse one is too narrow."""
+    narrow = (F.col("bag") % 3 == 0) & (F.col("scale") == 2.0)
+    results = fx.inventory_done(s, d).withColumn("width", F.when(narrow, 767).otherwise(768))
+    return joins.pending_ids(fx.tile_groups(s, d).select("bag").distinct(), results, "bag", "width", 768, (0.5, 2.0))
+
+
 def mask_slides(s, d):
     return fx.table(s, d, "supplier").select(
         F.col("s_suppkey").alias("slide"),
@@ -183,6 +204,24 @@ def _pending(s, d):
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "level_for_downsample": (
+        _fine_level,
+        with_views(
+            """SELECT slide_id, wanted, level::INTEGER AS level, ds AS downsample FROM (
+  SELECT slide_id, wanted, level, ds, row_number() OVER (PARTITION BY slide_id, wanted ORDER BY ds <= wanted DESC, CASE WHEN ds <= wanted THEN -level ELSE level END) AS r
+  FROM slides, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (3.9::DOUBLE), (4.0::DOUBLE), (99.0::DOUBLE)) w(wanted),
+    (VALUES (0, 1.0::DOUBLE), (1, 2.0::DOUBLE), (2, 4.0::DOUBLE), (3, 8.0::DOUBLE)) v(level, ds)) WHERE r = 1""", "slides"
+        ),
+    ),
+    "tile_grid_strict": (
+        _strict_grid,
+        with_views(
+            """SELECT slide_id, x, y, row_number() OVER (PARTITION BY slide_id ORDER BY y, x) - 1 AS grid_idx, round_even(x * 1.5::DOUBLE, 0)::BIGINT AS base_x,
+  round_even(y * 1.5::DOUBLE, 0)::BIGINT AS base_y, floor(x * 1.3::DOUBLE)::BIGINT AS cut_x FROM (
+  SELECT slide_id, unnest(range(0, width - 256 + 1, 224)) AS x, y FROM (
+    SELECT slide_id, width, unnest(range(0, height - 256 + 1, 224)) AS y FROM slides WHERE height >= 256) WHERE width >= 256)""", "slides"
+        ),
+    ),
     "choose_level": (_level, with_views(_LEVEL_SQL, "slides")),
     "tile_grid": (
         lambda s, d: tiling.tile_grid(fx.slides(s, d).select("slide_id", "width", "height"), "width", "height").select("slide_id", "x", "y", "grid_idx"),
@@ -270,6 +309,13 @@ WHERE scan_no <= CASE WHEN scale = 0.5 THEN 21 ELSE 9 END""", "tiles"
   AND EXISTS (SELECT 1 FROM tiles t WHERE t.bag = e.label AND scale = 2.0)""", "tiles"
         ),
     ),
+    "pending_work_valid": (
+        _pending_valid,
+        with_views(
+            """SELECT DISTINCT bag FROM tile_groups g WHERE (
+  SELECT count(*) FROM done d WHERE d.bag = g.bag AND NOT (d.bag % 3 = 0 AND d.scale = 2.0)) < 2""", "tile_groups", "done"
+        ),
+    ),
     "pending_work": (
         _pending,
         with_views(

@@ -51,6 +51,17 @@ def pending_work(summary: DataFrame, done: DataFrame, id_col: str, scale: str =
     )
 
 
+def valid_results(results: DataFrame, id_col: str, width: str, dim: int, scales: Sequence[float], scale: str = "scale") -> DataFrame:
+    """Ids that have a result of ``dim`` values at every one of ``scales``; a missing or narrow one does not count."""
+    good = results.where((F.col(width) == dim) & F.col(scale).isin(list(scales))).select(id_col, scale).distinct()
+    return good.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == len(scales)).select(id_col)
+
+
+def pending_ids(ids: DataFrame, results: DataFrame, id_col: str, width: str, dim: int, scales: Sequence[float], scale: str = "scale") -> DataFrame:
+    """Rows of ``ids`` that are not done: both results there and of the right width."""
+    return ids.join(valid_results(results, id_col, width, dim, scales, scale), id_col, "left_anti")
+
+
 def first_by_order(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """First non-NULL value per key, by an explicit order column."""
     return (

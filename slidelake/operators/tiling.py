@@ -45,17 +45,38 @@ def choose_level(base_mpp: Column, downsamples: Column, target: Column | float)
     return F.struct(best["level"].alias("level"), best["approx_mpp"].alias("approx_mpp"))
 
 
-def _starts(extent: Column, tile: int, stride: int) -> Column:
-    last = F.greatest(extent.cast("bigint") - tile, F.lit(0).cast("bigint"))
-    return F.sequence(F.lit(0).cast("bigint"), last, F.lit(stride).cast("bigint"))
+def level_for_downsample(downsamples: Column, wanted: Column | float) -> Column:
+    """Struct (level, downsample) of the deepest level that is not coarser than wanted, else level 0."""
+    want = wanted if isinstance(wanted, Column) else F.lit(float(wanted))
+    levels = F.transform(downsamples, lambda d, i: F.struct(d.cast("double").alias("downsample"), i.alias("level")))
+    fine = F.array_max(F.transform(F.filter(levels, lambda e: e["downsample"] <= want), lambda e: F.struct(e["level"], e["downsample"])))
+    first = F.get(levels, F.lit(0))
+    return F.struct(
+        F.coalesce(fine["level"], first["level"]).alias("level"), F.coalesce(fine["downsample"], first["downsample"]).alias("downsample")
+    )
+
+
+def base_origin(x: Column, y: Column, downsample: Column, rounded: bool = True) -> dict[str, Column]:
+    """Origin of a level's tile in pixels of level 0: rounded half to even, or cut off."""
+    to = F.bround if rounded else F.floor
+    return {"base_x": to(x * downsample).cast("bigint"), "base_y": to(y * downsample).cast("bigint")}
+
+
+def _starts(extent: Column, tile: int, stride: int, strict: bool) -> Column:
+    room = extent.cast("bigint") - tile
+    steps = F.sequence(F.lit(0).cast("bigint"), F.greatest(room, F.lit(0).cast("bigint")), F.lit(stride).cast("bigint"))
+    return F.when(room >= 0, steps) if strict else steps
 
 
 def tile_grid(
-    df: DataFrame, width: str = "level_w", height: str = "level_h", tile: int = TILE, stride: int = STRIDE
+    df: DataFrame, width: str = "level_w", height: str = "level_h", tile: int = TILE, stride: int = STRIDE, strict: bool = False
 ) -> DataFrame:
-    """One row per tile origin (x, y); grid_idx counts with y outside, x inside."""
-    xs = _starts(F.col(width), tile, stride)
-    ys = _starts(F.col(height), tile, stride)
+    """One row per tile origin (x, y); grid_idx counts with y outside, x inside.
+
+    A level smaller than a tile has one tile at its origin, or none if ``strict``.
+    """
+    xs = _starts(F.col(width), tile, stride, strict)
+    ys = _starts(F.col(height), tile, stride, strict)
     rows = df.select("*", F.posexplode(ys).alias("__row", "y"))
     cells = rows.select("*", F.posexplode(xs).alias("__colno", "x"))
     per_row = F.size(xs)
