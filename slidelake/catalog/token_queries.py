@@ -9,6 +9,7 @@ from slidelake.catalog.fixtures import Query, sql_u32, with_views
 from slidelake.functions import vectors as v
 from slidelake.operators import metrics, pooling, tokens
 from slidelake.plans import embedding
+from slidelake.session import scratch_path
 
 BUDGETS = {0.5: 20, 2.0: 8}
 CAP = "CASE WHEN scale = 0.5 THEN 20 ELSE 8 END"
@@ -217,6 +218,19 @@ def _outcomes(s, d):
     return out.select("bag", "ok", "reason", "t05", "t20", F.round("norm", 6).alias("norm"))
 
 
+def _export(s, d):
+    """Bags of two data sets and others, some with a short vector; what was written is read back."""
+    path = scratch_path(s, "export")
+    t = fx.tile_features(s, d)
+    short = (F.col("bag") == 4) & (F.col("tile_idx") == 0)
+    t = t.withColumn("feat", F.when(short, F.slice("feat", 1, DIM - 1)).otherwise(F.col("feat")))
+    bags = t.select("bag").distinct()
+    sets = [("even", bags.where("bag % 2 = 0")), ("third", bags.where("bag % 3 = 0"))]
+    index = embedding.slide_export(t, DIM, sets, path, budgets=BUDGETS)
+    written = s.read.parquet(path).select("bag", F.col("dataset").alias("folder"), v.l2_norm("emb").alias("norm"))
+    return index.drop("norm").join(written, "bag", "left").select("bag", "dataset", "folder", "ok", "reason", "t05", "t20", F.round("norm", 6).alias("norm"))
+
+
 def _dedupe(s, d):
     """Vectors found in two folders, the second holding a changed copy of some."""
     e = fx.table(s, d, "embeddings").select("vec_id", F.lit("final").alias("variant"), F.lit("a").alias("folder"), F.col("embedding").alias("emb"))
@@ -272,6 +286,16 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
 FROM (SELECT DISTINCT bag FROM tiles) LEFT JOIN ({_SLIDE_EMB}) USING (bag)""", "tiles", extra={"kept": _KEPT}
         ),
     ),
+    "slide_export": (
+        _export,
+        with_views(
+            f"""SELECT bag, dataset, CASE WHEN ok THEN dataset END AS folder, ok, reason, CASE WHEN ok THEN t05 END AS t05, CASE WHEN ok THEN t20 END AS t20,
+  CASE WHEN ok THEN norm END AS norm FROM (
+  SELECT *, CASE WHEN bag % 2 = 0 THEN 'even' WHEN bag % 3 = 0 THEN 'third' ELSE 'OTHER' END AS dataset, norm IS NOT NULL AND bag <> 4 AS ok,
+    CASE WHEN bag = 4 THEN 'bad_shape({DIM - 1})' WHEN norm IS NULL THEN 'missing_feature_file' END AS reason
+  FROM (SELECT DISTINCT bag FROM tiles) LEFT JOIN ({_SLIDE_EMB}) USING (bag))""", "tiles", extra={"kept": _KEPT}
+        ),
+    ),
     "topk_softmax_pool": (_softmax_pool, with_views(_SOFTMAX_POOL, "tiles")),
     "mask_positions": (_masked, with_views(_MASKED, "tiles")),
     "augment_view": (_views, with_views(_VIEWS, extra={"src": _EXPLODED})),

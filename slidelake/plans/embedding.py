@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from slidelake.functions.detrand import u32
 from slidelake.functions.vectors import l2_norm
 from slidelake.operators.budget import BUDGETS, sample_uniform
 from slidelake.operators.joins import two_scale_ids
+from slidelake.operators.manifest import dataset_of
 from slidelake.operators.pooling import max_pool, mean_pool, validate_vectors
 from slidelake.operators.skew import checked_join, group_join
 from slidelake.session import materialize
+from slidelake.sources.tables import write_embeddings
 
 
 def slide_embeddings(
@@ -52,6 +56,18 @@ def patient_embeddings(slides: DataFrame, patient: str = "patient", pool: str =
     return (mean_pool if pool == "mean" else max_pool)(slides, [patient], emb)
 
 
+def slide_export(
+    features: DataFrame, dim: int, id_sets: Sequence[tuple[str, DataFrame]], path: str, bag: str = "bag", other: str = "OTHER", **options
+) -> DataFrame:
+    """Pool every bag, write the vectors into one folder per data set, and return the index of all bags.
+
+    The index has a row for each bag: its data set, whether it has a vector, the reason if not, its token counts and norm.
+    """
+    found = materialize(dataset_of(embedding_outcomes(features, dim, bag, **options), id_sets, bag, other), "outcomes")
+    write_embeddings(found.where("ok").select(bag, "emb", "dataset"), path)
+    return found.drop("emb")
+
+
 def embedding_outcomes(features: DataFrame, dim: int, bag: str = "bag", **options) -> DataFrame:
     """Every bag with its vector, or with the reason why it has none: a bad vector, or a scale without rows."""
     made = slide_embeddings(features, dim, bag, **options).withColumn("ok", F.lit(True))

@@ -77,8 +77,11 @@ def read_stages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_embeddings(df: DataFrame, path: str, dataset: str = "dataset", mode: str = "error") -> None:
-    """One folder per data set.  Rows are spread by id within a data set."""
-    df.write.mode(mode).partitionBy(dataset).parquet(path)
+    """One folder per data set.
+
+    Rows are rebalanced by data set, so a small one is one file and a large one is split into files of even size.
+    """
+    df.hint("rebalance", dataset).write.mode(mode).partitionBy(dataset).parquet(path)
 
 
 def embedding_index(df: DataFrame, emb: str = "emb") -> DataFrame:
