@@ -43,17 +43,15 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX_ENTRY, TABLE_ENTRY, FOOTER = struct.Struct("<qqIQ"), struct.Struct("<III"), struct.Struct("<IBI")
 FRAME_BYTES = 1 << 18
 #: Words whose ids a task remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 
 
 class CorruptFrame(ValueError):
     """A frame does not have the bytes its checksum was taken of."""
 
 
-#: Words of Latin letters, marks and single line breaks: byte-level pre-tokens part exactly between these pieces.
-LETTERS, MARKS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+", "[.,;:!?|]+"
-PLAIN = re.compile(rf"(?:{LETTERS}|{MARKS}|\n(?=\S))+")
-PIECE = re.compile(rf"{LETTERS}|{MARKS}|\n")
+#: A word of Latin letters with marks behind it: two pre-tokens of a byte-level tokenizer.
+PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)").fullmatch
 
 
 def byte_characters() -> dict[int, int]:
@@ -63,38 +61,40 @@ def byte_characters() -> dict[int, int]:
     return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class PieceMemo(dict):
-    """Ids of single pre-tokens, as bytes, by the tokenizer's model; found when first asked for."""
-
-    def __init__(self, model, kind: np.dtype, most: int) -> None:
-        super().__init__()
-        self.model, self.kind, self.most, self.written = model, kind, most, byte_characters()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        written = piece.encode().decode("latin-1").translate(self.written)
-        ids = self[piece] = np.array([t.id for t in self.model.tokenize(written)], self.kind).tobytes()
-        return ids
+WRITTEN = byte_characters()
+SPACE = chr(WRITTEN[32])
 
 
 class WordMemo(dict):
-    """Ids of " " + word by word, as bytes; encoded when first asked for, by pieces where the word has plain ones."""
+    """Ids of " " + word by word, as bytes; found when first asked for.
 
-    def __init__(self, tokenizer, kind: np.dtype, most: int) -> None:
+    A plain word goes to the tokenizer's model at once, in the vocabulary's writing; any other to the whole tokenizer.  A
+    full memo keeps what it has, as common words come early.
+    """
+
+    def __init__(self, tokenizer, code: str, most: int) -> None:
         super().__init__()
-        self.tokenizer, self.kind, self.most = tokenizer, kind, most
-        self.pieces = PieceMemo(tokenizer.model, kind, most)
+        self.encode, self.tokenize, self.code, self.most = tokenizer.encode, tokenizer.model.tokenize, code, most
+        self.marks = {"": b""}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if PLAIN.fullmatch(word):
-            first, *rest = PIECE.findall(word)
-            ids = self.pieces[" " + first] + b"".join(map(self.pieces.__getitem__, rest))
+        plain = PLAIN(word)
+        if plain is None:
+            ids = self.packed(self.encode(" " + word, add_special_tokens=False).ids)
         else:
-            ids = np.array(self.tokenizer.encode(" " + word, add_special_tokens=False).ids, self.kind).tobytes()
-        self[word] = ids
+            letters, marks = plain.groups()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(WRITTEN)
+            if marks not in self.marks:
+                if len(self.marks) > 1000:
+                    self.marks = {"": b""}
+                self.marks[marks] = self.packed([t.id for t in self.tokenize(marks)])
+            ids = self.packed([t.id for t in self.tokenize(SPACE + letters)]) + self.marks[marks]
+        if len(self) < self.most:
+            self[word] = ids
         return ids
 
 
@@ -118,7 +118,7 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r" (?:\s|\Z)", *map(re.escape, added)]))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = WordMemo(self.tokenizer, self.kind, MEMO_WORDS)
+        self.memo = WordMemo(self.tokenizer, "H" if self.kind.itemsize == 2 else "I", MEMO_WORDS)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
