@@ -268,15 +268,15 @@ def rare_prefix(elements: np.ndarray, common: tuple[np.ndarray, np.ndarray], per
 EDGES = "a binary, b binary"
 
 
-def _chains(nodes: np.ndarray, run: np.ndarray) -> tuple[list, list]:
-    """Edges from each element's holder to the holder before it in its run."""
-    same = np.flatnonzero(run[1:] == run[:-1]) + 1
-    pairs = {(a, b) for a, b in zip(nodes[same], nodes[same - 1], strict=True) if a != b}
+def _stars(nodes: np.ndarray, run: np.ndarray) -> tuple[list, list]:
+    """Edges from each element's holders to the first holder in its run."""
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+    pairs = {(a, b) for a, b in zip(nodes, nodes[starts[run]], strict=True) if a != b}
     return [a for a, _ in pairs], [b for _, b in pairs]
 
 
 def _edge_blocks(percent: int, buckets: int, common):
-    """As ``_prefix_blocks``, but with nodes: chains among the holders of a chunk, and one holder of each element."""
+    """As ``_prefix_blocks``, but with nodes: stars among the holders of a chunk, and one holder of each element."""
 
     def flush(parts: list[np.ndarray], names: list[bytes]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(parts)
@@ -284,7 +284,7 @@ def _edge_blocks(percent: int, buckets: int, common):
         order, run, _ = _runs(h)
         named = np.empty(len(names), object)
         named[:] = names
-        a, b = _chains(holder[order], run)
+        a, b = _stars(holder[order], run)
         none = pa.array([[]], pa.list_(pa.int64()))
         if a:
             yield pa.RecordBatch.from_arrays(
@@ -328,7 +328,7 @@ def _edges(group: pa.Table) -> pa.Table:
     order, run, _ = _runs(group.column("h").combine_chunks().flatten().to_numpy())
     nodes = np.empty(len(a), object)
     nodes[:] = a.to_pylist()
-    x, y = _chains(nodes[order], run)
+    x, y = _stars(nodes[order], run)
     return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())})
 
 
