@@ -122,9 +122,10 @@ def _dataset(s, d):
 
 def _label_vectors(s, d):
     vec = fx.table(s, d, "embeddings").select(
-        "vec_id", F.concat(F.lit("patient_"), F.lpad((F.col("vec_id") % 100).cast("string"), 3, "0")).alias("patient")
+        "vec_id", F.concat(F.lit("patient_"), F.lpad((F.col("vec_id") % 100).cast("string"), 3, "0")).alias("patient"), "embedding"
     )
-    return joins.label_vectors(vec, _labels(s, d), "pn_int", "row_no", ["vec_id"]).select("vec_id", "patient", "pn_int")
+    out = joins.label_vectors(vec, _labels(s, d), "pn_int", "row_no", ["vec_id"])
+    return out.select("vec_id", "patient", "pn_int", F.posexplode("embedding").alias("dim", "value"))
 
 
 def _property_fallback(s, d):
@@ -330,7 +331,8 @@ WHERE patient IS NOT NULL GROUP BY patient HAVING count(cancer_code) > 0 AND cou
     "label_vectors": (
         _label_vectors,
         with_views(
-            """SELECT e.vec_id, e.patient, l.pn_int FROM (SELECT vec_id, 'patient_' || lpad((vec_id % 100)::VARCHAR, 3, '0') AS patient FROM embeddings) e
+            """SELECT e.vec_id, e.patient, l.pn_int, (k - 1)::INTEGER AS dim, embedding[k] AS value FROM (
+  SELECT vec_id, 'patient_' || lpad((vec_id % 100)::VARCHAR, 3, '0') AS patient, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) e
 JOIN (SELECT patient, arg_max(pn_int, row_no) AS pn_int FROM labelled GROUP BY patient) l USING (patient)""",
             "patient_labels", extra={"labelled": _LABELS_SQL},
         ),

@@ -236,7 +236,7 @@ def _dedupe(s, d):
     e = fx.table(s, d, "embeddings").select("vec_id", F.lit("final").alias("variant"), F.lit("a").alias("folder"), F.col("embedding").alias("emb"))
     again = e.where(F.col("vec_id") % 2 == 0).withColumns({"folder": F.lit("b"), "emb": F.reverse("emb")})
     out = pooling.dedupe_vectors(e.unionByName(again), ["vec_id", "variant"], "folder")
-    return out.select("vec_id", "variant", "folder", F.round(F.element_at("emb", 1).cast("double"), 6).alias("first_value"))
+    return out.select("vec_id", "variant", "folder", F.posexplode("emb").alias("dim", "value"))
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
@@ -255,8 +255,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "dedupe_embeddings": (
         _dedupe,
-        f"""SELECT vec_id, 'final' AS variant, CASE WHEN vec_id % 2 = 0 THEN 'b' ELSE 'a' END AS folder,
-  {rz(f"(CASE WHEN vec_id % 2 = 0 THEN embedding[{DIM}] ELSE embedding[1] END)::DOUBLE")} AS first_value FROM embeddings""",
+        f"""SELECT vec_id, 'final' AS variant, CASE WHEN vec_id % 2 = 0 THEN 'b' ELSE 'a' END AS folder, dim::INTEGER AS dim,
+  CASE WHEN vec_id % 2 = 0 THEN embedding[{DIM} - dim] ELSE embedding[dim + 1] END AS value FROM embeddings, range({DIM}) t(dim)""",
     ),
     "outcome_counts": (
         lambda s, d: pooling.outcome_counts(pooling.validate_vectors(_cut(s, d), DIM).withColumn("status", F.when(F.col("ok"), "ok").otherwise("bad"))),

@@ -27,10 +27,15 @@ def validate_vectors(df: DataFrame, dim: int, feat: str = "feat") -> DataFrame:
 
 
 def dedupe_vectors(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key where the same vectors were loaded from several folders: the last by ``order``."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__b"))
-    return best.select(*keys, *[F.col("__b")[c].alias(c) for c in rest])
+    """One row per key where the same vectors were loaded from several folders: the last by ``order``.
+
+    ``order`` tells the rows of a key apart, as the name of the folder does.
+    """
+    # Only keys and the order are grouped; a row then sees whether it is the last, so no vector is aggregated.
+    own = F.struct(*[F.col(k) for k in keys])
+    last = df.select(own.alias("__key"), order).groupBy("__key").agg(F.max(order).alias("__last"))
+    kept = df.withColumn("__key", own).join(last, "__key").where(F.col(order).eqNullSafe(F.col("__last")))
+    return kept.drop("__key", "__last")
 
 
 def outcome_counts(df: DataFrame, status: str = "status") -> DataFrame:
