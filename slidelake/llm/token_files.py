@@ -65,15 +65,21 @@ WRITTEN = byte_characters()
 SPACE = chr(WRITTEN[32])
 
 
+class NotByWords(Exception):
+    """A text has a word that it cannot be parted before or after."""
+
+
 class WordMemo(dict):
     """Ids of " " + word by word, as bytes; found when first asked for.
 
     A plain word goes to the tokenizer's model at once, in the vocabulary's writing; any other to the whole tokenizer.  A
-    full memo keeps what it has, as common words come early.
+    full memo keeps what it has, as common words come early.  An empty word, one that starts with white space and one
+    with an added token in it are never kept.
     """
 
-    def __init__(self, tokenizer, code: str, most: int) -> None:
+    def __init__(self, tokenizer, code: str, most: int, added: list[str]) -> None:
         super().__init__()
+        self.added = added
         self.encode, self.tokenize, self.code, self.most = tokenizer.encode, tokenizer.model.tokenize, code, most
         self.marks = {"": b""}
 
@@ -83,16 +89,21 @@ class WordMemo(dict):
     def __missing__(self, word: str) -> bytes:
         plain = PLAIN(word)
         if plain is None:
+            if not word or word[0].isspace() or any(a in word for a in self.added):
+                raise NotByWords
             ids = self.packed(self.encode(" " + word, add_special_tokens=False).ids)
         else:
             letters, marks = plain.groups()
-            if not letters.isascii():
-                letters = letters.encode().decode("latin-1").translate(WRITTEN)
+            own = self.get(letters) if marks else None
             if marks not in self.marks:
                 if len(self.marks) > 1000:
                     self.marks = {"": b""}
                 self.marks[marks] = self.packed([t.id for t in self.tokenize(marks)])
-            ids = self.packed([t.id for t in self.tokenize(SPACE + letters)]) + self.marks[marks]
+            if own is None:
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(WRITTEN)
+                own = self.packed([t.id for t in self.tokenize(SPACE + letters)])
+            ids = own + self.marks[marks]
         if len(self) < self.most:
             self[word] = ids
         return ids
@@ -101,8 +112,8 @@ class WordMemo(dict):
 class Encoder:
     """The ids of ``tokenizer.encode(text, add_special_tokens=False)``, by words where that is the same.
 
-    A byte-level tokenizer parts text before a space that a non-space follows, so such a text is the sum of its words.
-    Any other text, and one with a special token's string in it, is encoded as a whole.
+    A byte-level tokenizer parts text before a space that a non-space follows, so a text of which all spaces are such is the
+    sum of its words.  Any other text, and one with an added token's string in it, is encoded as a whole.
     """
 
     _kept: dict[str, Encoder] = {}
@@ -116,9 +127,10 @@ class Encoder:
         self.by_words = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
         self.by_words = self.by_words and not self.tokenizer.pre_tokenizer.add_prefix_space
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" (?:\s|\Z)", *map(re.escape, added)]))
+        # Added tokens with a space in them are looked for in the whole text, the others in its words.
+        self.spaced = [a for a in added if " " in a]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = WordMemo(self.tokenizer, "H" if self.kind.itemsize == 2 else "I", MEMO_WORDS)
+        self.memo = WordMemo(self.tokenizer, "H" if self.kind.itemsize == 2 else "I", MEMO_WORDS, added)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -128,11 +140,15 @@ class Encoder:
         return cls._kept[path]
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_words or self.whole.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        head, *rest = text.split(" ")
-        first = np.array(self.tokenizer.encode(head, add_special_tokens=False).ids, self.kind).tobytes()
-        return np.frombuffer(first + b"".join(map(self.memo.__getitem__, rest)), self.kind).astype("<u4")
+        if self.by_words and not any(a in text for a in self.spaced):
+            head, *rest = text.split(" ")
+            try:
+                ids = b"".join(map(self.memo.__getitem__, rest))
+                first = self.tokenizer.encode(head, add_special_tokens=False).ids
+                return np.frombuffer(self.memo.packed(first) + ids, self.kind).astype("<u4")
+            except NotByWords:
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 class FrameWriter:
