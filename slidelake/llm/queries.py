@@ -14,7 +14,7 @@ from slidelake.llm.html_text import main_texts
 from slidelake.llm.html_text import train as train_blocks
 from slidelake.llm.jaccard import linked_documents
 from slidelake.llm.language import held_out, predict, train
-from slidelake.llm.licences import scan_licences
+from slidelake.llm.licences import TEMPLATES, scan_licences
 from slidelake.llm.line_templates import without_recurring_lines
 from slidelake.llm.mixing import mixed_documents
 from slidelake.llm.neighbours import nearest
@@ -113,6 +113,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_recurring_lines(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+keyed AS (SELECT row_number() OVER (ORDER BY doc_id IS NULL, doc_id, text) AS d, doc_id, text FROM docs),
+lines AS (
+  SELECT d, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT d, string_split(text, chr(10)) AS l FROM keyed)),
+cut AS (
+  SELECT d, line_no, line, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+  FROM (SELECT d, line_no, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM lines) WHERE len(t) >= 3),
+leafed AS (SELECT d, line_no, line, t, [len(t)::VARCHAR] || t[1:3] AS leaf FROM cut),
+shared AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT d) >= 3),
+kept AS (SELECT l.* FROM leafed l SEMI JOIN shared USING (leaf)),
+once AS (SELECT leaf, line, any_value(t) AS t, count(DISTINCT d) AS docs FROM kept GROUP BY leaf, line),
+words AS (SELECT leaf, line, docs, unnest(range(len(t))) AS place, unnest(t) AS token FROM once),
+fixed AS (SELECT leaf, place, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3),
+templates AS (
+  SELECT w.leaf, w.line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE w.token END ORDER BY w.place) AS template,
+         count(f.token) / count(*)::DOUBLE AS share
+  FROM words w LEFT JOIN fixed f ON w.leaf = f.leaf AND w.place = f.place AND w.token = f.token GROUP BY w.leaf, w.line),
+templated AS (SELECT k.d, k.line_no, k.leaf, t.template FROM kept k JOIN templates t USING (leaf, line) WHERE t.share >= 0.7),
+recurring AS (SELECT leaf, template, min(d) AS keeps FROM templated GROUP BY leaf, template HAVING count(DISTINCT d) >= 3),
+gone AS (SELECT t.d, t.line_no FROM templated t JOIN recurring r USING (leaf, template) WHERE t.d <> r.keeps),
+cleaned AS (
+  SELECT l.d, string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (g.d IS NULL) AS text, count(*) AS n_lines, count(g.d) AS n_dropped
+  FROM lines l LEFT JOIN gone g ON g.d = l.d AND g.line_no = l.line_no GROUP BY l.d)
+SELECT o.doc_id, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped
+FROM documents o LEFT JOIN keyed k ON o.doc_id IS NOT DISTINCT FROM k.doc_id AND o.text = k.text LEFT JOIN cleaned c USING (d)
+"""
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -172,6 +201,35 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _bigrams_sql(words: str) -> str:
+    return f"CASE WHEN len({words}) < 2 THEN {words} ELSE list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])) END"
+
+
+OP9_SQL = rf"""
+WITH templates(name, body) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in TEMPLATES.items())}),
+wanted AS (
+  SELECT name, {_bigrams_sql("w")} AS b FROM (SELECT name, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM templates)),
+docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+units AS (
+  SELECT n, unnest(range(len(l))) AS line, unnest(l) AS unit FROM (SELECT n, string_split(text, chr(10)) AS l FROM docs)
+  UNION ALL SELECT n, -1, text FROM docs WHERE contains(text, chr(10))),
+sets AS (
+  SELECT n, line, {_bigrams_sql("w")} AS b FROM (SELECT n, line, regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+') AS w FROM units) WHERE len(w) > 0),
+scored AS (
+  SELECT n, line, name, 2 * len(list_intersect(s.b, t.b))::DOUBLE / (len(s.b) + len(t.b)) AS dice FROM sets s, wanted t
+  WHERE len(s.b) BETWEEN 0.5 * len(t.b) AND 2 * len(t.b)),
+best AS (
+  SELECT n, line, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY n, line ORDER BY dice DESC, name) AS r FROM scored WHERE dice >= 0.9) WHERE r = 1)
+SELECT d.doc_id, count(b.line) AS n_matches, coalesce(array_to_string(list_sort(list(DISTINCT b.name) FILTER (b.name IS NOT NULL)), ','), '') AS licences,
+       coalesce(max(b.dice), 0)::DOUBLE AS best
+FROM docs d LEFT JOIN best b USING (n) GROUP BY d.n, d.doc_id
+"""
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -184,11 +242,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_language": (op2_language, None),
     "op3_main_text": (op3_main_text, None),
-    "op4_line_dedup": (op4_line_dedup, None),
+    "op4_line_dedup": (op4_line_dedup, OP4_SQL),
     "op5_nearest": (op5_nearest, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
     "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_url_rules": (op8_url_rules, OP8_SQL),
-    "op9_licences": (op9_licences, None),
+    "op9_licences": (op9_licences, OP9_SQL),
     "op10_token_files": (op10_token_files, None),
 }
