@@ -1,10 +1,15 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 Text is lower-cased and cut into words of letters and digits; a unit's set is its distinct word bigrams, or its one word
-where it has no more.  The units of a document are its lines and its whole text.  A unit matches a template where
-``2 |A and B| >= threshold (|A| + |B|)``, which needs sizes within ``threshold / (2 - threshold)`` of each other: only
-templates in these bounds are compared, and only where the unit has a bigram of some template at all.  A unit takes the
-template of the highest coefficient, then the smaller name.
+where it has no more.  The units of a document are its lines, its whole text and its runs of two or more consecutive
+lines, so a notice is found however it is wrapped and whatever stands around it.  A unit matches a template where
+``2 |A and B| >= threshold (|A| + |B|)``, which needs sizes within ``threshold / (2 - threshold)`` of each other, and that
+the document holds this share of the template's bigrams: only such templates are compared.  A line and the whole text
+take the template of the highest coefficient, then the smaller name.
+
+Of the runs that begin at a line, each template has the best, then the shortest.  These are taken by coefficient, then
+number of lines, first line and name, unless they overlap a matching unit of about their size (within the same bounds),
+be it a run taken before, a line or the whole text.  So a licence counts once, and a notice within a licence for itself.
 
 The templates are given with the call and bounded: ``MOST_BIGRAMS`` bigrams in all, or an error is raised.
 
@@ -14,7 +19,9 @@ result; templates without words are ignored.  Columns that are not in ``keep`` a
 
 from __future__ import annotations
 
+import pkgutil
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,6 +69,15 @@ TEMPLATES = {
     ),
 }
 
+# Whole licence texts and headers, a file each.
+WHOLE_TEXTS = {
+    name: pkgutil.get_data("slidelake.llm", f"licence_texts/{name}.txt").decode()
+    for name in (
+        "Apache-2.0-notice Apache-2.0-text BSD-2-Clause-text BSD-3-Clause-text CC0-1.0-text GPL-2.0-full-header GPL-2.0-text GPL-3.0-full-header "
+        "GPL-3.0-text ISC-text LGPL-2.1-text LGPL-3.0-text MIT-text MPL-2.0-text"
+    ).split()
+}
+
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -80,41 +96,88 @@ class TemplateIndex:
         self.sets = sorted(((len(s), name, s) for name, s in sets.items() if s), key=lambda x: x[:2])
         if sum(n for n, _, _ in self.sets) > MOST_BIGRAMS:
             raise ValueError(f"templates have more than {MOST_BIGRAMS} bigrams")
+        self.bound = threshold / (2 - threshold)
         self.known = frozenset().union(*(s for _, _, s in self.sets))
-        bound = threshold / (2 - threshold)
-        self.least = min((n for n, _, _ in self.sets), default=1) * bound
-        self.most = max((n for n, _, _ in self.sets), default=0) / bound
-        self.bound = bound
+        self.single = any(len(x) == 1 for x in self.known)
 
-    def match(self, own: list[str]) -> tuple[str, float] | None:
-        n = max(1, len(own) - 1)
+    def near(self, every: list[str]) -> list[tuple[int, str, frozenset]]:
+        """The templates of which a text with these words holds enough for any of its units to match."""
+        own = self.known.intersection(zip(every, every[1:]))
+        if self.single:
+            own |= self.known.intersection(zip(every))
+        return [x for x in self.sets if x[0] * self.bound <= len(own) and x[0] * self.bound <= len(own & x[2])]
+
+    def match(self, own: list[str], near: list) -> tuple[str, float, int] | None:
+        """(licence, coefficient, size of the unit)."""
         # Repeated bigrams only make a set smaller.
-        if not own or n < self.least:
+        if not own or max(1, len(own) - 1) < near[0][0] * self.bound:
             return None
         unit = bigrams(own)
         n = len(unit)
-        if not self.least <= n <= self.most or unit.isdisjoint(self.known):
-            return None
         best = None
-        for size, name, s in self.sets:
+        for size, name, s in near:
             if n * self.bound <= size <= n / self.bound:
                 dice = 2 * len(unit & s) / (n + size)
                 if dice >= self.threshold and (best is None or (-dice, name) < (-best[1], best[0])):
-                    best = (name, dice)
+                    best = (name, dice, n)
         return best
 
+    def runs(self, cut: list[list[str]], near: list) -> Iterator[tuple[float, int, int, str, int, int]]:
+        """(-coefficient, lines, first line, licence, last line, size) of the best run at each line for each template."""
+        every = [w for own in cut for w in own]
+        pairs = list(zip(every, every[1:]))
+        # (line, its first word, the word behind its last) of each line with words.
+        places, at = [], 0
+        for i, own in enumerate(cut):
+            if own:
+                places.append((i, at, at + len(own)))
+                at += len(own)
+        for size, name, s in near:
+            hits = [k for k, x in enumerate(pairs) if x in s]
+            least, most = size * self.bound, size / self.bound
+            for p, (i, start, end) in enumerate(places[:-1]):
+                first = bisect_left(hits, start)
+                if len(hits) - first < least:
+                    break
+                # A first line without a bigram of the template only adds to the run's size.
+                if hits[first] >= end:
+                    continue
+                unit, common, best, k = set(), 0, None, start
+                for j, _, stop in places[p:]:
+                    for x in pairs[k : stop - 1]:
+                        if x not in unit:
+                            unit.add(x)
+                            common += x in s
+                    k = max(k, stop - 1)
+                    if len(unit) > most:
+                        break
+                    dice = 2 * common / (len(unit) + size)
+                    if j > i and dice >= self.threshold and (best is None or dice > -best[0]):
+                        best = (-dice, j - i + 1, i, name, j, len(unit))
+                if best:
+                    yield best
+
     def scan(self, text: str | None) -> list[tuple[int, str, float]]:
-        """(line, licence, coefficient) of each line that matches; line -1 is the whole text."""
-        out, every = [], []
+        """(line, licence, coefficient) of each line that matches, and of each run by its first line; line -1 is the whole text."""
         lines = (text or "").split("\n")
-        for i, line in enumerate(lines):
-            own = words(line)
-            if hit := self.match(own):
-                out.append((i, *hit))
-            every += own
-        if len(lines) > 1 and (hit := self.match(every)):
-            out.append((-1, *hit))
-        return out
+        cut = [words(line) for line in lines]
+        every = [w for own in cut for w in own]
+        near = self.near(every)
+        if not near:
+            return []
+        out, whole, taken = [], [], []
+        for i, own in enumerate(cut):
+            if hit := self.match(own, near):
+                out.append((i, *hit[:2]))
+                taken.append((i, i, hit[2]))
+        if len(lines) > 1 and (hit := self.match(every, near)):
+            whole.append((-1, *hit[:2]))
+            taken.append((0, len(lines) - 1, hit[2]))
+        for dice, _, i, name, j, n in sorted(self.runs(cut, near)):
+            if not any(a <= j and i <= b and n * self.bound <= m <= n / self.bound for a, b, m in taken):
+                out.append((i, name, -dice))
+                taken.append((i, j, n))
+        return out + whole
 
 
 def _scanner(index: TemplateIndex):
@@ -131,9 +194,9 @@ def _scanner(index: TemplateIndex):
 
 
 def scan_licences(
-    documents: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, keep: tuple[str, ...] = ("doc_id",)
+    documents: DataFrame, templates: dict[str, str] = TEMPLATES | WHOLE_TEXTS, threshold: float = 0.9, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """``keep`` columns of each row with ``matches``: the line (-1: the whole text), licence and coefficient of each."""
+    """``keep`` columns of each row with ``matches``: the line (of a run its first; -1: the whole text), licence and coefficient of each."""
     index = TemplateIndex(templates, threshold)
     rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
     schema = T.StructType([f for f in rows.schema if f.name != "text"])

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from slidelake.llm.licences import TEMPLATES, bigrams, scan_licences, words
+from slidelake.llm.licences import TEMPLATES, WHOLE_TEXTS, TemplateIndex, bigrams, scan_licences, words
 from slidelake.llm.line_templates import without_recurring_lines
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -103,3 +103,57 @@ def test_licences_match_brute_force(spark, sf_dir):
     got = [(r.doc_id, [tuple(m) for m in r.matches]) for r in scan_licences(df).collect()]
     assert sorted(got, key=str) == sorted(((d, brute_licences(t)) for d, t in rows), key=str)
     assert sum(bool(m) for _, m in got) > 5
+
+
+def brute_runs(text, templates, threshold=0.9):
+    """Every run of lines against every template."""
+    lines, found, taken = text.split("\n"), [], []
+    sets = {name: bigrams(words(t)) for name, t in templates.items()}
+    dice = lambda own, other: 2 * len(own & other) / (len(own) + len(other)) if own else 0
+    bound = threshold / (2 - threshold)
+    for a, b in [*((i, i) for i in range(len(lines))), *([(0, len(lines) - 1)] if len(lines) > 1 else [])]:
+        own = bigrams(words("\n".join(lines[a : b + 1])))
+        scored = min((-dice(own, s), name) for name, s in sets.items())
+        if -scored[0] >= threshold:
+            found.append((a if a == b else -1, scored[1], -scored[0]))
+            taken.append((a, b, len(own)))
+    best = {}
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            own = bigrams(words("\n".join(lines[a : b + 1])))
+            for name, s in sets.items():
+                if dice(own, s) >= threshold and words(lines[a]) and words(lines[b]):
+                    best[a, name] = min(best.get((a, name), (0,)), (-dice(own, s), b - a + 1, a, name, b, len(own)))
+    for d, _, a, name, b, n in sorted(best.values()):
+        if not any(x <= b and a <= y and n * bound <= m <= n / bound for x, y, m in taken):
+            found.append((a, name, -d))
+            taken.append((a, b, n))
+    return sorted(found)
+
+
+def test_whole_licences_and_wrapped_notices(spark):
+    mit, header = WHOLE_TEXTS["MIT-text"], WHOLE_TEXTS["Apache-2.0-notice"]
+    code = "\n".join(f"def f{i}(x): return x + {i}" for i in range(400))
+    commented = "\n".join("# " + line for line in ["Copyright 2020 Somebody", *header.strip().split("\n")])
+    texts = [mit, f"The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n{mit}", f"{code}\n{commented}\n{code}", f"{code}\n\n{mit}\n{code}\n{mit}"]
+    texts += [f"{code}\nAll rights\nreserved.\n{code}", code, *WHOLE_TEXTS.values()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in scan_licences(df).collect()}
+    assert "MIT-text" in {m[1] for m in got[0]} and "MIT-text" in {m[1] for m in got[1]}
+    assert [m[:2] for m in got[2] if m[1] == "Apache-2.0-notice"] == [(401, "Apache-2.0-notice")]
+    assert [m[1] for m in got[3]].count("MIT-text") == 2
+    assert [m[:2] for m in got[4]] == [(400, "All-rights-reserved")] and got[5] == []
+    for name, found in zip(WHOLE_TEXTS, [got[i] for i in range(6, len(texts))], strict=True):
+        assert (-1, name, 1.0) in found
+
+
+def test_runs_match_brute_force():
+    r = random.Random(2)
+    templates = {"a": "one two three four five six seven eight nine ten", "b": "one two three four five", "c": "two three four five six", "d": "one"}
+    index, hits = TemplateIndex(templates, 0.9), 0
+    for _ in range(600):
+        text = " ".join(r.choice([templates["a"], templates["b"], r.choice(templates["a"].split()), "other words", "..."]) for _ in range(r.randint(1, 6)))
+        text = re.sub(" ", lambda m: "\n" if r.random() < 0.3 else " ", text)
+        assert sorted(index.scan(text)) == brute_runs(text, templates)
+        hits += len(index.scan(text))
+    assert hits > 300
