@@ -80,6 +80,17 @@ def test_no_lines(spark):
     assert without_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_fields_with_recurring_values(spark):
+    """Each value recurs, but no combination does."""
+    authors, sections = [[f"{kind}{chr(97 + i)}{chr(97 + i // 5)}" for i in range(30)] for kind in ("author", "section")]
+    line = lambda i, j: f"This article was written by {authors[i]} and was filed under {sections[j]} today"
+    for size in (6, 30):
+        rows = [(i * size + j, f"own{chr(97 + i)}{chr(97 + j)} text\n{line(i, j)}") for i in range(size) for j in range(size)]
+        rows += [(10_000, "This article was written by nobody at all because there never was such a thing")]
+        got = {r.doc_id: r.n_dropped for r in without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {d: int(0 < d < 10_000) for d, _ in rows}
+
+
 def brute_licences(text, threshold=0.9):
     out, lines = [], (text or "").split("\n")
     units = [*enumerate(lines), *([(-1, text)] if len(lines) > 1 else [])]
