@@ -249,7 +249,7 @@ def _group_fold_checks(s, d):
 
 
 def _evaluation(s, d):
-    """Slides to patient vectors, site-grouped folds, probe, fold summary."""
+    """Slides to patient vectors, site-grouped folds, probe, and all parts of the report, whose rows ``part`` tells apart."""
     i = F.col("vec_id")
     e = fx.table(s, d, "embeddings")
     slides = e.select(F.floor(i / 2).alias("patient"), F.col("embedding").alias("emb"))
@@ -258,8 +258,12 @@ def _evaluation(s, d):
         F.concat(F.lit("site_"), (F.floor(i / 2) % 23).cast("string")).alias("site"), i.alias("ord"),
     )
     patients = evaluation.patient_table(slides, manifest, "cancer_code", "site", "ord")
-    oof = evaluation.out_of_fold(patients, "site", (42,), model="ridge")
-    return evaluation.report(oof)["summary"]
+    parts = evaluation.report(evaluation.out_of_fold(patients, "site"))
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("part"), "*")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def _center_folds(s, d):
@@ -269,7 +273,7 @@ def _center_folds(s, d):
 
 def _grid(s, d):
     v = materialize(_vectors(s, d), "grid")
-    return probes.grid_search(v, ("logreg_l2", "ridge"), (0.1, 1.0), max_iter=50)
+    return probes.grid_search(v)
 
 
 def _gates(s, d):

@@ -135,3 +135,28 @@ def test_binomial_l2_for_two_classes(data, spark):
     assert np.abs(np.array([r["probs"][1] for r in out]) - p).max() < 1e-3
     other = fit_predict(table, table, "logreg_l2", c, family="multinomial").orderBy("id").collect()
     assert np.abs(np.array([r["probs"][1] for r in other]) - p).max() > 1e-3
+
+
+def test_registered_searches_are_whole(spark, sf_dir, monkeypatch):
+    """All settings of the grid; all seeds and parts of the evaluation. The fits are replaced by the labels."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+    from slidelake.operators import probes
+    from slidelake.plans import evaluation
+
+    asked = []
+
+    def fit(df, model, c, *args, max_iter=200, **kwargs):
+        asked.append((model, c, args[3] if len(args) > 3 else max_iter))
+        return df.drop("feat").withColumn("pred", F.col("y"))
+
+    monkeypatch.setattr(probes, "cross_validate", fit)
+    monkeypatch.setattr(evaluation, "cross_validate", fit)
+    assert entry.queries()["grid_search"](spark, sf_dir).count() == 20
+    assert sorted(asked) == sorted((m, c, 200) for m in probes.MODELS for c in (0.1, 0.3, 1.0, 3.0, 10.0))
+    asked.clear()
+    rows = entry.queries()["patient_evaluation"](spark, sf_dir).collect()
+    assert asked == [("logreg_l2", 1.0, 200)] * 3
+    assert {r["seed"] for r in rows if r["part"] == "folds"} == {42, 123, 456}
+    assert {r["part"] for r in rows} == {"folds", "summary", "interval", "classes", "confusion"}
