@@ -7,7 +7,8 @@ Viterbi picks the labels.  It is trained on ``pages`` labelled pages (a document
 gradient ascent on the likelihood, and its weights are broadcast: a few hundred numbers.
 
 Text is decoded (character references), white space within a block is one space, and the kept blocks are joined by two
-``\n`` in page order.  Scripts, styles, comments, titles, templates and text areas are never text.
+``\n`` in page order.  Scripts, styles, comments, titles, templates, text areas and drawings (svg) are never text; a drawing
+ends with its own end tag, also around other drawings, or at once if its tag closes itself.
 
 Defined results: null and empty pages give an empty text; markup that is not closed ends with the page; a page without
 markup is one block; repeated rows are judged alike; an empty table gives an empty result.  Columns that are not in
@@ -44,6 +45,9 @@ SCOPES = frozenset("article aside body button dl div footer form header html mai
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+#: A slash that is part of a value without quotes does not close the tag.
+OPEN_VALUE = re.compile(r"=\s*[^\s\"'][^\s]*\Z")
 #: Ancestors that are features; others count only by their class and id words.
 TAG_FEATURES = "a article aside blockquote button dd figcaption figure footer form h1 h2 h3 h4 h5 h6 header label legend li main nav ol option p pre section table td ul".split()
 SHAPE = "bias words1 words3 words8 words20 words60 ends_sentence starts_capital digits no_link some_link all_link outside_article first last".split()
@@ -120,6 +124,24 @@ class _Parser:
                 break
 
 
+def _closes_itself(attributes: str) -> bool:
+    return attributes.endswith("/") and not OPEN_VALUE.search(QUOTED.sub('""', attributes))
+
+
+def _behind_drawing(html: str, at: int) -> int:
+    """The place behind the end tag of the svg element whose start tag ends at ``at``."""
+    depth = 1
+    for m in TAG.finditer(html, at):
+        if (m[2] or m[5] or "").lower() == "svg":
+            if m[1] or m[4]:
+                depth -= 1
+            elif not _closes_itself(m[3] or m[6] or ""):
+                depth += 1
+            if not depth:
+                return m.end()
+    return len(html)
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The page's blocks with text, in page order."""
     parser, at = _Parser(), 0
@@ -131,6 +153,8 @@ def leaf_blocks(html: str) -> list[Block]:
             continue
         if m[1] or m[4]:
             parser.end(tag)
+        elif tag == "svg":
+            at = at if _closes_itself(m[3] or m[6] or "") else _behind_drawing(html, at)
         elif tag in RAW_TAGS:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else len(html)

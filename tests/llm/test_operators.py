@@ -278,3 +278,13 @@ def test_page_edges(spark, model):
 def test_hashes_of_items(spark, sf_dir):
     rows = QUERIES["op6_decontaminate"][0](spark, sf_dir).where("n_items = 0").limit(1).collect()
     assert rows[0].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_text_behind_drawings():
+    article = "<article><p>The first sentence of the article.</p><p>The second one.</p></article>"
+    want = ["The first sentence of the article.", "The second one."]
+    inner = '<svg class="a"><svg x="1"><text>no</text></svg><text>nor this</text></svg>'
+    for drawing in ('<svg class="icon"/>', "<svg/>", "<svg d='a=b' />", "<SVG width=1 />", inner, inner + "<svg/>", "<svg class=icon/><path/></svg>", "<svg><svg/></svg>"):
+        assert [b.text for b in leaf_blocks(f"{drawing}{article}")] == want, drawing
+        assert [b.text for b in leaf_blocks(f"<div>{drawing}</div>{article}<svg><text>no</text></svg>")] == want, drawing
+    assert leaf_blocks("<svg><text>never closed" + article) == []
