@@ -33,6 +33,8 @@ from slidelake.session import materialize
 
 NEIGHBOURS = 10
 HIDDEN = 64
+#: More than the fast and the exact cosine of two vectors differ by.
+ROUNDING = 1e-9
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -191,13 +193,14 @@ def _rerank(k: int):
             q, v = _matrix(queries.column("v")), _matrix(rows.column("v"))
             ids, names = rows.column("id").to_numpy(), queries.column("id").to_numpy()
             base = unit(v)
-            # Some more than k by the fast product, then the exact measure and its ties.
-            wide = min(len(v), k + 16)
+            # All that the fast product's rounding may have among the k best, ties included, then the exact measure.
+            least = min(len(v), k)
             for at in range(0, len(q), 512):
                 s = unit(q[at : at + 512]) @ base.T
-                near = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
-                for i, js in enumerate(near):
-                    exact = cosines(np.broadcast_to(q[at + i], (wide, q.shape[1])), v[js])
+                bar = -np.partition(-s, least - 1, axis=1)[:, least - 1] - ROUNDING
+                for i, row in enumerate(s):
+                    js = np.flatnonzero(row >= bar[i])
+                    exact = cosines(np.broadcast_to(q[at + i], (len(js), q.shape[1])), v[js])
                     best = np.lexsort((ids[js], -exact))[:k]
                     ask += [names[at + i]] * len(best)
                     own.append(ids[js][best])

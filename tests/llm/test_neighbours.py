@@ -1,9 +1,10 @@
 """Recall, scores and edge cases of the search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from slidelake.llm.neighbours import balanced_parts, neighbour_graph, nearest, unit
+from slidelake.llm.neighbours import _rerank, balanced_parts, neighbour_graph, nearest, unit
 from pyspark.sql import functions as F
 
 KIND = "vec_id long, embedding array<float>, id string, v int"
@@ -70,3 +71,15 @@ def test_parts_are_balanced():
     x = unit(np.random.default_rng(1).normal(size=(1000, 16)))
     sizes = np.bincount(balanced_parts(x, neighbour_graph(x, 10), 7), minlength=7)
     assert sizes.sum() == 1000 and sizes.max() <= 1.1 * 1000 / 7 + 1
+
+
+def test_ties_of_different_vectors(spark):
+    """All vectors but one have the same cosine with the query; the smallest ids win."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.0, 2.0**-i, 0.0]) for i in range(1, 100)] + [(1000 + i, [0.0, 0.0, 2.0**-i]) for i in range(100)]
+    for turn in (rows, rows[::-1]):
+        chunk = pa.table({"id": [i for i, _ in turn], "v": [v for _, v in turn]})
+        assert sorted(_rerank(6)(chunk.slice(turn.index(rows[0]), 1), chunk)["id"].to_pylist()) == [0, 1, 2, 3, 4, 5]
+        df = spark.createDataFrame([(i, v, "x", 1) for i, v in turn], KIND)
+        got = answers(nearest(df, F.col("vec_id") % 50 == 0, sample_rows=64))
+        assert [j for j, _ in got[0]] == [1, 2, 3, 4, 5] and [j for j, _ in got[50]] == [1, 2, 3, 4, 5]
+        assert [j for j, _ in got[1050]] == [1000, 1001, 1002, 1003, 1004]
