@@ -9,8 +9,8 @@ double precision.
 Parts that turn out large are dealt to chunks of about ``chunk`` vectors, and the queries of a part likewise, so a task
 holds two chunks at most.  Equal vectors are searched once: only the k + 1 smallest ids of a vector can be in an answer.
 
-Bounds: ``sample_rows`` vectors reach the driver for the fit; a part has about ``part_rows`` vectors, but there are no
-more than a 64th of the sample.
+Bounds: ``sample_rows`` vectors reach the driver for the fit; a part has about ``part_rows`` vectors, or fewer where that
+makes less than ``LEAST_PARTS`` parts, but there are no more parts than a 64th of the sample: one below 128 vectors.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, have no id, or are not of the
 commonest length (the smaller on a tie) take no part; ties in the score go to the smaller id; rows with the query's id
@@ -33,6 +33,7 @@ from slidelake.session import materialize
 
 NEIGHBOURS = 10
 HIDDEN = 64
+LEAST_PARTS = 8
 #: More than the fast and the exact cosine of two vectors differ by.
 ROUNDING = 1e-9
 
@@ -247,7 +248,7 @@ def nearest(
     ids = materialize(ranked.withColumn("id", F.first("vec_id").over(order)), "ids")
     base = ids.where("nth = 1").select("id", "v")
     n = base.count()
-    parts = max(1, min(n // part_rows, sample_rows // 64))
+    parts = max(1, min(max(n // part_rows, LEAST_PARTS), min(n, sample_rows) // 64))
     sample = base.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect() if parts > 1 else []
     d = len(sample[0].v) if sample else 1
     x = unit(np.array([r.v for r in sample])) if sample else np.zeros((0, d))

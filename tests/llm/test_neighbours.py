@@ -1,5 +1,7 @@
 """Recall, scores and edge cases of the search against brute force."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -83,3 +85,22 @@ def test_ties_of_different_vectors(spark):
         got = answers(nearest(df, F.col("vec_id") % 50 == 0, sample_rows=64))
         assert [j for j, _ in got[0]] == [1, 2, 3, 4, 5] and [j for j, _ in got[50]] == [1, 2, 3, 4, 5]
         assert [j for j, _ in got[1050]] == [1000, 1001, 1002, 1003, 1004]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_registered_query(spark, sf_dir, sf, monkeypatch):
+    """The small tables go through the router as well."""
+    from slidelake.llm import neighbours
+    from slidelake.llm.queries import op5_nearest
+
+    made, fit = [], neighbours.fit_router
+    monkeypatch.setattr(neighbours, "fit_router", lambda x, parts, *a: made.append((parts, fit(x, parts, *a))) or made[-1][1])
+    folder = f"{os.path.dirname(sf_dir)}/{sf}"
+    got = answers(op5_nearest(spark, folder))
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want = brute(rows, 5, 50)
+    assert [parts for parts, _ in made] == [min(8, len({tuple(v) for _, v in rows}) // 64)]
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    hits = sum(len({j for j, _ in got[i]} & {j for j, _ in want[i]}) for i in want)
+    print(sf, "parts, visited:", made[0][0], made[0][1].probes, "recall:", hits, "of", 5 * len(want))
+    assert hits / (5 * len(want)) >= 0.9
