@@ -16,6 +16,7 @@ from slidelake.llm.jaccard import linked_documents
 from slidelake.llm.language import held_out, predict, train
 from slidelake.llm.licences import TEMPLATES, scan_licences
 from slidelake.llm.line_templates import without_recurring_lines
+from slidelake.llm.merkle import verified_documents
 from slidelake.llm.mixing import mixed_documents
 from slidelake.llm.neighbours import nearest
 from slidelake.llm.token_files import read_token_files, write_token_files
@@ -238,6 +239,65 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Where 2 divides the CRC of the id, the row was tampered with: its text lost its line ends.
+    lost = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(lost, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return verified_documents(table(spark, sf_dir, "documents"), text=text)
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text: each byte is put in ahead of its eight shifts."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ord({text}[i]), 0, 0, 0, 0, 0, 0, 0]))"
+    one = "(xor(c, x) >> 1)", "3988292384 * (xor(c, x) & 1)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}::BIGINT[]), lambda c, x: xor({one[0]}, {one[1]})), 4294967295::BIGINT)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS other
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM hashed),
+nodes(level, tree, pos, digest, n) AS (
+  SELECT 0, tree, rank, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY level, tree, pos // 3, n),
+subroots AS (SELECT tree, digest FROM nodes WHERE n = 1),
+tops(level, pos, digest, n) AS (
+  SELECT 0, tree, digest, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+steps AS (
+  SELECT l.tree, l.rank, n.level AS level,
+         coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos < l.rank // CAST(3 ** n.level AS BIGINT)), '') AS before,
+         coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos > l.rank // CAST(3 ** n.level AS BIGINT)), '') AS after
+  FROM leaves l JOIN nodes n ON n.tree = l.tree AND n.n > 1 AND n.pos // 3 = l.rank // CAST(3 ** (n.level + 1) AS BIGINT) GROUP BY ALL
+  UNION ALL
+  SELECT l.tree, l.rank, 1000 + n.level,
+         coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos < l.tree // CAST(3 ** n.level AS BIGINT)), ''),
+         coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos > l.tree // CAST(3 ** n.level AS BIGINT)), '')
+  FROM leaves l JOIN tops n ON n.n > 1 AND n.pos // 3 = l.tree // CAST(3 ** (n.level + 1) AS BIGINT) GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tree, rank ORDER BY level) AS k FROM steps),
+folds(tree, rank, k, digest) AS (
+  SELECT tree, rank, 0::BIGINT, other FROM leaves
+  UNION ALL
+  SELECT f.tree, f.rank, f.k + 1, sha256(s.before || f.digest || s.after) FROM folds f JOIN numbered s ON s.tree = f.tree AND s.rank = f.rank AND s.k = f.k + 1),
+folded AS (SELECT tree, rank, arg_max(digest, k) AS digest FROM folds GROUP BY tree, rank),
+proofs AS (SELECT tree, rank, sha256(string_agg(before || after, '' ORDER BY k)) AS digest FROM numbered GROUP BY tree, rank),
+root AS (SELECT digest FROM tops WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.digest, sha256('')) AS proof_sha256, f.digest AS folded_root,
+       f.digest = r.digest AS verified
+FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN folded f ON f.tree = l.tree AND f.rank = l.rank LEFT JOIN proofs p ON p.tree = l.tree AND p.rank = l.rank, root r
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_language": (op2_language, None),
@@ -249,4 +309,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_url_rules": (op8_url_rules, OP8_SQL),
     "op9_licences": (op9_licences, OP9_SQL),
     "op10_token_files": (op10_token_files, None),
+    "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
 }
