@@ -19,6 +19,7 @@ from slidelake.llm.line_templates import without_recurring_lines
 from slidelake.llm.merkle import verified_documents
 from slidelake.llm.mixing import mixed_documents
 from slidelake.llm.neighbours import nearest
+from slidelake.llm.prefix_trie import conversation_trie
 from slidelake.llm.token_files import read_token_files, write_token_files
 from slidelake.llm.urls import filter_urls, rules_table
 from slidelake.session import scratch_path
@@ -298,6 +299,41 @@ SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.diges
 FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN folded f ON f.tree = l.tree AND f.rank = l.rank LEFT JOIN proofs p ON p.tree = l.tree AND p.rank = l.rank, root r
 """
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = rf"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+used AS (
+  SELECT i.conv_id, t.k, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.base AND t.k <= i.h
+  UNION ALL SELECT i.conv_id, t.k, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.k > i.h),
+listed AS (
+  SELECT i.conv_id, coalesce(list(md5(strlen(u.role) || ':' || u.role || u.text) ORDER BY u.k) FILTER (u.k IS NOT NULL), []) AS path,
+         coalesce(list(len(regexp_extract_all(u.text, '[^\x20\x09-\x0D]+')) ORDER BY u.k) FILTER (u.k IS NOT NULL), []) AS words
+  FROM ids i LEFT JOIN used u USING (conv_id) GROUP BY i.conv_id),
+prefixes AS (
+  SELECT conv_id, d AS depth, array_to_string(path[1:d], '') AS node, CASE WHEN d > 0 THEN array_to_string(path[1:d - 1], '') END AS above,
+         CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, d = len(path) AS ends
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM listed)),
+nodes AS (
+  SELECT node, above, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, above, depth),
+kids AS (SELECT above AS node, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above),
+sub AS (
+  SELECT a.node, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) b LEFT JOIN kids k ON k.node = b.node
+  JOIN nodes a ON a.node = left(b.node, 32 * b.d) GROUP BY a.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.above LEFT JOIN kids k ON k.node = n.node JOIN sub s ON s.node = n.node
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_language": (op2_language, None),
@@ -310,4 +346,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_licences": (op9_licences, OP9_SQL),
     "op10_token_files": (op10_token_files, None),
     "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
