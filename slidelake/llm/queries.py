@@ -13,6 +13,7 @@ from slidelake.llm.decontaminate import decontaminate
 from slidelake.llm.html_text import main_texts
 from slidelake.llm.html_text import train as train_blocks
 from slidelake.llm.jaccard import linked_documents
+from slidelake.llm.katz import katz_scores
 from slidelake.llm.language import held_out, predict, train
 from slidelake.llm.licences import TEMPLATES, scan_licences
 from slidelake.llm.line_templates import without_recurring_lines
@@ -240,6 +241,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Where 2 divides the CRC of the id, the row was tampered with: its text lost its line ends.
     lost = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -345,6 +350,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_url_rules": (op8_url_rules, OP8_SQL),
     "op9_licences": (op9_licences, OP9_SQL),
     "op10_token_files": (op10_token_files, None),
+    "op11_katz_scores": (op11_katz_scores, None),
     "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
     "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
