@@ -1,8 +1,9 @@
 r"""Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
-A page is cut into leaf blocks: the runs of text between tags that start or end a block.  A block's features are the tags
-and the class and id words of its ancestors, its length, punctuation, capitals and share of link text, and whether the
-page has an article element that it is not in.  A two-label linear-chain CRF scores the sequence of a page's blocks and
+A page is cut into leaf blocks: the runs of text between tags that start or end a block, by a scanner that only moves
+forward, so a broken page takes no longer than a sound one of its length.  A block's features are the tags and the class
+and id words of its ancestors, the nearest one that gives a page its structure and whether that is in an article, its
+length, punctuation, capitals and share of link text, and whether the page has an article element that it is not in.  A two-label linear-chain CRF scores the sequence of a page's blocks and
 Viterbi picks the labels.  It is trained on ``pages`` labelled pages (a documented bound; see ``labelled_pages``) by
 gradient ascent on the likelihood, and its weights are broadcast: a few hundred numbers.
 
@@ -10,14 +11,16 @@ Text is decoded (character references), white space within a block is one space,
 ``\n`` in page order.  Scripts, styles, comments, titles, templates, text areas and drawings (svg) are never text; a drawing
 ends with its own end tag, also around other drawings, or at once if its tag closes itself.
 
-Defined results: null and empty pages give an empty text; markup that is not closed ends with the page; a page without
-markup is one block; repeated rows are judged alike; an empty table gives an empty result.  Columns that are not in
+Defined results: null and empty pages give an empty text; markup that is not closed ends with the page, and a tag without
+an end is text; where quotes in tags do not match, tags end at the next ``>`` from there on; a page without markup is one
+block; repeated rows are judged alike; an empty table gives an empty result.  Columns that are not in
 ``keep`` are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -40,25 +43,33 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("iframe noframes noscript script style svg template textarea title xmp".split())
 # A start tag on the left ends an open element on the right, up to the nearest element that starts a scope.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+#: Tags that an element remembers of its ancestors.
+TAGS = frozenset("a article aside blockquote button dd figcaption figure footer form h1 h2 h3 h4 h5 h6 header label legend li main nav ol option p pre section table td ul".split())
 SCOPES = frozenset("article aside body button dl div footer form header html main nav ol section select table ul".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+#: What may end a tag, or hide an end: a value in quotes stands behind an equals sign.
+TAG_PART = re.compile(r">|=\s*([\"'])")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 #: A slash that is part of a value without quotes does not close the tag.
 OPEN_VALUE = re.compile(r"=\s*[^\s\"'][^\s]*\Z")
 #: Ancestors that are features; others count only by their class and id words.
-TAG_FEATURES = "a article aside blockquote button dd figcaption figure footer form h1 h2 h3 h4 h5 h6 header label legend li main nav ol option p pre section table td ul".split()
-SHAPE = "bias words1 words3 words8 words20 words60 ends_sentence starts_capital digits no_link some_link all_link outside_article first last".split()
+TAG_FEATURES = sorted(TAGS)
+#: Ancestors that give a page its structure; the nearest one is a feature.
+STRUCTURE = frozenset("article aside dialog fieldset footer form header main menu nav section".split())
+SHAPE = "bias words1 words3 words8 words20 words60 ends_sentence starts_capital digits no_link some_link all_link outside_article".split()
+SHAPE += [f"near_{t}{w}" for t in ["", *sorted(STRUCTURE)] for w in ("", "_in_article")]
 
 
 @dataclass
 class Block:
     text: str
-    #: Tags and class and id words of the ancestors.
+    #: Tags and class and id words of the ancestors, and the nearest one that gives structure.
     tags: frozenset[str]
     names: frozenset[str]
+    near: str
     link_share: float
 
 
@@ -67,12 +78,55 @@ class _Element:
     tag: str
     tags: frozenset[str]
     names: frozenset[str]
+    near: str
+
+
+class _Tags:
+    """The tags of a page in order, each found from where the last one ended."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``; there is one further on."""
+        if self.quotes:
+            found = at
+            while m := TAG_PART.search(self.html, found):
+                if not m[1]:
+                    return m.start()
+                if (found := self.html.find(m[1], m.end()) + 1) == 0:
+                    break
+            # A quote without its match: looked for once in a page.
+            self.quotes = False
+        return self.html.index(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether an end tag, name, attributes) of the next tag or comment, which has no name."""
+        html = self.html
+        while m := OPENING.search(html, at):
+            if html.startswith("<!--", m.start()):
+                body = m.start() + 4
+                if html.startswith((">", "->"), body):
+                    return m.start(), html.index(">", body) + 1, False, "", ""
+                ends = [e + len(mark) for mark in ("-->", "--!>") if (e := html.find(mark, body)) >= 0]
+                return m.start(), min(ends, default=len(html)), False, "", ""
+            if m.end() > self.last:
+                return None
+            if m[2] is None:
+                return m.start(), html.index(">", m.end()) + 1, False, "", ""
+            end = self._end(m.end())
+            return m.start(), end + 1, bool(m[1]), m[2].lower(), html[m.end() : end]
+        return None
 
 
 @dataclass
 class _Parser:
     blocks: list[Block] = field(default_factory=list)
-    open: list[_Element] = field(default_factory=lambda: [_Element("", frozenset(), frozenset())])
+    #: The names that matter, if not all: no element then has more of them, however deep it lies.
+    known: frozenset[str] | None = None
+    open: list[_Element] = field(default_factory=lambda: [_Element("", frozenset(), frozenset(), "")])
+    #: How many elements with a tag are open.
+    count: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     at: _Element | None = None
@@ -91,7 +145,7 @@ class _Parser:
         if self.at is not None:
             text = " ".join("".join(self.parts).split())
             size = sum(map(len, self.parts))
-            self.blocks.append(Block(text, self.at.tags, self.at.names, self.linked / max(1, size)))
+            self.blocks.append(Block(text, self.at.tags, self.at.names, self.at.near, self.linked / max(1, size)))
         self.parts, self.linked, self.at = [], 0, None
 
     def start(self, tag: str, attributes: str) -> None:
@@ -101,65 +155,71 @@ class _Parser:
         if tag in BLOCK_TAGS:
             self.end_block()
             closes = ENDS.get(tag, set()) | ({"p"} if tag not in ("option", "button", "label", "optgroup") else set())
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in closes:
-                    del self.open[i:]
-                    break
-                if self.open[i].tag in SCOPES:
-                    break
+            self.close(closes, SCOPES)
         if tag not in VOID_TAGS:
             top = self.open[-1]
             names = top.names
             if attributes:
                 for m in NAMES.finditer(attributes):
-                    names = names | frozenset(WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
-            self.open.append(_Element(tag, top.tags | {tag}, names))
+                    found = frozenset(WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+                    names = names | (found if self.known is None else found & self.known)
+            tags = top.tags | {tag} if tag in TAGS else top.tags
+            self.open.append(_Element(tag, tags, names, tag if tag in STRUCTURE else top.near))
+            self.count[tag] += 1
+
+    def close(self, tags: set[str], scopes: frozenset[str] = frozenset()) -> None:
+        """End the innermost open element of ``tags`` and all in it, if none of ``scopes`` is in between."""
+        if not any(self.count[t] for t in tags):
+            return
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in tags:
+                self.count.subtract(e.tag for e in self.open[i:])
+                del self.open[i:]
+                return
+            if self.open[i].tag in scopes:
+                return
 
     def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.end_block()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                break
+        self.close({tag})
 
 
 def _closes_itself(attributes: str) -> bool:
     return attributes.endswith("/") and not OPEN_VALUE.search(QUOTED.sub('""', attributes))
 
 
-def _behind_drawing(html: str, at: int) -> int:
+def _behind_drawing(tags: _Tags, at: int) -> int:
     """The place behind the end tag of the svg element whose start tag ends at ``at``."""
     depth = 1
-    for m in TAG.finditer(html, at):
-        if (m[2] or m[5] or "").lower() == "svg":
-            if m[1] or m[4]:
-                depth -= 1
-            elif not _closes_itself(m[3] or m[6] or ""):
-                depth += 1
+    while found := tags.next(at):
+        _, at, ends, tag, attributes = found
+        if tag == "svg":
+            depth += -1 if ends else 0 if _closes_itself(attributes) else 1
             if not depth:
-                return m.end()
-    return len(html)
+                return at
+    return len(tags.html)
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """The page's blocks with text, in page order."""
-    parser, at = _Parser(), 0
-    while m := TAG.search(html, at):
-        parser.text(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+def leaf_blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The page's blocks with text, in page order, with those of their ancestors' names that are ``known``."""
+    parser, tags, at = _Parser(known=known), _Tags(html), 0
+    while found := tags.next(at):
+        start, end, ends, tag, attributes = found
+        parser.text(html[at:start])
+        at = end
         if not tag:
             continue
-        if m[1] or m[4]:
+        if ends:
             parser.end(tag)
         elif tag == "svg":
-            at = at if _closes_itself(m[3] or m[6] or "") else _behind_drawing(html, at)
+            at = at if _closes_itself(attributes) else _behind_drawing(tags, at)
         elif tag in RAW_TAGS:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            at = html.find(">", close.end()) + 1 if close else 0
+            at = at or len(html)
         else:
-            parser.start(tag, m[3] or m[6] or "")
+            parser.start(tag, attributes)
     parser.text(html[at:])
     parser.end_block()
     return parser.blocks
@@ -173,10 +233,13 @@ class BlockModel:
     emission: np.ndarray
     transition: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.names = frozenset(n[1:] for n in self.places if n[0] == ".")
+
     def features(self, blocks: list[Block]) -> list[list[int]]:
         has_article = any("article" in b.tags for b in blocks)
         get, out = self.places.get, []
-        for i, b in enumerate(blocks):
+        for b in blocks:
             n = b.text.count(" ") + 1
             on = ["bias", "words1" if n < 3 else "words3" if n < 8 else "words8" if n < 20 else "words20" if n < 60 else "words60"]
             on.append("no_link" if b.link_share == 0 else "all_link" if b.link_share > 0.8 else "some_link")
@@ -188,10 +251,7 @@ class BlockModel:
                 on.append("digits")
             if has_article and "article" not in b.tags:
                 on.append("outside_article")
-            if i == 0:
-                on.append("first")
-            if i == len(blocks) - 1:
-                on.append("last")
+            on.append(f"near_{b.near}" + ("_in_article" if "article" in b.tags or "main" in b.tags else ""))
             found = [get(x) for x in on] + [get("<" + t) for t in b.tags] + [get("." + w) for w in b.names]
             out.append([k for k in found if k is not None])
         return out
@@ -217,11 +277,11 @@ class BlockModel:
         return out[::-1]
 
     def main_text(self, html: str | None) -> str:
-        blocks = leaf_blocks(html or "")
+        blocks = leaf_blocks(html or "", self.names)
         return "\n\n".join(b.text for b, y in zip(blocks, self.labels(blocks), strict=True) if y)
 
 
-def train(pages: int = 300, steps: int = 100, rate: float = 0.2, decay: float = 1e-3) -> BlockModel:
+def train(pages: int = 600, steps: int = 100, rate: float = 0.2, decay: float = 1e-3) -> BlockModel:
     """Maximise the likelihood of the labelled pages' label sequences, all pages at once."""
     made = [(leaf_blocks(html), [y for _, y in marks]) for html, marks in labelled_pages(pages)]
     made = [(b, y) for b, y in made if len(b) == len(y) and b]

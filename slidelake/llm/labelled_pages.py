@@ -1,8 +1,10 @@
 """Labelled pages by rule: the training set of the block labeller.
 
 Each page is dealt from common layouts: a site header, menus, notices, adverts, sidebars, forms, reader comments and a
-footer round an article that may itself hold adverts, related links or a form.  The words are made up, so a model can
-learn from structure and shape only.
+footer round an article that may itself hold adverts, related links or a form.  An article's text stands in paragraphs,
+divs, spans, sections, lists (also of links), definitions or tables, with or without a heading, in an article element, a
+container with or without a name, or the body itself, and may be a single block; boilerplate stands in the same tags, so
+that a tag alone decides nothing.  The words are made up, so a model can learn from structure and shape only.
 """
 
 from __future__ import annotations
@@ -105,32 +107,64 @@ class PageMaker:
 
         self.within(f"{self.r.choice(['section', 'div', 'ol'])} {self.named(COMMENT_NAMES)}", fill)
 
+    def linked(self, tag: str, text: str) -> None:
+        """A block of the article that is all link, or has a link in it."""
+        self.html.append(f'<{tag}><a href="/{len(self.html)}">{text}</a></{tag}>')
+        self.blocks.append((text, 1))
+
+    def paragraph(self, usual: str) -> None:
+        r, text = self.r, self.sentences(1, 7)
+        if usual == "span":
+            self.html.append(f"<div><span>{text}</span></div>")
+            self.blocks.append((text, 1))
+        elif usual == "section":
+            self.within("section", lambda: self.add(r.choice(["p", "div"]), text, 1))
+        else:
+            self.add(usual, text, 1, closed=usual != "p" or r.random() < 0.8)
+
     def article(self) -> None:
         r = self.r
+        usual = r.choice(["p", "p", "p", "p", "div", "div", "span", "section"])
+        n = r.choice([1, 1, 2, 3, *range(2, 13)])
+        heading = r.random() < 0.7
 
         def fill() -> None:
-            self.add(r.choice(["h1", "h1", "h2"]), self.words(2, 10).capitalize(), 1)
-            for _ in range(r.randint(1, 12)):
+            if heading:
+                title = lambda: self.add(r.choice(["h1", "h1", "h2"]), self.words(2, 10).capitalize(), 1)
+                if r.random() < 0.2:
+                    self.within("header", title)
+                else:
+                    title()
+            for _ in range(n):
                 kind = r.random()
-                if kind < 0.7:
-                    self.add("p", self.sentences(1, 7), 1, closed=r.random() < 0.8)
-                elif kind < 0.78:
+                if n == 1 or kind < 0.66:
+                    self.paragraph(usual if r.random() < 0.8 else "p")
+                elif kind < 0.72:
                     self.add(r.choice(["h2", "h3"]), self.words(1, 8).capitalize(), 1)
-                elif kind < 0.86:
+                elif kind < 0.79:
                     self.within(r.choice(["ul", "ol"]), lambda: [self.add("li", self.words(2, 15), 1) for _ in range(r.randint(2, 5))])
-                elif kind < 0.9:
+                elif kind < 0.83:
+                    self.within(r.choice(["ul", "ol"]), lambda: [self.linked("li", self.words(1, 6)) for _ in range(r.randint(2, 5))])
+                elif kind < 0.85:
+                    self.linked(r.choice(["p", "div"]), self.words(2, 8))
+                elif kind < 0.88:
+                    self.within("dl", lambda: [self.add(t, self.words(1, 12), 1) for _ in range(r.randint(1, 3)) for t in ("dt", "dd")])
+                elif kind < 0.92:
                     self.add(r.choice(["blockquote", "pre", "figcaption"]), self.sentences(1, 3), 1)
-                elif kind < 0.93:
+                elif kind < 0.94:
                     self.within("table", lambda: self.within("tr", lambda: [self.add("td", self.words(1, 4), 1) for _ in range(3)]))
                 elif kind < 0.96:
-                    self.plain("div", AD_NAMES, 1, 2)
+                    self.plain(r.choice(["div", "p", "section"]), AD_NAMES, 1, 2)
                 elif kind < 0.98:
                     self.boilerplate(["aside"], SIDE_NAMES, 1, 2)
                 else:
                     self.form()
 
-        body = r.choice(["article", "article", "article", "main", f"div {self.named(BODY_NAMES)}", f"section {self.named(BODY_NAMES)}", f"article {self.named(BODY_NAMES)}"])
-        if r.random() < 0.3:
+        named = f"{r.choice(['div', 'div', 'section'])} {self.named(BODY_NAMES)}"
+        body = r.choice(["article", "article", "article", "main", named, named, f"article {self.named(BODY_NAMES)}", "div", ""])
+        if not body:
+            fill()
+        elif r.random() < 0.3:
             self.within(r.choice(["main", f"div {self.named(BODY_NAMES)}", "div"]), lambda: self.within(body, fill))
         else:
             self.within(body, fill)

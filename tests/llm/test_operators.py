@@ -288,3 +288,38 @@ def test_text_behind_drawings():
         assert [b.text for b in leaf_blocks(f"{drawing}{article}")] == want, drawing
         assert [b.text for b in leaf_blocks(f"<div>{drawing}</div>{article}<svg><text>no</text></svg>")] == want, drawing
     assert leaf_blocks("<svg><text>never closed" + article) == []
+
+
+#: Pages that no rule of the generator makes, and their main text.
+LAYOUTS = [
+    ("<article><div>Plain text in a div, long enough to be one.</div><div>More of it, and then some words.</div></article>", ["Plain text in a div, long enough to be one.", "More of it, and then some words."]),
+    ("<article><p>The council met on Monday to discuss the budget for the next year.</p></article>", ["The council met on Monday to discuss the budget for the next year."]),
+    ("<body><h1>A title</h1><div>Some long text of many words. It goes on and on.</div><div>Another block. It says things.</div></body>", ["A title", "Some long text of many words. It goes on and on.", "Another block. It says things."]),
+    ("<body><h1>Title here</h1><p>First paragraph.</p><p>Second paragraph.</p></body>", ["Title here", "First paragraph.", "Second paragraph."]),
+    ("<article><h1>T</h1><p>See these.</p><ul><li><a href=x>One link</a></li><li><a href=y>Two links</a></li></ul><p>A closing paragraph.</p></article>", ["T", "See these.", "One link", "Two links", "A closing paragraph."]),
+    ("<article><h1>Title</h1><div>One.</div><div>Two is here as well.</div></article>", ["Title", "One.", "Two is here as well."]),
+    ("<main><section><h2>Part one</h2><p>Text of part one.</p></section><section><h2>Part two</h2><p>Text of part two.</p></section></main><aside><h3>Related</h3><a href=a>Other story</a></aside>", ["Part one", "Text of part one.", "Part two", "Text of part two."]),
+    ("<nav><a href=/>Home</a> <a href=/x>News</a></nav><div id=content><h2>Storm hits coast</h2><span>The storm came at night.</span><br><span>It left.</span></div><div class=sidebar><p>Most read this week.</p></div><footer>All rights reserved</footer>", ["Storm hits coast", "The storm came at night. It left."]),
+    ("<div class='cookie-banner'>We use cookies. <button>OK</button></div><div class='entry'><p>Real text is here.</p><dl><dt>Term</dt><dd>What the term means.</dd></dl></div><div class='comments'><div class=comment><p>I disagree with that.</p></div></div>", ["Real text is here.", "Term", "What the term means."]),
+    ("<article><header><h1>Head</h1></header><p>Body text.</p></article><form><label>Your mail</label><button>Send</button></form>", ["Head", "Body text."]),
+    ("<!-->Text behind<!---> comments<!-- no --!> that are closed<!-- open <p>no</p>", ["Text behind comments that are closed"]),
+    ("<p title='a>b'>Quoted.</p><p title='open>Ends here.</p><p>And on.</p>", ["Quoted.", "Ends here.", "And on."]),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), LAYOUTS)
+def test_layouts_the_generator_does_not_know(model, html, want):
+    assert model.main_text(html).split("\n\n") == want
+
+
+def test_broken_pages_take_linear_time(model):
+    import time
+
+    n = 100_000
+    broken = ["<a ", "<a b='", "<!--", "<![", "</script", "<svg ", "<h1>", "<b>", "<div class=x>", "<", "<a \"'", "</p"]
+    pages = [b * n + end for b in broken for end in ("", ">", "<p>x</p>")]
+    pages += ["<div>" * n + "</p>" * n, "<script>" + "</script" * n, "<svg>" + "<svg>" * n, "".join(f"<div class=n{chr(97 + i % 26) * (i % 50)}>" for i in range(n))]
+    for html in pages:
+        began = time.thread_time()
+        model.main_text(html)
+        assert time.thread_time() - began < 10, html[:20]
