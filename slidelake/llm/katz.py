@@ -44,8 +44,8 @@ from slidelake.session import materialize
 #: Counts up to which Good-Turing estimates are used.
 LARGE = 5
 #: Tokens in a block and n-grams in a shard, about.
-BLOCK = 3_000_000
-SHARD = 2_000_000
+BLOCK = 1_500_000
+SHARD = 1_000_000
 #: Bytes of text that are cut into words at once, and the length from which a word is hashed by itself.
 WINDOW = 1 << 20
 LONG_WORD = 1 << 16
