@@ -124,19 +124,23 @@ lines AS (
 cut AS (
   SELECT d, line_no, line, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM (SELECT d, line_no, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM lines) WHERE len(t) >= 3),
-leafed AS (SELECT d, line_no, line, t, [len(t)::VARCHAR] || t[1:3] AS leaf FROM cut),
-shared AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT d) >= 3),
-kept AS (SELECT l.* FROM leafed l SEMI JOIN shared USING (leaf)),
-once AS (SELECT leaf, line, any_value(t) AS t, count(DISTINCT d) AS docs FROM kept GROUP BY leaf, line),
-words AS (SELECT leaf, line, docs, unnest(range(len(t))) AS place, unnest(t) AS token FROM once),
-fixed AS (SELECT leaf, place, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3),
-templates AS (
-  SELECT w.leaf, w.line, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE w.token END ORDER BY w.place) AS template,
-         count(f.token) / count(*)::DOUBLE AS share
-  FROM words w LEFT JOIN fixed f ON w.leaf = f.leaf AND w.place = f.place AND w.token = f.token GROUP BY w.leaf, w.line),
-templated AS (SELECT k.d, k.line_no, k.leaf, t.template FROM kept k JOIN templates t USING (leaf, line) WHERE t.share >= 0.7),
+leafed AS (SELECT d, line_no, t, array_to_string(t, ' ') AS form, [len(t)::VARCHAR] || t[1:3] AS leaf FROM cut),
+pairs AS (SELECT DISTINCT d, leaf, form, t FROM leafed WHERE len(t) >= 8),
+leaves AS (SELECT leaf, count(*) AS n FROM pairs GROUP BY leaf HAVING count(*) >= 3 AND count(DISTINCT form) > 1),
+words AS (SELECT leaf, unnest(range(len(t))) AS place, unnest(t) AS token FROM pairs SEMI JOIN leaves USING (leaf)),
+counted AS (SELECT leaf, place, token, count(*) AS docs FROM words GROUP BY ALL),
+most AS (SELECT leaf, place, max(row(docs, token)) AS m FROM counted GROUP BY leaf, place),
+majorities AS (
+  SELECT leaf, list(CASE WHEN 2 * m[1] >= n THEN m[2] ELSE '<*>' END ORDER BY place) AS majority FROM most JOIN leaves USING (leaf) GROUP BY leaf),
+fitting AS (
+  SELECT l.d, l.line_no, l.leaf, len(l.t) AS n, len(list_filter(list_zip(l.t, m.majority), lambda x: x[1] = x[2] AND x[1] <> '<*>')) AS agree
+  FROM leafed l JOIN majorities m ON m.leaf = l.leaf),
+templated AS (
+  SELECT d, line_no, leaf, form AS template FROM leafed WHERE len(list_filter(t, lambda x: x <> '<*>')) >= 0.7 * len(t) - 1e-9
+  UNION ALL SELECT d, line_no, leaf, NULL FROM fitting WHERE agree >= 8 AND agree >= 0.7 * n - 1e-9),
 recurring AS (SELECT leaf, template, min(d) AS keeps FROM templated GROUP BY leaf, template HAVING count(DISTINCT d) >= 3),
-gone AS (SELECT t.d, t.line_no FROM templated t JOIN recurring r USING (leaf, template) WHERE t.d <> r.keeps),
+gone AS (
+  SELECT DISTINCT t.d, t.line_no FROM templated t JOIN recurring r ON r.leaf = t.leaf AND r.template IS NOT DISTINCT FROM t.template WHERE t.d <> r.keeps),
 cleaned AS (
   SELECT l.d, string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (g.d IS NULL) AS text, count(*) AS n_lines, count(g.d) AS n_dropped
   FROM lines l LEFT JOIN gone g ON g.d = l.d AND g.line_no = l.line_no GROUP BY l.d)
