@@ -23,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: 2**32 times the golden ratio, made odd: its multiples mod 2**32 visit every point once.
 GOLDEN = 2654435769
 POINTS = 2**32
+HALF = 2**16
 #: Slots are matched to sources by the upper bits of their points.
 BUCKET_BITS = 16
 SLAB_SLOTS = 100_000
@@ -86,7 +87,9 @@ def slot_schedule(needs: DataFrame) -> DataFrame:
     by_bucket = spans.where("hi > lo").withColumn(
         "bucket", F.explode(F.sequence(F.shiftright("lo", BUCKET_BITS), F.shiftright(F.col("hi") - 1, BUCKET_BITS)))
     )
-    point = (F.col("slot") % POINTS) * GOLDEN % POINTS
+    # In halves of the slot number: the product of two whole ones would not fit.
+    low, high = F.col("slot") % HALF, F.expr(f"slot div {HALF}") % HALF
+    point = (low * GOLDEN + high * GOLDEN % HALF * HALF) % POINTS
     slots = (
         spark.range(0, n, 1, max(1, n // SLAB_SLOTS))
         .withColumnRenamed("id", "slot")
@@ -158,20 +161,21 @@ def mixed_documents(
 ) -> DataFrame:
     """One row per row of ``documents``: its size, its source's size and target, and the words the mix takes of it.
 
-    The columns in ``keep`` come too.
+    ``first_slot`` is the slot in which the mix first takes of the document (null: never): in its order, the sources come as
+    evenly as the schedule has them.  The columns in ``keep`` come too.
     """
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     sizes = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *kept), "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     needs = materialize(_needs(mix_targets(cycled_weights(sources, weights), most), block_words, most), "needs")
     streams = materialize(source_streams(sizes, needs, seed), "streams")
-    taken = mix(streams, needs, block_words).groupBy("sid", "start").agg(F.sum("n_words").alias("taken"))
+    taken = mix(streams, needs, block_words).groupBy("sid", "start").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     # Only documents with words are looked up: one without shares its start with the next.
     rows = streams.join(needs.select("sid", "source_size", "target"), "sid")
     place = F.when(F.col("size") > 0, F.col("start")).alias("place")
     return (
         rows.select("*", place)
-        .join(taken.select(F.col("sid").alias("t_sid"), F.col("start").alias("t_start"), "taken"), (F.col("sid") == F.col("t_sid")) & (F.col("place") == F.col("t_start")), "left")
+        .join(taken.select(F.col("sid").alias("t_sid"), F.col("start").alias("t_start"), "taken", "first_slot"), (F.col("sid") == F.col("t_sid")) & (F.col("place") == F.col("t_start")), "left")
         .select(
             "doc_id",
             "source",
@@ -180,5 +184,6 @@ def mixed_documents(
             "source_size",
             "target",
             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+            "first_slot",
         )
     )

@@ -56,17 +56,37 @@ targets AS (
   SELECT source, source_size,
          CASE WHEN weight * share > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * share END AS target
   FROM weighed, level),
+words AS (
+  SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS words,
+         row_number() OVER (ORDER BY source IS NULL, source) AS sid, (source_size + 4095) // 4096 AS blocks FROM targets),
 needs AS (
-  SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS words FROM targets),
+  SELECT *, words // greatest(source_size, 1) AS passes, words % greatest(source_size, 1) AS rest,
+         words // greatest(source_size, 1) * blocks + (words % greatest(source_size, 1) + 4095) // 4096 AS need FROM words),
+spans AS (SELECT sid, need, sum(need) OVER (ORDER BY sid) AS cum, sum(need) OVER () AS n FROM needs),
+edges AS (
+  SELECT sid, need, floor(CAST(cum - need AS DOUBLE) * 4294967296.0::DOUBLE / CAST(n AS DOUBLE)) AS lo,
+         floor(CAST(cum AS DOUBLE) * 4294967296.0::DOUBLE / CAST(n AS DOUBLE)) AS hi FROM spans),
+slots AS (
+  SELECT s.slot, e.sid, e.need, row_number() OVER (PARTITION BY e.sid ORDER BY s.slot) - 1 AS rank
+  FROM (SELECT unnest(range(CAST(n AS BIGINT))) AS slot FROM (SELECT DISTINCT n FROM spans)) s
+  JOIN edges e ON s.slot::HUGEINT * 2654435769 % 4294967296 >= e.lo AND s.slot::HUGEINT * 2654435769 % 4294967296 < e.hi),
+met AS (SELECT e.sid, e.need, count(s.slot) AS met FROM edges e LEFT JOIN slots s ON s.sid = e.sid GROUP BY e.sid, e.need),
+schedule AS (
+  SELECT slot, sid, rank FROM slots WHERE rank < need
+  UNION ALL SELECT (SELECT max(n) FROM spans)::BIGINT + r, sid, r FROM (SELECT sid, unnest(range(met, need::BIGINT)) AS r FROM met)),
 placed AS (
-  SELECT s.doc_id, s.size, n.source_size, n.target, n.words,
+  SELECT row_number() OVER () AS k, s.doc_id, s.size, n.*,
          CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('42|' || coalesce(CAST(s.doc_id AS VARCHAR), '')), s.doc_id, s.size
                                 ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS start
-  FROM sizes s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source)
-SELECT doc_id, size, source_size, target,
+  FROM sizes s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source),
+pieces AS (SELECT *, unnest(range(start // 4096, (start + size - 1) // 4096 + 1)) AS block FROM placed WHERE size > 0),
+first AS (
+  SELECT p.k, min(s.slot) AS first_slot FROM pieces p JOIN schedule s ON s.sid = p.sid AND s.rank % p.blocks = p.block
+  WHERE greatest(p.start, p.block * 4096) < CASE WHEN s.rank // p.blocks < p.passes THEN p.source_size ELSE p.rest END GROUP BY p.k)
+SELECT p.doc_id, p.size, p.source_size, p.target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE words // source_size * size
-         + greatest(0, least(start + size, words % source_size) - start) END AS BIGINT) AS taken
-FROM placed
+         + greatest(0, least(start + size, words % source_size) - start) END AS BIGINT) AS taken, f.first_slot
+FROM placed p LEFT JOIN first f USING (k)
 """
 
 #: The rules of the contract: verdict, host, path.

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slidelake.llm import language
+from slidelake.llm import language, mixing
 from slidelake.llm.decontaminate import ItemIndex, decontaminate
 from slidelake.llm.html_text import leaf_blocks, main_texts, train
 from slidelake.llm.labelled_pages import labelled_pages
@@ -86,6 +86,30 @@ def test_mix_of_nothing(spark):
     assert {(r.doc_id, r.taken, r.target) for r in mixed_documents(none).collect()} == {(1, 0, 0.0), (2, 0, 0.0)}
 
 
+def test_slots_beyond_the_product_of_two_words(spark):
+    """The points of slots from four thousand million on are those of exact arithmetic."""
+    slots = [0, 1, 65_535, 65_536, 3_474_701_534, 4_000_000_000, 2**32 - 1, 2**32 + 5, 2**40 + 12_345]
+    low, high = F.col("slot") % mixing.HALF, F.expr(f"slot div {mixing.HALF}") % mixing.HALF
+    point = (low * mixing.GOLDEN + high * mixing.GOLDEN % mixing.HALF * mixing.HALF) % mixing.POINTS
+    got = spark.createDataFrame([(s,) for s in slots], "slot long").select("slot", point.alias("p")).collect()
+    assert [r.p for r in got] == [s * mixing.GOLDEN % 2**32 for s in slots]
+
+
+def test_mix_is_even_in_order(spark, sf_dir):
+    """In order of first_slot the sources of the table come evenly: none waits much longer than its share."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixed_documents(documents, block_words=64).where("taken > 0").collect()
+    by, end = defaultdict(set), max(r.first_slot for r in rows)
+    for r in rows:
+        by[r.source].add(r.first_slot)
+    for source, slots in by.items():
+        slots = sorted(slots)
+        once = [s for s in slots if s <= end]
+        gaps = [b - a for a, b in zip(once, once[1:])]
+        assert max(gaps) <= 12 * sum(gaps) / len(gaps), source
+    assert all((r.first_slot is None) == (r.taken == 0) for r in mixed_documents(documents).collect())
+
+
 # --- language
 
 
