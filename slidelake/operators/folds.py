@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,30 +71,85 @@ def label_encode(df: DataFrame, label: str, row_id: Sequence[str]) -> DataFrame:
     return group_join(df, codes, [label], row_id)
 
 
-def fold_stats(df: DataFrame, fold: str, keys: Sequence[str], feat: str) -> DataFrame:
-    """Mean and population deviation per (training fold, dimension).
+def fold_moments(df: DataFrame, fold: str, keys: Sequence[str], feat: str, pivot: Sequence[float]) -> DataFrame:
+    """(keys, fold, n, mean, m2): each fold's own rows, their mean distance from ``pivot`` and sums of squared deviations.
 
-    The training rows of a fold are all rows but its own, so its sums are the
-    totals less its own: one pass over the data, and no copy per fold.  Rows with
-    a NULL fold belong to every training set.
+    Spark's summarizer merges such moments in the map side, one state of a vector's size for each fold and task.  Rows
+    without a vector take no part; all others must have the length of ``pivot``.
     """
-    x = F.col("__x")
-    own = (
-        df.select(*keys, F.col(fold).alias("fold"), F.posexplode(F.col(feat).cast("array<double>")).alias("dim", "__x"))
-        .groupBy(*keys, "fold", "dim")
-        .agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
-    )
-    every = own.groupBy(*keys, "dim").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"), F.sum("ss").alias("ss_all"))
-    both = own.where(F.col("fold").isNotNull()).join(every, [*keys, "dim"])
-    n = F.col("n_all") - F.col("n")
-    mean = (F.col("s_all") - F.col("s")) / n
-    var = F.greatest((F.col("ss_all") - F.col("ss")) / n - mean * mean, F.lit(0.0))
-    std = F.sqrt(var)
-    return both.where(n > 0).select(
-        *keys, "fold", "dim", mean.alias("mean"), F.when(std < 1e-12, F.lit(1.0)).otherwise(std).alias("std")
+    origin = F.array(*[F.lit(float(v)) for v in pivot]).cast("array<double>")
+    away = F.zip_with(F.col(feat).cast("array<double>"), origin, lambda a, b: a - b)
+    state = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(away))
+    own = df.where(F.col(feat).isNotNull()).groupBy(*keys, F.col(fold).alias("fold")).agg(state.alias("__s"))
+    spread = F.col("__s.count") - 1
+    return own.select(
+        *keys,
+        "fold",
+        F.col("__s.count").alias("n"),
+        vector_to_array("__s.mean").alias("mean"),
+        F.transform(vector_to_array("__s.variance"), lambda v: v * spread).alias("m2"),
     )
 
 
+Moments = tuple[int, np.ndarray, np.ndarray]
+
+
+def merged(a: Moments | None, b: Moments | None) -> Moments | None:
+    """The moments of two sets of rows together, from their difference, so that no large squares are subtracted."""
+    if a is None or b is None:
+        return b if a is None else a
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap * gap * (a[0] * b[0] / n)
+
+
+def _training_moments(pivot: Sequence[float]):
+    origin = np.array(pivot, float)
+
+    def run(group: pa.Table) -> pa.Table:
+        """One row per fold with the moments of all others: those before it and those after it, merged."""
+        group = group.sort_by("fold")
+        folds = group.column("fold").to_pylist()
+        states = [(r["n"], np.array(r["mean"]), np.array(r["m2"])) for r in group.select(["n", "mean", "m2"]).to_pylist()]
+        after = [None]
+        for s in reversed(states):
+            after.append(merged(s, after[-1]))
+        before, rows = None, []
+        for i, (f, s) in enumerate(zip(folds, states)):
+            others = merged(before, after[len(states) - 1 - i])
+            before = merged(before, s)
+            if f is not None and others is not None:
+                n, mean, m2 = others
+                std = np.sqrt(m2 / n)
+                rows.append((i, origin + mean, np.where(std < 1e-12, 1.0, std)))
+        out, kind = group.take([i for i, _, _ in rows]).drop_columns(["n", "mean", "m2"]), pa.list_(pa.float64())
+        return out.append_column("mean", pa.array([m for _, m, _ in rows], kind)).append_column("std", pa.array([s for _, _, s in rows], kind))
+
+    return run
+
+
+def fold_scaling(df: DataFrame, fold: str, keys: Sequence[str], feat: str) -> DataFrame:
+    """(keys, fold, mean, std): mean and population deviation of each fold's training rows, as arrays.
+
+    The training rows of a fold are all rows but its own, and rows with a NULL fold are in every training set.  The data
+    are read once; the folds' moments, folds times dimensions numbers, are then merged for each fold.  They are taken as
+    distances from some row's vector, so that no digits are lost where means are large.
+    """
+    some = df.where(F.col(feat).isNotNull()).select(F.col(feat).cast("array<double>")).first()
+    pivot = some[0] if some else []
+    own = fold_moments(df, fold, keys, feat, pivot).withColumn("__all", F.lit(0))
+    of = [*keys, "fold", "__all"]
+    kinds = dict(own.dtypes)
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in of) + ", mean array<double>, std array<double>"
+    groups = own.select(*of, "n", "mean", "m2").groupBy(*keys, "__all")
+    return groups.applyInArrow(_training_moments(pivot), ddl).drop("__all")
+
+
+def fold_stats(df: DataFrame, fold: str, keys: Sequence[str], feat: str) -> DataFrame:
+    """``fold_scaling`` as one row per (training fold, dimension)."""
+    pairs = F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "__p")
+    return fold_scaling(df, fold, keys, feat).select(*keys, "fold", pairs).select(*keys, "fold", "dim", "__p.mean", "__p.std")
+
+
 def standardize(
     df: DataFrame, stats: DataFrame, fold: str, row_id: Sequence[str], feat: str = "feat"
 ) -> DataFrame:

@@ -130,14 +130,19 @@ def classification_report(c: DataFrame) -> DataFrame:
     return rows.unionByName(summary)
 
 
-def qw_kappa(c: DataFrame, keys: Sequence[str] = (), name: str = "kappa") -> DataFrame:
+def qw_kappa(c: DataFrame, keys: Sequence[str] = (), name: str = "kappa", max_cells: int = 1_000_000) -> DataFrame:
     """Quadratic weighted kappa; takes cells.
 
     Classes count by their rank among the classes of the group.  As the weights
     are squared rank differences, the expected disagreement follows from first
     and second moments and no table of class pairs is formed.  NULL if undefined.
+    A group's cells are one row, so more than ``max_cells`` of them are an error,
+    raised before more than these are gathered.
     """
-    packed = _agg(c, keys, F.collect_list(F.struct("y", "pred", "n")).alias("__c"))
+    nth = F.row_number().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("y", "pred"))
+    too_many = F.raise_error(F.lit(f"more than {max_cells} cells in a group: too many classes for kappa")).cast("bigint")
+    counted = c.withColumn("__nth", nth).withColumn("n", F.when(F.col("__nth") <= max_cells, F.col("n")).otherwise(too_many))
+    packed = _agg(counted, keys, F.collect_list(F.struct("y", "pred", "n")).alias("__c"))
     labels = F.array_sort(
         F.array_union(F.transform("__c", lambda e: e["y"]), F.transform("__c", lambda e: e["pred"]))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.operators.ranking import exact_rank
-from slidelake.operators.skew import checked_join
+from slidelake.operators.skew import null_safe_join
 
 
 def _vec(feat: str) -> Column:
@@ -95,7 +95,7 @@ def topk_softmax_pool(
     last = ranked.where(F.col("rank_no") == k).select(
         *keys, F.col("__s").alias("__s_k"), F.col(id_col).alias("__id_k"), "__top"
     )
-    joined = checked_join(df, last, keys, [id_col])
+    joined = null_safe_join(df, last, keys, [id_col])
     s = F.col(score)
     chosen = (s > F.col("__s_k")) | ((s == F.col("__s_k")) & (F.col(id_col) <= F.col("__id_k")))
     weighted = joined.where(chosen).withColumn("__w", F.exp(s - F.col("__top")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.functions.vectors import argmax, dot
-from slidelake.operators.folds import fold_stats
+from slidelake.operators.folds import fold_scaling
 from slidelake.operators.metrics import cells, qw_kappa
 
 MODELS = ("ordinal", "logreg_l2", "logreg_l1", "ridge")
@@ -136,10 +136,7 @@ def _scale(df: DataFrame, stats: list[tuple[float, float]], feat: str) -> DataFr
 
 def _fold_table(df: DataFrame, fold: str, feat: str) -> dict[int, list[tuple[float, float]]]:
     """Scaling constants per fold: folds times dimensions numbers."""
-    out: dict[int, list] = {}
-    for r in fold_stats(df, fold, [], feat).collect():
-        out.setdefault(r["fold"], []).append((r["dim"], r["mean"], r["std"]))
-    return {f: [(m, s) for _, m, s in sorted(v)] for f, v in out.items()}
+    return {r["fold"]: list(zip(r["mean"], r["std"])) for r in fold_scaling(df, fold, [], feat).collect()}
 
 
 def cross_validate(

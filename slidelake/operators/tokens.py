@@ -11,7 +11,7 @@ from slidelake.functions.detrand import digest, digest_uniform, gaussian, u32, u
 from slidelake.functions.vectors import cosine, let, zeros_like
 from slidelake.operators.budget import head_budget
 from slidelake.operators.ranking import hash_rank
-from slidelake.operators.skew import checked_join
+from slidelake.operators.skew import null_safe_join
 
 
 def token_mm_xy(df: DataFrame, scale: str = "scale", tile: Column | int = 256) -> DataFrame:
@@ -34,7 +34,7 @@ def mask_positions(
     ranked = hash_rank(ids, keys, "__h", [id_col])
     m = F.greatest(F.lit(1), F.bround(F.lit(fraction) * F.col("group_rows")))
     last = ranked.where(F.col("rank_no") == m).select(*keys, F.col("__place").alias("__last"))
-    out = checked_join(df, last, keys, [id_col]).withColumn("masked", place <= F.col("__last")).drop("__last")
+    out = null_safe_join(df, last, keys, [id_col]).withColumn("masked", place <= F.col("__last")).drop("__last")
     return out.withColumn(feat, F.when(F.col("masked"), zeros_like(feat)).otherwise(F.col(feat)))
 
 
@@ -93,26 +93,37 @@ def pad_bags(
     scale: str = "scale",
     feat: str = "feat",
     carry: Sequence[str] = (),
+    row_id: str | None = None,
 ) -> DataFrame:
     """Per bag: token vectors padded with zeros to the longest bag of its batch.
 
     The tokens are cut to the head of their budget first, which bounds the
     arrays whatever the size of a bag.  Only narrow ids are ranked: the last kept
     place of each (bag, scale) tells a row whether it counts, so the vectors are
-    shuffled once, to their bags.  The mask is true on padding.  A bag without
+    shuffled once, to their bags.  Rows of one ``order`` are told apart by ``row_id``, or else by a hash of what they hold,
+    which reads the vectors once more.  A NULL bag is a bag.  The mask is true on padding.  A bag without
     tokens gets one zero vector.  ``carry`` names numeric columns, such as scale
     and coordinates, that are padded with zeros alike.
     """
     zero = F.array_repeat(F.lit(0.0), dim)
-    ids = head_budget(tokens.select(bag, scale, order), [bag, scale], budgets, order, scale)
-    last = ids.groupBy(bag, scale).agg(F.max(order).alias("__last"))
-    kept = checked_join(tokens, last, [bag, scale], [order]).where(F.col(order) <= F.col("__last"))
-    own = [F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(carry)]
-    packed = kept.groupBy(bag).agg(
-        F.array_sort(F.collect_list(F.struct(scale, order, F.col(feat).cast("array<double>").alias("__v"), *own))).alias("__t")
+    numbers = [F.col(c).cast("double") for c in carry]
+    vector = F.col(feat).cast("array<double>")
+    tie = F.xxhash64(vector, *numbers) if row_id is None else F.col(row_id)
+    placed = tokens.withColumn("__place", F.struct(F.col(order), tie.alias("tie")))
+    ids = head_budget(placed.select(bag, scale, "__place"), [bag, scale], budgets, "__place", scale)
+    last = ids.groupBy(bag, scale).agg(F.max("__place").alias("__last"))
+    kept = null_safe_join(placed, last, [bag, scale], ["__place"]).where(F.col("__place") <= F.col("__last"))
+    own = [c.alias(f"__c{i}") for i, c in enumerate(numbers)]
+    packed = kept.groupBy(F.struct(bag).alias("__bag")).agg(
+        F.array_sort(F.collect_list(F.struct(scale, "__place", vector.alias("__v"), *own))).alias("__t")
     )
+    # Rows that even their tie-break leaves equal.
+    def head(of: float, most: int) -> Column:
+        return F.slice(F.filter("__t", lambda t: t[scale] == of), 1, most)
+
+    packed = packed.withColumn("__t", F.concat(*[head(of, most) for of, most in sorted(budgets.items())]))
     parts = {f"__c{i}": F.coalesce(F.col("__t")[f"__c{i}"], F.array(F.lit(0.0))) for i in range(len(carry))}
-    filled = bags.join(packed, bag, "left").withColumns(
+    filled = bags.withColumn("__bag", F.struct(bag)).join(packed, "__bag", "left").drop("__bag").withColumns(
         {"tokens": F.coalesce(F.transform("__t", lambda t: t["__v"]), F.array(zero)), **parts}
     )
     longest = filled.groupBy(batch).agg(F.max(F.size("tokens")).alias("t_max"))

@@ -69,9 +69,13 @@ def slide_export(
 
 
 def embedding_outcomes(features: DataFrame, dim: int, bag: str = "bag", **options) -> DataFrame:
-    """Every bag with its vector, or with the reason why it has none: a bad vector, or a scale without rows."""
+    """Every bag with its vector, or with the reason why it has none: a bad vector, or a scale without rows.
+
+    Rows whose bag is NULL belong to no slide, so nothing is pooled from them; they are one row with the reason no_bag.
+    """
     made = slide_embeddings(features, dim, bag, **options).withColumn("ok", F.lit(True))
     out = features.select(bag).distinct().join(made, bag, "left").join(bad_bags(features, dim, bag), bag, "left")
+    out = out.withColumn("why", F.when(F.col(bag).isNull(), F.lit("no_bag")).otherwise(F.col("why")))
     return out.withColumns(
         {
             "ok": F.coalesce("ok", F.lit(False)),
