@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slidelake.catalog import fixtures as fx
 from slidelake.catalog.fixtures import Query, sql_u, sql_u32, with_views
+from slidelake.catalog.source_queries import artefacts
 from slidelake.catalog.token_queries import _WEIGHTS
 from slidelake.functions import parsing
 from slidelake.operators import bootstrap, diagnostics, folds, joins, metrics, probes, stats
@@ -87,6 +88,22 @@ def _ovr_sql(keys: str) -> str:
   FROM ({_OVR}) a JOIN ({_OVR}) b ON {eq} WHERE a.hit = 1 AND b.hit = 0 GROUP BY ALL) GROUP BY {keys}"""
 
 
+_OOF_SCOPES = "(SELECT 'all' AS scope, NULL::VARCHAR AS chosen UNION ALL SELECT 'provider', '0' UNION ALL SELECT 'provider', '1')"
+_OOF_HITS = f"""SELECT scope || coalesce(chosen, '') AS of, seed || '|' || vec_id AS vec_id, threshold, hit, score
+FROM ({_THRESH}), {_OOF_SCOPES} WHERE chosen IS NULL OR chosen = provider::VARCHAR"""
+_OOF_OVR = f"""SELECT of, avg(auc) AS macro_auc FROM (
+  SELECT of, k, avg(auc) AS auc FROM (
+    SELECT a.of, a.k, CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END::DOUBLE AS auc
+    FROM ovr a JOIN ovr b ON a.of = b.of AND a.k = b.k WHERE a.hit = 1 AND b.hit = 0) GROUP BY of, k) GROUP BY of HAVING count(*) = 6"""
+_OOF_CTES = {
+    "ovr": f"SELECT scope || coalesce(chosen, '') AS of, k, hit, score FROM ({_OVR}), {_OOF_SCOPES} WHERE chosen IS NULL OR chosen = provider::VARCHAR",
+    "hits": _OOF_HITS,
+}
+_OOF_TABLE = f"""SELECT CASE WHEN of = 'all' THEN 'all' ELSE 'provider' END AS scope, nullif(replace(replace(of, 'all', ''), 'provider', ''), '') AS provider,
+  threshold, n, n_pos, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc, round(pos_rate, 9) AS pos_rate, round(macro_auc, 9) AS macro_auroc_ovr
+FROM ({_auc_sql("SELECT * FROM hits", "of, threshold")}) LEFT JOIN ({_OOF_OVR}) USING (of)"""
+
+
 def _class_sql(source: str, keys: str) -> str:
     """Per class: true positives, support, predicted, precision, recall, F1."""
     k = f"{keys}, " if keys else ""
@@ -258,7 +275,10 @@ def _evaluation(s, d):
         F.concat(F.lit("site_"), (F.floor(i / 2) % 23).cast("string")).alias("site"), i.alias("ord"),
     )
     patients = evaluation.patient_table(slides, manifest, "cancer_code", "site", "ord")
-    parts = evaluation.report(evaluation.out_of_fold(patients, "site"))
+    return _in_parts(evaluation.report(evaluation.out_of_fold(patients, "site")))
+
+
+def _in_parts(parts: dict):
     out = None
     for name, part in parts.items():
         part = part.select(F.lit(name).alias("part"), "*")
@@ -266,6 +286,28 @@ def _evaluation(s, d):
     return out
 
 
+def _binary_evaluation(s, d):
+    i = F.col("vec_id")
+    name = F.concat(F.when(i % 3 == 0, F.lit("Tumor_")).otherwise(F.lit("normal_")), i.cast("string"))
+    slides = fx.table(s, d, "embeddings").select(name.alias("slide"), F.col("embedding").alias("feat"))
+    return _in_parts(evaluation.binary_evaluation(slides, 64, n_boot=BOOT))
+
+
+def _staging(s, d):
+    i = F.col("vec_id")
+    patients = fx.table(s, d, "embeddings").select(
+        i.alias("patient"), (F.col("label") % 4).cast("int").alias("y"), F.when(i % 11 == 0, -1).otherwise(i % 3).cast("int").alias("center"),
+        F.col("embedding").cast("array<double>").alias("feat"),
+    )
+    return _in_parts(evaluation.staging_evaluation(patients))
+
+
+def _oof_table(s, d):
+    p = fx.predictions(s, d).withColumn("true_isup", F.col("y")).withColumn("data_provider", F.col("provider").cast("string"))
+    wide = p.select("true_isup", "data_provider", *[F.get("probs", F.lit(k)).alias(f"prob_{k}") for k in range(6)])
+    return r9(evaluation.oof_table_evaluation(wide, digits=9), "auroc", "auprc", "pos_rate", "macro_auroc_ovr")
+
+
 def _center_folds(s, d):
     f = folds.center_folds(_centers(s, d).withColumn("y", F.col("row_no") % 4), "center", "y", "row_no")
     return f.select("row_no", "center", "fold")
@@ -279,8 +321,7 @@ def _grid(s, d):
 def _gates(s, d):
     counts = joins.two_scale_counts(fx.tile_groups(s, d), "bag")
     trend = diagnostics.loss_trend(fx.train_log(s, d))
-    files = fx.tile_groups(s, d).select((F.col("n_tiles") > 0).alias("load_ok"))
-    return diagnostics.gates(counts, trend, files)
+    return diagnostics.gates(counts, trend, artefacts(s, d))
 
 
 _TREND = """SELECT n_rows, last_step, round(a, 9) AS start_median, round(b, 9) AS end_median, round((a - b) / nullif(a, 0), 9) AS rel_improvement FROM (
@@ -317,6 +358,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "patient_evaluation": (_evaluation, None),
+    "binary_evaluation": (_binary_evaluation, None),
+    "staging_evaluation": (_staging, None),
+    "oof_table_evaluation": (_oof_table, with_views(_OOF_TABLE, "predictions", extra=_OOF_CTES)),
     "leave_one_group_out": (
         _loco,
         with_views(
@@ -492,7 +536,9 @@ FROM (SELECT count(*) AS n FROM (SELECT bag FROM tiles WHERE scale = 0.5 INTERSE
 UNION ALL SELECT 'G2_loss_improvement', CASE WHEN r >= 0.6 THEN 'PASS' WHEN r >= 0.3 THEN 'WARN' ELSE 'FAIL' END,
   CASE WHEN r >= 0.6 THEN 'loss fell enough, by ' WHEN r >= 0.3 THEN 'loss fell somewhat, by ' ELSE 'loss hardly fell, by ' END || format('{:.2f}', r)
 FROM (SELECT rel_improvement AS r FROM trend)
-UNION ALL SELECT 'G4_checkpoints', CASE WHEN count(*) = 0 THEN 'FAIL' ELSE 'PASS' END, 'found and readable: ' || count(*) FROM tile_groups""",
+UNION ALL SELECT 'G4_checkpoints', CASE WHEN k = 0 THEN 'FAIL' WHEN bad > 0 THEN 'WARN' ELSE 'PASS' END,
+  CASE WHEN k = 0 THEN 'none found' WHEN bad > 0 THEN 'unreadable: ' || bad ELSE 'found and readable: ' || k END
+FROM (SELECT count(*) AS k, count(*) FILTER (doc_id % 97 = 0 OR text IS NULL OR text = '') AS bad FROM documents)""",
             "tile_groups", "train_log", extra={"trend": _TREND},
         ),
     ),

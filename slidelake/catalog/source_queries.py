@@ -26,6 +26,7 @@ from slidelake.functions import raster
 from slidelake.functions import vectors as v
 from slidelake.operators import diagnostics, inference, manifest
 from slidelake.plans.embedding import patient_embeddings
+from slidelake.plans import manifest as manifest_plan
 from slidelake.plans import tiling as tiling_plan
 from slidelake.session import scratch_path
 from slidelake.sources import files, tables
@@ -159,9 +160,22 @@ def _fingerprints(s, d):
     return files.fingerprint_files(listed, chunk=1024).select("filename", "size_bytes", "fingerprint", "fingerprint_error")
 
 
+def _manifest(s, d):
+    slides = fx.slides(s, d).where(F.col("doc_id") % 13 != 0)
+    pairs = [F.lit("openslide.mpp-x"), F.col("mpp_a"), F.lit("aperio.MPP"), F.col("mpp_b"), F.lit("aperio.AppMag"), F.col("power")]
+    props = slides.select(F.col("doc_id").cast("string").alias("slide_id"), F.create_map(*pairs).alias("properties"))
+    built = manifest_plan.manifest_build(files.file_inventory(s, _document_files(s, d)), props, chunk=1024)
+    wanted = ["filename", "cancer_code", "size_bytes", "fingerprint", "mpp_x", "mpp_y", "vendor", "objective_power", "objective_power_raw", "error"]
+    return built.select(*wanted, (F.col("modified_time") > F.lit("2020-01-01").cast("timestamp")).alias("has_time"))
+
+
+def artefacts(s, d):
+    """The files written from the documents, as the artefact table sees them."""
+    return files.artefact_table(s, _document_files(s, d), ("svs",), recent=2**31 - 1)
+
+
 def _artefacts(s, d):
-    table = files.artefact_table(s, _document_files(s, d), ("svs",), recent=2**31 - 1)
-    return table.select(F.regexp_extract("path", "[^/]*$", 0).alias("filename"), "size_mb", "sha256_12", "load_ok", "n_files")
+    return artefacts(s, d).select(F.regexp_extract("path", "[^/]*$", 0).alias("filename"), "size_mb", "sha256_12", "load_ok", "n_files")
 
 
 def _labels(s, d):
@@ -323,6 +337,16 @@ FROM slides, (SELECT unnest(['manifest', 'qc']) AS stage) GROUP BY stage""", "sl
         _fingerprints,
         f"""SELECT filename, size_bytes, {FILE_FINGERPRINT} AS fingerprint, NULL::VARCHAR AS fingerprint_error FROM ({_FILES})""",
     ),
+    "manifest_build": (
+        _manifest,
+        with_views(
+            f"""SELECT filename, cancer_code, f.size_bytes, {FILE_FINGERPRINT.replace("content", "f.content").replace("size_bytes", "f.size_bytes")} AS fingerprint,
+  TRY_CAST(coalesce(nullif(mpp_a, ''), nullif(mpp_b, '')) AS DOUBLE) AS mpp_x, TRY_CAST(nullif(mpp_b, '') AS DOUBLE) AS mpp_y, 'unknown' AS vendor,
+  TRY_CAST(power AS DOUBLE) AS objective_power, power AS objective_power_raw, CASE WHEN s.doc_id IS NULL THEN 'no properties' END AS error, true AS has_time
+FROM ({_FILES}) f LEFT JOIN (SELECT * FROM slides WHERE doc_id % 13 <> 0) s ON s.doc_id = f.doc_id""",
+            "slides",
+        ),
+    ),
     "artefact_table": (
         _artefacts,
         f"""SELECT filename, round(size_bytes / 1048576::DOUBLE, 2) AS size_mb, substr(sha256(content), 1, 12) AS sha256_12, size_bytes > 0 AS load_ok,

@@ -164,18 +164,23 @@ def cross_validate(
     return out.drop(feat)
 
 
-def grid_search(
+def grid_predictions(
     df: DataFrame, models: Sequence[str] = MODELS, cs: Sequence[float] = (0.1, 0.3, 1.0, 3.0, 10.0), fold: str = "fold",
-    y: str = "y", feat: str = "feat", prefix: str = "FOLD", max_iter: int = 200, parallelism: int = 8,
+    y: str = "y", feat: str = "feat", max_iter: int = 200, parallelism: int = 8, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean fold kappa per (model, C), with the folds spelled out, best first."""
+    """Out-of-fold predictions of every setting: model, c, fold, y, pred and the columns in ``keep``."""
     scaling = _fold_table(df, fold, feat)
     runs = None
     for m in models:
         for c in cs:
             oof = cross_validate(df, m, c, fold, y, feat, max_iter, True, parallelism, scaling)
-            part = oof.select(F.lit(m).alias("model"), F.lit(float(c)).alias("c"), fold, F.col(y).alias("y"), "pred")
+            part = oof.select(F.lit(m).alias("model"), F.lit(float(c)).alias("c"), fold, F.col(y).alias("y"), "pred", *keep)
             runs = part if runs is None else runs.unionByName(part)
+    return runs
+
+
+def grid_table(runs: DataFrame, fold: str = "fold", prefix: str = "FOLD") -> DataFrame:
+    """Mean fold kappa per (model, C) of ``grid_predictions``, with the folds spelled out, best first."""
     keys = ["model", "c", fold]
     counted = cells(runs, keys)
     per_fold = qw_kappa(counted, keys).join(counted.groupBy(*keys).agg(F.sum("n").alias("n")), keys)
@@ -192,5 +197,13 @@ def grid_search(
     )
 
 
+def grid_search(
+    df: DataFrame, models: Sequence[str] = MODELS, cs: Sequence[float] = (0.1, 0.3, 1.0, 3.0, 10.0), fold: str = "fold",
+    y: str = "y", feat: str = "feat", prefix: str = "FOLD", max_iter: int = 200, parallelism: int = 8,
+) -> DataFrame:
+    """Mean fold kappa per (model, C), with the folds spelled out, best first."""
+    return grid_table(grid_predictions(df, models, cs, fold, y, feat, max_iter, parallelism), fold, prefix)
+
+
 def best_config(grid: DataFrame) -> DataFrame:
     return grid.orderBy(F.col("kappa_mean").desc_nulls_last(), "model", "c").limit(1)
