@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from slidelake.llm.graph import components
 from slidelake.operators.ranking import running_sums
+from slidelake.operators.skew import is_small
 from slidelake.session import materialize
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,8 +50,8 @@ BUCKET = 65_536
 #: Elements that so many sets have count as common, and so many of them are ordered by how common they are.
 COMMON = 8
 MOST_COMMON = 1 << 20
-#: Nodes up to which their ids are sent to all executors (16 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_NODES = 1_000_000
+#: Bytes of ids up to which they are sent to all executors; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 ODD = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -417,10 +418,12 @@ def linked_documents(
     percent: int = 80,
     keep: tuple[str, ...] = (),
     band_elements: int = 1 << 20,
+    root: str | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of ``documents``.
 
-    The columns in ``keep`` come too.
+    The columns in ``keep`` come too.  A column named ``root`` tells components apart also where all ids are null: the digest
+    of one of their sets, null for a row without shingles.
     """
     docs = documents.select("doc_id", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
     schema = T.StructType([f for f in docs.schema if f.name != "text"]).add("node", "binary").add("low", "long").add("n", "long")
@@ -439,8 +442,8 @@ def linked_documents(
         .select("doc_id", "node")
     )
     chosen = materialize(chosen, "chosen")
-    few = chosen.count() <= BROADCAST_NODES
     ids = chosen.select(F.col("doc_id").alias("wanted")).distinct()
+    few = is_small(ids, BROADCAST_BYTES)
     own = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     sets = own.mapInArrow(_full_sets(width), "node binary, n long, elements array<long>")
     if documents.schema["doc_id"].nullable:
@@ -477,8 +480,9 @@ def linked_documents(
     firsts = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = materialize(rooted.join(lowest, "root").select(F.col("node").alias("of"), "component_id"), "classes")
+    ids = materialize(rooted.join(lowest, "root").select(F.col("node").alias("of"), "component_id", "root"), "classes")
     joined = members.join(ids, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    kept += [F.col("root").alias(root)] if root else []
     return joined.select("doc_id", *kept, F.col("n").alias("n_shingles"), component.alias("component_id"))
