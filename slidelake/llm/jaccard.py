@@ -459,12 +459,12 @@ def linked_documents(
 
     located = sets.join(near.withColumnRenamed("root", "component"), "node")
     banded = materialize(_banded(located, band_elements), "bands")
-    is_small = F.col("whole") <= band_elements
-    bands = banded.where(~is_small).groupBy("component", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    one_band = F.col("whole") <= band_elements
+    bands = banded.where(~one_band).groupBy("component", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     # Components of one band share tiles; of the larger, each pair of bands that sizes allow is a tile.
-    elements = banded.where(is_small).agg(F.sum("n")).first()[0] or 0
+    elements = banded.where(one_band).agg(F.sum("n")).first()[0] or 0
     shared = F.pmod(F.xxhash64("component"), F.lit(1 + elements // band_elements))
-    small = banded.where(is_small).select("component", "node", F.concat(F.lit("s"), shared).alias("tile"), F.lit(0).alias("side"))
+    small = banded.where(one_band).select("component", "node", F.concat(F.lit("s"), shared).alias("tile"), F.lit(0).alias("side"))
     x, y = bands.alias("x"), bands.alias("y")
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.band") <= F.col("y.band")) & (F.col("x.most") * 100 >= F.col("y.least") * percent))
     pairs = pairs.select(F.col("x.component").alias("component"), F.col("x.band").alias("i"), F.col("y.band").alias("j"))
@@ -472,7 +472,7 @@ def linked_documents(
     sides = pairs.select("component", F.col("i").alias("band"), "tile", F.lit(0).alias("side")).unionByName(
         pairs.where("i < j").select("component", F.col("j").alias("band"), "tile", F.lit(1).alias("side"))
     )
-    large = banded.where(~is_small).join(sides, ["component", "band"]).select("component", "node", "tile", "side")
+    large = banded.where(~one_band).join(sides, ["component", "band"]).select("component", "node", "tile", "side")
     work = sets.join(small.unionByName(large), "node")
     links = work.select("tile", "component", "side", "node", "n", "elements").groupBy("tile").applyInArrow(_tile_links(percent), EDGES)
 

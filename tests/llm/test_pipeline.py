@@ -1,6 +1,9 @@
 """Every stage against its own input, on the table and on awkward rows."""
 
+import hashlib
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +32,50 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
+FOLD = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
+def contaminated(texts, items):
+    """Whether words inside occurrences of 13-word windows of an item make up 5 % of a text's words."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
+    windows = defaultdict(set)
+    for w in map(words, items):
+        for i in range(len(w) - min(13, len(w)) + 1 if w else 0):
+            windows[min(13, len(w))].add(tuple(w[i : i + 13]))
+    out = []
+    for w in map(words, texts):
+        hit = {p for k, grams in windows.items() for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in grams for p in range(i, i + k)}
+        out.append(bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+def mixed_copies(docs):
+    """(doc_id, text): copies, from the words that a mix by weights 5, 2, 1 takes of each document's place in its stream."""
+    size = lambda t: len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w])
+    by = defaultdict(list)
+    for d, text, source in docs:
+        by[source].append((hashlib.md5(f"42|{'' if d is None else d}".encode()).hexdigest(), (d is not None, d or 0), size(text), d, text))
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    total = {s: sum(x[2] for x in by[s]) for s in order}
+    weight, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, set(order)
+    while True:
+        share = (sum(total.values()) - sum(3 * total[s] for s in order if s not in left)) / sum(weight[s] for s in left)
+        above = {s for s in left if weight[s] * share > 3 * total[s]}
+        if not above:
+            break
+        left -= above
+    out = Counter()
+    for s in order:
+        words = min(int((weight[s] * share if s in left else 3.0 * total[s]) + 0.5), 3 * total[s])
+        start = 0
+        for _, _, n, d, text in sorted(by[s], key=lambda x: x[:3]):
+            if n:
+                taken = words // total[s] * n + max(0, min(start + n, words % total[s]) - start)
+                out[d, text] += taken // n + (2 * (taken % n) >= n)
+            start += n
+    return Counter({k: v for k, v in out.items() if v})
+
+
 def check_stages(spark, docs, sf_dir):
     by_text = lambda df: sorted([(r.doc_id, r.text) for r in df.collect()], key=str)
     kinds = docs.dtypes
@@ -47,7 +94,9 @@ def check_stages(spark, docs, sf_dir):
 
     docs, out = out, P.benchmark_decontamination(spark, out, sf_dir).cache()
     assert out.dtypes == kinds
-    assert set(rows(out)) <= set(rows(docs))
+    before, items = docs.collect(), [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    bad = contaminated([r.text for r in before], items)
+    assert rows(out) == sorted((tuple(r) for r, b in zip(before, bad) if not b), key=str)
 
     docs, out = out, P.source_mix(spark, out, sf_dir).cache()
     assert out.dtypes == kinds
@@ -55,6 +104,8 @@ def check_stages(spark, docs, sf_dir):
     for r in rows(out):
         counts[r] = counts.get(r, 0) + 1
     assert set(counts) <= set(rows(docs)) and max(counts.values(), default=0) <= 3
+    want = mixed_copies([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    assert Counter(by_text(out)) == want
 
     docs, out = out, P.token_output(spark, out, sf_dir)
     tok = Tokenizer.from_file(public_tokenizers.path(P.TOKENIZER))
@@ -79,6 +130,14 @@ def test_stages_on_awkward_rows(spark, sf_dir):
     check_stages(spark, spark.createDataFrame(AWKWARD, KIND), sf_dir)
 
 
+def test_near_copies_without_ids(spark, sf_dir):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (58, 59)]
+    docs = spark.createDataFrame([(None, t, "en", "a", 0, "x") for t in [" ".join(words), *near, "quite another text of six words", "a b"]], KIND)
+    got = [r.text for r in P.near_duplicates(spark, docs, sf_dir).collect()]
+    assert len(got) == 3 and {"quite another text of six words", "a b"} < set(got)
+
+
 def test_stages_on_no_rows(spark, sf_dir):
     docs = spark.createDataFrame([], KIND)
     for _, stage in P.STAGES:
