@@ -53,9 +53,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of 5-word-shingle sets with a Jaccard similarity of 0.8 or more."""
     keyed = _packed(docs).withColumn("t", F.xxhash64("text"))
-    linked = linked_documents(keyed, keep=("t",))
-    grouped = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
-    first = F.row_number().over(W.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "t"))
+    linked = linked_documents(keyed, keep=("t",), root="root")
+    grouped = F.col("root").isNotNull()
+    first = F.row_number().over(W.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "t"))
     chosen = linked.where(grouped).withColumn("nth", first).where("nth = 1").select("doc_id", "t")
     chosen = chosen.unionByName(linked.where(~grouped).select("doc_id", "t")).distinct()
     kept = keyed.join(chosen, _same(keyed, chosen), "left_semi").dropDuplicates(["doc_id", "t"])
