@@ -9,9 +9,11 @@ it is shorter.  A document word inside any occurrence of a window is hit, and a
 A numpy pass first finds the runs of words whose neighbouring pairs all occur in items; only there can a window occur,
 and only those runs are streamed.
 
-The items are the small side.  They are taken in groups of about ``group_chars`` characters: one automaton for each,
-built on the driver and broadcast, and one pass over the documents for each, in one stage and without a shuffle.  So no
-task holds more than one group, however many items there are.
+The items are the small side.  Usually they are one automaton of ``group_chars`` characters at most, which is broadcast, and
+the documents are judged in one pass without a shuffle.  More items are cut into groups by hash, an id with very much text
+into several; each group is an automaton of its own and a job of its own over the documents, which are written once for
+that.  A pass leaves a row for each document in which it finds something, and these are merged by document.  So neither the
+driver nor a task ever holds more than one group, however many items there are.
 
 Defined results: a null or empty text has no words and is not contaminated; items without an id or without words are
 ignored; repeated items count once; repeated documents are judged alike; empty tables give empty or unhit results.
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slidelake.session import materialize
+
 #: Every byte to itself, in lower case, or to a space where it parts words.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -215,6 +219,35 @@ def _matcher(index, text: str):
     return run
 
 
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put together what several passes found in a document."""
+    for batch in batches:
+        i, j = batch.schema.get_field_index("spans"), batch.schema.get_field_index("items")
+        spans = [merged([(x["first"], x["last"]) for x in s]) for s in batch.column(i).to_pylist()]
+        spans = pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], batch.schema.field(i).type)
+        items = pa.array([sorted(set(k)) for k in batch.column(j).to_pylist()], batch.schema.field(j).type)
+        yield batch.set_column(i, batch.schema.field(i), spans).set_column(j, batch.schema.field(j), items)
+
+
+def _in_passes(base: DataFrame, text: str, groups: int, index_of) -> DataFrame:
+    """``base`` with what each of several groups of items finds: one job for each group, one after another."""
+    numbered = materialize(base.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    narrow = numbered.select("__row", F.col(text).alias("__text"), "n_words", "spans", "items")
+    finds = None
+    for g in range(groups):
+        index = index_of(g)
+        part = narrow.mapInArrow(_matcher(index, "__text"), narrow.schema).drop("__text")
+        # The first pass counts the words of every document.
+        part = materialize(part if g == 0 else part.where(F.size("spans") > 0), "pass")
+        index.destroy()
+        finds = part if finds is None else finds.unionByName(part)
+    whole = finds.groupBy("__row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+    )
+    whole = whole.mapInArrow(_merger, whole.schema)
+    return numbered.drop("n_words", "spans", "items").join(whole, "__row").select(base.columns)
+
+
 def _cleaner(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,11 +280,16 @@ def decontaminate(
     base = documents.select(*keep, *([] if text in keep else [text])).withColumns(
         {"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")}
     )
-    found = base
-    for g in range(groups):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(groups)) == g).distinct().collect()
-        index = spark.sparkContext.broadcast(ItemIndex(sorted((r.item, r.t.encode()) for r in rows), window))
-        found = found.mapInArrow(_matcher(index, text), found.schema)
+    group = F.pmod(F.xxhash64("item", "t"), F.lit(groups))
+
+    def index_of(g: int):
+        rows = items.where(group == g).distinct().collect()
+        return spark.sparkContext.broadcast(ItemIndex(sorted((r.item, r.t.encode()) for r in rows), window))
+
+    if groups == 1:
+        found = base.mapInArrow(_matcher(index_of(0), text), base.schema)
+    else:
+        found = _in_passes(base, text, groups, index_of)
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     found = found.withColumn("n_hit", hits)
     # In whole numbers: n_hit / n_words reaches the share exactly.
