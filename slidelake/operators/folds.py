@@ -121,7 +121,7 @@ def _training_moments(pivot: Sequence[float]):
                 n, mean, m2 = others
                 std = np.sqrt(m2 / n)
                 rows.append((i, origin + mean, np.where(std < 1e-12, 1.0, std)))
-        out, kind = group.take([i for i, _, _ in rows]).drop_columns(["n", "mean", "m2"]), pa.list_(pa.float64())
+        out, kind = group.take(pa.array([i for i, _, _ in rows], pa.int64())).drop_columns(["n", "mean", "m2"]), pa.list_(pa.float64())
         return out.append_column("mean", pa.array([m for _, m, _ in rows], kind)).append_column("std", pa.array([s for _, _, s in rows], kind))
 
     return run

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slidelake.functions.vectors import argmax, dot
 from slidelake.operators.folds import fold_scaling
+from slidelake.operators.gram import Grams, ridge_grams, ridge_predictions
 from slidelake.operators.metrics import cells, qw_kappa
 
 MODELS = ("ordinal", "logreg_l2", "logreg_l1", "ridge")
@@ -141,14 +142,19 @@ def _fold_table(df: DataFrame, fold: str, feat: str) -> dict[int, list[tuple[flo
 
 def cross_validate(
     df: DataFrame, model: str, c: float, fold: str = "fold", y: str = "y", feat: str = "feat",
-    max_iter: int = 200, balanced: bool = True, parallelism: int = 8, scaling: dict | None = None,
+    max_iter: int = 200, balanced: bool = True, parallelism: int = 8, scaling: dict | None = None, grams: Grams | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions of every row that has a fold.
 
     Rows with a NULL fold only train.  ``df`` should be cheap to scan repeatedly
-    (a table, or a materialised step).
+    (a table, or a materialised step).  Ridge probes of all folds are solved from
+    one pass over the rows, or from its ``grams`` where a caller has them.
     """
     scaling = scaling or _fold_table(df, fold, feat)
+    if not scaling:
+        raise ValueError("no fold leaves rows to train on")
+    if model == "ridge":
+        return ridge_predictions(df, grams or ridge_grams(df, scaling, fold, y, feat, balanced), c, fold, y, feat)
 
     def one(f: int) -> DataFrame:
         scaled = _scale(df, scaling[f], feat)
@@ -170,10 +176,11 @@ def grid_predictions(
 ) -> DataFrame:
     """Out-of-fold predictions of every setting: model, c, fold, y, pred and the columns in ``keep``."""
     scaling = _fold_table(df, fold, feat)
+    grams = ridge_grams(df, scaling, fold, y, feat) if "ridge" in models and scaling else None
     runs = None
     for m in models:
         for c in cs:
-            oof = cross_validate(df, m, c, fold, y, feat, max_iter, True, parallelism, scaling)
+            oof = cross_validate(df, m, c, fold, y, feat, max_iter, True, parallelism, scaling, grams=grams)
             part = oof.select(F.lit(m).alias("model"), F.lit(float(c)).alias("c"), fold, F.col(y).alias("y"), "pred", *keep)
             runs = part if runs is None else runs.unionByName(part)
     return runs
