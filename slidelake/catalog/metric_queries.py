@@ -519,9 +519,13 @@ UNION ALL SELECT 'kappa', round(kappa, 9) FROM ({_kappa_sql('', '')})""",
         None,
     ),
     "bootstrap_cluster_kappa": (
-        lambda s, d: r9(bootstrap.bootstrap_cluster_kappa(_last(s, d).withColumn("site", F.col("vec_id") % 23), "site", BOOT, 123), "ci_lo", "ci_hi"),
+        lambda s, d: r9(bootstrap.bootstrap_cluster_kappa(_last(s, d).withColumn("site", F.col("vec_id") % 23), "site", BOOT, 123, method="draws"), "ci_lo", "ci_hi"),
         _BOOT_KAPPA,
     ),
+    "bootstrap_cluster_kappa_counts": (
+        lambda s, d: bootstrap.bootstrap_cluster_kappa(_last(s, d).withColumn("site", F.col("vec_id") % 23), "site", BOOT, 123),
+        None,
+    ),
     "paired_ttest": (_ttest, with_views(_TTEST, "predictions")),
     "loss_trend": (
         lambda s, d: r9(diagnostics.loss_trend(fx.train_log(s, d)), "start_median", "end_median", "rel_improvement"),

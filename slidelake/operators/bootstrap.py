@@ -1,7 +1,7 @@
 """Bootstrap intervals.
 
 By default a resample is drawn as counts: of the cells of a confusion matrix, or
-of blocks of scores and then of the scores in a block.  That is the same law as
+of blocks of scores or groups and then of what is in a block.  That is the same law as
 drawing rows, without a row per draw.  ``method="draws"`` draws rows, as pure
 functions of (seed, replicate, position): replicates times rows of work, for
 small tables and for other engines to repeat.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from slidelake.session import materialize
 
 DRAWS_PER_ROW = 10_000
 SCORES_PER_SLAB = 50_000
+GROUPS_PER_BUCKET = 20_000
 
 
 def _replicates(b: int) -> Column:
@@ -160,6 +162,46 @@ def replicate_auroc(df: DataFrame, id_col: str, score: str, label: str, n_boot:
     return run.groupBy("replicate").agg(value.alias("auroc"))
 
 
+def split_draws(sizes: DataFrame, buckets: int, n_boot: int, seed: int) -> DataFrame:
+    """(bucket, draws): how many of n draws out of n rows fall into each bucket, for every replicate.
+
+    ``sizes`` has a row (bucket, n) for each bucket with rows; buckets count from 0 and are fewer than ``buckets``.  They
+    are the leaves of a binary tree.  The draws of a node part into its halves by a binomial whose generator is seeded by
+    the node, which splits an n-of-n multinomial exactly; so a bucket finds its own share by going down from the root, and
+    no row, task or driver ever holds the shares of all.
+    """
+    levels = max(0, buckets - 1).bit_length()
+    total = sizes.agg(F.sum("n").alias("n")).scalar()
+    if levels == 0:
+        ways = sizes.select("bucket", total.alias("__n"), F.lit(None).cast("array<struct<level:int,node:bigint,all:bigint,left:bigint,goes_left:boolean>>").alias("__way"))
+    else:
+        level = F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level")
+        node = F.expr("shiftright(cast(bucket as bigint), level)")
+        goes_left = F.expr("shiftright(cast(bucket as bigint), level - 1) & 1") == 0
+        steps = sizes.select("bucket", "n", level).withColumns({"node": node, "goes_left": goes_left})
+        nodes = steps.groupBy("level", "node").agg(
+            F.sum("n").alias("all"), F.sum(F.when(F.col("goes_left"), F.col("n")).otherwise(0)).alias("left")
+        )
+        step = F.struct("level", "node", "all", "left", "goes_left")
+        # One step for each level: at most 63.
+        way = F.sort_array(F.collect_list(step), asc=False).alias("__way")
+        ways = steps.join(nodes, ["level", "node"]).groupBy("bucket").agg(way).withColumn("__n", total)
+
+    def walk(batches):
+        for batch in batches:
+            shares = []
+            for n, way in zip(batch.column("__n").to_pylist(), batch.column("__way").to_pylist()):
+                k = np.full(n_boot, n, np.int64)
+                for s in way or []:
+                    left = np.random.default_rng([seed, s["level"], s["node"]]).binomial(k, s["left"] / s["all"])
+                    k = left if s["goes_left"] else k - left
+                shares.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(shares, pa.list_(pa.int64()))], names=["bucket", "draws"])
+
+    kind = dict(sizes.dtypes)["bucket"]
+    return spread(ways.select("bucket", "__n", "__way"), "bucket").mapInArrow(walk, f"bucket {kind}, draws array<bigint>")
+
+
 def replicate_auroc_blocks(
     df: DataFrame, score: str, label: str, n_boot: int, seed: int, blocks: int | None = None
 ) -> DataFrame:
@@ -167,8 +209,8 @@ def replicate_auroc_blocks(
 
     Distinct scores are range-partitioned into blocks of about
     ``SCORES_PER_SLAB``, however many there are.  The rows a replicate
-    draws from each block are multinomial in the block sizes, and uniform within
-    a block; so a block resamples itself and returns per replicate its positives,
+    draws from each block are multinomial in the block sizes (``split_draws``), and
+    uniform within a block; so a block resamples itself and returns per replicate its positives,
     negatives and ordered pairs.  Only replicates * blocks rows are shuffled.
     """
     counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
@@ -181,21 +223,7 @@ def replicate_auroc_blocks(
         counts.repartitionByRange(nb, "s").withColumn("block", F.spark_partition_id()), "auroc-blocks"
     )
     sizes = ranged.groupBy("block").agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
-    packed = sizes.agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("t"))
-
-    @F.pandas_udf("array<bigint>")
-    def split(replicate: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for r, counts in zip(replicate, n):
-            k = np.asarray(counts, dtype=np.int64)
-            out.append(np.random.default_rng([seed, int(r)]).multinomial(k.sum(), k / k.sum()))
-        return pd.Series(out)
-
-    reps = spread(packed.select(_replicates(n_boot).alias("replicate"), "t"), "replicate")
-    shares = reps.select("replicate", "t", split("replicate", F.transform("t", lambda e: e["n"])).alias("k"))
-    shares = shares.select("replicate", F.explode(F.arrays_zip("t", "k")).alias("z")).select(
-        "replicate", F.col("z.t.block").alias("block"), F.col("z.k").alias("k")
-    )
+    shares = split_draws(sizes.withColumnRenamed("block", "bucket"), nb, n_boot, seed).withColumnRenamed("bucket", "block")
 
     def resample(rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("s")
@@ -204,7 +232,7 @@ def replicate_auroc_blocks(
         weights = np.concatenate([pos, neg]) / (pos.sum() + neg.sum())
         m = len(pos)
         out = []
-        for r, mine in zip(drawn["replicate"], drawn["k"]):
+        for r, mine in enumerate(drawn["draws"].iloc[0]):
             k = np.random.default_rng([seed, int(r), block]).multinomial(int(mine), weights)
             p, q = k[:m], k[m:]
             pairs = float((p * (np.cumsum(q) - q / 2.0)).sum())
@@ -232,14 +260,59 @@ def bootstrap_auroc(
     raise ValueError(f"unknown bootstrap method: {method}")
 
 
+def cluster_cells(
+    df: DataFrame, group: str, n_boot: int, seed: int, y: str = "y", pred: str = "pred", per_bucket: int = GROUPS_PER_BUCKET
+) -> DataFrame:
+    """(replicate, y, pred, n) of resampled groups, each with all of its rows, without a row per draw.
+
+    Groups, reduced to their cells, are hashed to buckets of about ``per_bucket``.  Each bucket learns how many of a
+    replicate's draws are its own (``split_draws``) and draws them among its groups, so that only replicates times cells
+    leave it.  Rows with a NULL group are one group.
+    """
+    key = F.to_json(F.struct(F.col(group).alias("g")))
+    counts = materialize(df.groupBy(key.alias("__g"), F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n")), "group-cells")
+    buckets = max(1, -(-counts.select("__g").distinct().count() // per_bucket))
+    placed = counts.withColumn("bucket", F.pmod(F.xxhash64("__g"), F.lit(buckets)).cast("int"))
+    sizes = placed.select("bucket", "__g").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    shares = split_draws(sizes, buckets, n_boot, seed)
+
+    def resample(rows: pa.Table, drawn: pa.Table) -> pa.Table:
+        names, of = np.unique(np.array(rows.column("__g").to_pylist(), dtype=object), return_inverse=True)
+        cell: dict = {}
+        pairs = list(zip(rows.column("y").to_pylist(), rows.column("pred").to_pylist()))
+        # In an order of their own, as rows come in any.
+        for p in sorted(set(pairs), key=repr):
+            cell[p] = len(cell)
+        at, n = np.array([cell[p] for p in pairs]), rows.column("n").to_numpy()
+        bucket = rows.column("bucket")[0].as_py()
+        out = []
+        for r, k in enumerate(drawn.column("draws")[0].as_py()):
+            times = np.bincount(np.random.default_rng([seed, 1 << 20, bucket, r]).integers(0, len(names), k), minlength=len(names))
+            total = np.zeros(len(cell), np.int64)
+            np.add.at(total, at, times[of] * n)
+            out += [(r, *p, int(t)) for p, t in zip(cell, total) if t]
+        kinds = [pa.int32(), rows.schema.field("y").type, rows.schema.field("pred").type, pa.int64()]
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["replicate", "y", "pred", "n"])
+
+    kinds = dict(counts.dtypes)
+    schema = f"replicate int, y {kinds['y']}, pred {kinds['pred']}, n bigint"
+    parts = placed.groupBy("bucket").cogroup(shares.groupBy("bucket")).applyInArrow(resample, schema)
+    return parts.groupBy("replicate", "y", "pred").agg(F.sum("n").alias("n"))
+
+
 def bootstrap_cluster_kappa(
-    df: DataFrame, group: str, n_boot: int = 1000, seed: int = 123, y: str = "y", pred: str = "pred"
+    df: DataFrame, group: str, n_boot: int = 1000, seed: int = 123, y: str = "y", pred: str = "pred", method: str = "counts"
 ) -> DataFrame:
-    """95 % interval of kappa over resampled groups, each with all of its rows.
+    """95 % interval of kappa over resampled groups, each with all of its rows; ``method`` is ``counts`` or ``draws``.
 
     Rows are reduced to cells per group first, so a group with a third of all
-    rows weighs no more in the join than any other.
+    rows weighs no more than any other.
     """
+    if method == "counts":
+        return interval(qw_kappa(cluster_cells(df, group, n_boot, seed, y, pred), ["replicate"]), "kappa")
+    if method != "draws":
+        raise ValueError(f"unknown bootstrap method: {method}")
     per_group = cells(df, [group], y, pred)
     groups = per_group.select(group).distinct()
     numbered = _indexed(groups, group, seed).select(F.col("__pos").alias("__at"), group)
