@@ -160,6 +160,11 @@ def _fingerprints(s, d):
     return files.fingerprint_files(listed, chunk=1024).select("filename", "size_bytes", "fingerprint", "fingerprint_error")
 
 
+def _confirmed(s, d):
+    found = manifest_plan.confirmed_duplicates(files.file_inventory(s, _document_files(s, d)), chunk=256)
+    return found.select("filename", "size_bytes", "settled_by", "n_equal", "bytes_read", "error")
+
+
 def _manifest(s, d):
     slides = fx.slides(s, d).where(F.col("doc_id") % 13 != 0)
     pairs = [F.lit("openslide.mpp-x"), F.col("mpp_a"), F.lit("aperio.MPP"), F.col("mpp_b"), F.lit("aperio.AppMag"), F.col("power")]
@@ -337,6 +342,14 @@ FROM slides, (SELECT unnest(['manifest', 'qc']) AS stage) GROUP BY stage""", "sl
         _fingerprints,
         f"""SELECT filename, size_bytes, {FILE_FINGERPRINT} AS fingerprint, NULL::VARCHAR AS fingerprint_error FROM ({_FILES})""",
     ),
+    "confirmed_duplicates": (
+        _confirmed,
+        f"""SELECT filename, size_bytes, settled_by, n_equal, CASE settled_by WHEN 'size' THEN 0 ELSE least(size_bytes, 256) + CASE WHEN size_bytes > 256 THEN 256 ELSE 0 END
+    + CASE settled_by WHEN 'full' THEN size_bytes ELSE 0 END END::BIGINT AS bytes_read, NULL::VARCHAR AS error FROM (
+  SELECT filename, size_bytes, n_equal, CASE WHEN n_size = 1 OR size_bytes = 0 THEN 'size' WHEN n_ends = 1 OR size_bytes <= 512 THEN 'quick' ELSE 'full' END AS settled_by FROM (
+    SELECT *, count(*) OVER (PARTITION BY size_bytes) AS n_size, count(*) OVER (PARTITION BY content) AS n_equal,
+      count(*) OVER (PARTITION BY size_bytes, left(hex(encode(content)), 512), right(hex(encode(content)), 512)) AS n_ends FROM ({_FILES})))""",
+    ),
     "manifest_build": (
         _manifest,
         with_views(

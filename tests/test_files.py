@@ -104,3 +104,29 @@ def test_artefacts(spark, tmp_path):
     put(f"{tmp_path}/e/none.pth")
     assert [(r["load_ok"], r["size_mb"]) for r in files.artefact_table(spark, f"{tmp_path}/e").collect()] == [(False, 0.0)]
     assert rows["w3.pt"]["sha256_12"] == hashlib.sha256(b"www").hexdigest()[:12] and rows["w3.pt"]["load_ok"]
+
+
+def test_duplicates_are_confirmed_in_stages(spark, tmp_path):
+    """Equal size, head and tail are no proof; unread files cost no bytes."""
+    from slidelake.plans.manifest import confirmed_duplicates
+
+    long = b"h" * 16 + b"middle-1" * 8 + b"t" * 16
+    bodies = {
+        "own": b"size of its own", "same1": long, "same2": long, "other": long.replace(b"1", b"2"), "head": b"H" + long[1:],
+        "e1": b"", "e2": b"", "s1": b"k" * 20, "s2": b"k" * 20, "s3": b"k" * 19 + b"l",
+    }
+    for name, body in bodies.items():
+        put(f"{tmp_path}/{name}.svs", body)
+    inv = files.file_inventory(spark, str(tmp_path)).withColumn("error", F.lit("old"))
+    lost = inv.where("filename = 'own.svs'").withColumns({"path": F.lit("/gone.svs"), "filename": F.lit("gone.svs"), "size_bytes": F.lit(96).cast("bigint")})
+    unknown = lost.withColumns({"size_bytes": F.lit(None).cast("bigint"), "filename": F.lit("nosize.svs")})
+    got = {r.filename[:-4]: r for r in confirmed_duplicates(inv.unionByName(lost).unionByName(unknown), chunk=16).collect()}
+    assert len(got) == 12
+    assert {k: (r.settled_by, r.n_equal, r.bytes_read) for k, r in got.items()} == {
+        "own": ("size", 1, 0), "e1": ("size", 2, 0), "e2": ("size", 2, 0), "head": ("quick", 1, 32),
+        "s1": ("quick", 2, 32), "s2": ("quick", 2, 32), "s3": ("quick", 1, 32), "nosize": ("size", None, 0), "gone": ("quick", None, 0),
+        "same1": ("full", 2, 128), "same2": ("full", 2, 128), "other": ("full", 1, 128),
+    }
+    assert got["same1"].fingerprint == got["same2"].fingerprint != got["other"].fingerprint
+    assert "FileNotFound" in got["gone"].error and got["nosize"].error == "no size" and got["own"].error is None
+    assert confirmed_duplicates(inv.limit(0)).count() == 0
