@@ -124,6 +124,24 @@ def _padded(s, d, run=tokens.pad_bags, more=("scale",)):
     )
 
 
+def _batch(s, d):
+    """Every place of every padded row: what it holds of both views, and whether it is padding or masked."""
+    t = fx.tile_features(s, d)
+    labels = fx.table(s, d, "embeddings").select(F.col("label").cast("int").alias("bag")).distinct()
+    bags = labels.unionByName(labels.where(F.col("bag") < 3).select((F.col("bag") + 100).alias("bag"))).withColumn(
+        "batch", F.col("bag") % 4
+    )
+    out = tokens.training_batch(t, bags, "bag", "batch", "tile_idx", DIM, BUDGETS, 17, row_id="vec_id")
+    whole = ("view1", "view2", "pad_mask", "mm_x", "mm_y", "scale")
+    z = out.select("bag", "batch", "t", "t_max", "mask_index", F.posexplode(F.arrays_zip(*whole)).alias("pos", "z"))
+    first = [F.round(F.element_at(F.col("z")[c], 1) + F.lit(0.0), 6).alias(f"{c}_first") for c in ("view1", "view2")]
+    return z.select(
+        "bag", "batch", "t", "t_max", "pos", F.col("z.pad_mask").alias("pad"), F.array_contains("mask_index", F.col("pos")).alias("masked"),
+        *[F.round(v.l2_norm(F.col("z")[c]), 6).alias(f"{c}_norm") for c in ("view1", "view2")], *first,
+        *[F.round(F.col("z")[c], 9).alias(c) for c in ("mm_x", "mm_y")], F.col("z.scale").alias("scale"),
+    )
+
+
 _PADDED = f"""SELECT bag, batch, t, t_max, pos, pos >= t AS pad, coalesce({rz("norm")}, 0)::DOUBLE AS norm, coalesce(mm_x, 0)::DOUBLE AS mm_x,
   coalesce(mm_y, 0)::DOUBLE AS mm_y, coalesce(scale, 0)::DOUBLE AS scale FROM (
   SELECT bag, batch, t, t_max, unnest(range(t_max))::INTEGER AS pos FROM (
@@ -136,6 +154,24 @@ _PAD_CTES = {
   sqrt(list_sum(list_transform(feat, lambda x: x * x))) AS norm, scale, round((x + 128::DOUBLE) * (scale / 1000), 9) AS mm_x,
   round((y + 128::DOUBLE) * (scale / 1000), 9) AS mm_y FROM tiles WHERE tile_idx < {CAP}""",
 }
+_BATCH_KEY = "'17|' || view || '|' || bag || '|' || pos || '|' || dim"
+_BATCH_CTES = {
+    "bags": _PAD_CTES["bags"],
+    "kept": _PAD_CTES["kept"].replace("AS norm,", "AS norm, feat,"),
+    "slots": """SELECT bag, batch, t, t_max, unnest(range(t_max))::INTEGER AS pos FROM (
+  SELECT bag, bag % 4 AS batch, greatest(n, 1)::INTEGER AS t, max(greatest(n, 1)) OVER (PARTITION BY bag % 4)::INTEGER AS t_max
+  FROM (SELECT b.bag, count(k.bag) AS n FROM bags b LEFT JOIN kept k ON b.bag = k.bag GROUP BY b.bag))""",
+    "masked_slots": f"""SELECT bag, pos FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY {sql_u32("'17|' || bag || '|' || pos")}, pos) AS r
+  FROM slots WHERE pos < t) WHERE r <= greatest(1, round_even(0.25::DOUBLE * t, 0))""",
+    "mixed": f"""SELECT bag, pos, view, dim, CASE WHEN {word(_BATCH_KEY, 0)} > 0.1::DOUBLE THEN v ELSE 0 END + {_noise(_BATCH_KEY, '0.02')} AS value
+  FROM (SELECT bag, pos, unnest(feat)::DOUBLE AS v, (generate_subscripts(feat, 1) - 1)::INTEGER AS dim FROM kept ANTI JOIN masked_slots USING (bag, pos)),
+    (SELECT unnest([1, 2])::INTEGER AS view)""",
+    "view_norms": f"""SELECT bag, pos, {", ".join(f"{rz(f'sqrt(sum(value * value) FILTER (view = {w}))')} AS view{w}_norm, {rz(f'sum(value) FILTER (view = {w} AND dim = 0)')} AS view{w}_first" for w in (1, 2))}
+  FROM mixed GROUP BY bag, pos""",
+}
+_BATCH = f"""SELECT bag, batch, t, t_max, pos, pos >= t AS pad, m.pos IS NOT NULL AS masked,
+  {", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in ("view1_norm", "view2_norm", "view1_first", "view2_first", "mm_x", "mm_y", "scale"))}
+FROM slots LEFT JOIN kept USING (bag, pos) LEFT JOIN view_norms USING (bag, pos) LEFT JOIN masked_slots m USING (bag, pos)"""
 _PADDED_BY_SCALE = f"""SELECT bag, batch, scale, t, t_max, pos, pos >= t AS pad, coalesce({rz("norm")}, 0)::DOUBLE AS norm, coalesce(mm_x, 0)::DOUBLE AS mm_x,
   coalesce(mm_y, 0)::DOUBLE AS mm_y FROM (
   SELECT bag, batch, scale, t, t_max, unnest(range(t_max))::INTEGER AS pos FROM (
@@ -305,6 +341,7 @@ FROM (SELECT DISTINCT bag FROM tiles) LEFT JOIN ({_SLIDE_EMB}) USING (bag)""", "
         lambda s, d: _padded(s, d, tokens.pad_bags_by_scale, ()),
         with_views(_PADDED_BY_SCALE, "tiles", extra=_SCALE_CTES),
     ),
+    "training_batch": (_batch, with_views(_BATCH, "tiles", extra=_BATCH_CTES)),
     "token_mm_xy": (
         lambda s, d: tokens.token_mm_xy(fx.tile_features(s, d)).select("vec_id", F.round("mm_x", 9).alias("mm_x"), F.round("mm_y", 9).alias("mm_y")),
         with_views("SELECT vec_id, round((x + 128::DOUBLE) * (scale / 1000), 9) AS mm_x, round((y + 128::DOUBLE) * (scale / 1000), 9) AS mm_y FROM tiles", "tiles"),

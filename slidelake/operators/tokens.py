@@ -38,7 +38,7 @@ def mask_positions(
     return out.withColumn(feat, F.when(F.col("masked"), zeros_like(feat)).otherwise(F.col(feat)))
 
 
-def augment_view(feat: str, keys: Sequence, drop_p: float = 0.1, sigma: float = 0.02) -> Column:
+def augment_view(feat: str | Column, keys: Sequence, drop_p: float = 0.1, sigma: float = 0.02) -> Column:
     """Element dropout (not rescaled) plus Gaussian noise, seeded by ``keys``.
 
     One digest per element gives its dropout draw and both normal draws.
@@ -51,7 +51,7 @@ def augment_view(feat: str, keys: Sequence, drop_p: float = 0.1, sigma: float =
 
         return let(digest(*keys, i), mix)
 
-    return F.transform(F.col(feat).cast("array<double>"), one)
+    return F.transform((F.col(feat) if isinstance(feat, str) else feat).cast("array<double>"), one)
 
 
 def augment_bag(
@@ -158,6 +158,53 @@ def pad_bags_by_scale(
     return out
 
 
+def training_batch(
+    tokens: DataFrame,
+    bags: DataFrame,
+    bag: str,
+    batch: str,
+    order: str,
+    dim: int,
+    budgets: dict[float, int],
+    seed: int,
+    mask_fraction: float = 0.25,
+    drop_p: float = 0.1,
+    sigma: float = 0.02,
+    scale: str = "scale",
+    feat: str = "feat",
+    row_id: str | None = None,
+) -> DataFrame:
+    """One padded row per bag, as a training step takes it.
+
+    ``view1`` and ``view2`` are two augmentations of the bag's tokens, zero on padding and on the masked places; ``mm_x``, ``mm_y``
+    and ``scale`` are padded with zeros; ``pad_mask`` is true on padding; ``mask_index`` lists the max(1, round(mask_fraction * t))
+    masked places, ascending.  Tokens are cut and padded by ``pad_bags``, so an array holds no more than the budgets allow, and
+    everything behind it is computed within the row: no further shuffle.  Draws are seeded by bag and place.  A bag without tokens
+    is one zero vector, which is masked; a NULL bag is a bag.
+    """
+    placed = token_mm_xy(tokens, scale)
+    carry = ["mm_x", "mm_y", scale]
+    rows = pad_bags(placed, bags, bag, batch, order, dim, budgets, scale, feat, carry, row_id)
+    places = F.transform(
+        F.sequence(F.lit(0), F.col("t") - 1), lambda p: F.struct(u32(seed, F.col(bag), p).alias("h"), p.alias("p"))
+    )
+    m = F.greatest(F.lit(1), F.bround(F.lit(mask_fraction) * F.col("t")).cast("int"))
+    masked = F.array_sort(F.transform(F.slice(F.array_sort(places), F.lit(1), m), lambda x: x["p"]))
+
+    def view(which: int) -> Column:
+        def one(vector: Column, i: Column) -> Column:
+            hidden = (i >= F.col("t")) | F.array_contains("mask_index", i)
+            mixed = augment_view(vector, [seed, which, F.col(bag), i], drop_p, sigma)
+            return F.when(hidden, F.array_repeat(F.lit(0.0), dim)).otherwise(mixed)
+
+        return F.transform("tokens", one)
+
+    indexed = rows.withColumn("mask_index", masked)
+    return indexed.select(
+        bag, batch, "t", "t_max", view(1).alias("view1"), view(2).alias("view2"), *carry, "pad_mask", "mask_index"
+    )
+
+
 def cosine_loss(pairs: DataFrame, p: str, z: str, keys: Sequence[str] = (), name: str = "loss") -> DataFrame:
     """Mean of 1 - cos(p, z) over the rows of each group."""
     value = F.avg(F.lit(1.0) - cosine(p, z)).alias(name)
