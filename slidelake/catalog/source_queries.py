@@ -7,6 +7,7 @@ scratch space and then read through the sources.
 from __future__ import annotations
 
 import io
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -74,13 +75,27 @@ def _npy_bytes(s, d) -> DataFrame:
 
 
 def _npy(s, d):
-    rows = files.npy_ingest(_npy_bytes(s, d), DIM)
+    return _by_id(files.npy_ingest(_npy_bytes(s, d), DIM))
+
+
+def _npy_ranges(s, d):
+    """The same files, written and read in ranges of a few rows."""
+    root = scratch_path(s, "npy")
+    _write_files(_npy_bytes(s, d).withColumnRenamed("path", "name"), root)
+    return _by_id(files.npy_ranges(files.list_files(s, root, ["npy"]), DIM, range_bytes=5 * 4 * DIM))
+
+
+def _by_id(rows: DataFrame) -> DataFrame:
     block = F.regexp_extract("path", r"block-(\d+)", 1).cast("bigint")
     return rows.where(F.col("error").isNull()).select(
         (block * 32 + F.col("tile_idx")).alias("vec_id"), F.round(v.l2_norm("feat"), 6).alias("norm"), F.round(v.total("feat"), 6).alias("total")
     )
 
 
+_NPY = f"""SELECT vec_id, {rz("sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))")} AS norm,
+  {rz("list_sum(list_transform(embedding, lambda x: x::DOUBLE))")} AS total FROM embeddings"""
+
+
 def _csv(s, d):
     path = scratch_path(s, "csv")
     src = fx.slides(s, d).select("slide_id", "path", "size_bytes", "mpp_a")
@@ -120,21 +135,29 @@ def _stage_log(s, d):
 
 
 def _write_files(rows: DataFrame, root: str) -> None:
-    """Write each (name, content) row as a file below ``root``; runs in the tasks."""
+    """Write each (name, content) row as a file below ``root``; runs in the tasks.
+
+    With a column ``seconds``, files of a local file system get that time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root)
         for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
+            seconds = batch["seconds"] if timed else [None] * len(batch)
+            for name, content, second in zip(batch["name"], batch["content"], seconds):
                 at = f"{base}/{name}"
                 system.create_dir(at.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(at, compression=None) as f:
                     f.write(content)
+                if pd.notna(second) and system.type_name == "local":
+                    os.utime(at, (second, second))
             yield batch[["name"]]
 
-    rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(run, "name string").count()
+    timed = "seconds" in rows.columns
+    more = ["seconds"] if timed else []
+    rows.select("name", F.col("content").cast("binary").alias("content"), *more).mapInPandas(run, "name string").count()
 
 
 #: Every document as a file in the folder of its source; some are empty, some have the suffix in capitals.
@@ -147,12 +170,16 @@ _FILES = """SELECT doc_id, coalesce(source, 'none') AS cancer_code, doc_id::VARC
 def _document_files(s, d) -> str:
     root = scratch_path(s, "files")
     content = F.when(F.col("doc_id") % 97 == 0, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
-    _write_files(fx.table(s, d, "documents").select(F.expr(_FILE_NAME).alias("name"), content.alias("content")), root)
+    seconds = F.lit(1_600_000_000) + F.col("doc_id") * 60
+    rows = fx.table(s, d, "documents").select(F.expr(_FILE_NAME).alias("name"), content.alias("content"), seconds.alias("seconds"))
+    _write_files(rows, root)
     return root
 
 
 def _inventory(s, d):
-    return files.file_inventory(s, _document_files(s, d)).select("filename", "slide_id", "cancer_code", "size_bytes")
+    listed = files.file_inventory(s, _document_files(s, d))
+    seconds = F.unix_timestamp("modified_time").alias("modified_s")
+    return listed.select("filename", "slide_id", "cancer_code", "size_bytes", seconds)
 
 
 def _fingerprints(s, d):
@@ -319,11 +346,8 @@ FROM (SELECT image, unnest([r, g, b]) AS c FROM pixels) GROUP BY image""", "pixe
   {rz("(g / 255::DOUBLE - 0.456::DOUBLE) / 0.224::DOUBLE")} AS g_n, {rz("(b / 255::DOUBLE - 0.406::DOUBLE) / 0.225::DOUBLE")} AS b_n FROM pixels""", "pixels"
         ),
     ),
-    "npy_ingest": (
-        _npy,
-        f"""SELECT vec_id, {rz("sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))")} AS norm,
-  {rz("list_sum(list_transform(embedding, lambda x: x::DOUBLE))")} AS total FROM embeddings""",
-    ),
+    "npy_ingest": (_npy, _NPY),
+    "npy_ranges": (_npy_ranges, _NPY),
     "csv_scan_sink": (_csv, with_views("SELECT slide_id, path, size_bytes, nullif(mpp_a, '') AS mpp_a FROM slides", "slides")),
     "json_scan_sink": (_json, with_views("SELECT step, round(loss, 9) AS loss, NULL::DOUBLE AS tps FROM train_log", "train_log")),
     "partitioned_embedding_sink": (
@@ -337,7 +361,7 @@ FROM (SELECT image, unnest([r, g, b]) AS c FROM pixels) GROUP BY image""", "pixe
 FROM slides, (SELECT unnest(['manifest', 'qc']) AS stage) GROUP BY stage""", "slides"
         ),
     ),
-    "file_inventory": (_inventory, f"SELECT filename, slide_id, cancer_code, size_bytes FROM ({_FILES})"),
+    "file_inventory": (_inventory, f"SELECT filename, slide_id, cancer_code, size_bytes, (1600000000 + doc_id * 60)::BIGINT AS modified_s FROM ({_FILES})"),
     "fingerprint_files": (
         _fingerprints,
         f"""SELECT filename, size_bytes, {FILE_FINGERPRINT} AS fingerprint, NULL::VARCHAR AS fingerprint_error FROM ({_FILES})""",
