@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +87,12 @@ def report(oof: DataFrame, n_boot: int = 1000, seed: int = 42, boot: str = "mult
     }
 
 
+def side_by_side(*parts: DataFrame) -> DataFrame:
+    """One row with the columns of parts that have a row each, without a join; what a part without a row lacks is NULL."""
+    stacked = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def binary_evaluation(
     slides: DataFrame, dim: int, slide: str = "slide", feat: str = "feat", k: int = 5, seed: int = 42, c: float = 1.0,
     n_boot: int = 1000, max_iter: int = 5000,
@@ -103,10 +111,7 @@ def binary_evaluation(
     counts = oof.agg(F.count(F.lit(1)).alias("n_slides"), F.sum("y").alias("n_tumor"))
     refused = checked.agg(F.count_if(~F.col("ok")).alias("n_refused"))
     interval = bootstrap_auroc(oof, "slide", "score", "y", n_boot, seed).select("ci_lo", "ci_hi")
-    summary = ranks
-    # Each is one row.
-    for part in (interval, accuracy(oof), binary_f1(cells(oof)), counts, refused):
-        summary = summary.crossJoin(part)
+    summary = side_by_side(ranks, interval, accuracy(oof), binary_f1(cells(oof)), counts, refused)
     return {"predictions": oof, "summary": summary}
 
 
@@ -126,8 +131,9 @@ def staging_evaluation(
     best = best_config(grid)
     predictions = runs.join(F.broadcast(best.select("model", "c")), ["model", "c"]).select("patient", "fold", "y", "pred")
     predictions = materialize(predictions, "best")
-    found = best.crossJoin(qw_kappa(cells(predictions)).withColumnRenamed("kappa", "kappa_overall"))
-    found = found.crossJoin(bootstrap_cluster_kappa(predictions, "patient", n_boot, boot_seed).select("ci_lo", "ci_hi"))
+    overall = qw_kappa(cells(predictions)).withColumnRenamed("kappa", "kappa_overall")
+    interval = bootstrap_cluster_kappa(predictions, "patient", n_boot, boot_seed).select("ci_lo", "ci_hi")
+    found = side_by_side(best, overall, interval).where(F.col("model").isNotNull())
     return {"grid": grid, "predictions": predictions, "best": found}
 
 
