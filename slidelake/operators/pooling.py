@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.operators.ranking import exact_rank
+from slidelake.operators.selection import kth_rows
 from slidelake.operators.skew import null_safe_join
 
 
@@ -84,17 +84,16 @@ def topk_softmax_pool(
 ) -> DataFrame:
     """Softmax-weighted mean of each bag's best-scored rows.
 
-    k = min(max(floor(ratio * n), min_k), n).  As k grows with the bag, ids are
-    ranked by slabs.  Each bag's k-th score then tells every row whether it
-    counts, and the vectors are summed map-side: they are never shuffled.
+    k = min(max(floor(ratio * n), min_k), n), or the number of rows with a
+    score if that is less.  As k grows with the bag, its k-th score is found by
+    counts (``kth_rows``).  It then tells every row whether it counts, and the
+    vectors are summed map-side: they are never shuffled.
     """
-    ids = df.select(*keys, id_col, F.col(score).alias("__s"))
-    ranked = exact_rank(ids, keys, [F.col("__s").desc(), F.col(id_col).asc()], maxima={"__s": "__top"})
-    n = F.col("group_rows")
-    k = F.greatest(F.least(F.greatest(F.floor(F.lit(ratio) * n), F.lit(min_k)), n), F.lit(1))
-    last = ranked.where(F.col("rank_no") == k).select(
-        *keys, F.col("__s").alias("__s_k"), F.col(id_col).alias("__id_k"), "__top"
-    )
+    ids = df.select(*keys, F.col(id_col).alias("__id_k"), F.col(score).alias("__s_k"))
+    n = F.count(F.lit(1))
+    k = F.greatest(F.least(F.greatest(F.floor(F.lit(ratio) * n), F.lit(min_k)), F.count("__s_k")), F.lit(1))
+    wants = ids.groupBy(*keys).agg(k.alias("k"), F.max("__s_k").cast("double").alias("__top"))
+    last = kth_rows(ids, wants, keys, "__s_k", "__id_k", descending=True).drop("k")
     joined = null_safe_join(df, last, keys, [id_col])
     s = F.col(score)
     chosen = (s > F.col("__s_k")) | ((s == F.col("__s_k")) & (F.col(id_col) <= F.col("__id_k")))
