@@ -90,10 +90,9 @@ def topk_softmax_pool(
     vectors are summed map-side: they are never shuffled.
     """
     ids = df.select(*keys, F.col(id_col).alias("__id_k"), F.col(score).alias("__s_k"))
-    n = F.count(F.lit(1))
-    k = F.greatest(F.least(F.greatest(F.floor(F.lit(ratio) * n), F.lit(min_k)), F.count("__s_k")), F.lit(1))
-    wants = ids.groupBy(*keys).agg(k.alias("k"), F.max("__s_k").cast("double").alias("__top"))
-    last = kth_rows(ids, wants, keys, "__s_k", "__id_k", descending=True).drop("k")
+    k = F.greatest(F.least(F.greatest(F.floor(F.lit(ratio) * F.col("n_rows")), F.lit(min_k)), F.col("n_known")), F.lit(1))
+    last = kth_rows(ids, k, keys, "__s_k", "__id_k", descending=True)
+    last = last.select(*keys, "__s_k", "__id_k", F.col("largest").alias("__top"))
     joined = null_safe_join(df, last, keys, [id_col])
     s = F.col(score)
     chosen = (s > F.col("__s_k")) | ((s == F.col("__s_k")) & (F.col(id_col) <= F.col("__id_k")))
