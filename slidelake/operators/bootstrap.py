@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from slidelake.functions.detrand import draw_index, u32
 from slidelake.operators.metrics import cells, qw_kappa
 from slidelake.operators.ranking import exact_rank, hash_rank, running_sums
-from slidelake.operators.skew import group_join, spread
+from slidelake.operators.skew import group_join, side_join, spread
 from slidelake.session import materialize
 
 
@@ -52,6 +52,15 @@ def _draws(spark: SparkSession, n: Column, n_boot: int, seed: int) -> DataFrame:
     return even.select("replicate", F.explode(drawn).alias("__at"))
 
 
+def _drawn(draws: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of each draw, by ``__at``.
+
+    There are replicates times more draws than rows, but the planner takes them for the few numbers they are made from.
+    So the rows are written and are the side that is sent or hashed, never the draws.
+    """
+    return side_join(draws, materialize(rows, "drawn-from"), "__at")
+
+
 def interval(values: DataFrame, metric: str, level: float = 0.95) -> DataFrame:
     """Linear percentiles of the defined replicates."""
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
@@ -147,8 +156,7 @@ def replicate_auroc(df: DataFrame, id_col: str, score: str, label: str, n_boot:
     placed = df.select(id_col, F.col(score).alias("__score"), F.col(label).alias("__y"))
     rows = _indexed(group_join(placed, scores, ["__score"], [id_col]), id_col, seed)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = _draws(df.sparkSession, n, n_boot, seed)
-    drawn = draws.join(rows.select(F.col("__pos").alias("__at"), "__score", "__part", "__y"), "__at")
+    drawn = _drawn(_draws(df.sparkSession, n, n_boot, seed), rows.select(F.col("__pos").alias("__at"), "__score", "__part", "__y"))
     counts = drawn.groupBy("replicate", "__part", "__score").agg(
         F.sum(F.when(F.col("__y") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("__y") == 1, 0).otherwise(1)).alias("neg"),
@@ -318,6 +326,6 @@ def bootstrap_cluster_kappa(
     numbered = _indexed(groups, group, seed).select(F.col("__pos").alias("__at"), group)
     n = groups.agg(F.count(F.lit(1)).alias("n")).scalar()
     held = numbered.join(per_group, group)
-    picked = _draws(df.sparkSession, n, n_boot, seed).join(held, "__at")
+    picked = _drawn(_draws(df.sparkSession, n, n_boot, seed), held)
     c = picked.groupBy("replicate", "y", "pred").agg(F.sum("n").alias("n"))
     return interval(qw_kappa(c, ["replicate"]), "kappa")

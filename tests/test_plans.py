@@ -53,3 +53,11 @@ def test_inventory_does_not_read_contents(spark, tmp_path):
 def test_filter_reaches_the_scan(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("user_id") == 3).groupBy("user_id").count()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan(df)
+
+
+@pytest.mark.parametrize("name", ["bootstrap_auroc", "bootstrap_cluster_kappa"])
+def test_draws_are_not_sent_through_the_driver(name, spark, sf_dir):
+    """There are replicates times more draws than rows, however small the planner thinks they are."""
+    joins = re.findall(r"(\w+) \[__at#\w+\], \[__at#\w+\], Inner, (\w+)", plan(QUERIES[name](spark, sf_dir)))
+    # The rows drawn from, on the right, are the side that is built.
+    assert joins and all(build == "BuildRight" for _, build in joins), joins
