@@ -61,3 +61,10 @@ def test_draws_are_not_sent_through_the_driver(name, spark, sf_dir):
     joins = re.findall(r"(\w+) \[__at#\w+\], \[__at#\w+\], Inner, (\w+)", plan(QUERIES[name](spark, sf_dir)))
     # The rows drawn from, on the right, are the side that is built.
     assert joins and all(build == "BuildRight" for _, build in joins), joins
+
+
+@pytest.mark.parametrize("name", ["tile_coverage"])
+def test_the_integral_image_is_not_sent_through_the_driver(name, spark, sf_dir):
+    """Its cells are exploded from one small row per slide, and the planner takes them for as few."""
+    joins = re.findall(r"(\w+) \[slide#\w+, mx#\w+, my#\w+\]", plan(QUERIES[name](spark, sf_dir)))
+    assert "SortMergeJoin" in joins and "BroadcastHashJoin" not in joins
