@@ -63,7 +63,7 @@ def test_draws_are_not_sent_through_the_driver(name, spark, sf_dir):
     assert joins and all(build == "BuildRight" for _, build in joins), joins
 
 
-@pytest.mark.parametrize("name", ["tile_coverage"])
+@pytest.mark.parametrize("name", ["tile_coverage", "coverage_filter"])
 def test_the_integral_image_is_not_sent_through_the_driver(name, spark, sf_dir):
     """Its cells are exploded from one small row per slide, and the planner takes them for as few."""
     joins = re.findall(r"(\w+) \[slide#\w+, mx#\w+, my#\w+\]", plan(QUERIES[name](spark, sf_dir)))
