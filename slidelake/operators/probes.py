@@ -15,6 +15,7 @@ from slidelake.functions.vectors import argmax, dot
 from slidelake.operators.folds import fold_scaling
 from slidelake.operators.gram import Grams, ridge_grams, ridge_predictions
 from slidelake.operators.metrics import cells, qw_kappa
+from slidelake.session import materialize
 
 MODELS = ("ordinal", "logreg_l2", "logreg_l1", "ridge")
 # A threshold weight is divided by this, which leaves it practically unpenalised.
@@ -143,12 +144,14 @@ def _fold_table(df: DataFrame, fold: str, feat: str) -> dict[int, list[tuple[flo
 def cross_validate(
     df: DataFrame, model: str, c: float, fold: str = "fold", y: str = "y", feat: str = "feat",
     max_iter: int = 200, balanced: bool = True, parallelism: int = 8, scaling: dict | None = None, grams: Grams | None = None,
+    scaled: dict[int, DataFrame] | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions of every row that has a fold.
 
     Rows with a NULL fold only train.  ``df`` should be cheap to scan repeatedly
     (a table, or a materialised step).  Ridge probes of all folds are solved from
-    one pass over the rows, or from its ``grams`` where a caller has them.
+    one pass over the rows, or from its ``grams`` where a caller has them; ``scaled``
+    has ``df`` in the scale of each fold, where a caller fits many settings.
     """
     scaling = scaling or _fold_table(df, fold, feat)
     if not scaling:
@@ -157,9 +160,9 @@ def cross_validate(
         return ridge_predictions(df, grams or ridge_grams(df, scaling, fold, y, feat, balanced), c, fold, y, feat)
 
     def one(f: int) -> DataFrame:
-        scaled = _scale(df, scaling[f], feat)
-        train = scaled.where(F.col(fold).isNull() | (F.col(fold) != f))
-        test = scaled.where(F.col(fold) == f)
+        rows = scaled[f] if scaled else _scale(df, scaling[f], feat)
+        train = rows.where(F.col(fold).isNull() | (F.col(fold) != f))
+        test = rows.where(F.col(fold) == f)
         return fit_predict(train, test, model, c, y, feat, max_iter, balanced)
 
     with ThreadPool(min(parallelism, len(scaling))) as pool:
@@ -174,22 +177,35 @@ def grid_predictions(
     df: DataFrame, models: Sequence[str] = MODELS, cs: Sequence[float] = (0.1, 0.3, 1.0, 3.0, 10.0), fold: str = "fold",
     y: str = "y", feat: str = "feat", max_iter: int = 200, parallelism: int = 8, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Out-of-fold predictions of every setting: model, c, fold, y, pred and the columns in ``keep``."""
+    """Out-of-fold predictions of every setting: model, c, fold, y, pred and the columns in ``keep``.
+
+    ``parallelism`` settings are fitted at a time, each with its folds one after the other, so that the tasks of many
+    fits share the executors and none waits for the slowest fold of another.
+    """
     scaling = _fold_table(df, fold, feat)
     grams = ridge_grams(df, scaling, fold, y, feat) if "ridge" in models and scaling else None
+
+    scaled = {f: _scale(df, s, feat) for f, s in scaling.items()}
+
+    def one(setting: tuple[str, float]) -> DataFrame:
+        m, c = setting
+        oof = cross_validate(df, m, c, fold, y, feat, max_iter, True, 1, scaling, grams=grams, scaled=scaled)
+        return oof.select(F.lit(m).alias("model"), F.lit(float(c)).alias("c"), fold, F.col(y).alias("y"), "pred", *keep)
+
+    settings = [(m, c) for m in models for c in cs]
+    with ThreadPool(max(1, min(parallelism, len(settings)))) as pool:
+        parts = pool.map(one, settings, chunksize=1)
     runs = None
-    for m in models:
-        for c in cs:
-            oof = cross_validate(df, m, c, fold, y, feat, max_iter, True, parallelism, scaling, grams=grams)
-            part = oof.select(F.lit(m).alias("model"), F.lit(float(c)).alias("c"), fold, F.col(y).alias("y"), "pred", *keep)
-            runs = part if runs is None else runs.unionByName(part)
+    for part in parts:
+        runs = part if runs is None else runs.unionByName(part)
     return runs
 
 
 def grid_table(runs: DataFrame, fold: str = "fold", prefix: str = "FOLD") -> DataFrame:
     """Mean fold kappa per (model, C) of ``grid_predictions``, with the folds spelled out, best first."""
     keys = ["model", "c", fold]
-    counted = cells(runs, keys)
+    # Settings times folds times class pairs; written, as the predictions of all settings are computed for each use of them.
+    counted = materialize(cells(runs, keys), "grid-cells")
     per_fold = qw_kappa(counted, keys).join(counted.groupBy(*keys).agg(F.sum("n").alias("n")), keys)
     text = F.format_string("%s%s:n=%d|k=%.3f", F.lit(prefix), F.col(fold).cast("string"), "n", "kappa")
     lines = F.array_sort(F.collect_list(F.struct(F.col(fold).alias("f"), text.alias("t"))))

@@ -160,3 +160,16 @@ def test_registered_searches_are_whole(spark, sf_dir, monkeypatch):
     assert asked == [("logreg_l2", 1.0, 200)] * 3
     assert {r["seed"] for r in rows if r["part"] == "folds"} == {42, 123, 456}
     assert {r["part"] for r in rows} == {"folds", "summary", "interval", "classes", "confusion"}
+
+
+def test_predictions_of_a_grid_are_computed_once(spark):
+    """The table of a grid uses the cells several times; the predictions behind them are not in its plan any more."""
+    from pyspark.sql import functions as F
+
+    from slidelake.operators.probes import grid_table
+
+    rows = [("ridge", 1.0, i % 2, i % 3, i) for i in range(30)]
+    runs = spark.createDataFrame(rows, "model string, c double, fold int, y int, id int").withColumn("pred", F.udf(lambda i: i % 5 % 3, "int")("id"))
+    table = grid_table(runs)
+    assert "EvalPython" not in table._jdf.queryExecution().executedPlan().toString()
+    assert table.first()["folds"] == 2
