@@ -97,7 +97,8 @@ def list_files(spark: SparkSession, root: str, suffixes: Sequence[str], batch_ro
             )
 
     _, base, head = _located(root)
-    folders, levels = spark.createDataFrame([(head + base,)], "path string"), []
+    # Local rows would start Python workers of their own, beside those of the tasks.
+    folders, levels = spark.range(1).select(F.lit(head + base).alias("path")), []
     while True:
         names = materialize(spread(folders, "path").mapInPandas(scan, _LISTED), "names")
         levels.append(names.where("NOT is_folder").drop("is_folder"))

@@ -4,8 +4,11 @@ import hashlib
 import io
 import json
 import os
+import subprocess
+import sys
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from slidelake.catalog.source_queries import _write_png
@@ -130,3 +133,37 @@ def test_duplicates_are_confirmed_in_stages(spark, tmp_path):
     assert got["same1"].fingerprint == got["same2"].fingerprint != got["other"].fingerprint
     assert "FileNotFound" in got["gone"].error and got["nosize"].error == "no size" and got["own"].error is None
     assert confirmed_duplicates(inv.limit(0)).count() == 0
+
+
+WRITE_AND_LIST = """
+import sys
+import psutil
+from pyspark.sql import functions as F
+from slidelake.catalog.source_queries import _write_files
+from slidelake.session import local_session
+from slidelake.sources.files import list_files
+
+spark = local_session("2", 2, "1g")
+rows = spark.range(0, 8000, 1, 1).select(
+    F.concat("id", F.lit(".svs")).alias("name"), F.repeat(F.lit("x"), 16384 + F.col("id").cast("int") % 7).alias("content")
+)
+_write_files(rows, sys.argv[1])
+sizes = list_files(spark, sys.argv[1], ["svs"]).agg(F.count("path"), F.sum("length")).first()
+found = [p for p in psutil.Process().children(recursive=True) if "pyspark.daemon" in p.cmdline()]
+daemons = [p for p in found if "pyspark.daemon" not in p.parent().cmdline()]
+peaks = [int(x.split()[1]) // 1024 for p in found for x in open(f"/proc/{p.pid}/status") if x.startswith("VmHWM")]
+print(*sizes, len(daemons), max(peaks))
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="reads peaks of memory from /proc")
+def test_writing_and_listing_take_little_python(tmp_path):
+    """128 MB of contents pass one worker, which never holds more than a few of them; listing starts no second set of workers."""
+    pytest.importorskip("psutil")
+    done = subprocess.run(
+        [sys.executable, "-c", WRITE_AND_LIST, str(tmp_path / "out")], capture_output=True, text=True, timeout=300, check=True,
+        cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
+    )
+    n, size, daemons, peak_mb = map(int, done.stdout.split()[-4:])
+    assert (n, size) == (8000, sum(16384 + i % 7 for i in range(8000)))
+    assert daemons == 1 and peak_mb < 200, (daemons, peak_mb)
