@@ -8,17 +8,21 @@ The set of a document is the set of hashes of its distinct ``width``-word shingl
    among the first ``a - ceil(percent * a) + k`` elements of the one and of the other at least k are common.  With k a
    tenth of the set, only documents go on that share so many of these prefix elements with others.  A text that merely
    quotes a common passage does not get this far.
-3. Among what is left, elements are counted, and the sets ordered anew with the commonest elements last (any one order
-   of all sets will do; it knows the ``MOST_COMMON`` commonest).  Linked sets have an element in common among the first
-   ``a - ceil(percent * a) + 1`` in this order, too.  These join documents to components, which a passage that many
-   documents quote does not hold together.  Each component is cut, in order of size, into bands of about
-   ``band_elements`` elements, and two bands are joined only if their sizes allow a link.
+3. Among what is left, two linked sets differ in at most ``d`` elements, which their sizes bound.  So elements are dealt by
+   hash to some more than ``d`` groups, and a signature stands for all that a set has in one group: at most ``d`` groups
+   differ, so the sets have a signature in common among the first ``d + 1`` of each, in any one order of signatures.
+   First are those with an element that few sets have, then those of many elements; elements are counted for that (the
+   ``MOST_COMMON`` commonest are known).  Equal signatures join documents to components.  As a signature takes several
+   equal elements, a quoted passage or common lines do not hold a component together, and components stay as large as
+   the families of near copies in them.  Each component is cut, in order of size, into bands of about ``band_elements``
+   elements, and two bands are joined only if their sizes allow a link.
 4. In a tile, hashed bitmap signatures bound the overlap from above: each bit in which two signatures differ is an
    element that only one set has.  Pairs that pass are intersected as sorted arrays.  Pairs that are already connected
    within the tile are not looked at again, so a tile returns a spanning forest of its links.
 
 A hash that very many documents have is counted within each chunk of a task first, so at most one row for each chunk
-leaves for it.  No group is collected: chunks, buckets and tiles have a bounded number of elements.
+leaves for it.  No group is collected: chunks, buckets and tiles have a bounded number of elements.  The steps' files go as
+soon as they have been read.
 
 Defined results: a null, empty or blank text has no shingle and links with nothing, itself being its component; fewer
 than ``width`` words are one shingle; repeated rows and equal texts are one component; a null doc_id is kept, and a
@@ -39,7 +43,7 @@ from pyspark.sql import types as T
 from slidelake.llm.graph import components
 from slidelake.operators.ranking import running_sums
 from slidelake.operators.skew import is_small
-from slidelake.session import materialize
+from slidelake.session import discard, materialize, scratch_path
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MEMO_WORDS = 500_000
@@ -50,6 +54,8 @@ BUCKET = 65_536
 #: Elements that so many sets have count as common, and so many of them are ordered by how common they are.
 COMMON = 8
 MOST_COMMON = 1 << 20
+#: Groups for signatures: so many percent more than linked sets may differ in.
+SPARE = 60
 #: Bytes of ids up to which they are sent to all executors; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 ODD = 0x9E3779B97F4A7C15
@@ -86,6 +92,10 @@ def digest(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
+def low_digest(node: bytes) -> int:
+    return int.from_bytes(node[8:], "big", signed=True)
+
+
 def common_part(n: int) -> int:
     """How many prefix elements a set of ``n`` must share at least with a linked one of its size or more."""
     return max(1, n // 10)
@@ -106,7 +116,7 @@ def _sets(width: int):
                 [
                     *[batch.column(n) for n in others],
                     pa.array(nodes, pa.binary()),
-                    pa.array([int.from_bytes(d[8:], "big", signed=True) for d in nodes], pa.int64()),
+                    pa.array([low_digest(d) for d in nodes], pa.int64()),
                     pa.array([len(s) for s in found], pa.int64()),
                 ],
                 [*others, "node", "low", "n"],
@@ -116,7 +126,7 @@ def _sets(width: int):
 
 
 def _full_sets(width: int):
-    """(node, n, elements) of each text with shingles."""
+    """(node, low, n, elements) of each text with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -124,9 +134,11 @@ def _full_sets(width: int):
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column("text").slice(at, 256).cast(pa.binary())
                 found = [s for t in texts if len(s := shingles(t.as_py() or b"", width, memo))]
+                nodes = [digest(s) for s in found]
+                lows = [low_digest(d) for d in nodes]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), _lists(found)],
-                    ["node", "n", "elements"],
+                    [pa.array(nodes, pa.binary()), pa.array(lows, pa.int64()), pa.array([len(s) for s in found], pa.int64()), _lists(found)],
+                    ["node", "low", "n", "elements"],
                 )
 
     return run
@@ -190,7 +202,7 @@ def _prefix_blocks(width: int, percent: int, buckets: int):
                 s = shingles(t.as_py() or b"", width, memo)
                 if len(s):
                     parts.append(s[: prefix_length(len(s), percent)])
-                    lows.append(int.from_bytes(digest(s)[8:], "big", signed=True))
+                    lows.append(low_digest(digest(s)))
                     size += len(parts[-1])
                 if size >= CHUNK:
                     yield from flush(parts, lows)
@@ -254,70 +266,110 @@ def common_elements(sets: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
     return h[order], np.frexp(n[order].astype(float))[1].astype(np.int8)
 
 
-def rare_prefix(elements: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The first elements in the order by class, then hash: one more than a linked set may lack."""
-    k = len(elements) + percent * len(elements) // -100 + 1
+def size_classes(most: int) -> np.ndarray:
+    """Where classes of sizes begin, each a quarter above the one before, up to one above ``most``."""
+    starts = [1]
+    while starts[-1] <= most:
+        starts.append(max(starts[-1] + 1, starts[-1] * 5 // 4))
+    return np.array(starts, np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes (uint64) of 64-bit numbers."""
+    x = x.view(np.uint64) ^ (x.view(np.uint64) >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signatures(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, place of its set in ``sets``): sets that link have one in common.
+
+    Of sizes ``a <= b``, linked sets have ``percent * b <= 100 * a`` and differ in at most ``a * (100 - percent) / percent``
+    elements.  Both give signatures for the class of the smaller size, so each set does so for all classes in which the
+    smaller one may be.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    elements = np.concatenate(sets)
     h, kinds = common
+    kind = np.zeros(len(elements), np.int64)
     if len(h):
         at = np.searchsorted(h, elements)
         at[at == len(h)] = 0
-        kind = np.where(h[at] == elements, kinds[at], 0)
-        elements = elements[np.argsort(kind, kind="stable")]
-    return elements[:k]
-
+        kind = np.where(h[at] == elements, kinds[at], 0).astype(np.int64)
+    mixed, start = _mixed(elements), np.cumsum(n) - n
+    classes = size_classes(int(n.max()))
+    own = np.searchsorted(classes, n, "right") - 1
+    least = np.searchsorted(classes, np.maximum(1, -(-percent * n // 100)), "right") - 1
+    found, holders = [], []
+    for back in range(int((own - least).max()) + 1):
+        use = np.flatnonzero(own - back >= least)
+        cls = own[use] - back
+        differ = (classes[cls + 1] - 1) * (100 - percent) // percent
+        groups = differ + 1 + -(-SPARE * differ // 100)
+        holder = np.repeat(np.arange(len(use)), n[use])
+        place = np.arange(len(holder)) + np.repeat(start[use] - (np.cumsum(n[use]) - n[use]), n[use])
+        e = mixed[place]
+        group = ((e >> np.uint64(20)) % groups[holder].astype(np.uint64)).astype(np.int64)
+        order, run, size = _runs((np.cumsum(groups) - groups)[holder] + group)
+        first = np.cumsum(size) - size
+        held, group = holder[order][first], group[order][first]
+        # What a group holds, whatever its order, and the place of the group.
+        whole = np.add.reduceat(e[order], first) + np.uint64(ODD) * ((cls[held] << 32) + group).astype(np.uint64)
+        rarest = np.minimum.reduceat(kind[place][order], first)
+        ranked = np.lexsort((group, -size, rarest, held))
+        by = held[ranked]
+        kept = np.arange(len(by)) - np.searchsorted(by, by) <= differ[by]
+        found.append(_mixed(whole[ranked][kept]).view(np.int64))
+        holders.append(use[by[kept]])
+        # Groups without elements come last, and all are one signature.
+        short = np.bincount(held, minlength=len(use)) <= differ
+        found.append(-1 - cls[short])
+        holders.append(use[short])
+    return np.concatenate(found), np.concatenate(holders)
+
+
+def _stars(lows: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each signature's holders to the first holder in its run."""
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+    first = lows[starts[run]]
+    pairs = np.unique(np.stack([lows, first], axis=1)[lows != first], axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
-EDGES = "a binary, b binary"
 
-
-def _stars(nodes: np.ndarray, run: np.ndarray) -> tuple[list, list]:
-    """Edges from each element's holders to the first holder in its run."""
-    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
-    pairs = {(a, b) for a, b in zip(nodes, nodes[starts[run]], strict=True) if a != b}
-    return [a for a, _ in pairs], [b for _, b in pairs]
+STARS = pa.schema([("bucket", pa.int32()), ("h", pa.list_(pa.int64())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
 
 def _edge_blocks(percent: int, buckets: int, common):
-    """As ``_prefix_blocks``, but with nodes: stars among the holders of a chunk, and one holder of each element."""
+    """Signatures by bucket, each with the low digest of one of its holders here; a row of a bucket below 0 has the stars
+    among the holders of a chunk."""
 
-    def flush(parts: list[np.ndarray], names: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate(parts)
-        holder = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-        order, run, _ = _runs(h)
-        named = np.empty(len(names), object)
-        named[:] = names
-        a, b = _stars(holder[order], run)
-        none = pa.array([[]], pa.list_(pa.int64()))
-        if a:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - a[0] % buckets], pa.int32()), none, pa.array([list(named[a])], pa.list_(pa.binary())), pa.array([list(named[b])], pa.list_(pa.binary()))],
-                ["bucket", "h", "a", "b"],
-            )
-        first = np.ones(len(run), bool)
-        first[1:] = run[1:] != run[:-1]
-        kept = order[first]
-        h, holder = h[kept], holder[kept]
-        at = ((h.view(np.uint64) >> np.uint64(11)) % np.uint64(buckets)).astype(np.int32)
-        o = np.argsort(at, kind="stable")
-        ids, starts = np.unique(at[o], return_index=True)
-        offsets = pa.array(np.append(starts, len(at)).astype(np.int32))
-        empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(ids) + 1, np.int32)), pa.array([], pa.binary()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(h[o])), pa.ListArray.from_arrays(offsets, pa.array(list(named[holder[o]]), pa.binary())), empty],
-            ["bucket", "h", "a", "b"],
-        )
+    def flush(parts: list[np.ndarray], lows: list[int]) -> Iterator[pa.RecordBatch]:
+        h, holder = signatures(parts, common.value, percent)
+        low = np.array(lows, np.int64)[holder]
+        order, run, size = _runs(h)
+        a, b = _stars(low[order], run)
+        if len(a):
+            cols = [_lists([x]) for x in (np.zeros(0, np.int64), a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(a[0]) % buckets], pa.int32()), *cols], schema=STARS)
+        kept = order[np.cumsum(size) - size]
+        for batch in _split(h[kept], low[kept], np.zeros(len(kept), np.int64), buckets):
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(batch.num_rows + 1, np.int32)), pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("h"), batch.column("held"), none], schema=STARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, names, size = [], [], 0
+        parts, lows, size = [], [], 0
         for batch in batches:
-            for node, elements in zip(batch.column("node"), batch.column("elements"), strict=True):
-                parts.append(rare_prefix(elements.values.to_numpy(), common.value, percent))
-                names.append(node.as_py())
+            for low, elements in zip(batch.column("low"), batch.column("elements"), strict=True):
+                parts.append(elements.values.to_numpy())
+                lows.append(low.as_py())
                 size += len(parts[-1])
                 if size >= CHUNK:
-                    yield from flush(parts, names)
-                    parts, names, size = [], [], 0
+                    yield from flush(parts, lows)
+                    parts, lows, size = [], [], 0
         if parts:
-            yield from flush(parts, names)
+            yield from flush(parts, lows)
 
     return run
 
@@ -327,10 +379,11 @@ def _edges(group: pa.Table) -> pa.Table:
     if group.column("bucket")[0].as_py() < 0:
         return pa.table({"a": a, "b": group.column("b").combine_chunks().flatten()})
     order, run, _ = _runs(group.column("h").combine_chunks().flatten().to_numpy())
-    nodes = np.empty(len(a), object)
-    nodes[:] = a.to_pylist()
-    x, y = _stars(nodes[order], run)
-    return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())})
+    x, y = _stars(a.to_numpy()[order], run)
+    return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+
+
+EDGES = "a binary, b binary"
 
 
 class Tile:
@@ -429,6 +482,8 @@ def linked_documents(
     schema = T.StructType([f for f in docs.schema if f.name != "text"]).add("node", "binary").add("low", "long").add("n", "long")
     members = materialize(docs.mapInArrow(_sets(width), schema), "members")
 
+    spark = documents.sparkSession
+    steps = scratch_path(spark, "jaccard")
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + int(0.3 * total) // BUCKET
     blocks = docs.select("text").mapInArrow(_prefix_blocks(width, percent, buckets), "bucket int, h array<long>, held array<long>, low array<long>")
@@ -441,24 +496,26 @@ def linked_documents(
         .where(F.col("n_shared") >= least)
         .select("doc_id", "node")
     )
-    chosen = materialize(chosen, "chosen")
+    chosen = materialize(chosen, "chosen", steps)
     ids = chosen.select(F.col("doc_id").alias("wanted")).distinct()
-    few = is_small(ids, BROADCAST_BYTES)
-    own = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    sets = own.mapInArrow(_full_sets(width), "node binary, n long, elements array<long>")
-    if documents.schema["doc_id"].nullable:
-        # Repeated or null ids may bring other texts and repeats.
+    ids = F.broadcast(ids) if is_small(ids, BROADCAST_BYTES) else ids
+    wanted = F.col("doc_id").eqNullSafe(F.col("wanted"))
+    own = docs.join(ids, wanted, "left_semi").select("text")
+    sets = own.mapInArrow(_full_sets(width), "node binary, low long, n long, elements array<long>")
+    if members.select("doc_id").join(ids, wanted, "left_semi").count() != chosen.count():
+        # Repeated or null ids bring other texts and repeats.
         sets = sets.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    sets = materialize(sets, "sets", steps)
 
     size = sets.agg(F.sum("n")).first()[0] or 0
-    common = documents.sparkSession.sparkContext.broadcast(common_elements(sets, 1 + size // BUCKET))
-    buckets = 1 + int(0.2 * size) // BUCKET
-    blocks = sets.select("node", "elements").mapInArrow(_edge_blocks(percent, buckets, common), "bucket int, h array<long>, a array<binary>, b array<binary>")
-    near = components(blocks.groupBy("bucket").applyInArrow(_edges, EDGES))
-
-    located = sets.join(near.withColumnRenamed("root", "component"), "node")
-    banded = materialize(_banded(located, band_elements), "bands")
+    common = spark.sparkContext.broadcast(common_elements(sets, 1 + size // BUCKET))
+    buckets = 1 + int(0.6 * size) // BUCKET
+    blocks = sets.select("low", "elements").mapInArrow(_edge_blocks(percent, buckets, common), "bucket int, h array<long>, a array<long>, b array<long>")
+    near = components(blocks.groupBy("bucket").applyInArrow(_edges, "a long, b long"), steps)
+
+    # Nodes of one low digest, if ever there are some, are in one component.
+    located = sets.select("node", "low", "n").join(near.select(F.col("node").alias("low"), F.col("root").alias("component")), "low")
+    banded = materialize(_banded(located, band_elements), "bands", steps)
     one_band = F.col("whole") <= band_elements
     bands = banded.where(~one_band).groupBy("component", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     # Components of one band share tiles; of the larger, each pair of bands that sizes allow is a tile.
@@ -476,11 +533,12 @@ def linked_documents(
     work = sets.join(small.unionByName(large), "node")
     links = work.select("tile", "component", "side", "node", "n", "elements").groupBy("tile").applyInArrow(_tile_links(percent), EDGES)
 
-    roots = components(links)
+    roots = components(links, steps)
     firsts = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = materialize(rooted.join(lowest, "root").select(F.col("node").alias("of"), "component_id", "root"), "classes")
+    discard(spark, steps)
     joined = members.join(ids, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
