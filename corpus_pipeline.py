@@ -56,9 +56,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = linked_documents(keyed, keep=("t",), root="root")
     grouped = F.col("root").isNotNull()
     first = F.row_number().over(W.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "t"))
-    chosen = linked.where(grouped).withColumn("nth", first).where("nth = 1").select("doc_id", "t")
-    chosen = chosen.unionByName(linked.where(~grouped).select("doc_id", "t")).distinct()
-    kept = keyed.join(chosen, _same(keyed, chosen), "left_semi").dropDuplicates(["doc_id", "t"])
+    key = F.struct("doc_id", F.coalesce("t", F.lit(0)).alias("t")).alias("key")
+    chosen = linked.where(grouped).withColumn("nth", first).where("nth = 1").select(key)
+    chosen = chosen.unionByName(linked.where(~grouped).select(key)).distinct()
+    # One key of one type for both steps, in which nulls are equal, and no semi join, which would be planned on other
+    # columns: so the texts are shuffled once.  No t is null.
+    kept = keyed.select("doc", "text", key).join(chosen, "key").dropDuplicates(["key"])
     return _unpacked(kept, docs.columns)
 
 

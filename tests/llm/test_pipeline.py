@@ -150,3 +150,15 @@ def test_run(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert out.where(F.col("n_tokens") < 1).count() == 0 and out.count() > 0
+
+
+def test_near_duplicates_shuffles_the_texts_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = P.near_duplicates(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # From the result down to the join of the texts: only what works on rows that lie where they are needed.
+    assert "SortMergeJoin" in plan and "Exchange" not in plan.partition("SortMergeJoin")[0]
